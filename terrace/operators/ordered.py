@@ -152,3 +152,21 @@ def _scan_slices(df: DataFrame, keys, order, spec, slices: int) -> DataFrame:
     out = _unpack(joined.withColumns(fix), spec)
     extra = [c for c in out.columns if c == "_slice" or c.endswith("_edge") or c[:4] in ("_pc_", "_ps_")]
     return out.drop(*extra)
+
+
+def with_group_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    totals: Mapping[str, Column],
+    hot_rows: int = HOT_ROWS,
+    measure: DataFrame | None = None,
+) -> DataFrame:
+    """Add group aggregates to each row: one shuffled window for ordinary groups, a pre-aggregated
+    join for groups too large for one task."""
+    cold, hot, _ = split_hot(df, keys, hot_rows, measure)
+    w = Window.partitionBy(*keys)
+    plain = cold.withColumns({name: agg.over(w) for name, agg in totals.items()})
+    if hot is None:
+        return plain
+    sums = hot.groupBy(*keys).agg(*[agg.alias(name) for name, agg in totals.items()])
+    return plain.unionByName(_null_safe(hot, sums, keys, "_g", "left"))
