@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources_silver", "dimension_queries", "fact_queries", "vault_graph_feature_queries")
+MODULES = ("sources_silver", "dimension_queries", "fact_queries", "vault_graph_feature_queries", "star_flights", "decision_support")
 
 
 def load_all() -> None:
