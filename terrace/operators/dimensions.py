@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.columns import any_of, md5_key, sentinel
-from terrace.operators.ordered import HOT_ROWS, ordered_scan
+from terrace.operators.ordered import HOT_ROWS, largest_group, ordered_scan
 from terrace.session import durable
 
 
@@ -26,21 +26,23 @@ def scd2_build(
     ts: str,
     attrs: Sequence[str],
     hot_rows: int = HOT_ROWS,
-    measure: DataFrame | None = None,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Versions from a change log with at most one row per (key, ts): unchanged rows collapse, a version
     ends where the next starts, the open one at the 9999 sentinel. Adds version_number and a
     version-specific surrogate key."""
     log = history.select(key, F.col(ts).alias("valid_from"), *attrs)
+    if biggest is None:
+        biggest = largest_group(log, [key])
     seen = ordered_scan(
         log, [key], ["valid_from"], lag={f"_p_{a}": a for a in attrs} | {"_p_ts": "valid_from"},
-        hot_rows=hot_rows, measure=measure,
+        hot_rows=hot_rows, biggest=biggest,
     )
     changed = F.col("_p_ts").isNull() | any_of([~F.col(a).eqNullSafe(F.col(f"_p_{a}")) for a in attrs])
     changes = seen.filter(changed).select(key, "valid_from", *attrs)
     closed = ordered_scan(
         changes, [key], ["valid_from"], lead={"_next": "valid_from"}, index="version_number",
-        hot_rows=hot_rows, measure=measure if measure is not None else log,
+        hot_rows=hot_rows, biggest=biggest,
     )
     stamp = F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return closed.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.columns import dbl, money
-from terrace.operators.ordered import HOT_ROWS, ordered_scan, with_group_totals
+from terrace.operators.ordered import HOT_ROWS, largest_group, ordered_scan, with_group_totals
 from terrace.operators.temporal import pit_join
 
 ITEMS_PER_ROW = 10_000
@@ -59,10 +59,11 @@ def nested_mart(
     item: Sequence[str],
     items_per_row: int = ITEMS_PER_ROW,
     hot_rows: int = HOT_ROWS,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Header rows with `items array<struct>`. A header with more than `items_per_row` items continues
     on further rows (chunk_no 1, 2, ...), so no item is lost and no array grows without bound."""
-    placed = ordered_scan(lines, [key], order, index="_pos", hot_rows=hot_rows)
+    placed = ordered_scan(lines, [key], order, index="_pos", hot_rows=hot_rows, biggest=biggest)
     chunked = placed.withColumn("chunk_no", F.floor((F.col("_pos") - 1) / items_per_row).cast("int"))
     entry = F.struct("_pos", *item)
     packed = chunked.groupBy(key, "chunk_no").agg(F.array_sort(F.collect_list(entry)).alias("items"))
@@ -111,20 +112,18 @@ def periodic_snapshot(flows: DataFrame, entity: str, ts: str, amount: Column) ->
     """Entity x month grain from each entity's first month to the last month of the data, with the
     month's flow and the balance carried forward through months without activity.
 
-    Flows are summed per entity and month first; afterwards an entity has one row per calendar month,
-    so its window is short however many rows it had.
+    Flows are summed per entity and month first; afterwards an entity has one row per calendar month, so
+    its window is short however many rows it had. Each active month then repeats itself up to the month
+    before the next active one: no calendar is joined.
     """
-    monthly = flows.groupBy(F.col(entity), month_start(ts).alias("month")).agg(F.sum(amount).alias("flow"))
+    monthly = flows.groupBy(F.col(entity), month_start(ts).alias("_m")).agg(F.sum(amount).alias("_flow"))
     last = flows.agg(F.max(month_start(ts))).first()[0]
-    spine = monthly.groupBy(entity).agg(F.min("month").alias("_a"))
-    months = F.sequence("_a", F.lit(last), F.expr("interval 1 month"))
-    spine = spine.select(entity, F.explode(months).alias("month"))
-    w = Window.partitionBy(entity).orderBy("month")
-    return (
-        spine.join(monthly, [entity, "month"], "left")
-        .withColumn("flow", F.coalesce("flow", F.lit(0)))
-        .withColumn("balance", F.sum("flow").over(w))
-    )
+    w = Window.partitionBy(entity).orderBy("_m")
+    active = monthly.withColumns({"balance": F.sum("_flow").over(w), "_next": F.lead("_m").over(w)})
+    until = F.coalesce(F.add_months("_next", -1), F.lit(last))
+    filled = active.withColumn("month", F.explode(F.sequence("_m", until, F.expr("interval 1 month"))))
+    flow = F.when(F.col("month") == F.col("_m"), F.col("_flow")).otherwise(F.lit(0))
+    return filled.select(entity, "month", flow.alias("flow"), "balance")
 
 
 def closing_balance(snapshot: DataFrame, account: str, date: str, balance: str, period: Column) -> DataFrame:
@@ -193,30 +192,34 @@ def coverage_gap(coverage: DataFrame, occurrences: DataFrame, keys: Sequence[str
 
 def allocate(
     df: DataFrame, group: str, member: Sequence[str], share: Column, total: Column, name: str, scale: int,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, biggest: int | None = None,
 ) -> DataFrame:
     """Split `total` over the members of a group in proportion to `share`, rounded to `scale` digits;
     the rounding residue goes to the largest member, so the parts add up to the total exactly.
     `member` identifies a row inside its group; a group without any share puts all on one row."""
     kind = f"decimal(20,{scale})"
+    if biggest is None:
+        biggest = largest_group(df, [group])
     rows = df.withColumns({"_share": share, "_total": total.cast(kind)})
     rank = F.struct(F.col("_share"), *member)
     sums = with_group_totals(
-        rows, [group], {"_sum": F.sum("_share"), "_top": F.max_by(F.struct(*member), rank)}, hot_rows
+        rows, [group], {"_sum": F.sum("_share"), "_top": F.max_by(F.struct(*member), rank)}, hot_rows, biggest
     )
     part = F.when(dbl("_sum") != 0, (dbl("_total") * dbl("_share") / dbl("_sum")).cast(kind)).otherwise(F.lit(0).cast(kind))
     parts = with_group_totals(
-        sums.withColumn(name, part), [group], {"_parts": F.sum(name)}, hot_rows, measure=df.select(group)
+        sums.withColumn(name, part), [group], {"_parts": F.sum(name)}, hot_rows, biggest
     )
     is_top = F.struct(*member).eqNullSafe(F.col("_top"))
     fixed = F.when(is_top, F.col(name) + F.col("_total") - F.col("_parts")).otherwise(F.col(name)).cast(kind)
     return parts.withColumn(name, fixed).drop("_share", "_total", "_sum", "_top", "_parts")
 
 
-def weighted_bridge(df: DataFrame, group: str, member: str, share: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+def weighted_bridge(
+    df: DataFrame, group: str, member: str, share: Column, hot_rows: int = HOT_ROWS, biggest: int | None = None
+) -> DataFrame:
     """M:N bridge (group, member, allocation_weight); the weights of a group sum to 1 exactly."""
     pre = df.groupBy(group, member).agg(F.sum(share).alias("_w"))
-    bridge = allocate(pre, group, [member], F.col("_w"), F.lit(1), "allocation_weight", 6, hot_rows)
+    bridge = allocate(pre, group, [member], F.col("_w"), F.lit(1), "allocation_weight", 6, hot_rows, biggest)
     return bridge.select(group, member, F.col("allocation_weight").cast("decimal(9,6)").alias("allocation_weight"))
 
 

@@ -34,15 +34,12 @@ def feature_completeness(bound: DataFrame, matched: str, values: Sequence[str])
     )
 
 
-def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
-    """Mean vector per label. Components are averaged exactly, then collected: a vector's length bounds
-    the list, not the number of rows."""
-    parts = vectors.select(label, F.posexplode(vector).alias("_i", "_v"))
-    means = parts.groupBy(label, "_i").agg(
-        (F.sum(F.col("_v").cast("double").cast("decimal(18,9)")).cast("double") / F.count("_v")).alias("_m")
-    )
-    packed = means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_p"))
-    return packed.select(label, F.transform("_p", lambda x: x["_m"]).alias("centroid"))
+def centroids(vectors: DataFrame, label: str, vector: str, length: int) -> DataFrame:
+    """Mean vector per label for vectors of a known length: one exact sum per component, pre-aggregated
+    before the shuffle, so no component rows are exploded."""
+    part = [F.col(vector)[i].cast("double").cast("decimal(18,9)") for i in range(length)]
+    sums = vectors.groupBy(label).agg(*[(F.sum(p).cast("double") / F.count(p)).alias(f"_{i}") for i, p in enumerate(part)])
+    return sums.select(label, F.array(*[f"_{i}" for i in range(length)]).alias("centroid"))
 
 
 def similarity_to(vectors: DataFrame, queries: DataFrame, on: str, vector: str, query: str, digits: int = 6) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.columns import dbl, md5_key, sentinel
 from terrace.operators import dimensions as dim
-from terrace.operators.ordered import ordered_scan
+from terrace.operators.ordered import largest_group, ordered_scan
 from terrace.operators.silver import message_rows, tag_rejects
 from terrace.operators.temporal import pit_join
 from terrace.session import written
@@ -59,8 +59,8 @@ def _append(state: State, name: str, rows: DataFrame) -> DataFrame:
     return state[name].unionByName(piece) if name in state else piece
 
 
-def _bind_customer(rows: DataFrame, ts: str, customers: DataFrame) -> DataFrame:
-    bound = pit_join(rows, "customer_id", ts, customers, "customer_id", ["version_sk"])
+def _bind_customer(rows: DataFrame, ts: str, customers: DataFrame, most: int) -> DataFrame:
+    bound = pit_join(rows, "customer_id", ts, customers, "customer_id", ["version_sk"], most=most)
     return bound.withColumnRenamed("version_sk", "sk_customer_id").drop("valid_from", "valid_to")
 
 
@@ -80,6 +80,7 @@ def load_batch(
             merged = dim.scd2_build(log, "customer_id", "effective_at", CUSTOMER_ATTRS)
         out["dim_customer"] = written(merged, "dim_customer")
     customers = out["dim_customer"]
+    most = largest_group(customers, ["customer_id"])
 
     for name, key in (("company", "company_id"), ("security", "security_id")):
         if name in feeds:
@@ -99,7 +100,7 @@ def load_batch(
         fresh = stamped["account"]
         if "dim_account" in state:
             fresh = fresh.join(state["dim_account"].select("account_id"), "account_id", "left_anti")
-        bound = written(_bind_customer(fresh, "effective_at", customers), "account_feed")
+        bound = written(_bind_customer(fresh, "effective_at", customers, most), "account_feed")
         orphan = F.col("sk_customer_id").isNull()
         out["dim_account"] = _append(state, "dim_account", open_versions(bound.filter(~orphan).drop("customer_id"), "account_id"))
         messages.append(
@@ -112,7 +113,7 @@ def load_batch(
 
     if "trade" in feeds:
         tagged = tag_rejects(stamped["trade"], rules).join(accounts, "account_id", "left")
-        bound = _bind_customer(tagged, "traded_at", customers)
+        bound = _bind_customer(tagged, "traded_at", customers, most)
         reason = F.coalesce(
             F.col("reject_reason"),
             F.when(F.col("_known").isNull(), "ORPHAN: account"),
@@ -133,14 +134,14 @@ def load_batch(
     for name, table, ts in (("holding", "fact_holding", "held_at"), ("cash", "fact_cash", "balance_at")):
         if name in feeds:
             known = stamped[name].join(accounts, "account_id", "left_semi")
-            rows = _bind_customer(known, ts, customers).filter("sk_customer_id is not null").drop("customer_id")
+            rows = _bind_customer(known, ts, customers, most).filter("sk_customer_id is not null").drop("customer_id")
             if name == "holding":
                 rows = rows.join(out["fact_trade"].select("trade_id"), "trade_id", "left_semi")
             out[table] = _append(state, table, rows)
     if "market" in feeds:
         out["fact_market"] = _append(state, "fact_market", stamped["market"])
     if "watch" in feeds:
-        rows = _bind_customer(stamped["watch"], "placed_at", customers).filter("sk_customer_id is not null")
+        rows = _bind_customer(stamped["watch"], "placed_at", customers, most).filter("sk_customer_id is not null")
         out["fact_watch"] = _append(state, "fact_watch", rows.drop("customer_id"))
 
     control = customers.sparkSession.range(1)

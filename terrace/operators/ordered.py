@@ -20,7 +20,7 @@ from terrace.session import durable
 HOT_ROWS = 4_000_000
 
 
-def _null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], prefix: str, how: str, extra=()) -> DataFrame:
+def _null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], prefix: str, how: str) -> DataFrame:
     renamed = other.select(
         *[F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)],
         *[c for c in other.columns if c not in keys],
@@ -30,23 +30,33 @@ def _null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], prefix: str
     return joined.drop(*[f"{prefix}{i}" for i in range(len(keys))])
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest key: one partially aggregated pass over the key columns."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.max("_n")).first()[0] or 0
+
+
 def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, measure: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, biggest: int | None = None
 ) -> tuple[DataFrame, DataFrame | None, int]:
     """(rows of ordinary keys, rows of hot keys or None, number of hot rows).
 
-    `measure` may be a cheaper frame whose per-key counts are at least those of `df`.
+    `biggest`, an upper bound of the largest group if the caller knows one, saves the measuring pass.
     """
-    counts = (df if measure is None else measure).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.agg(
-        F.max("_n").alias("biggest"), F.sum(F.when(F.col("_n") > hot_rows, F.col("_n"))).alias("hot")
-    ).first()
-    if top["biggest"] is None or top["biggest"] <= hot_rows:
+    if biggest is None:
+        biggest = largest_group(df, keys)
+    if biggest <= hot_rows:
         return df, None, 0
-    hot = counts.filter(F.col("_n") > hot_rows).select(*keys)
-    cold_rows = _null_safe(df, hot, keys, "_h", "left_anti")
-    hot_part = _null_safe(df, hot, keys, "_h", "left_semi")
-    return cold_rows, hot_part, int(top["hot"])
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    # Stored once: both halves must agree on which keys are hot.
+    hot = durable(counts)
+    n_hot = hot.agg(F.sum("_n")).first()[0]
+    if not n_hot:
+        return df, None, 0
+    keys_only = hot.select(*keys)
+    return (
+        _null_safe(df, keys_only, keys, "_h", "left_anti"), _null_safe(df, keys_only, keys, "_h", "left_semi"), int(n_hot),
+    )
 
 
 def ordered_scan(
@@ -60,7 +70,7 @@ def ordered_scan(
     running: Mapping[str, str | Column] | None = None,
     index: str | None = None,
     hot_rows: int = HOT_ROWS,
-    measure: DataFrame | None = None,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Add per-key ordered columns; `order` must be a total, ascending order of columns.
 
@@ -76,7 +86,7 @@ def ordered_scan(
         {k: col(v) for k, v in (carry or {}).items()},
         sums,
     )
-    cold, hot, n_hot = split_hot(df, keys, hot_rows, measure)
+    cold, hot, n_hot = split_hot(df, keys, hot_rows, biggest)
     plain = _scan_whole(cold, keys, order, spec)
     if hot is None:
         return plain
@@ -159,11 +169,11 @@ def with_group_totals(
     keys: Sequence[str],
     totals: Mapping[str, Column],
     hot_rows: int = HOT_ROWS,
-    measure: DataFrame | None = None,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Add group aggregates to each row: one shuffled window for ordinary groups, a pre-aggregated
     join for groups too large for one task."""
-    cold, hot, _ = split_hot(df, keys, hot_rows, measure)
+    cold, hot, _ = split_hot(df, keys, hot_rows, biggest)
     w = Window.partitionBy(*keys)
     plain = cold.withColumns({name: agg.over(w) for name, agg in totals.items()})
     if hot is None:

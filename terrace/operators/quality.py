@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from terrace.functions.columns import all_of, dbl
 from terrace.operators.ordered import HOT_ROWS, ordered_scan
-from terrace.operators.temporal import pit_join
 
 N = F.count(F.lit(1))
 
@@ -145,17 +144,16 @@ def interval_checks(name: str, dim: DataFrame, key: str, hot_rows: int = HOT_ROW
     )
 
 
-def temporal_causality(facts: DataFrame, fact_key: str, fact_ts: str, dim: DataFrame, key: str) -> DataFrame:
-    """Bind facts point in time; none may sit on a version that is not valid at its time, and those of
-    the past must not sit on the current version by default."""
-    bound = pit_join(facts.select(fact_key, fact_ts), fact_key, fact_ts, dim, key, ["is_current"])
+def temporal_causality(name: str, bound: DataFrame, fact_ts: str) -> DataFrame:
+    """Facts with the valid_from, valid_to and is_current of the version they were bound to, by whatever
+    join: none may sit on a version that was not valid at the time of the fact."""
     inside = (F.col("valid_from") <= F.col(fact_ts)) & (F.col(fact_ts) < F.col("valid_to"))
     return bound.agg(
         N.alias("fact_rows"),
         F.count("valid_from").alias("bound_rows"),
         F.count_if(F.col("is_current") == F.lit(False)).alias("bound_to_past"),
         F.count_if(F.col("valid_from").isNotNull() & ~inside).alias("violations"),
-    ).withColumn("passed", F.col("violations") == 0)
+    ).select(F.lit(name).alias("binding"), "*", (F.col("violations") == 0).alias("passed"))
 
 
 # ---- erasure --------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.operators.ordered import HOT_ROWS, ordered_scan
+from terrace.operators.ordered import HOT_ROWS, largest_group, ordered_scan
 
 FEW_VERSIONS = 64
 
@@ -63,14 +63,16 @@ def pit_join(
     values: Sequence[str],
     hot_rows: int = HOT_ROWS,
     few_versions: int = FEW_VERSIONS,
+    most: int | None = None,
 ) -> DataFrame:
     """Left join of facts to the dimension version valid at the fact time (valid_from <= ts < valid_to).
 
     With few versions per member the equi-join with a range residual is cheapest. With many, one hot
     member would multiply its facts by its versions, so the as-of scan is used instead.
-    Versions of a member must not overlap.
+    Versions of a member must not overlap. `most`, a known bound of versions per member, saves counting them.
     """
-    most = dim.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most is None:
+        most = largest_group(dim, [key])
     if most <= few_versions:
         versions = dim.select(F.col(key).alias("_dk"), "valid_from", "valid_to", *values)
         cond = (

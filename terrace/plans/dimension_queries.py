@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import day_text, dbl, md5_key, money, ntz, ts_text
+from terrace.functions.columns import date_key, day_text, dbl, md5_key, money, ntz, ts_text
 from terrace.operators import dimensions as dim
+from terrace.operators.ordered import largest_group
 from terrace.operators.temporal import pit_join
 from terrace.plans.registry import Tables, query
+from terrace.sources.generators import date_dimension
 
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
 END = "TIMESTAMP '9999-12-31 23:59:59'"
@@ -30,12 +32,9 @@ def priority_log(t: Tables) -> DataFrame:
 
 
 def priority_dim(t: Tables) -> DataFrame:
-    return dim.scd2_build(priority_log(t), "cust_id", "changed_at", ["priority"], measure=order_keys(t))
-
-
-def order_keys(t: Tables) -> DataFrame:
-    """Narrow frame whose per-key counts bound those of the priority log."""
-    return t.orders.select(F.col("o_custkey").alias("cust_id"))
+    # Orders per customer bound the versions per customer; counting them reads one column.
+    biggest = largest_group(t.orders, ["o_custkey"])
+    return dim.scd2_build(priority_log(t), "cust_id", "changed_at", ["priority"], biggest=biggest)
 
 
 PRIORITY_LOG_SQL = """(SELECT o_custkey AS cust_id, o_orderdate AS changed_at, arg_max(o_orderpriority, o_orderkey) AS priority
@@ -357,9 +356,6 @@ def _(t):
              AND l_shipdate <= (SELECT max(o_orderdate) FROM orders))""",
 )
 def _(t):
-    from terrace.functions.columns import date_key
-    from terrace.sources.generators import date_dimension
-
     facts = {
         "orders": t.orders.withColumn("order_date", date_key("o_orderdate")),
         "lineitem": t.lineitem.withColumn("ship_date", date_key("l_shipdate")),

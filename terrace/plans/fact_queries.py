@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.columns import date_key, day_text, dbl, md5_key, money, month_key, net_amount, ntz, rate, ts_text
 from terrace.operators import facts, silver
+from terrace.operators.ordered import largest_group
 from terrace.operators.temporal import pit_join
 from terrace.plans.dimension_queries import PRIORITY_DIM_SQL, priority_dim, shipments
 from terrace.plans.registry import Tables, query
@@ -123,7 +124,8 @@ ITEM = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
 
 
 def order_baskets(t: Tables) -> DataFrame:
-    return facts.nested_mart(clean_lines(t), "l_orderkey", ["l_linenumber"], ITEM)
+    biggest = largest_group(t.lineitem, ["l_orderkey"])
+    return facts.nested_mart(clean_lines(t), "l_orderkey", ["l_linenumber"], ITEM, biggest=biggest)
 
 
 @query(
@@ -352,7 +354,8 @@ BRIDGE_SQL = f"""(SELECT l_orderkey, l_suppkey, CASE WHEN row_number() OVER (PAR
 
 
 def supplier_bridge(t: Tables) -> DataFrame:
-    return facts.weighted_bridge(t.lineitem, "l_orderkey", "l_suppkey", money("l_extendedprice"))
+    biggest = largest_group(t.lineitem, ["l_orderkey"])
+    return facts.weighted_bridge(t.lineitem, "l_orderkey", "l_suppkey", money("l_extendedprice"), biggest=biggest)
 
 
 @query("f17_weighted_bridge", f"SELECT l_orderkey, l_suppkey, CAST(weight AS DOUBLE) AS allocation_weight FROM {BRIDGE_SQL}")
@@ -501,7 +504,8 @@ def _(t):
     heads = t.orders.select("o_orderkey", money("o_totalprice").alias("total"))
     lines = clean_lines(t).join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
     out = facts.allocate(
-        lines, "l_orderkey", ["l_linenumber"], money("l_extendedprice"), F.col("total"), "allocated", 2
+        lines, "l_orderkey", ["l_linenumber"], money("l_extendedprice"), F.col("total"), "allocated", 2,
+        biggest=largest_group(t.lineitem, ["l_orderkey"]),
     )
     return out.select("l_orderkey", "l_linenumber", dbl("allocated").alias("allocated"))
 

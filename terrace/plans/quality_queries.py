@@ -8,6 +8,7 @@ from terrace.functions.columns import dbl, money, month_key, net_amount, ntz
 from terrace.operators import dimensions as dim
 from terrace.operators import facts, quality
 from terrace.operators.quality import Check
+from terrace.operators.temporal import pit_join
 from terrace.plans.dimension_queries import (
     PRIORITY_DIM_SQL, SCD6_SQL, STATUS_DIM_SQL, priority_dim, shipments, status_log,
 )
@@ -152,12 +153,21 @@ def _(t):
 
 @query(
     "k9_temporal_causality",
-    f"""SELECT count(*) AS fact_rows, count(valid_from) AS bound_rows, count(*) FILTER (WHERE NOT is_current) AS bound_to_past,
-          CAST(0 AS BIGINT) AS violations, true AS passed FROM (SELECT o_custkey, l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-        LEFT JOIN {PRIORITY_DIM_SQL} ON cust_id = o_custkey AND l_shipdate >= valid_from AND l_shipdate < valid_to""",
+    f"""WITH f AS (SELECT o_custkey, l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey), d AS (SELECT * FROM {PRIORITY_DIM_SQL})
+        SELECT 'point in time' AS binding, count(*) AS fact_rows, count(valid_from) AS bound_rows,
+          count(*) FILTER (WHERE NOT is_current) AS bound_to_past, CAST(0 AS BIGINT) AS violations, true AS passed
+        FROM f LEFT JOIN d ON cust_id = o_custkey AND l_shipdate >= valid_from AND l_shipdate < valid_to UNION ALL
+        SELECT 'current state', count(*), count(valid_from), 0, count(*) FILTER (WHERE l_shipdate < valid_from),
+          count(*) FILTER (WHERE l_shipdate < valid_from) = 0 FROM f LEFT JOIN d ON cust_id = o_custkey AND is_current""",
 )
 def _(t):
-    return quality.temporal_causality(shipments(t), "o_custkey", "l_shipdate", priority_dim(t), "cust_id")
+    # The same facts bound properly, and bound to the current state, which the proof must reject.
+    members, facts_at = priority_dim(t), shipments(t)
+    bound = pit_join(facts_at, "o_custkey", "l_shipdate", members, "cust_id", ["is_current"])
+    now = facts_at.join(dim.current_view(members), C("o_custkey") == C("cust_id"), "left")
+    return quality.temporal_causality("point in time", bound, "l_shipdate").unionByName(
+        quality.temporal_causality("current state", now, "l_shipdate")
+    )
 
 
 def person_dim(t: Tables):
@@ -416,12 +426,13 @@ def _(t):
         )
 
     active = t.customer.filter("c_acctbal >= 0")
+    bound = pit_join(shipments(t), "o_custkey", "l_shipdate", priority_dim(t), "cust_id", ["is_current"])
     rows = quality.stack(
         [
             result("K01", 1, quality.metric_conservation(t.lineitem, net_amount(), sales_star(t, t.lineitem), net_amount()), "FAIL", True),
             result("K05", 1, quality.relationships("x", t.orders, "o_custkey", active, "c_custkey"), "WARNING", False),
             result("K04", 2, quality.pk_unique("x", t.lineitem, ["l_orderkey", "l_linenumber"]), "FAIL", True),
-            result("K09", 3, quality.temporal_causality(shipments(t), "o_custkey", "l_shipdate", priority_dim(t), "cust_id"), "FAIL", True),
+            result("K09", 3, quality.temporal_causality("pit", bound, "l_shipdate"), "FAIL", True),
         ]
     )
     return quality.scorecard(rows)

@@ -10,6 +10,7 @@ from terrace.operators import features, graph, vault
 from terrace.operators.temporal import asof_join
 from terrace.plans.dimension_queries import PRIORITY_LOG_SQL, priority_log
 from terrace.plans.registry import Tables, query
+from terrace.session import written
 
 N = F.count(F.lit(1))
 M = "CAST({} AS DECIMAL(18,2))".format
@@ -72,6 +73,7 @@ def priority_satellite(t: Tables) -> DataFrame:
     first = vault.satellite_load(
         None, log.filter(F.col("changed_at") < ntz("1998-01-01")), "cust_id", "changed_at", ["priority"], src, "customer_hk"
     )
+    first = written(first, "satellite")
     later = log.filter(F.col("changed_at") >= ntz("1998-01-01"))
     second = vault.satellite_load(first, later, "cust_id", "changed_at", ["priority"], src, "customer_hk")
     return first.unionByName(second)
@@ -313,7 +315,7 @@ SCORED_SQL = f"""(SELECT vec_id, e.label, round(list_cosine_similarity(CAST(embe
 
 @query("a2_cosine_similarity", f"SELECT vec_id, label, similarity FROM {SCORED_SQL}")
 def _(t):
-    means = features.centroids(t.embeddings, "label", "embedding")
+    means = features.centroids(t.embeddings, "label", "embedding", 64)
     scored = features.similarity_to(t.embeddings, means, "label", "embedding", "centroid")
     return scored.select("vec_id", "label", "similarity")
 
@@ -324,7 +326,7 @@ def _(t):
         ORDER BY similarity DESC, vec_id) AS rank FROM {SCORED_SQL}) WHERE rank <= 5""",
 )
 def _(t):
-    means = features.centroids(t.embeddings, "label", "embedding")
+    means = features.centroids(t.embeddings, "label", "embedding", 64)
     top = features.topk_similar(t.embeddings, means, "label", "embedding", "centroid", "vec_id", 5)
     return top.select("label", "vec_id", "similarity", "rank")
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from terrace.functions.columns import dbl, money
 from terrace.operators import dimensions as dim
-from terrace.operators.ordered import HOT_ROWS, ordered_scan
+from terrace.operators.ordered import HOT_ROWS, largest_group, ordered_scan
 from terrace.operators.silver import tag_rejects
 from terrace.session import scratch_path
 
@@ -113,10 +113,11 @@ def stream_sessions(df: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 def batch_sessions(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same sessions over a table, scanned in slices so that one very active key does not fill a task."""
     rows = df.select(key, ts, tie)
-    seen = ordered_scan(rows, [key], [ts, tie], lag={"_p": ts}, hot_rows=hot_rows)
+    biggest = largest_group(rows, [key])
+    seen = ordered_scan(rows, [key], [ts, tie], lag={"_p": ts}, hot_rows=hot_rows, biggest=biggest)
     gap = F.make_dt_interval(secs=F.lit(gap_seconds).cast("decimal(18,6)"))
     starts = (F.col("_p").isNull() | (F.col(ts) >= F.col("_p") + gap)).cast("bigint")
-    numbered = ordered_scan(seen.withColumn("_new", starts), [key], [ts, tie], running={"_no": "_new"}, hot_rows=hot_rows, measure=rows)
+    numbered = ordered_scan(seen.withColumn("_new", starts), [key], [ts, tie], running={"_no": "_new"}, hot_rows=hot_rows, biggest=biggest)
     return numbered.groupBy(key, "_no").agg(
         F.min(ts).alias("session_start"), (F.max(ts) + gap).alias("session_end"), N.alias("event_count")
     ).drop("_no")
