@@ -96,3 +96,7 @@ def any_of(preds: list[Column]) -> Column:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))

@@ -13,15 +13,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import dbl, md5_key, sentinel
+from terrace.functions.columns import dbl, md5_key, n_rows, sentinel
 from terrace.operators import dimensions as dim
 from terrace.operators.ordered import largest_group, ordered_scan
 from terrace.operators.silver import message_rows, tag_rejects
 from terrace.operators.temporal import pit_join
-from terrace.session import written
+from terrace.session import small_table, written
 
 State = dict[str, DataFrame]
-N = F.count(F.lit(1))
+
 CUSTOMER_ATTRS = ["last_name", "tier", "city"]
 
 FEEDS = {
@@ -42,7 +42,8 @@ FEEDS = {
     "prospect": "agency_id string, last_name string, net_worth decimal(18,2)",
 }
 
-TRADE_RULES = {"price > 0": F.col("price") > 0, "quantity > 0": F.col("quantity") > 0}
+def trade_rules():
+    return {"price > 0": F.col("price") > 0, "quantity > 0": F.col("quantity") > 0}
 
 
 def open_versions(df: DataFrame, key: str) -> DataFrame:
@@ -65,9 +66,10 @@ def _bind_customer(rows: DataFrame, ts: str, customers: DataFrame, most: int) ->
 
 
 def load_batch(
-    state: State, feeds: Mapping[str, DataFrame], batch_id: int, rules: Mapping[str, Column] = TRADE_RULES
+    state: State, feeds: Mapping[str, DataFrame], batch_id: int, rules: Mapping[str, Column] | None = None
 ) -> State:
     """Next warehouse state. Feeds that a batch lacks leave their table as it is."""
+    rules = trade_rules() if rules is None else rules
     out = dict(state)
     stamped = {n: df.withColumn("batch_id", F.lit(batch_id)) for n, df in feeds.items()}
     messages = []
@@ -163,7 +165,7 @@ def control_totals(state: State) -> DataFrame:
     out = None
     for name, df in sorted(state.items()):
         amount = dbl(F.sum(measures[name])) if name in measures else F.lit(None).cast("double")
-        one = df.agg(N.alias("row_count"), amount.alias("amount")).select(F.lit(name).alias("table_name"), "row_count", "amount")
+        one = df.agg(n_rows().alias("row_count"), amount.alias("amount")).select(F.lit(name).alias("table_name"), "row_count", "amount")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -197,7 +199,7 @@ def _dirty_keys(df: DataFrame, key: str) -> Column:
 
 
 def _orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    per = child.groupBy(F.col(fk).alias("_k")).agg(N.alias("_n"))
+    per = child.groupBy(F.col(fk).alias("_k")).agg(n_rows().alias("_n"))
     known = parent.select(F.col(pk).alias("_k")).distinct()
     return per.join(known, "_k", "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("v"))
 
@@ -226,23 +228,23 @@ def audit_actuals(state: State) -> DataFrame:
     parts: list[tuple[dict[int, str], DataFrame]] = []
 
     counted = {2: account, 3: state["dim_security"], 4: state["dim_company"], 5: state["dim_broker"], 10: watch, 11: state["prospect"], 1: customer}
-    parts += [({i: "v"}, df.agg(N.alias("v"))) for i, df in counted.items()]
+    parts += [({i: "v"}, df.agg(n_rows().alias("v"))) for i, df in counted.items()]
     parts.append(
         (
             {6: "a", 12: "b", 13: "c", 14: "d", 19: "e", 21: "f"},
             trade.agg(
-                N.alias("a"), dbl(F.sum(F.col("price") * F.col("quantity"))).alias("b"), dbl(F.sum("commission")).alias("c"),
+                n_rows().alias("a"), dbl(F.sum(F.col("price") * F.col("quantity"))).alias("b"), dbl(F.sum("commission")).alias("c"),
                 dbl(F.sum("fee")).alias("d"), F.count_if(net <= 0).alias("e"),
                 F.count_if((F.col("price") <= 0) | (F.col("quantity") <= 0)).alias("f"),
             ),
         )
     )
-    parts.append(({7: "a", 15: "b"}, holding.agg(N.alias("a"), dbl(F.sum("quantity")).alias("b"))))
+    parts.append(({7: "a", 15: "b"}, holding.agg(n_rows().alias("a"), dbl(F.sum("quantity")).alias("b"))))
     per_batch = lambda b: dbl(F.coalesce(F.sum(F.when(F.col("batch_id") == b, F.col("cash"))), F.lit(0)))
     parts.append(
-        ({8: "a", 16: "b", 17: "c", 18: "d"}, cash.agg(N.alias("a"), per_batch(1).alias("b"), per_batch(2).alias("c"), dbl(F.sum("cash")).alias("d")))
+        ({8: "a", 16: "b", 17: "c", 18: "d"}, cash.agg(n_rows().alias("a"), per_batch(1).alias("b"), per_batch(2).alias("c"), dbl(F.sum("cash")).alias("d")))
     )
-    parts.append(({9: "a", 20: "b"}, state["fact_market"].agg(N.alias("a"), F.count_if(F.col("high") < F.col("low")).alias("b"))))
+    parts.append(({9: "a", 20: "b"}, state["fact_market"].agg(n_rows().alias("a"), F.count_if(F.col("high") < F.col("low")).alias("b"))))
     parts += _version_audits(customer, "customer_id", {"inverted": 22, "overlap": 23, "meets": 25, "open": 24})
     parts += _version_audits(account, "account_id", {"inverted": 26, "overlap": 27, "open": 28})
     parts.append(({29: "v"}, state["dim_company"].agg(F.count_if(F.col("valid_from") >= F.col("valid_to")).alias("v"))))
@@ -257,7 +259,7 @@ def audit_actuals(state: State) -> DataFrame:
     keys = {39: (customer, "version_sk"), 40: (account, "version_sk"), 41: (state["dim_security"], "version_sk"),
             42: (state["dim_company"], "version_sk"), 43: (trade, "trade_id")}
     parts += [
-        ({i: "v"}, df.groupBy(k).agg(N.alias("_n")).agg(_dirty_keys(df, k).alias("v"))) for i, (df, k) in keys.items()
+        ({i: "v"}, df.groupBy(k).agg(n_rows().alias("_n")).agg(_dirty_keys(df, k).alias("v"))) for i, (df, k) in keys.items()
     ]
     log = state["messages"]
     reject = F.col("message_type") == "REJECT"
@@ -265,7 +267,7 @@ def audit_actuals(state: State) -> DataFrame:
     rejected = log.filter(reject & (F.col("message_source") == "TransformTrade")).select(
         F.regexp_extract("message_data", "([0-9]+)", 1).cast("bigint").alias("trade_id"), "batch_id"
     )
-    parts.append(({46: "v"}, trade.join(rejected, ["trade_id", "batch_id"], "left_semi").agg(N.alias("v"))))
+    parts.append(({46: "v"}, trade.join(rejected, ["trade_id", "batch_id"], "left_semi").agg(n_rows().alias("v"))))
 
     out = None
     for names, df in parts:
@@ -279,7 +281,7 @@ def audits(state: State, expected: DataFrame) -> DataFrame:
     """(audit_id, title, expected, actual, passed). `expected` holds (audit_id, expected) control totals that
     come from the sources; audits without one expect zero."""
     spark = expected.sparkSession
-    plan = spark.createDataFrame([(i, title, op) for i, (title, op) in AUDITS.items()], "audit_id int, title string, op string")
+    plan = small_table(spark, [(i, title, op) for i, (title, op) in AUDITS.items()], "audit_id int, title string, op string")
     rows = plan.join(expected, "audit_id", "left").join(audit_actuals(state), "audit_id", "left")
     want = F.coalesce("expected", F.lit(0.0))
     ok = F.when(F.col("op") == ">=", F.col("actual") >= want).otherwise(F.abs(F.col("actual") - want) < 0.01)

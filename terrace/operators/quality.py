@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import all_of, dbl
+from terrace.functions.columns import all_of, dbl, n_rows
 from terrace.operators.ordered import HOT_ROWS, ordered_scan
+from terrace.session import small_table
 
-N = F.count(F.lit(1))
 
 # fixed values: score deductions and the drift limit of the certification rules
 FAIL_POINTS, WARN_POINTS, ERROR_POINTS = 25.0, 5.0, 15.0
@@ -55,8 +55,8 @@ def metric_conservation(
 def fanout_factor(name: str, fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str) -> DataFrame:
     """Rows an inner join would give per fact row. Both sides are counted per key and the counts
     multiplied, so a many-to-many join is measured without running it."""
-    f = fact.groupBy(F.col(fact_key).alias("k")).agg(N.alias("fn"))
-    d = dim.groupBy(F.col(dim_key).alias("k")).agg(N.alias("dn"))
+    f = fact.groupBy(F.col(fact_key).alias("k")).agg(n_rows().alias("fn"))
+    d = dim.groupBy(F.col(dim_key).alias("k")).agg(n_rows().alias("dn"))
     joined = f.join(d, "k", "left")
     factor = dbl("joined_rows") / F.nullif(dbl("fact_rows"), F.lit(0.0))
     return joined.agg(
@@ -78,7 +78,7 @@ def chasm_trap(
     out = None
     others = [n for n in facts if n != measure_of]
     for name, (df, key, measure) in facts.items():
-        aggs = [N.alias(f"n_{name}")] + ([F.sum(measure).alias("correct")] if name == measure_of else [])
+        aggs = [n_rows().alias(f"n_{name}")] + ([F.sum(measure).alias("correct")] if name == measure_of else [])
         per = df.groupBy(F.col(key).alias("key")).agg(*aggs)
         out = per if out is None else out.join(per, "key")
     factor = F.lit(1)
@@ -95,7 +95,7 @@ def chasm_trap(
 
 def pk_unique(name: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Duplicate and NULL key counts of a single or composite key. Rows are counted per key first."""
-    per = df.groupBy(*keys).agg(N.alias("n"))
+    per = df.groupBy(*keys).agg(n_rows().alias("n"))
     some_null = ~all_of([F.col(k).isNotNull() for k in keys])
     return per.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
@@ -109,9 +109,9 @@ def pk_unique(name: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def relationships(name: str, child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Orphan foreign keys: rows with a non-NULL key the parent lacks. Keys are reduced before the join."""
-    per = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("k")).agg(N.alias("n"))
+    per = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("k")).agg(n_rows().alias("n"))
     lost = per.join(parent.select(F.col(pk).alias("k")), "k", "left_anti")
-    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"), N.alias("orphan_keys")).select(
+    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"), n_rows().alias("orphan_keys")).select(
         F.lit(name).alias("relationship"), "orphan_rows", "orphan_keys", (F.col("orphan_rows") == 0).alias("passed")
     )
 
@@ -128,7 +128,7 @@ def interval_checks(name: str, dim: DataFrame, key: str, hot_rows: int = HOT_ROW
     )
     overlap = F.col("next_from") < F.col("valid_to")
     row_level = seen.agg(
-        N.alias("versions"),
+        n_rows().alias("versions"),
         F.count_if(overlap).alias("overlaps"),
         F.count_if(F.col("next_from") > F.col("valid_to")).alias("gaps"),
         F.count_if(F.col("valid_from") >= F.col("valid_to")).alias("inverted"),
@@ -149,7 +149,7 @@ def temporal_causality(name: str, bound: DataFrame, fact_ts: str) -> DataFrame:
     join: none may sit on a version that was not valid at the time of the fact."""
     inside = (F.col("valid_from") <= F.col(fact_ts)) & (F.col(fact_ts) < F.col("valid_to"))
     return bound.agg(
-        N.alias("fact_rows"),
+        n_rows().alias("fact_rows"),
         F.count("valid_from").alias("bound_rows"),
         F.count_if(F.col("is_current") == F.lit(False)).alias("bound_to_past"),
         F.count_if(F.col("valid_from").isNotNull() & ~inside).alias("violations"),
@@ -183,8 +183,8 @@ def erasure_proof(
 ) -> DataFrame:
     """Row counts, orphans and measure drift around an erasure."""
     counts = side_by_side(
-        before.agg(N.alias("rows_before")),
-        after.agg(N.alias("rows_after"), F.count_if(F.col(name) == "REDACTED").alias("redacted_rows")),
+        before.agg(n_rows().alias("rows_before")),
+        after.agg(n_rows().alias("rows_after"), F.count_if(F.col(name) == "REDACTED").alias("redacted_rows")),
     )
     lost = relationships("erasure", facts, fact_key, after, key).select("orphan_rows")
     per_fact = facts.groupBy(F.col(fact_key).alias("_k")).agg(F.sum(measure).alias("_m"))
@@ -234,7 +234,7 @@ def assertion_suite(checks: Sequence[Check]) -> DataFrame:
     for c in checks:
         counted = c.kind.startswith("row_count") or c.kind == "is_empty"
         # A scalar query without rows must still give a (failed) row, hence the global aggregate.
-        value = N if counted else F.max(F.col(c.data.columns[0]))
+        value = n_rows() if counted else F.max(F.col(c.data.columns[0]))
         one = c.data.agg(value.cast("double").alias("actual"))
         expected = F.lit(None if c.expected is None else float(c.expected)).cast("double")
         rows.append(
@@ -258,7 +258,7 @@ def grain_differences(
     net = a.unionByName(b).groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures], F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
     same = all_of([F.col(m) == 0 for m in measures] + [F.col("_l") == F.col("_r")])
     return net.agg(
-        N.alias("groups"), F.count_if(~F.coalesce(same, F.lit(False))).alias("different_groups")
+        n_rows().alias("groups"), F.count_if(~F.coalesce(same, F.lit(False))).alias("different_groups")
     ).withColumn("passed", F.col("different_groups") == 0)
 
 
@@ -290,7 +290,7 @@ def scd6_consistency(dim: DataFrame, key: str, historical: str, current: str) ->
         F.min(current).alias("lo"), F.max(current).alias("hi"), F.max_by(historical, "valid_from").alias("newest")
     )
     return per.agg(
-        N.alias("members"),
+        n_rows().alias("members"),
         F.count_if(~F.col("lo").eqNullSafe(F.col("hi"))).alias("mixed_current"),
         F.count_if(~F.col("lo").eqNullSafe(F.col("newest"))).alias("stale_current"),
     ).withColumn("passed", (F.col("mixed_current") == 0) & (F.col("stale_current") == 0))
@@ -298,10 +298,10 @@ def scd6_consistency(dim: DataFrame, key: str, historical: str, current: str) ->
 
 def partition_profile(df: DataFrame, partition: Column, kept: Column) -> DataFrame:
     """Partitions, rows, largest-to-mean skew and the share of rows a filter keeps."""
-    per = df.groupBy(partition.alias("p")).agg(N.alias("n"), F.count_if(kept).alias("k"))
+    per = df.groupBy(partition.alias("p")).agg(n_rows().alias("n"), F.count_if(kept).alias("k"))
     return per.agg(
-        N.alias("partitions"), F.sum("n").alias("row_count"), F.max("n").alias("largest"),
-        (dbl(F.max("n")) * dbl(N) / dbl(F.sum("n"))).alias("skew"),
+        n_rows().alias("partitions"), F.sum("n").alias("row_count"), F.max("n").alias("largest"),
+        (dbl(F.max("n")) * dbl(n_rows()) / dbl(F.sum("n"))).alias("skew"),
         (dbl(F.sum("k")) / dbl(F.sum("n"))).alias("kept_share"),
     )
 
@@ -313,7 +313,7 @@ def catalog(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFra
     """One row per table column with its type and whether it is the primary key: schemas only, no data."""
     spark = next(iter(tables.values())).sparkSession
     rows = [(t, c, typ, c == keys.get(t)) for t, df in tables.items() for c, typ in df.dtypes]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, is_key boolean")
+    return small_table(spark, rows, "table_name string, column_name string, data_type string, is_key boolean")
 
 
 def schema_drift(base: DataFrame, live: DataFrame) -> DataFrame:
@@ -341,7 +341,7 @@ def snapshot_capture(tables: Mapping[str, DataFrame], keys: Mapping[str, str], s
     for name, df in tables.items():
         total = dbl(F.sum(F.col(sums[name]).cast("decimal(18,2)"))) if name in sums else F.lit(None).cast("double")
         rows.append(
-            df.agg(N.alias("row_count"), F.count_distinct(keys[name]).alias("key_count"), total.alias("measure_sum")).select(
+            df.agg(n_rows().alias("row_count"), F.count_distinct(keys[name]).alias("key_count"), total.alias("measure_sum")).select(
                 F.lit(name).alias("table_name"), F.lit(",".join(df.columns)).alias("columns"),
                 F.lit(keys[name]).alias("primary_key"), "row_count", "key_count", "measure_sum",
             )
@@ -369,7 +369,7 @@ def metric_regression(
 
 def regression_verdict(compared: DataFrame) -> DataFrame:
     n = compared.agg(
-        N.alias("compared"), F.count_if("is_new").alias("new_keys"), F.count_if("status_drift").alias("drifted"),
+        n_rows().alias("compared"), F.count_if("is_new").alias("new_keys"), F.count_if("status_drift").alias("drifted"),
         F.count_if("regression").alias("alerts"),
     )
     verdict = (
@@ -388,7 +388,7 @@ def percentile_summary(df: DataFrame, by: str, value: str, hot_rows: int = HOT_R
     Values are counted first, then the counts are scanned in order; no group is collected or sorted whole.
     """
     v = F.col(value)
-    histogram = df.filter(v.isNotNull()).groupBy(by, value).agg(N.alias("_n"))
+    histogram = df.filter(v.isNotNull()).groupBy(by, value).agg(n_rows().alias("_n"))
     cum = ordered_scan(histogram, [by], [value], running={"_upto": "_n"}, hot_rows=hot_rows)
     totals = histogram.groupBy(by).agg(
         F.sum("_n").alias("n"),
@@ -420,7 +420,7 @@ def scorecard(results: DataFrame) -> DataFrame:
     first = results.agg(F.min(F.when(failed & F.col("blocking"), place)).alias("_halt"))
     seen = results.join(first, F.lit(True)).filter(F.col("_halt").isNull() | (place <= F.col("_halt")))
     n = seen.agg(
-        N.alias("evaluated"), F.count_if(F.col("status") == "PASS").alias("passed"),
+        n_rows().alias("evaluated"), F.count_if(F.col("status") == "PASS").alias("passed"),
         F.count_if(F.col("status") == "WARNING").alias("warnings"), F.count_if(failed).alias("failed"),
         F.count_if(F.col("status") == "EVALUATOR_ERROR").alias("errors"),
         F.coalesce(F.max("_halt.risk_id"), F.lit("")).alias("halted_at"),
@@ -441,7 +441,7 @@ def currency_triad_check(fact: DataFrame, amount: str, currency: str, rate: str)
     """Amounts without a currency or a usable rate."""
     has = F.col(amount).isNotNull()
     out = fact.agg(
-        N.alias("row_count"), F.count_if(has & F.col(currency).isNull()).alias("without_currency"),
+        n_rows().alias("row_count"), F.count_if(has & F.col(currency).isNull()).alias("without_currency"),
         F.count_if(has & ~F.coalesce(F.col(rate) > 0, F.lit(False))).alias("without_rate"),
     )
     return out.withColumn("passed", (F.col("without_currency") == 0) & (F.col("without_rate") == 0))
@@ -451,9 +451,9 @@ def header_on_line_check(lines: DataFrame, header: str, measures: Sequence[str])
     """A measure that never varies inside the headers with several lines is a header amount repeated on
     line grain; summing it over lines inflates it."""
     per = lines.groupBy(header).agg(
-        N.alias("_n"), *[(F.min(m).eqNullSafe(F.max(m))).cast("bigint").alias(m) for m in measures]
+        n_rows().alias("_n"), *[(F.min(m).eqNullSafe(F.max(m))).cast("bigint").alias(m) for m in measures]
     ).filter("_n > 1")
-    one = per.agg(N.alias("headers"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
+    one = per.agg(n_rows().alias("headers"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
     return stack(
         [
             one.select(

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import dbl, day_text, money, net_amount, ntz, rate
+from terrace.functions.columns import day_text, dbl, money, n_rows, net_amount, ntz, rate
 from terrace.plans.registry import Tables, query
 
 C = F.col
-N = F.count(F.lit(1))
+
 M = "CAST({} AS DECIMAL(18,2))".format
 NET = f"{M('l_extendedprice')} * (1::DECIMAL(5,2) - CAST(l_discount AS DECIMAL(5,2)))"
 
@@ -47,7 +47,7 @@ def _(t):
         avg("l_quantity").alias("avg_qty"),
         avg("l_extendedprice").alias("avg_price"),
         avg("l_discount").alias("avg_disc"),
-        N.alias("count_order"),
+        n_rows().alias("count_order"),
     ).orderBy("l_returnflag", "l_linestatus")
 
 
@@ -79,7 +79,7 @@ def _(t):
     heads = t.orders.filter(between_days("o_orderdate", "1998-07-01", "1998-10-01"))
     late = (C("l_orderkey") == C("o_orderkey")) & (C("l_shipdate") > C("o_orderdate") + F.make_dt_interval(F.lit(60)))
     hits = heads.join(t.lineitem.select("l_orderkey", "l_shipdate"), late, "left_semi")
-    return hits.groupBy("o_orderpriority").agg(N.alias("order_count")).orderBy("o_orderpriority")
+    return hits.groupBy("o_orderpriority").agg(n_rows().alias("order_count")).orderBy("o_orderpriority")
 
 
 @query(
@@ -204,9 +204,9 @@ def _(t):
 )
 def _(t):
     # Order comments are absent: pending orders are left out instead.
-    per = t.orders.filter("o_orderstatus <> 'P'").groupBy("o_custkey").agg(N.alias("n"))
+    per = t.orders.filter("o_orderstatus <> 'P'").groupBy("o_custkey").agg(n_rows().alias("n"))
     counted = t.customer.join(per, C("c_custkey") == C("o_custkey"), "left").select(F.coalesce("n", F.lit(0)).alias("c_count"))
-    return counted.groupBy("c_count").agg(N.alias("custdist")).orderBy(F.desc("custdist"), F.desc("c_count"))
+    return counted.groupBy("c_count").agg(n_rows().alias("custdist")).orderBy(F.desc("custdist"), F.desc("c_count"))
 
 
 @query(
@@ -248,7 +248,7 @@ def _(t):
     # Containers are absent: a size limit selects the parts instead.
     parts = t.part.filter("p_brand = 'Brand#23' and p_size <= 25").select("p_partkey")
     lines = t.lineitem.select("l_partkey", "l_quantity", "l_extendedprice").join(parts, C("l_partkey") == C("p_partkey"), "left_semi")
-    usual = lines.groupBy(C("l_partkey").alias("pk")).agg((dbl(F.sum(money("l_quantity"))) / N).alias("q"))
+    usual = lines.groupBy(C("l_partkey").alias("pk")).agg((dbl(F.sum(money("l_quantity"))) / n_rows()).alias("q"))
     small = lines.join(usual, C("l_partkey") == C("pk")).filter(C("l_quantity") < F.lit(0.2) * C("q"))
     return small.agg((dbl(F.sum(money("l_extendedprice"))) / F.lit(7.0)).alias("avg_yearly"))
 
@@ -307,11 +307,11 @@ def _(t):
     late = C("l_shipdate") > C("o_orderdate") + F.make_dt_interval(F.lit(60))
     per_supp = rows.groupBy("l_orderkey", "l_suppkey").agg(F.bool_or(late).alias("late"))
     per_order = per_supp.groupBy("l_orderkey").agg(
-        N.alias("suppliers"), F.count_if("late").alias("n_late"), F.max(F.when(C("late"), C("l_suppkey"))).alias("culprit")
+        n_rows().alias("suppliers"), F.count_if("late").alias("n_late"), F.max(F.when(C("late"), C("l_suppkey"))).alias("culprit")
     ).filter("suppliers > 1 and n_late = 1")
     home = t.nation.filter("n_name = 'NATION_6'")
     supp = t.supplier.join(home, C("s_nationkey") == C("n_nationkey"), "left_semi").select("s_suppkey", "s_name")
-    waits = per_order.join(supp, C("culprit") == C("s_suppkey")).groupBy("s_name").agg(N.alias("numwait"))
+    waits = per_order.join(supp, C("culprit") == C("s_suppkey")).groupBy("s_name").agg(n_rows().alias("numwait"))
     return waits.orderBy(F.desc("numwait"), "s_name").limit(100)
 
 
@@ -326,10 +326,10 @@ def _(t):
 def _(t):
     # Phone country codes are absent: the market segment groups, and silence since mid-2000 replaces no orders at all.
     cust = t.customer.filter(C("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD"))
-    mean = cust.filter("c_acctbal > 0").agg((dbl(F.sum(money("c_acctbal"))) / N).alias("m")).first()["m"]
+    mean = cust.filter("c_acctbal > 0").agg((dbl(F.sum(money("c_acctbal"))) / n_rows()).alias("m")).first()["m"]
     recent = t.orders.filter(C("o_orderdate") >= ntz("2000-06-01")).select("o_custkey")
     quiet = cust.filter(C("c_acctbal") > F.lit(mean)).join(recent, C("c_custkey") == C("o_custkey"), "left_anti")
-    return quiet.groupBy("c_mktsegment").agg(N.alias("numcust"), dbl(F.sum(money("c_acctbal"))).alias("totacctbal")).orderBy("c_mktsegment")
+    return quiet.groupBy("c_mktsegment").agg(n_rows().alias("numcust"), dbl(F.sum(money("c_acctbal"))).alias("totacctbal")).orderBy("c_mktsegment")
 
 
 @query(
@@ -343,7 +343,7 @@ def _(t):
     total = lambda df, name: df.agg(dbl(F.sum(money("o_totalprice"))).alias(name))
     base = total(t.orders, "order_total")
     dim = total(t.orders.join(t.customer.select("c_custkey"), C("o_custkey") == C("c_custkey")), "after_customer")
-    lines = t.lineitem.groupBy("l_orderkey").agg(N.alias("n"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(n_rows().alias("n"))
     fan = t.orders.join(lines, C("o_orderkey") == C("l_orderkey")).agg(
         dbl(F.sum(money("o_totalprice") * C("n"))).alias("after_lines")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import date_key, day_text, dbl, md5_key, money, month_key, net_amount, ntz, rate, ts_text
+from terrace.functions.columns import date_key, day_text, dbl, md5_key, money, month_key, n_rows, net_amount, ntz, rate, ts_text
 from terrace.operators import facts, silver
 from terrace.operators.ordered import largest_group
 from terrace.operators.temporal import pit_join
@@ -14,7 +14,7 @@ from terrace.plans.registry import Tables, query
 from terrace.plans.sources_silver import DEDUP_SQL, clean_lines
 from terrace.sources.generators import date_dimension
 
-N = F.count(F.lit(1))
+
 M = "CAST({} AS DECIMAL(18,2))".format
 NET_SQL = f"{M('l_extendedprice')} * (1::DECIMAL(5,2) - CAST(l_discount AS DECIMAL(5,2)))"
 
@@ -47,7 +47,7 @@ STAR_SQL = """orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey
 def _(t):
     rules = {"quantity > 0": F.col("l_quantity") > 0, "discount <= 0.08": F.col("l_discount") <= 0.08}
     lines = silver.contract_filter(clean_lines(t), rules)
-    measures = [dbl(F.sum(net_amount())).alias("revenue"), N.alias("line_count")]
+    measures = [dbl(F.sum(net_amount())).alias("revenue"), n_rows().alias("line_count")]
     mart = sales_star(t, lines).groupBy(
         F.lit("mart").alias("row_kind"), F.col("r_name").alias("region"), F.year("o_orderdate").alias("order_year")
     ).agg(*measures)
@@ -89,7 +89,7 @@ def _(t):
         F.coalesce("priority", F.lit("NONE")).alias("priority"),
         F.coalesce("version_number", F.lit(0)).alias("version_number"),
     ]
-    return bound.groupBy(*keys).agg(N.alias("line_count"), dbl(F.sum("amount")).alias("amount"))
+    return bound.groupBy(*keys).agg(n_rows().alias("line_count"), dbl(F.sum("amount")).alias("amount"))
 
 
 @query(
@@ -105,7 +105,7 @@ def _(t):
     lines = t.lineitem.select("l_orderkey", "l_shipdate").join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
     late = lines.filter(F.col("l_shipdate") < F.col("o_orderdate")).select("o_custkey", "l_shipdate")
     bound = facts.late_arriving_bind(late, "o_custkey", "l_shipdate", priority_dim(t), "cust_id", ["priority"])
-    return bound.groupBy(F.coalesce("priority", F.lit("NONE")).alias("priority"), "bound_to_past").agg(N.alias("line_count"))
+    return bound.groupBy(F.coalesce("priority", F.lit("NONE")).alias("priority"), "bound_to_past").agg(n_rows().alias("line_count"))
 
 
 @query(
@@ -116,7 +116,7 @@ def _(t):
 def _(t):
     wide = sales_star(t, t.lineitem)
     return wide.groupBy("r_name", "c_mktsegment", "p_type", F.year("o_orderdate").alias("order_year")).agg(
-        N.alias("line_count"), dbl(F.sum(net_amount())).alias("revenue")
+        n_rows().alias("line_count"), dbl(F.sum(net_amount())).alias("revenue")
     )
 
 
@@ -243,12 +243,14 @@ def _(t):
     return out.withColumn("total_balance", dbl("total_balance"))
 
 
-SHIP_GRAIN = {"ship_month": month_key("l_shipdate"), "l_returnflag": F.col("l_returnflag")}
-SHIP_MEASURES = {"quantity": money("l_quantity"), "revenue": money("l_extendedprice")}
+def ship_grain():
+    return {"ship_month": month_key("l_shipdate"), "l_returnflag": F.col("l_returnflag")}
+def ship_measures():
+    return {"quantity": money("l_quantity"), "revenue": money("l_extendedprice")}
 
 
 def monthly_shipments(t: Tables) -> DataFrame:
-    return facts.rollup_table(t.lineitem, SHIP_GRAIN, SHIP_MEASURES)
+    return facts.rollup_table(t.lineitem, ship_grain(), ship_measures())
 
 
 @query(
@@ -269,7 +271,7 @@ def _(t):
         SELECT 'revenue', r, r, 0.0 FROM s UNION ALL SELECT 'row_count', n, n, 0.0 FROM s""",
 )
 def _(t):
-    return facts.rollup_parity(monthly_shipments(t), t.lineitem, SHIP_MEASURES)
+    return facts.rollup_parity(monthly_shipments(t), t.lineitem, ship_measures())
 
 
 @query(
@@ -279,8 +281,8 @@ def _(t):
         SELECT 'supplier', CAST(l_suppkey AS VARCHAR), CAST(sum({M('l_quantity')}) AS DOUBLE) FROM lineitem GROUP BY 2""",
 )
 def _(t):
-    rollups = [(monthly_shipments(t), list(SHIP_GRAIN))]
-    measure = {"quantity": SHIP_MEASURES["quantity"]}
+    rollups = [(monthly_shipments(t), list(ship_grain()))]
+    measure = {"quantity": ship_measures()["quantity"]}
 
     def answer(kind, wanted):
         out = facts.aggregate_navigation(wanted, rollups, t.lineitem, measure)
@@ -303,7 +305,8 @@ def _(t):
     return facts.ratio_of_sums(t.lineitem, ["l_returnflag", "l_linestatus"], num, money("l_extendedprice"), "discount_rate")
 
 
-ATTENDANCE = {"user_id": F.col("user_id"), "event_type": F.col("event_type"), "date_key": date_key("ts")}
+def attendance():
+    return {"user_id": F.col("user_id"), "event_type": F.col("event_type"), "date_key": date_key("ts")}
 
 
 @query(
@@ -311,7 +314,7 @@ ATTENDANCE = {"user_id": F.col("user_id"), "event_type": F.col("event_type"), "d
     """SELECT DISTINCT user_id, event_type, CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS INTEGER) AS date_key FROM events""",
 )
 def _(t):
-    return facts.factless_fact(t.events, ATTENDANCE)
+    return facts.factless_fact(t.events, attendance())
 
 
 @query(
@@ -320,8 +323,8 @@ def _(t):
          SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS d FROM events) GROUP BY 1""",
 )
 def _(t):
-    seen = facts.factless_fact(t.events, ATTENDANCE)
-    return seen.groupBy("event_type").agg(N.alias("occurrences"), F.count_distinct("user_id").alias("users"))
+    seen = facts.factless_fact(t.events, attendance())
+    return seen.groupBy("event_type").agg(n_rows().alias("occurrences"), F.count_distinct("user_id").alias("users"))
 
 
 @query(
@@ -482,7 +485,7 @@ def _(t):
 def _(t):
     def process(name, df, member, amount):
         return df.agg(
-            N.alias("row_count"), F.count_distinct(member).alias("members"), dbl(F.sum(money(amount))).alias("amount")
+            n_rows().alias("row_count"), F.count_distinct(member).alias("members"), dbl(F.sum(money(amount))).alias("amount")
         ).withColumn("process", F.lit(name))
 
     paid = t.events.filter("event_type = 'purchase'")

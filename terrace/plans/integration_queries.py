@@ -12,17 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrace.functions.columns import dbl, money, month_key, ntz, rate
+from terrace.functions.columns import dbl, money, month_key, n_rows, ntz, rate
 from terrace.operators import integration as it
 from terrace.plans.registry import Tables, query
 from terrace.plans.sources_silver import DEDUP_SQL, clean_lines
-from terrace.session import written
+from terrace.session import small_table, written
 
 C = F.col
-N = F.count(F.lit(1))
+
 M = "CAST({} AS DECIMAL(18,2))".format
 OPENED, CHANGED = "1990-01-01", "1998-01-15"
-RULES = {**it.TRADE_RULES, "discount within contract": C("fee") <= C("price") * F.lit("0.08").cast("decimal(5,2)")}
+def rules():
+    return {**it.trade_rules(), "discount within contract": C("fee") <= C("price") * F.lit("0.08").cast("decimal(5,2)")}
 
 
 def batch_of(ts: str):
@@ -107,7 +108,7 @@ def run_batches(t: Tables, upto: int) -> tuple[it.State, DataFrame]:
     trades = written(trade_rows(t), "trades")
     state: it.State = {}
     for batch in range(1, upto + 1):
-        state = it.load_batch(state, feeds(t, trades, batch), batch, RULES)
+        state = it.load_batch(state, feeds(t, trades, batch), batch, rules())
     return state, trades
 
 
@@ -173,12 +174,12 @@ def expected_totals(t: Tables, trades: DataFrame) -> DataFrame:
     seen = lambda df, ts: df.join(acc, "account_id").join(late_joiners, "customer_id", "left").filter(
         (C("b") <= C("batch")) & ~(C("late").isNotNull() & (C(ts) < ntz(CHANGED)))
     )
-    good = seen(trades, "traded_at").filter(RULES["discount within contract"])
+    good = seen(trades, "traded_at").filter(rules()["discount within contract"])
     trade = good.agg(
-        dbl(N).alias("6"), dbl(F.sum(C("price") * C("quantity"))).alias("12"), dbl(F.sum("commission")).alias("13"), dbl(F.sum("fee")).alias("14"),
+        dbl(n_rows()).alias("6"), dbl(F.sum(C("price") * C("quantity"))).alias("12"), dbl(F.sum("commission")).alias("13"), dbl(F.sum("fee")).alias("14"),
         dbl(F.count_if(C("l_linestatus") == "O")).alias("7"), dbl(F.sum(F.when(C("l_linestatus") == "O", C("quantity")))).alias("15"),
     )
-    total = trades.agg(dbl(N).alias("all")).join(trade.select(C("6").alias("kept")), F.lit(True)).select((C("all") - C("kept")).alias("45"))
+    total = trades.agg(dbl(n_rows()).alias("all")).join(trade.select(C("6").alias("kept")), F.lit(True)).select((C("all") - C("kept")).alias("45"))
     paid = seen(orders.withColumn("customer_id", C("o_custkey")), "o_orderdate")
     amount = money("o_totalprice")
     cash = paid.agg(
@@ -187,12 +188,12 @@ def expected_totals(t: Tables, trades: DataFrame) -> DataFrame:
     )
     january = (C("o_orderdate") >= ntz("1998-01-01")) & (C("o_orderdate") < ntz("1998-02-01")) & ~C("is_new")
     gold = orders.filter(january).agg(dbl(F.count_distinct("o_custkey")).alias("25"))
-    people = t.customer.agg(dbl(N).alias("n"), dbl(F.count_if(C("c_acctbal") < 0)).alias("11"))
+    people = t.customer.agg(dbl(n_rows()).alias("n"), dbl(F.count_if(C("c_acctbal") < 0)).alias("11"))
     versions = people.join(gold, F.lit(True)).select((C("n") + C("25")).alias("1"), "25", "11")
     watched = t.events.filter("event_type = 'view'").join(t.customer.filter("c_acctbal >= 0"), C("user_id") == C("c_custkey"), "left_semi")
     frames = [
-        trade, total, cash, versions, acc.agg(dbl(N).alias("2")), t.part.agg(dbl(N).alias("3")), t.supplier.agg(dbl(N).alias("4")),
-        t.nation.agg(dbl(N).alias("5")), trades.agg(dbl(F.count_distinct("security_id", month_key("traded_at"), "batch")).alias("9")),
+        trade, total, cash, versions, acc.agg(dbl(n_rows()).alias("2")), t.part.agg(dbl(n_rows()).alias("3")), t.supplier.agg(dbl(n_rows()).alias("4")),
+        t.nation.agg(dbl(n_rows()).alias("5")), trades.agg(dbl(F.count_distinct("security_id", month_key("traded_at"), "batch")).alias("9")),
         watched.agg(dbl(F.count_distinct("user_id", F.get_json_object("props", "$.k"))).alias("10")),
     ]
     out = None
@@ -200,7 +201,7 @@ def expected_totals(t: Tables, trades: DataFrame) -> DataFrame:
         entries = [F.struct(F.lit(int(c)).alias("audit_id"), C(c).alias("expected")) for c in df.columns]
         one = df.select(F.inline(F.array(*entries)))
         out = one if out is None else out.unionByName(one)
-    return out.unionByName(t.spark.createDataFrame([(44, 3.0)], "audit_id int, expected double"))
+    return out.unionByName(small_table(t.spark, [(44, 3.0)], "audit_id int, expected double"))
 
 
 def audit_sql() -> str:

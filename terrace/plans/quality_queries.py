@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import dbl, money, month_key, net_amount, ntz
+from terrace.functions.columns import dbl, money, month_key, n_rows, net_amount, ntz
 from terrace.operators import dimensions as dim
 from terrace.operators import facts, quality
 from terrace.operators.quality import Check
@@ -13,7 +13,7 @@ from terrace.plans.dimension_queries import (
     PRIORITY_DIM_SQL, SCD6_SQL, STATUS_DIM_SQL, priority_dim, shipments, status_log,
 )
 from terrace.plans.fact_queries import (
-    ATTENDANCE, FX_SQL, SHIP_GRAIN, SHIP_MEASURES, SNAPSHOT_SQL, balances, foreign_orders, monthly_shipments,
+    attendance, FX_SQL, ship_grain, ship_measures, SNAPSHOT_SQL, balances, foreign_orders, monthly_shipments,
     order_baskets, sales_star,
 )
 from terrace.plans.registry import Tables, query
@@ -21,7 +21,7 @@ from terrace.plans.sources_silver import DEDUP_SQL, clean_lines
 from terrace.session import scratch_path
 from terrace.sources.generators import date_dimension, gen_zipf_keys
 
-N = F.count(F.lit(1))
+
 C = F.col
 M = "CAST({} AS DECIMAL(18,2))".format
 NET = f"{M('l_extendedprice')} * (1::DECIMAL(5,2) - CAST(l_discount AS DECIMAL(5,2)))"
@@ -148,7 +148,7 @@ def _(t):
 def _(t):
     ends = C("is_current") & (C("valid_to") >= ntz("9999-01-01"))
     per = priority_dim(t).groupBy("cust_id").agg(F.count_if(ends).alias("n"))
-    return per.agg(N.alias("members"), F.count_if(C("n") != 1).alias("bad_members"))
+    return per.agg(n_rows().alias("members"), F.count_if(C("n") != 1).alias("bad_members"))
 
 
 @query(
@@ -220,7 +220,7 @@ def _(t):
           WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
 )
 def _(t):
-    count = lambda df: df.agg(N.alias("n"))
+    count = lambda df: df.agg(n_rows().alias("n"))
     drift = quality.metric_conservation(t.lineitem, net_amount(), sales_star(t, t.lineitem), net_amount())
     orphans = t.orders.join(t.customer, C("o_custkey") == C("c_custkey"), "left_anti")
     return quality.assertion_suite(
@@ -247,8 +247,8 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "rollup")
     monthly_shipments(t).write.parquet(path)
-    base = facts.rollup_table(t.lineitem, SHIP_GRAIN, SHIP_MEASURES)
-    return quality.grain_differences(t.spark.read.parquet(path), base, list(SHIP_GRAIN), ["quantity", "revenue", "row_count"])
+    base = facts.rollup_table(t.lineitem, ship_grain(), ship_measures())
+    return quality.grain_differences(t.spark.read.parquet(path), base, list(ship_grain()), ["quantity", "revenue", "row_count"])
 
 
 @query(
@@ -269,7 +269,7 @@ def _(t):
        FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS d FROM events)""",
 )
 def _(t):
-    seen = facts.factless_fact(t.events, ATTENDANCE)
+    seen = facts.factless_fact(t.events, attendance())
     days = date_dimension(t.events, "ts")
     parents = {"user_id": (t.customer, "c_custkey"), "date_key": (days, "date_sk")}
     return quality.factless_grain_check(seen, ["user_id", "event_type", "date_key"], parents)
@@ -305,7 +305,7 @@ def _(t):
 )
 def _(t):
     amount = money("l_extendedprice")
-    total = lambda df, key: df.groupBy(C(key).alias("key")).agg(F.sum(amount).alias("amount"), N.alias("lines"))
+    total = lambda df, key: df.groupBy(C(key).alias("key")).agg(F.sum(amount).alias("amount"), n_rows().alias("lines"))
     star = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), C("l_orderkey") == C("o_orderkey"))
     flat = quality.grain_differences(
         total(sales_star(t, t.lineitem), "o_custkey"), total(star, "o_custkey"), ["key"], ["amount", "lines"]
@@ -334,7 +334,7 @@ def _(t):
         "orders": t.orders.withColumn("o_totalprice", money("o_totalprice")),
         "customer": t.customer.withColumnRenamed("c_mktsegment", "c_segment_key"),
         "part": t.part,
-        "orders_daily": t.orders.groupBy("o_orderdate").agg(N.alias("order_count")),
+        "orders_daily": t.orders.groupBy("o_orderdate").agg(n_rows().alias("order_count")),
     }
     live_keys = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_name", "orders_daily": "o_orderdate"}
     return quality.schema_drift(quality.catalog(base, TABLE_KEYS), quality.catalog(live, live_keys))
@@ -368,7 +368,7 @@ REGRESSION_SQL = f"""(SELECT l.event_type, l.d AS day, l.v AS live_value, b.v AS
 def daily_regression(t: Tables):
     """Value per event type and day against the day before as its baseline."""
     daily = t.events.groupBy("event_type", F.dayofmonth("ts").alias("day")).agg(
-        dbl(F.sum(money("value"))).alias("v"), F.when(N >= 60, "BUSY").otherwise("QUIET").alias("s")
+        dbl(F.sum(money("value"))).alias("v"), F.when(n_rows() >= 60, "BUSY").otherwise("QUIET").alias("s")
     )
     base = daily.withColumn("day", C("day") + 1)
     return quality.metric_regression(daily, base, ["event_type", "day"], "v", "s")
@@ -472,6 +472,6 @@ def _(t):
         [
             quality.pk_unique("raw lines", t.lineitem, keys),
             quality.pk_unique("clean lines", clean_lines(t), keys),
-            quality.pk_unique("attendance", facts.factless_fact(t.events, ATTENDANCE), list(ATTENDANCE)),
+            quality.pk_unique("attendance", facts.factless_fact(t.events, attendance()), list(attendance())),
         ]
     )

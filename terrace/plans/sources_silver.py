@@ -11,13 +11,14 @@ from terrace.plans.registry import Tables, query
 from terrace.session import scratch_path
 from terrace.sources import generators as gen
 from terrace.sources import landing
-from terrace.sources.schemas import SCHEMAS, read_declared
+from terrace.sources.schemas import DDL, read_declared, schema_of
 
 LINE_KEYS = ["l_orderkey", "l_linenumber"]
-LINE_ORDER = [
-    F.desc("l_shipdate"), F.desc("l_extendedprice"), F.desc("l_partkey"), F.desc("l_suppkey"),
-    F.desc("l_quantity"), F.desc("l_discount"), F.desc("l_tax"), F.desc("l_returnflag"), F.desc("l_linestatus"),
-]
+def line_order():
+    return [
+        F.desc("l_shipdate"), F.desc("l_extendedprice"), F.desc("l_partkey"), F.desc("l_suppkey"),
+        F.desc("l_quantity"), F.desc("l_discount"), F.desc("l_tax"), F.desc("l_returnflag"), F.desc("l_linestatus"),
+    ]
 DEDUP_SQL = """(SELECT * FROM lineitem QUALIFY row_number() OVER (
     PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC,
     l_suppkey DESC, l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1)"""
@@ -25,7 +26,7 @@ DEDUP_SQL = """(SELECT * FROM lineitem QUALIFY row_number() OVER (
 
 def clean_lines(t: Tables) -> DataFrame:
     """One row per order line: the newest of its duplicates."""
-    return silver.dedup_latest(t.lineitem, LINE_KEYS, LINE_ORDER)
+    return silver.dedup_latest(t.lineitem, LINE_KEYS, line_order())
 
 
 @query(
@@ -42,15 +43,15 @@ def _(t):
 @query(
     "s2_declared_source_schema",
     " UNION ALL ".join(
-        f"SELECT '{n}' AS table_name, CAST({len(s)} AS INTEGER) AS column_count, count(*) AS row_count FROM {n}"
-        for n, s in SCHEMAS.items()
+        f"SELECT '{n}' AS table_name, CAST({s.count(',') + 1} AS INTEGER) AS column_count, count(*) AS row_count FROM {n}"
+        for n, s in DDL.items()
     ),
 )
 def _(t):
     out = None
-    for name, schema in SCHEMAS.items():
+    for name in DDL:
         one = read_declared(t.spark, t.folder, name).agg(F.count(F.lit(1)).alias("row_count"))
-        one = one.select(F.lit(name).alias("table_name"), F.lit(len(schema)).alias("column_count"), "row_count")
+        one = one.select(F.lit(name).alias("table_name"), F.lit(len(schema_of(name))).alias("column_count"), "row_count")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -61,7 +62,7 @@ def _(t):
 )
 def _(t):
     root = scratch_path(t.spark, "seeds")
-    base, schema = t.customer, SCHEMAS["customer"]
+    base, schema = t.customer, schema_of("customer")
     seg = F.col("c_mktsegment")
     base.filter(seg == "BUILDING").write.option("header", True).csv(f"{root}/csv")
     base.filter(seg == "FURNITURE").write.json(f"{root}/json")
@@ -94,9 +95,18 @@ def _(t):
     return both.drop("data_type")
 
 
-@query("s4_profile_all_columns")
+@query(
+    "s4_profile_all_columns",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{typ}' AS data_type, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+        f"CAST(min({c}) AS VARCHAR) AS min_text, CAST(max({c}) AS VARCHAR) AS max_text FROM events"
+        for c, typ in [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
+                       ("value", "double"), ("props", "string")]
+    ),
+)
 def _(t):
-    return landing.profile_source(t.events)
+    # The estimated distinct counts are left out: estimates have no exact twin.
+    return landing.profile_source(t.events).drop("distinct_count")
 
 
 @query(
@@ -308,15 +318,17 @@ def _(t):
     return silver.collision_audit(t.lineitem, LINE_KEYS)
 
 
-CUSTOMER_RULES = {
-    "account balance >= 0": F.col("c_acctbal") >= 0,
-    "market segment is known": F.col("c_mktsegment") != "MACHINERY",
-}
-LINE_RULES = {
-    "quantity > 0": F.col("l_quantity") > 0,
-    "discount <= 0.08": F.col("l_discount") <= 0.08,
-    "tax is charged": F.col("l_tax") > 0,
-}
+def customer_rules():
+    return {
+        "account balance >= 0": F.col("c_acctbal") >= 0,
+        "market segment is known": F.col("c_mktsegment") != "MACHINERY",
+    }
+def line_rules():
+    return {
+        "quantity > 0": F.col("l_quantity") > 0,
+        "discount <= 0.08": F.col("l_discount") <= 0.08,
+        "tax is charged": F.col("l_tax") > 0,
+    }
 
 
 @query(
@@ -324,7 +336,7 @@ LINE_RULES = {
     "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= 0 AND c_mktsegment <> 'MACHINERY'",
 )
 def _(t):
-    return silver.contract_filter(t.customer, CUSTOMER_RULES).select("c_custkey", "c_acctbal")
+    return silver.contract_filter(t.customer, customer_rules()).select("c_custkey", "c_acctbal")
 
 
 @query(
@@ -334,7 +346,7 @@ def _(t):
        WHERE NOT (coalesce(c_acctbal >= 0, false) AND coalesce(c_mktsegment <> 'MACHINERY', false))""",
 )
 def _(t):
-    _, bad = silver.quarantine_split(t.customer, CUSTOMER_RULES)
+    _, bad = silver.quarantine_split(t.customer, customer_rules())
     return bad.select("c_custkey", "reject_reason")
 
 
@@ -347,7 +359,7 @@ def _(t):
        GROUP BY 1""",
 )
 def _(t):
-    tagged = silver.tag_rejects(t.lineitem, LINE_RULES)
+    tagged = silver.tag_rejects(t.lineitem, line_rules())
     outcome = F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")
     return tagged.groupBy(outcome).agg(F.count(F.lit(1)).alias("row_count"))
 
@@ -362,7 +374,7 @@ def _(t):
          SELECT 'BR-03', 'tax is charged', count(*), count(*) FILTER (WHERE NOT coalesce(l_tax > 0, false)) FROM lineitem)""",
 )
 def _(t):
-    return silver.contract_report(t.lineitem, LINE_RULES)
+    return silver.contract_report(t.lineitem, line_rules())
 
 
 @query(
@@ -375,7 +387,7 @@ def _(t):
        FROM customer WHERE coalesce(c_acctbal >= 0, false) AND NOT coalesce(c_mktsegment <> 'MACHINERY', false)""",
 )
 def _(t):
-    _, bad = silver.quarantine_split(t.customer, CUSTOMER_RULES)
+    _, bad = silver.quarantine_split(t.customer, customer_rules())
     rejects = silver.message_rows(
         bad, 1, "TransformCustomer", F.col("reject_reason"), "REJECT", F.concat(F.lit("c_custkey="), "c_custkey")
     )

@@ -7,6 +7,8 @@ a manufacturer, a brand is the category and brand with type is the finest level;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from terrace.functions.columns import date_key, money, net_amount
@@ -69,87 +71,100 @@ def line_order_star(t: Tables) -> Star:
 
 
 C = F.col
-SAVED = C("lo_extendedprice") * C("lo_discount")
-PROFIT = C("lo_revenue") - C("p_unit_cost") * C("lo_quantity").cast("decimal(9,2)")
-YEAR_THEN_REVENUE = [F.asc("d_year"), F.desc("revenue")]
-YEARS = C("d_year").between(1996, 1999)
 
-FLIGHTS: dict[str, tuple[Flight, list[str], str]] = {
+
+def saved():
+    return C("lo_extendedprice") * C("lo_discount")
+
+
+def profit():
+    return C("lo_revenue") - C("p_unit_cost") * C("lo_quantity").cast("decimal(9,2)")
+
+
+def year_then_revenue():
+    return [F.asc("d_year"), F.desc("revenue")]
+
+
+def years():
+    return C("d_year").between(1996, 1999)
+
+
+FLIGHTS: dict[str, tuple[Callable[[], Flight], list[str], str]] = {
     "q1_1": (
-        Flight(SAVED, "revenue", {"date": C("d_year") == 1997, "fact": C("lo_discount").between(1, 3) & (C("lo_quantity") < 25)}),
+        lambda: Flight(saved(), "revenue", {"date": C("d_year") == 1997, "fact": C("lo_discount").between(1, 3) & (C("lo_quantity") < 25)}),
         ["date"], "SELECT CAST(sum(price * disc) AS DOUBLE) AS revenue FROM lo WHERE d_year = 1997 AND disc BETWEEN 1 AND 3 AND qty < 25",
     ),
     "q1_2": (
-        Flight(SAVED, "revenue", {"date": C("d_yearmonthnum") == 199801,
+        lambda: Flight(saved(), "revenue", {"date": C("d_yearmonthnum") == 199801,
                "fact": C("lo_discount").between(4, 6) & C("lo_quantity").between(26, 35)}),
         ["date"], """SELECT CAST(sum(price * disc) AS DOUBLE) AS revenue FROM lo WHERE d_yearmonthnum = 199801
                      AND disc BETWEEN 4 AND 6 AND qty BETWEEN 26 AND 35""",
     ),
     "q1_3": (
-        Flight(SAVED, "revenue", {"date": (C("d_weeknum") == 6) & (C("d_year") == 1998),
+        lambda: Flight(saved(), "revenue", {"date": (C("d_weeknum") == 6) & (C("d_year") == 1998),
                "fact": C("lo_discount").between(5, 7) & C("lo_quantity").between(26, 35)}),
         ["date"], """SELECT CAST(sum(price * disc) AS DOUBLE) AS revenue FROM lo WHERE d_weeknum = 6 AND d_year = 1998
                      AND disc BETWEEN 5 AND 7 AND qty BETWEEN 26 AND 35""",
     ),
     "q2_1": (
-        Flight(C("lo_revenue"), "revenue", {"part": C("p_category") == "Brand#12", "supplier": C("s_region") == "AMERICA"},
+        lambda: Flight(C("lo_revenue"), "revenue", {"part": C("p_category") == "Brand#12", "supplier": C("s_region") == "AMERICA"},
                ["d_year", "p_brand1"], ["d_year", "p_brand1"]),
         ["part", "supplier", "date"], """SELECT d_year, p_brand1, CAST(sum(revenue) AS DOUBLE) AS revenue FROM lo
             WHERE p_category = 'Brand#12' AND s_region = 'AMERICA' GROUP BY 1, 2""",
     ),
     "q2_2": (
-        Flight(C("lo_revenue"), "revenue", {"part": C("p_brand1").between("Brand#21 A", "Brand#23 Z"), "supplier": C("s_region") == "ASIA"},
+        lambda: Flight(C("lo_revenue"), "revenue", {"part": C("p_brand1").between("Brand#21 A", "Brand#23 Z"), "supplier": C("s_region") == "ASIA"},
                ["d_year", "p_brand1"], ["d_year", "p_brand1"]),
         ["part", "supplier", "date"], """SELECT d_year, p_brand1, CAST(sum(revenue) AS DOUBLE) AS revenue FROM lo
             WHERE p_brand1 BETWEEN 'Brand#21 A' AND 'Brand#23 Z' AND s_region = 'ASIA' GROUP BY 1, 2""",
     ),
     "q2_3": (
-        Flight(C("lo_revenue"), "revenue", {"part": C("p_brand1") == "Brand#22 PROMO", "supplier": C("s_region") == "EUROPE"},
+        lambda: Flight(C("lo_revenue"), "revenue", {"part": C("p_brand1") == "Brand#22 PROMO", "supplier": C("s_region") == "EUROPE"},
                ["d_year", "p_brand1"], ["d_year", "p_brand1"]),
         ["part", "supplier", "date"], """SELECT d_year, p_brand1, CAST(sum(revenue) AS DOUBLE) AS revenue FROM lo
             WHERE p_brand1 = 'Brand#22 PROMO' AND s_region = 'EUROPE' GROUP BY 1, 2""",
     ),
     "q3_1": (
-        Flight(C("lo_revenue"), "revenue", {"customer": C("c_region") == "ASIA", "supplier": C("s_region") == "ASIA", "date": YEARS},
-               ["c_nation", "s_nation", "d_year"], YEAR_THEN_REVENUE),
+        lambda: Flight(C("lo_revenue"), "revenue", {"customer": C("c_region") == "ASIA", "supplier": C("s_region") == "ASIA", "date": years()},
+               ["c_nation", "s_nation", "d_year"], year_then_revenue()),
         ["customer", "supplier", "date"], """SELECT c_nation, s_nation, d_year, CAST(sum(revenue) AS DOUBLE) AS revenue FROM lo
             WHERE c_region = 'ASIA' AND s_region = 'ASIA' AND d_year BETWEEN 1996 AND 1999 GROUP BY 1, 2, 3""",
     ),
     "q3_2": (
-        Flight(C("lo_revenue"), "revenue", {"customer": C("c_nation") == "NATION_6", "supplier": C("s_nation") == "NATION_6", "date": YEARS},
-               ["c_city", "s_city", "d_year"], YEAR_THEN_REVENUE),
+        lambda: Flight(C("lo_revenue"), "revenue", {"customer": C("c_nation") == "NATION_6", "supplier": C("s_nation") == "NATION_6", "date": years()},
+               ["c_city", "s_city", "d_year"], year_then_revenue()),
         ["customer", "supplier", "date"], """SELECT c_city, s_city, d_year, CAST(sum(revenue) AS DOUBLE) AS revenue FROM lo
             WHERE c_nation = 'NATION_6' AND s_nation = 'NATION_6' AND d_year BETWEEN 1996 AND 1999 GROUP BY 1, 2, 3""",
     ),
     "q3_3": (
-        Flight(C("lo_revenue"), "revenue", {"customer": C("c_city").isin("NATION_6 1", "NATION_6 5"),
-               "supplier": C("s_nation").isin("NATION_6", "NATION_1"), "date": YEARS}, ["c_city", "s_city", "d_year"], YEAR_THEN_REVENUE),
+        lambda: Flight(C("lo_revenue"), "revenue", {"customer": C("c_city").isin("NATION_6 1", "NATION_6 5"),
+               "supplier": C("s_nation").isin("NATION_6", "NATION_1"), "date": years()}, ["c_city", "s_city", "d_year"], year_then_revenue()),
         ["customer", "supplier", "date"], """SELECT c_city, s_city, d_year, CAST(sum(revenue) AS DOUBLE) AS revenue FROM lo
             WHERE c_city IN ('NATION_6 1', 'NATION_6 5') AND s_nation IN ('NATION_6', 'NATION_1')
               AND d_year BETWEEN 1996 AND 1999 GROUP BY 1, 2, 3""",
     ),
     "q3_4": (
-        Flight(C("lo_revenue"), "revenue", {"customer": C("c_nation").isin("NATION_6", "NATION_1"),
+        lambda: Flight(C("lo_revenue"), "revenue", {"customer": C("c_nation").isin("NATION_6", "NATION_1"),
                "supplier": C("s_nation").isin("NATION_6", "NATION_1"), "date": C("d_yearmonthnum") == 199712},
-               ["c_city", "s_city", "d_year"], YEAR_THEN_REVENUE),
+               ["c_city", "s_city", "d_year"], year_then_revenue()),
         ["customer", "supplier", "date"], """SELECT c_city, s_city, d_year, CAST(sum(revenue) AS DOUBLE) AS revenue FROM lo
             WHERE c_nation IN ('NATION_6', 'NATION_1') AND s_nation IN ('NATION_6', 'NATION_1') AND d_yearmonthnum = 199712 GROUP BY 1, 2, 3""",
     ),
     "q4_1": (
-        Flight(PROFIT, "profit", {"customer": C("c_region") == "AMERICA", "supplier": C("s_region") == "AMERICA",
+        lambda: Flight(profit(), "profit", {"customer": C("c_region") == "AMERICA", "supplier": C("s_region") == "AMERICA",
                "part": C("p_mfgr").isin("MFGR#1", "MFGR#2")}, ["d_year", "c_nation"], ["d_year", "c_nation"], ["p_unit_cost"]),
         ["customer", "supplier", "part", "date"], """SELECT d_year, c_nation, CAST(sum(revenue - cost) AS DOUBLE) AS profit FROM lo
             WHERE c_region = 'AMERICA' AND s_region = 'AMERICA' AND p_mfgr IN ('MFGR#1', 'MFGR#2') GROUP BY 1, 2""",
     ),
     "q4_2": (
-        Flight(PROFIT, "profit", {"customer": C("c_region") == "AMERICA", "supplier": C("s_region") == "AMERICA",
+        lambda: Flight(profit(), "profit", {"customer": C("c_region") == "AMERICA", "supplier": C("s_region") == "AMERICA",
                "part": C("p_mfgr").isin("MFGR#1", "MFGR#2"), "date": C("d_year").isin(1997, 1998)},
                ["d_year", "s_nation", "p_category"], ["d_year", "s_nation", "p_category"], ["p_unit_cost"]),
         ["customer", "supplier", "part", "date"], """SELECT d_year, s_nation, p_category, CAST(sum(revenue - cost) AS DOUBLE) AS profit FROM lo
             WHERE c_region = 'AMERICA' AND s_region = 'AMERICA' AND p_mfgr IN ('MFGR#1', 'MFGR#2') AND d_year IN (1997, 1998) GROUP BY 1, 2, 3""",
     ),
     "q4_3": (
-        Flight(PROFIT, "profit", {"customer": C("c_region") == "AMERICA", "supplier": C("s_nation") == "NATION_6",
+        lambda: Flight(profit(), "profit", {"customer": C("c_region") == "AMERICA", "supplier": C("s_nation") == "NATION_6",
                "part": C("p_mfgr") == "MFGR#3", "date": C("d_year").isin(1997, 1998)},
                ["d_year", "s_city", "p_brand1"], ["d_year", "s_city", "p_brand1"], ["p_unit_cost"]),
         ["customer", "supplier", "part", "date"], """SELECT d_year, s_city, p_brand1, CAST(sum(revenue - cost) AS DOUBLE) AS profit FROM lo
@@ -160,7 +175,7 @@ FLIGHTS: dict[str, tuple[Flight, list[str], str]] = {
 
 def _register() -> None:
     for name, (flight, dims, sql) in FLIGHTS.items():
-        query(f"ssb_{name}", STAR_SQL + sql)(lambda t, f=flight, d=dims: run_flight(line_order_star(t), f, d))
+        query(f"ssb_{name}", STAR_SQL + sql)(lambda t, f=flight, d=dims: run_flight(line_order_star(t), f(), d))
 
 
 _register()

@@ -12,18 +12,19 @@ from terrace.plans.registry import Tables, query
 from terrace.session import scratch_path
 from terrace.sources.generators import gen_time_jitter
 from terrace.sources.landing import bronze_ingest
-from terrace.sources.schemas import SCHEMAS
+from terrace.sources.schemas import schema_of
 from terrace.streaming import streams as st
 
-N = F.count(F.lit(1))
+
 C = F.col
 M = "CAST({} AS DECIMAL(18,2))".format
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
-CAMPAIGN = F.get_json_object("props", "$.k").cast("int")
+def campaign():
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 def event_stream(t: Tables) -> DataFrame:
-    return st.read_stream(t.spark, t.folder, SCHEMAS["events"], "events.parquet")
+    return st.read_stream(t.spark, t.folder, schema_of("events"), "events.parquet")
 
 
 ROAS_SQL = f"""SELECT campaign_id, n AS event_count, CAST(r AS DOUBLE) AS revenue, CAST(c AS DOUBLE) AS cost,
@@ -33,7 +34,7 @@ ROAS_SQL = f"""SELECT campaign_id, n AS event_count, CAST(r AS DOUBLE) AS revenu
 
 
 def roas(events: DataFrame) -> DataFrame:
-    rows = events.withColumn("campaign_id", CAMPAIGN)
+    rows = events.withColumn("campaign_id", campaign())
     return st.campaign_roas(rows, "campaign_id", st.revenue_of("purchase"), st.revenue_of("click"))
 
 
@@ -123,11 +124,12 @@ def _(t):
     # The feed carries every event twice, as after a producer's retry.
     feed = scratch_path(t.spark, "retries")
     t.events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy").write.parquet(feed)
-    once = st.stream_dedup(st.read_stream(t.spark, feed, SCHEMAS["events"]), "event_id", "ts", "1 hour")
+    once = st.stream_dedup(st.read_stream(t.spark, feed, schema_of("events")), "event_id", "ts", "1 hour")
     return st.append_to_table(once, "dedup").select("event_id", "user_id", "event_type")
 
 
-EVENT_RULES = {"value >= 5": C("value") >= 5, "type is not error": C("event_type") != "error"}
+def event_rules():
+    return {"value >= 5": C("value") >= 5, "type is not error": C("event_type") != "error"}
 
 
 @query(
@@ -136,7 +138,7 @@ EVENT_RULES = {"value >= 5": C("value") >= 5, "type is not error": C("event_type
          WHEN NOT coalesce(event_type <> 'error', false) THEN 'FAILED_INVARIANT: type is not error' ELSE 'accepted' END AS outcome FROM events""",
 )
 def _(t):
-    good, bad = st.stream_quarantine(event_stream(t), EVENT_RULES, "quarantine")
+    good, bad = st.stream_quarantine(event_stream(t), event_rules(), "quarantine")
     kept = good.select("event_id", F.lit("accepted").alias("outcome"))
     return kept.unionByName(bad.select("event_id", C("reject_reason").alias("outcome")))
 

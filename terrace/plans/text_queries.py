@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrace.functions.columns import n_rows
+
 from terrace.functions import lexicons as lx
 from terrace.operators import text as tx
 from terrace.plans.registry import query
 
-N = F.count(F.lit(1))
-
 
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -50,7 +50,7 @@ def _(t):
 
 @query("n1_text_sanity_by_role", f"SELECT role, {SANITY} AS reason, count(*) AS text_count FROM conversations GROUP BY 1, 2")
 def _(t):
-    return t.conversations.groupBy("role", tx.text_sanity("text").alias("reason")).agg(N.alias("text_count"))
+    return t.conversations.groupBy("role", tx.text_sanity("text").alias("reason")).agg(n_rows().alias("text_count"))
 
 
 # Marker pair fitted to the prose of the tables: English function words beside French ones.
@@ -99,7 +99,7 @@ def _(t):
     # Lexicon built from the texts themselves: the 20 most widespread terms of each language.
     lexicon = tx.frequent_terms(t.documents, ["doc_id"], "text", "lang", 20).select(F.col("lang").alias("tag"), "term")
     hits = tx.lexicon_tags(t.documents, ["doc_id", "lang"], "text", lexicon)
-    return hits.groupBy("lang", "tag").agg(N.alias("text_count"), F.sum("hits").alias("hits"))
+    return hits.groupBy("lang", "tag").agg(n_rows().alias("text_count"), F.sum("hits").alias("hits"))
 
 
 NOUN_N = class_size("nouns")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import dbl, money, ntz, ts_text
+from terrace.functions.columns import dbl, money, n_rows, ntz, ts_text
 from terrace.operators import features, graph, vault
 from terrace.operators.temporal import asof_join
 from terrace.plans.dimension_queries import PRIORITY_LOG_SQL, priority_log
 from terrace.plans.registry import Tables, query
 from terrace.session import written
 
-N = F.count(F.lit(1))
+
 M = "CAST({} AS DECIMAL(18,2))".format
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
 SHA = "sha256(upper(trim(CAST({} AS VARCHAR))))".format
@@ -142,7 +142,7 @@ def _(t):
     heads = t.orders.withColumn("src", F.lit("ORDERS"))
     orders = vault.hub_load(None, heads, "o_orderkey", "o_orderdate", "src", "order_hk")
     lost = vault.vault_orphans(order_link(t), {"customer_hk": customers, "order_hk": orders})
-    return lost.groupBy("hash_key").agg(N.alias("orphan_count"))
+    return lost.groupBy("hash_key").agg(n_rows().alias("orphan_count"))
 
 
 @query(

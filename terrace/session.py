@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 200_000
 
@@ -64,3 +69,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A table of constants, shipped as one Arrow batch: no Python worker reads it."""
+    schema = T.StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    return spark.createDataFrame(pa.table([list(c) for c in columns], schema=to_arrow_schema(schema)), schema)

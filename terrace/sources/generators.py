@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions.columns import col, date_key, md5_key, unit_hash
+from terrace.session import BROADCAST_ROWS, small_table
 
 
 def gen_sequence(spark: SparkSession, start: int, stop: int, columns: Mapping[str, Column]) -> DataFrame:
@@ -32,7 +33,7 @@ def zipf_table(spark: SparkSession, n_keys: int, s: float, cells: int = 1024) ->
         upper = running / total if k < n_keys else 1.0
         rows.append((k, lower, upper))
         lower = upper
-    table = spark.createDataFrame(rows, "key_rank bigint, lo double, hi double")
+    table = small_table(spark, rows, "key_rank bigint, lo double, hi double")
     first = F.floor(F.col("lo") * cells).cast("int")
     final = F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)).cast("int")
     return table.withColumn("cell", F.explode(F.sequence(first, final)))
@@ -45,7 +46,7 @@ def gen_zipf_keys(
     table = zipf_table(df.sparkSession, n_keys, s, cells)
     drawn = df.withColumn("_u", unit_hash(id_col, F.lit(seed)))
     drawn = drawn.withColumn("_cell", F.floor(F.col("_u") * cells).cast("int"))
-    if n_keys + cells <= 200_000:
+    if n_keys + cells <= BROADCAST_ROWS:
         table = F.broadcast(table)
     hit = (F.col("_cell") == F.col("cell")) & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))
     keyed = drawn.join(table, hit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_DDL = {
+DDL = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -21,9 +21,12 @@ _DDL = {
     "labels": "doc_id bigint, quality int, toxic int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
-SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+
+def schema_of(table: str) -> T.StructType:
+    return T.StructType.fromDDL(DDL[table])
 
 
 def read_declared(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Read a source with its declared schema: no inference pass over the files."""
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
+    return spark.read.schema(schema_of(table)).parquet(f"{folder}/{table}.parquet")

@@ -9,14 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrace.functions.columns import dbl, money
+from terrace.functions.columns import dbl, money, n_rows
 from terrace.operators import dimensions as dim
 from terrace.operators.ordered import HOT_ROWS, largest_group, ordered_scan
 from terrace.operators.silver import tag_rejects
 from terrace.session import scratch_path
 
-N = F.count(F.lit(1))
-
 
 # ---- plumbing -------------------------------------------------------------------------------------
 
@@ -68,7 +66,7 @@ def replace_table(stream: DataFrame, name: str) -> DataFrame:
 
 def campaign_roas(df: DataFrame, campaign: str, revenue: Column, cost: Column) -> DataFrame:
     """Revenue over cost per campaign; no cost gives no ratio."""
-    sums = df.groupBy(campaign).agg(F.sum(revenue).alias("_r"), F.sum(cost).alias("_c"), N.alias("event_count"))
+    sums = df.groupBy(campaign).agg(F.sum(revenue).alias("_r"), F.sum(cost).alias("_c"), n_rows().alias("event_count"))
     return sums.select(
         campaign, "event_count", dbl("_r").alias("revenue"), dbl("_c").alias("cost"),
         (dbl("_r") / F.nullif(dbl("_c"), F.lit(0.0))).alias("roas"),
@@ -92,7 +90,7 @@ def total_reach(sketches: DataFrame) -> DataFrame:
 def window_conversion(df: DataFrame, ts: str, size: str, slide: str | None, converted: Column) -> DataFrame:
     """Share of converted events in sliding (or tumbling) windows."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    counts = df.groupBy(w.alias("_w")).agg(N.alias("event_count"), F.count_if(converted).alias("conversions"))
+    counts = df.groupBy(w.alias("_w")).agg(n_rows().alias("event_count"), F.count_if(converted).alias("conversions"))
     return counts.select(
         F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "event_count", "conversions",
         (dbl("conversions") / dbl("event_count")).alias("conversion_rate"),
@@ -100,13 +98,13 @@ def window_conversion(df: DataFrame, ts: str, size: str, slide: str | None, conv
 
 
 def tumbling_counts(df: DataFrame, ts: str, size: str, by: Sequence[str] = ()) -> DataFrame:
-    counts = df.groupBy(F.window(ts, size).alias("_w"), *by).agg(N.alias("event_count"))
+    counts = df.groupBy(F.window(ts, size).alias("_w"), *by).agg(n_rows().alias("event_count"))
     return counts.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by, "event_count")
 
 
 def stream_sessions(df: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     """Inactivity sessions with Spark's own session windows (use on streams)."""
-    s = df.groupBy(F.session_window(ts, gap).alias("_s"), key).agg(N.alias("event_count"))
+    s = df.groupBy(F.session_window(ts, gap).alias("_s"), key).agg(n_rows().alias("event_count"))
     return s.select(key, F.col("_s.start").alias("session_start"), F.col("_s.end").alias("session_end"), "event_count")
 
 
@@ -119,7 +117,7 @@ def batch_sessions(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: int,
     starts = (F.col("_p").isNull() | (F.col(ts) >= F.col("_p") + gap)).cast("bigint")
     numbered = ordered_scan(seen.withColumn("_new", starts), [key], [ts, tie], running={"_no": "_new"}, hot_rows=hot_rows, biggest=biggest)
     return numbered.groupBy(key, "_no").agg(
-        F.min(ts).alias("session_start"), (F.max(ts) + gap).alias("session_end"), N.alias("event_count")
+        F.min(ts).alias("session_start"), (F.max(ts) + gap).alias("session_end"), n_rows().alias("event_count")
     ).drop("_no")
 
 
@@ -209,7 +207,7 @@ def late_twin(df: DataFrame, arrival: str, ts: str, delay_seconds: int, window_s
     marks = marks.select(arrival, F.coalesce(millis("_before"), F.lit(0)).alias("mark"), millis("_all").alias("final"))
     rows = df.withColumn("_end", end).join(marks, arrival)
     kept = rows.filter((F.col("_end") * 1000 > F.col("mark")) & (F.col("_end") * 1000 <= F.col("final")))
-    counts = kept.groupBy("_end", *by).agg(N.alias("event_count"))
+    counts = kept.groupBy("_end", *by).agg(n_rows().alias("event_count"))
     return counts.select(F.timestamp_seconds(F.col("_end") - window_seconds).alias("window_start"), *by, "event_count")
 
 
