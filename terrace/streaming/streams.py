@@ -114,7 +114,7 @@ def batch_sessions(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: int,
     biggest = largest_group(rows, [key])
     seen = ordered_scan(rows, [key], [ts, tie], lag={"_p": ts}, hot_rows=hot_rows, biggest=biggest)
     gap = F.make_dt_interval(secs=F.lit(gap_seconds).cast("decimal(18,6)"))
-    starts = (F.col("_p").isNull() | (F.col(ts) >= F.col("_p") + gap)).cast("bigint")
+    starts = (F.col("_p").isNull() | (F.col(ts) > F.col("_p") + gap)).cast("bigint")
     numbered = ordered_scan(seen.withColumn("_new", starts), [key], [ts, tie], running={"_no": "_new"}, hot_rows=hot_rows, biggest=biggest)
     return numbered.groupBy(key, "_no").agg(
         F.min(ts).alias("session_start"), (F.max(ts) + gap).alias("session_end"), n_rows().alias("event_count")
