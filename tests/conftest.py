@@ -22,12 +22,13 @@ def make(spark):
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
+    from terrace.session import small_table
+
     def build(rows, ddl):
         schema = T.StructType.fromDDL(ddl)
-        raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
         texts = [tuple(None if v is None else str(v) for v in r) for r in rows]
-        df = spark.createDataFrame(texts, raw)
-        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+        raw = small_table(spark, texts, ", ".join(f"{f.name} string" for f in schema))
+        return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
     return build
 
