@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.columns import n_rows
 
 from terrace.functions import lexicons as lx
 from terrace.operators import text as tx
-from terrace.plans.registry import query
+from terrace.plans.registry import Tables, query
+from terrace.session import spread
 
 
 def quoted(s: str) -> str:
@@ -25,14 +27,20 @@ def sql_in_class(name: str) -> str:
     return "(" + " OR ".join(parts) + ")"
 
 
+# The same white space as one class of the other engine's patterns.
+_SPACES = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE, NOT_LETTER = f"[{_SPACES}]+", f"[^a-z{_SPACES}]"
+
+
 def sql_words(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array({expr}, {quoted(tx.SPACE)}), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({expr}, {quoted(SPACE)}), lambda w: w <> '')"
 
 
 TERMS = f"list_filter(list_transform({sql_words('text')}, lambda w: lower(trim(w, {quoted(tx.EDGE_MARKS)}))), lambda w: w <> '')"
-LETTERS = f"regexp_replace(lower(text), {quoted(tx.NOT_LETTER)}, '', 'g')"
-BAD = f"""(regexp_matches(w, '{tx.REPEATED}') OR (w NOT IN ({', '.join(map(quoted, lx.COMMON_WORDS))}) AND
-    ((length(w) >= 4 AND regexp_matches(w, '{tx.MASH}')) OR (length(w) >= 5 AND NOT regexp_matches(w, '[aeiouy]')))))"""
+LETTERS = f"regexp_replace(lower(text), {quoted(NOT_LETTER)}, '', 'g')"
+REPEATED = "|".join(chr(c) * 4 for c in range(ord("a"), ord("z") + 1))
+BAD = f"""(regexp_matches(w, '{REPEATED}') OR (w NOT IN ({', '.join(map(quoted, lx.COMMON_WORDS))}) AND
+    ((length(w) >= 4 AND regexp_matches(w, '^({"|".join(lx.MASH_PREFIXES)})')) OR (length(w) >= 5 AND NOT regexp_matches(w, '[aeiouy]')))))"""
 SANITY = f"""CASE WHEN len({sql_words('text')}) < 4 THEN 'REJECT_INSUFFICIENT_LENGTH'
     WHEN len(list_filter({sql_words(LETTERS)}, lambda w: {BAD})) > 0 THEN 'REJECT_GIBBERISH_DETECTED'
     WHEN {sql_any('lower(text)', lx.LIVE_MARKERS)} AND ({sql_any('lower(text)', lx.MONTHLY_MARKERS)} OR {sql_any('lower(text)', lx.SENSOR_MARKERS)})
@@ -43,9 +51,14 @@ def class_size(name: str) -> str:
     return f"len(list_distinct(list_filter({TERMS}, lambda w: {sql_in_class(name)})))"
 
 
+def documents(t: Tables) -> DataFrame:
+    """Text rules are bound by the processor; a small input is spread over all cores first."""
+    return spread(t.documents)
+
+
 @query("n1_text_sanity", f"SELECT doc_id, source, {SANITY} AS reason FROM documents")
 def _(t):
-    return t.documents.select("doc_id", "source", tx.text_sanity("text").alias("reason"))
+    return documents(t).select("doc_id", "source", tx.text_sanity("text").alias("reason"))
 
 
 @query("n1_text_sanity_by_role", f"SELECT role, {SANITY} AS reason, count(*) AS text_count FROM conversations GROUP BY 1, 2")
@@ -82,7 +95,7 @@ def tag_sql(tag: str) -> str:
     + "], lambda x: x IS NOT NULL)) AS tag FROM documents) GROUP BY 1",
 )
 def _(t):
-    return tx.tag_counts(t.documents, tx.tag_column("text"))
+    return tx.tag_counts(documents(t), "text")
 
 
 TERM_ROWS = f"(SELECT doc_id, lang, unnest(list_distinct({TERMS})) AS term FROM documents)"
@@ -97,8 +110,8 @@ FREQUENT = f"""(SELECT lang AS tag, term FROM (SELECT lang, term, row_number() O
 )
 def _(t):
     # Lexicon built from the texts themselves: the 20 most widespread terms of each language.
-    lexicon = tx.frequent_terms(t.documents, ["doc_id"], "text", "lang", 20).select(F.col("lang").alias("tag"), "term")
-    hits = tx.lexicon_tags(t.documents, ["doc_id", "lang"], "text", lexicon)
+    lexicon = tx.frequent_terms(documents(t), ["doc_id"], "text", "lang", 20).select(F.col("lang").alias("tag"), "term")
+    hits = tx.lexicon_tags(documents(t), ["doc_id", "lang"], "text", lexicon)
     return hits.groupBy("lang", "tag").agg(n_rows().alias("text_count"), F.sum("hits").alias("hits"))
 
 
@@ -122,7 +135,7 @@ COMPLETE = {
     + f"], lambda x: x IS NOT NULL), ',') AS missing FROM (SELECT doc_id, text, {NOUN_N} AS n FROM documents)",
 )
 def _(t):
-    scored = tx.completeness_score(t.documents, "text")
+    scored = tx.completeness_score(documents(t), "text")
     return scored.select("doc_id", "score", F.array_join("missing", ",").alias("missing"))
 
 
@@ -132,7 +145,7 @@ def _(t):
           CAST({class_size('adjectives')} AS INTEGER) AS adjectives FROM documents""",
 )
 def _(t):
-    roles = tx.term_roles(t.documents, ["doc_id"], "text")
+    roles = tx.term_roles(documents(t), ["doc_id"], "text")
     return roles.select("doc_id", *[F.size(c).alias(c) for c in ("nouns", "verbs", "adjectives")])
 
 
@@ -144,7 +157,7 @@ def _(t):
     ),
 )
 def _(t):
-    return tx.term_role_counts(t.documents, ["doc_id"], "text")
+    return tx.term_role_counts(documents(t), ["doc_id"], "text")
 
 
 @query(
@@ -155,6 +168,6 @@ def _(t):
         GROUP BY 1""",
 )
 def _(t):
-    rows = t.documents.join(t.labels, "doc_id")
+    rows = documents(t).join(t.labels, "doc_id")
     predicted = F.when(tx.text_sanity("text") == "SANITY_PASSED", 1).otherwise(0)
     return tx.label_accuracy(rows, predicted, F.col("quality"), ["lang"])

@@ -72,6 +72,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+ROW_GROUP_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input that is smaller than one row group per core, for work bound by the processor:
+    a file cannot be split below its row groups. Larger inputs already fill the cores and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * ROW_GROUP_BYTES else df
+
+
 def small_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
     """A table of constants, shipped as one Arrow batch: no Python worker reads it."""
     schema = T.StructType.fromDDL(ddl)

@@ -119,7 +119,7 @@ def test_text_rules(make):
 
 def test_tags_roles_and_completeness(make):
     df = make([(1, "A customer places orders; the shipment payment is tracked on a dashboard with a snapshot of each graph.")], "i int, t string")
-    tags = set(df.select(tx.tag_column("t")).first()[0])
+    tags = {r.tag for r in tx.tag_counts(df, "t").collect()}
     assert tags == {"is_periodic_state_rollup", "is_graph_topology", "needs_history"}
     roles = tx.term_roles(df, ["i"], "t").first()
     assert roles.nouns == ["customer", "payment", "shipment"] and "tracked" in roles.adjectives and "places" in roles.verbs
