@@ -34,11 +34,11 @@ def fact_incremental(
 
 
 def late_arriving_bind(
-    late: DataFrame, fact_key: str, fact_ts: str, versions: DataFrame, key: str, values: Sequence[str]
+    late: DataFrame, fact_key: str, fact_ts: str, versions: DataFrame, key: str, values: Sequence[str], most: int | None = None
 ) -> DataFrame:
     """Late facts take the version valid when they happened; `bound_to_past` tells those that would
     have got another version had they been joined to the current state."""
-    bound = pit_join(late, fact_key, fact_ts, versions, key, [*values, "is_current"])
+    bound = pit_join(late, fact_key, fact_ts, versions, key, [*values, "is_current"], most=most)
     return bound.withColumn("bound_to_past", F.coalesce(~F.col("is_current"), F.lit(False)))
 
 

@@ -69,9 +69,10 @@ def pit_join(
 
     With few versions per member the equi-join with a range residual is cheapest. With many, one hot
     member would multiply its facts by its versions, so the as-of scan is used instead.
-    Versions of a member must not overlap. `most`, a known bound of versions per member, saves counting them.
+    Versions of a member must not overlap. `most`, a known bound of versions per member, saves counting
+    them while it is small.
     """
-    if most is None:
+    if most is None or most > few_versions:
         most = largest_group(dim, [key])
     if most <= few_versions:
         versions = dim.select(F.col(key).alias("_dk"), "valid_from", "valid_to", *values)

@@ -47,6 +47,7 @@ def satellite_load(
     rec_src: Column,
     hk: str,
     hot_rows: int = HOT_ROWS,
+    biggest: int | None = None,
 ) -> DataFrame:
     """New satellite rows: a row is appended only when its attributes differ from the row before it,
     the newest stored row included. One row per (key, load time) is expected in the feed."""
@@ -57,7 +58,7 @@ def satellite_load(
     if existing is not None:
         last = satellite_latest(existing, hk).withColumn("_new", F.lit(0))
         rows = rows.unionByName(last.select(*rows.columns))
-    seen = ordered_scan(rows, [hk], ["load_dts", "_new"], lag={"_prev": "hash_diff"}, hot_rows=hot_rows)
+    seen = ordered_scan(rows, [hk], ["load_dts", "_new"], lag={"_prev": "hash_diff"}, hot_rows=hot_rows, biggest=biggest)
     return seen.filter((F.col("_new") == 1) & ~F.col("hash_diff").eqNullSafe(F.col("_prev"))).drop("_new", "_prev")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,25 @@ def priority_log(t: Tables) -> DataFrame:
     return daily.select(F.col("o_custkey").alias("cust_id"), F.col("o_orderdate").alias("changed_at"), "priority")
 
 
-def priority_dim(t: Tables) -> DataFrame:
-    # Orders per customer bound the versions per customer; counting them reads one column.
-    biggest = largest_group(t.orders, ["o_custkey"])
+def orders_per_customer(t: Tables) -> int:
+    """Bounds the log rows and versions per customer; counting them reads one column."""
+    return largest_group(t.orders, ["o_custkey"])
+
+
+def priority_dim(t: Tables, biggest: int | None = None) -> DataFrame:
+    biggest = orders_per_customer(t) if biggest is None else biggest
     return dim.scd2_build(priority_log(t), "cust_id", "changed_at", ["priority"], biggest=biggest)
 
 
+def bind_priority(t: Tables, rows: DataFrame, values: Sequence[str], hybrid: bool = False) -> DataFrame:
+    """Rows (o_custkey, l_shipdate, ...) with the customer's priority version valid at the ship date."""
+    biggest = orders_per_customer(t)
+    members = priority_dim(t, biggest)
+    if hybrid:
+        members = dim.scd6_hybrid(members, "cust_id", ["priority"])
+    return pit_join(rows, "o_custkey", "l_shipdate", members, "cust_id", values, most=biggest)
+
+
 PRIORITY_LOG_SQL = """(SELECT o_custkey AS cust_id, o_orderdate AS changed_at, arg_max(o_orderpriority, o_orderkey) AS priority
     FROM orders GROUP BY 1, 2)"""
 STATUS_LOG_SQL = "(SELECT user_id, ts AS changed_at, event_type AS status FROM events)"
@@ -162,8 +177,7 @@ PERSPECTIVE_SQL = f"""SELECT coalesce(s.%s, 'UNKNOWN') AS priority, count(*) AS
 
 
 def perspective(t: Tables, attr: str) -> DataFrame:
-    hybrid = dim.scd6_hybrid(priority_dim(t), "cust_id", ["priority"])
-    bound = pit_join(shipments(t), "o_custkey", "l_shipdate", hybrid, "cust_id", [attr])
+    bound = bind_priority(t, shipments(t), [attr], hybrid=True)
     return bound.groupBy(F.coalesce(F.col(attr), F.lit("UNKNOWN")).alias("priority")).agg(
         F.count(F.lit(1)).alias("line_count"), dbl(F.sum("amount")).alias("amount")
     )

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from terrace.functions.columns import date_key, day_text, dbl, md5_key, money, month_key, n_rows, net_amount, ntz, rate, ts_text
 from terrace.operators import facts, silver
 from terrace.operators.ordered import largest_group
-from terrace.operators.temporal import pit_join
-from terrace.plans.dimension_queries import PRIORITY_DIM_SQL, priority_dim, shipments
+from terrace.plans.dimension_queries import PRIORITY_DIM_SQL, bind_priority, orders_per_customer, priority_dim, shipments
 from terrace.plans.registry import Tables, query
 from terrace.plans.sources_silver import DEDUP_SQL, clean_lines
 from terrace.sources.generators import date_dimension
@@ -84,7 +83,7 @@ def _(t):
           ON cust_id = o_custkey AND l_shipdate >= valid_from AND l_shipdate < valid_to GROUP BY 1, 2""",
 )
 def _(t):
-    bound = pit_join(shipments(t), "o_custkey", "l_shipdate", priority_dim(t), "cust_id", ["priority", "version_number"])
+    bound = bind_priority(t, shipments(t), ["priority", "version_number"])
     keys = [
         F.coalesce("priority", F.lit("NONE")).alias("priority"),
         F.coalesce("version_number", F.lit(0)).alias("version_number"),
@@ -104,7 +103,9 @@ def _(t):
     heads = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     lines = t.lineitem.select("l_orderkey", "l_shipdate").join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
     late = lines.filter(F.col("l_shipdate") < F.col("o_orderdate")).select("o_custkey", "l_shipdate")
-    bound = facts.late_arriving_bind(late, "o_custkey", "l_shipdate", priority_dim(t), "cust_id", ["priority"])
+    biggest = orders_per_customer(t)
+    members = priority_dim(t, biggest)
+    bound = facts.late_arriving_bind(late, "o_custkey", "l_shipdate", members, "cust_id", ["priority"], most=biggest)
     return bound.groupBy(F.coalesce("priority", F.lit("NONE")).alias("priority"), "bound_to_past").agg(n_rows().alias("line_count"))
 
 
@@ -125,7 +126,7 @@ ITEM = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
 
 def order_baskets(t: Tables) -> DataFrame:
     biggest = largest_group(t.lineitem, ["l_orderkey"])
-    return facts.nested_mart(clean_lines(t), "l_orderkey", ["l_linenumber"], ITEM, biggest=biggest)
+    return facts.nested_mart(clean_lines(t, biggest), "l_orderkey", ["l_linenumber"], ITEM, biggest=biggest)
 
 
 @query(
@@ -504,12 +505,11 @@ def _(t):
                THEN p + total - sum(p) OVER (PARTITION BY l_orderkey) ELSE p END AS DOUBLE) AS allocated FROM y""",
 )
 def _(t):
+    biggest = largest_group(t.lineitem, ["l_orderkey"])
     heads = t.orders.select("o_orderkey", money("o_totalprice").alias("total"))
-    lines = clean_lines(t).join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
-    out = facts.allocate(
-        lines, "l_orderkey", ["l_linenumber"], money("l_extendedprice"), F.col("total"), "allocated", 2,
-        biggest=largest_group(t.lineitem, ["l_orderkey"]),
-    )
+    lines = clean_lines(t, biggest).join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
+    share = money("l_extendedprice")
+    out = facts.allocate(lines, "l_orderkey", ["l_linenumber"], share, F.col("total"), "allocated", 2, biggest=biggest)
     return out.select("l_orderkey", "l_linenumber", dbl("allocated").alias("allocated"))
 
 

@@ -8,9 +8,8 @@ from terrace.functions.columns import dbl, money, month_key, n_rows, net_amount,
 from terrace.operators import dimensions as dim
 from terrace.operators import facts, quality
 from terrace.operators.quality import Check
-from terrace.operators.temporal import pit_join
 from terrace.plans.dimension_queries import (
-    PRIORITY_DIM_SQL, SCD6_SQL, STATUS_DIM_SQL, priority_dim, shipments, status_log,
+    PRIORITY_DIM_SQL, SCD6_SQL, STATUS_DIM_SQL, bind_priority, priority_dim, shipments, status_log,
 )
 from terrace.plans.fact_queries import (
     attendance, FX_SQL, ship_grain, ship_measures, SNAPSHOT_SQL, balances, foreign_orders, monthly_shipments,
@@ -163,7 +162,7 @@ def _(t):
 def _(t):
     # The same facts bound properly, and bound to the current state, which the proof must reject.
     members, facts_at = priority_dim(t), shipments(t)
-    bound = pit_join(facts_at, "o_custkey", "l_shipdate", members, "cust_id", ["is_current"])
+    bound = bind_priority(t, facts_at, ["is_current"])
     now = facts_at.join(dim.current_view(members), C("o_custkey") == C("cust_id"), "left")
     return quality.temporal_causality("point in time", bound, "l_shipdate").unionByName(
         quality.temporal_causality("current state", now, "l_shipdate")
@@ -426,7 +425,7 @@ def _(t):
         )
 
     active = t.customer.filter("c_acctbal >= 0")
-    bound = pit_join(shipments(t), "o_custkey", "l_shipdate", priority_dim(t), "cust_id", ["is_current"])
+    bound = bind_priority(t, shipments(t), ["is_current"])
     rows = quality.stack(
         [
             result("K01", 1, quality.metric_conservation(t.lineitem, net_amount(), sales_star(t, t.lineitem), net_amount()), "FAIL", True),

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrace.sources.schemas import DDL, read_declared
+
 
 class Tables:
     """Lazy access to the parquet tables of one folder: `t.orders`, `t.lineitem`, ..."""
@@ -21,6 +23,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
+        if name in DDL:
+            return read_declared(self.spark, self.folder, name)
         return self.spark.read.parquet(self.path(name))
 
 

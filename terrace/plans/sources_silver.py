@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.columns import date_key, day_text, dbl, money, ntz, ts_text
 from terrace.operators import silver
+from terrace.operators.ordered import HOT_ROWS
 from terrace.plans.registry import Tables, query
 from terrace.session import scratch_path
 from terrace.sources import generators as gen
@@ -24,9 +25,13 @@ DEDUP_SQL = """(SELECT * FROM lineitem QUALIFY row_number() OVER (
     l_suppkey DESC, l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1)"""
 
 
-def clean_lines(t: Tables) -> DataFrame:
-    """One row per order line: the newest of its duplicates."""
-    return silver.dedup_latest(t.lineitem, LINE_KEYS, line_order())
+def clean_lines(t: Tables, biggest_order: int | None = None) -> DataFrame:
+    """One row per order line: the newest of its duplicates. Given that no order is too large for one task,
+    lines are partitioned by order at once, so that later steps per order need no second shuffle."""
+    lines = t.lineitem
+    if biggest_order is not None and biggest_order <= HOT_ROWS:
+        lines = lines.repartition("l_orderkey")
+    return silver.dedup_latest(lines, LINE_KEYS, line_order())
 
 
 @query(

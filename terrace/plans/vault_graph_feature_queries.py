@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrace.functions.columns import dbl, money, n_rows, ntz, ts_text
 from terrace.operators import features, graph, vault
 from terrace.operators.temporal import asof_join
-from terrace.plans.dimension_queries import PRIORITY_LOG_SQL, priority_log
+from terrace.plans.dimension_queries import PRIORITY_LOG_SQL, orders_per_customer, priority_log
 from terrace.plans.registry import Tables, query
 from terrace.session import written
 
@@ -68,14 +68,14 @@ def _(t):
 
 def priority_satellite(t: Tables) -> DataFrame:
     """Loaded in two runs: the second appends only what changed against the newest stored row."""
-    log = priority_log(t)
-    src = F.lit("CRM")
+    log, src = priority_log(t), F.lit("CRM")
+    biggest = orders_per_customer(t) + 1
     first = vault.satellite_load(
-        None, log.filter(F.col("changed_at") < ntz("1998-01-01")), "cust_id", "changed_at", ["priority"], src, "customer_hk"
+        None, log.filter(F.col("changed_at") < ntz("1998-01-01")), "cust_id", "changed_at", ["priority"], src, "customer_hk", biggest=biggest
     )
     first = written(first, "satellite")
     later = log.filter(F.col("changed_at") >= ntz("1998-01-01"))
-    second = vault.satellite_load(first, later, "cust_id", "changed_at", ["priority"], src, "customer_hk")
+    second = vault.satellite_load(first, later, "cust_id", "changed_at", ["priority"], src, "customer_hk", biggest=biggest)
     return first.unionByName(second)
 
 
@@ -84,7 +84,7 @@ def status_satellite(t: Tables) -> DataFrame:
         F.max_by(F.struct("o_orderstatus", "o_totalprice"), "o_orderkey").alias("x")
     ).select("cust_id", "changed_at", F.col("x.o_orderstatus").alias("status"), money("x.o_totalprice").alias("credit"))
     return vault.satellite_load(
-        None, daily, "cust_id", "changed_at", ["status", "credit"], F.lit("BILLING"), "customer_hk"
+        None, daily, "cust_id", "changed_at", ["status", "credit"], F.lit("BILLING"), "customer_hk", biggest=orders_per_customer(t)
     )
 
 
