@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.columns import dbl, money
+from terrace.functions.frames import side_by_side
 from terrace.operators.ordered import HOT_ROWS, largest_group, ordered_scan, with_group_totals
 from terrace.operators.temporal import pit_join
 
@@ -152,7 +153,7 @@ def rollup_parity(rollup: DataFrame, base: DataFrame, measures: Mapping[str, Col
     for name, c in {**measures, "row_count": F.lit(1)}.items():
         r = rollup.agg(F.sum(name).alias("rollup_total"))
         b = base.agg(F.sum(c).alias("base_total"))
-        one = r.join(b, F.lit(True)).select(
+        one = side_by_side(r, b).select(
             F.lit(name).alias("measure"),
             dbl("rollup_total").alias("rollup_total"),
             dbl("base_total").alias("base_total"),

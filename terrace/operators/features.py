@@ -35,11 +35,10 @@ def feature_completeness(bound: DataFrame, matched: str, values: Sequence[str])
 
 
 def centroids(vectors: DataFrame, label: str, vector: str, length: int) -> DataFrame:
-    """Mean vector per label for vectors of a known length: one exact sum per component, pre-aggregated
-    before the shuffle, so no component rows are exploded."""
-    part = [F.col(vector)[i].cast("double").cast("decimal(18,9)") for i in range(length)]
-    sums = vectors.groupBy(label).agg(*[(F.sum(p).cast("double") / F.count(p)).alias(f"_{i}") for i, p in enumerate(part)])
-    return sums.select(label, F.array(*[f"_{i}" for i in range(length)]).alias("centroid"))
+    """Mean vector per label for vectors of a known length: one mean per component, pre-aggregated before
+    the shuffle, so no component rows are exploded."""
+    means = vectors.groupBy(label).agg(*[F.avg(F.col(vector)[i].cast("double")).alias(f"_{i}") for i in range(length)])
+    return means.select(label, F.array(*[f"_{i}" for i in range(length)]).alias("centroid"))
 
 
 def similarity_to(vectors: DataFrame, queries: DataFrame, on: str, vector: str, query: str, digits: int = 6) -> DataFrame:

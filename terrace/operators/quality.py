@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.columns import all_of, dbl, n_rows
+from terrace.functions.frames import side_by_side, stack
 from terrace.operators.ordered import HOT_ROWS, ordered_scan
 from terrace.session import small_table
 
@@ -19,21 +20,6 @@ ZERO_DRIFT = 0.0001
 SUM_TOLERANCE = 0.01
 
 
-def stack(frames: Sequence[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df)
-    return out
-
-
-def side_by_side(*one_row: DataFrame) -> DataFrame:
-    """Join single-row aggregates into one row."""
-    out = one_row[0]
-    for df in one_row[1:]:
-        out = out.join(df, F.lit(True))
-    return out
-
-
 # ---- conservation and fan-out ---------------------------------------------------------------------
 
 
@@ -417,8 +403,8 @@ def scorecard(results: DataFrame) -> DataFrame:
     after the first blocking failure, 100 - 25 per failure - 5 per warning - 15 per error, floor 0."""
     place = F.struct("tier", "risk_id")
     failed = F.col("status").isin("FAIL", "HALT")
-    first = results.agg(F.min(F.when(failed & F.col("blocking"), place)).alias("_halt"))
-    seen = results.join(first, F.lit(True)).filter(F.col("_halt").isNull() | (place <= F.col("_halt")))
+    halt = results.agg(F.min(F.when(failed & F.col("blocking"), place))).scalar()
+    seen = results.withColumn("_halt", halt).filter(F.col("_halt").isNull() | (place <= F.col("_halt")))
     n = seen.agg(
         n_rows().alias("evaluated"), F.count_if(F.col("status") == "PASS").alias("passed"),
         F.count_if(F.col("status") == "WARNING").alias("warnings"), F.count_if(failed).alias("failed"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.columns import day_text, dbl, money, n_rows, net_amount, ntz, rate
+from terrace.functions.frames import side_by_side
 from terrace.plans.registry import Tables, query
 
 C = F.col
@@ -347,4 +348,4 @@ def _(t):
     fan = t.orders.join(lines, C("o_orderkey") == C("l_orderkey")).agg(
         dbl(F.sum(money("o_totalprice") * C("n"))).alias("after_lines")
     )
-    return base.join(dim, F.lit(True)).join(fan, F.lit(True))
+    return side_by_side(base, dim, fan)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace.functions.columns import dbl, money, month_key, n_rows, ntz, rate
+from terrace.functions.frames import side_by_side
 from terrace.operators import integration as it
 from terrace.plans.registry import Tables, query
 from terrace.plans.sources_silver import DEDUP_SQL, clean_lines
@@ -179,7 +180,7 @@ def expected_totals(t: Tables, trades: DataFrame) -> DataFrame:
         dbl(n_rows()).alias("6"), dbl(F.sum(C("price") * C("quantity"))).alias("12"), dbl(F.sum("commission")).alias("13"), dbl(F.sum("fee")).alias("14"),
         dbl(F.count_if(C("l_linestatus") == "O")).alias("7"), dbl(F.sum(F.when(C("l_linestatus") == "O", C("quantity")))).alias("15"),
     )
-    total = trades.agg(dbl(n_rows()).alias("all")).join(trade.select(C("6").alias("kept")), F.lit(True)).select((C("all") - C("kept")).alias("45"))
+    total = side_by_side(trades.agg(dbl(n_rows()).alias("all")), trade.select(C("6").alias("kept"))).select((C("all") - C("kept")).alias("45"))
     paid = seen(orders.withColumn("customer_id", C("o_custkey")), "o_orderdate")
     amount = money("o_totalprice")
     cash = paid.agg(
@@ -189,7 +190,7 @@ def expected_totals(t: Tables, trades: DataFrame) -> DataFrame:
     january = (C("o_orderdate") >= ntz("1998-01-01")) & (C("o_orderdate") < ntz("1998-02-01")) & ~C("is_new")
     gold = orders.filter(january).agg(dbl(F.count_distinct("o_custkey")).alias("25"))
     people = t.customer.agg(dbl(n_rows()).alias("n"), dbl(F.count_if(C("c_acctbal") < 0)).alias("11"))
-    versions = people.join(gold, F.lit(True)).select((C("n") + C("25")).alias("1"), "25", "11")
+    versions = side_by_side(people, gold).select((C("n") + C("25")).alias("1"), "25", "11")
     watched = t.events.filter("event_type = 'view'").join(t.customer.filter("c_acctbal >= 0"), C("user_id") == C("c_custkey"), "left_semi")
     frames = [
         trade, total, cash, versions, acc.agg(dbl(n_rows()).alias("2")), t.part.agg(dbl(n_rows()).alias("3")), t.supplier.agg(dbl(n_rows()).alias("4")),

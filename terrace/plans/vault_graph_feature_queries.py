@@ -307,8 +307,8 @@ def _(t):
     return hit.select("event_id", "view_value")
 
 
-CENTROID_SQL = """(SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT label, i, CAST(sum(CAST(CAST(v AS DOUBLE) AS DECIMAL(18,9))) AS DOUBLE)
-    / count(v) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"""
+CENTROID_SQL = """(SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM (
+    SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"""
 SCORED_SQL = f"""(SELECT vec_id, e.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid), 6) AS similarity
     FROM embeddings e JOIN {CENTROID_SQL} c ON c.label = e.label)"""
 

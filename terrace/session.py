@@ -1,4 +1,4 @@
-"""Session, durable storage and size-checked broadcast helpers."""
+"""Session, durable storage and small-table helpers."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from collections.abc import Sequence
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -65,13 +64,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most `max_rows + 1` rows; else leave the join to AQE."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 ROW_GROUP_BYTES = 128 * 1024 * 1024
 
 

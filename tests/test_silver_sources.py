@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace.operators import silver
-from terrace.session import broadcast_if_small, scratch_path
+from terrace.session import scratch_path
 from terrace.sources import generators as gen
 from terrace.sources import landing
 
@@ -86,8 +86,5 @@ def test_zipf_is_repeatable_and_skewed(spark):
     assert top >= 0.7 * 4000
 
 
-def test_time_dimension_and_broadcast_limit(spark):
+def test_time_dimension(spark):
     assert gen.time_dimension(spark).filter("hour = 10 and minute = 0 and second = 0").first()["time_sk"] == 36000
-    small = broadcast_if_small(spark.range(10), 10)._jdf.queryExecution().analyzed().toString()
-    large = broadcast_if_small(spark.range(11), 10)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in small.lower() and "broadcast" not in large.lower()
