@@ -12,6 +12,7 @@ from terrace.operators import dimensions as dim
 from terrace.operators.ordered import largest_group
 from terrace.operators.temporal import pit_join
 from terrace.plans.registry import Tables, query
+from terrace.session import written
 from terrace.sources.generators import date_dimension
 
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -132,6 +133,7 @@ def merged_status(t: Tables) -> DataFrame:
     """Dimension built from the first half of the log, then merged with each user's newest later status."""
     log = status_log(t)
     first = dim.scd2_build(log.filter(F.col("changed_at") < ntz(CUT)), "user_id", "changed_at", ["status"])
+    first = written(first, "status-dim")
     later = log.filter(F.col("changed_at") >= ntz(CUT))
     batch = later.groupBy("user_id").agg(F.max_by("status", "changed_at").alias("status"), F.max("changed_at").alias("changed_at"))
     return dim.scd2_merge(first, batch, "user_id", "changed_at", ["status"])
