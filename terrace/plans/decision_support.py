@@ -126,11 +126,11 @@ def _(t):
     pair = t.nation.filter(C("n_name").isin("NATION_6", "NATION_7"))
     cust = t.customer.join(pair, C("c_nationkey") == C("n_nationkey")).select("c_custkey", C("n_name").alias("cust_nation"))
     supp = t.supplier.join(pair, C("s_nationkey") == C("n_nationkey")).select("s_suppkey", C("n_name").alias("supp_nation"))
+    heads = t.orders.select("o_orderkey", "o_custkey").join(cust, C("o_custkey") == C("c_custkey"))
     rows = (
         t.lineitem.filter(between_days("l_shipdate", "1997-01-01", "1999-01-01"))
         .join(supp, C("l_suppkey") == C("s_suppkey"))
-        .join(t.orders.select("o_orderkey", "o_custkey"), C("l_orderkey") == C("o_orderkey"))
-        .join(cust, (C("o_custkey") == C("c_custkey")) & (C("cust_nation") != C("supp_nation")))
+        .join(heads, (C("l_orderkey") == C("o_orderkey")) & (C("cust_nation") != C("supp_nation")))
     )
     return rows.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year")).agg(
         dbl(F.sum(net_amount())).alias("revenue")
