@@ -24,7 +24,7 @@ def campaign():
 
 
 def event_stream(t: Tables) -> DataFrame:
-    return st.read_stream(t.spark, t.folder, schema_of("events"), "events.parquet")
+    return st.read_stream(t.spark, t.path("events") + "*", schema_of("events"))
 
 
 ROAS_SQL = f"""SELECT campaign_id, n AS event_count, CAST(r AS DOUBLE) AS revenue, CAST(c AS DOUBLE) AS cost,

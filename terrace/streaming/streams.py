@@ -19,12 +19,13 @@ from terrace.session import scratch_path
 # ---- plumbing -------------------------------------------------------------------------------------
 
 
-def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet", max_files: int | None = None) -> DataFrame:
-    """Stream over the parquet files of a folder that match a name pattern."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """Stream over the parquet files of a folder, or of a pattern such as `.../events.parquet*`, which
+    covers a table kept as one file as well as one kept as a folder of part files."""
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def with_event_time(df: DataFrame, ts: str, delay: str | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
+import os
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace.operators import integration as it
-from terrace.session import written
+from terrace.session import scratch_path, written
 from terrace.sources.brokerage import brokerage_batch, expected_audits
 from terrace.streaming import streams as st
 
@@ -85,3 +87,26 @@ def test_quarantine_stream_and_sketches(spark):
     assert (good.count(), bad.count()) == (133, 67)
     per_bucket = st.reach_sketches(src, F.col("v"), "id")
     assert abs(st.total_reach(per_bucket).first()[0] - 200) <= 6
+
+
+def test_stream_reads_a_table_of_one_file_and_of_many(spark):
+    df = spark.range(90)
+    many = scratch_path(spark, "many") + ".parquet"
+    df.repartition(3).write.parquet(many)
+    one = f"{many}/" + next(f for f in os.listdir(many.removeprefix("file:")) if f.endswith(".parquet"))
+    total = df.repartition(3).count()
+    schema = T.StructType.fromDDL("id bigint")
+    assert st.append_to_table(st.read_stream(spark, many + "*", schema), "many-out").count() == total
+    assert 0 < st.append_to_table(st.read_stream(spark, one + "*", schema), "one-out").count() < total
+
+
+def test_campaign_metrics(spark, make):
+    ddl = "campaign string, ts timestamp_ntz, visitor string, cost decimal(10,2), revenue decimal(10,2), converted boolean"
+    clicks = make([("A", "2024-01-01 10:01", "v1", 10, 0, "false"), ("A", "2024-01-01 10:02", "v2", 10, 75, "true"),
+                   ("A", "2024-01-01 10:07", "v1", 0, 0, "false"), ("B", "2024-01-01 10:08", "v3", 0, 5, "true")], ddl)
+    roas = st.campaign_roas(clicks, "campaign", F.col("revenue"), F.col("cost"))
+    assert rows(roas, "campaign", "roas") == [("A", 3.75), ("B", None)]
+    assert st.total_reach(st.reach_sketches(clicks, F.col("campaign"), "visitor")).first()[0] == 3
+    slide = st.window_conversion(clicks, "ts", "10 minutes", "5 minutes", F.col("converted"))
+    assert rows(slide, F.date_format("window_start", "HH:mm"), "event_count", "conversions") == [("09:55", 2, 1), ("10:00", 4, 2), ("10:05", 2, 1)]
+    assert rows(st.tumbling_counts(clicks, "ts", "1 hour"), "event_count") == [(4,)]
