@@ -71,9 +71,13 @@ def md5_key(*parts: str | Column, sep: str = "-") -> Column:
     return F.md5(F.concat_ws(sep, *[col(p).cast("string") for p in parts]))
 
 
+def business_key(c: str | Column) -> Column:
+    return F.upper(F.trim(col(c).cast("string")))
+
+
 def sha_key(*parts: str | Column, sep: str = "||") -> Column:
     """Business-key hash: trimmed, upper-cased, joined, SHA-256."""
-    return F.sha2(F.concat_ws(sep, *[F.upper(F.trim(col(p).cast("string"))) for p in parts]), 256)
+    return F.sha2(F.concat_ws(sep, *[business_key(p) for p in parts]), 256)
 
 
 def int_key(*parts: str | Column) -> Column:

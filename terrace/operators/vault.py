@@ -7,19 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import sha_key
+from terrace.functions.columns import business_key, sha_key
 from terrace.operators.ordered import HOT_ROWS, ordered_scan
 
 
 def hub_load(
     existing: DataFrame | None, feed: DataFrame, key: str, load_dts: str, rec_src: str, hk: str
 ) -> DataFrame:
-    """New hub rows: one per business key with its first load time and source. Insert only."""
-    first = feed.filter(F.col(key).isNotNull()).groupBy(sha_key(key).alias(hk)).agg(
+    """New hub rows: one per business key with its first load time and source. Insert only. Rows are
+    reduced to one per key first, so each key is hashed once."""
+    keyed = feed.filter(F.col(key).isNotNull()).groupBy(business_key(key).alias("_bk")).agg(
         F.min(F.col(key)).alias(key),
         F.min(load_dts).alias("load_dts"),
         F.min_by(F.col(rec_src), F.struct(load_dts, rec_src)).alias("rec_src"),
     )
+    first = keyed.select(sha_key("_bk").alias(hk), key, "load_dts", "rec_src")
     return first if existing is None else first.join(existing.select(hk), hk, "left_anti")
 
 
@@ -27,10 +29,13 @@ def link_load(
     existing: DataFrame | None, feed: DataFrame, keys: Mapping[str, str], load_dts: str, rec_src: str, hk: str
 ) -> DataFrame:
     """New link rows for {hash key name: business key column}; the link key hashes all of them."""
-    hashed = feed.withColumns({name: sha_key(c) for name, c in keys.items()} | {hk: sha_key(*keys.values())})
-    first = hashed.groupBy(hk, *keys).agg(
+    parts = [f"_b{i}" for i in range(len(keys))]
+    by = [business_key(c).alias(p) for c, p in zip(keys.values(), parts)]
+    distinct = feed.groupBy(*by).agg(
         F.min(load_dts).alias("load_dts"), F.min_by(F.col(rec_src), F.struct(load_dts, rec_src)).alias("rec_src")
     )
+    hashed = [sha_key(p).alias(name) for name, p in zip(keys, parts)]
+    first = distinct.select(sha_key(*parts).alias(hk), *hashed, "load_dts", "rec_src")
     return first if existing is None else first.join(existing.select(hk), hk, "left_anti")
 
 
