@@ -7,7 +7,7 @@ summed minima of coordinates bound the overlap of a set with a node's box and wi
 fetched for those left, and surviving pairs are verified exactly, except pairs that are already connected.
 
 Every shingle order gives the same links. The order used is by hash, with shingles last that a sample of documents shows to be frequent: a matter of speed only.
-Groups larger than a task's share are split; what a split may have missed (runs that still hold several components) is checked block by block.
+Groups larger than a task's share are split; members that are then outside the group's main component meet every part of it.
 
 Words: `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; with fewer than `WIDTH` words the whole sequence is the only shingle; null, empty or blank texts have none and
 link with nothing. Shingles are compared by 64-bit hashes, sets by 128-bit hashes. Repeated doc_ids are separate texts; a null doc_id links, but is never a component's name (null if
@@ -36,6 +36,8 @@ SAMPLED = 64
 FREQUENT = 8
 FREQUENT_KEPT = 100_000
 BITS = 1 << 24
+CALL_ROWS = 10_000
+CALL_BYTES = 16 << 20
 
 
 def shingle_set(words: Words, text: bytes | None) -> np.ndarray:
@@ -61,7 +63,23 @@ def prefix(own: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def count_vector(own: np.ndarray) -> np.ndarray:
-    return np.bincount((mixed(own) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4")
+    """Shingles per group. The number of groups is a power of two that grows with the set (GROUPS up to twice GROUPS * 8 shingles), since a box over few groups
+    says nothing of long texts; a vector folds to fewer groups by adding its parts."""
+    groups = GROUPS << max(0, (max(len(own), 1) - 1) // (GROUPS * 8)).bit_length()
+    return np.bincount((mixed(own) % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4")
+
+
+def packed_vector(own: np.ndarray) -> bytes:
+    v = count_vector(own)
+    return b"2" + v.astype("<u2").tobytes() if v.max(initial=0) < 1 << 16 else b"4" + v.tobytes()
+
+
+def unpacked_vector(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if data[:1] == b"2" else "<u4", offset=1)
+
+
+def folded(v: np.ndarray, groups: int) -> np.ndarray:
+    return v.astype(np.int64).reshape(-1, groups).sum(axis=0)
 
 
 def least_overlap(a, b):
@@ -75,7 +93,7 @@ class Tree:
     FAN = 16
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        major = points[:, : GROUPS // 2].sum(axis=1)
+        major = points[:, : points.shape[1] // 2].sum(axis=1)
         order = np.argsort(sizes, kind="stable")
         # sort-tile: slabs by size, then by half of the counts within a slab
         slab = (np.arange(len(order)) // (self.FAN * self.FAN))[np.argsort(order, kind="stable")]
@@ -105,21 +123,29 @@ class Tree:
         return self.order[rows[self.may(point, n, self.points[rows], self.sizes[rows], self.sizes[rows])]]
 
 
-def joined(points: np.ndarray, sizes: np.ndarray, linked: Callable[[int, int], bool] | None, label: np.ndarray | None = None) -> np.ndarray:
-    """Labels of the components under `linked` (None: under the bound alone). Pairs inside a component are not looked at again."""
-    label = np.arange(len(points)) if label is None else label.copy()
-    tree = Tree(points, sizes)
-    for i in range(len(points)):
-        if (label == label[i]).all():
+def joined(vectors: list[np.ndarray], sizes: np.ndarray, linked: Callable[[int, int], bool] | None, label: np.ndarray | None = None) -> np.ndarray:
+    """Labels of the components under `linked` (None: under the bound alone). Pairs inside a component are not looked at again. Partners differ
+    in size by a third at most, so their vectors have as many groups or twice as many: one tree for each number of groups."""
+    label = np.arange(len(vectors)) if label is None else label.copy()
+    dims = np.array([len(v) for v in vectors])
+    for g in np.unique(dims).tolist():
+        pool = np.flatnonzero((dims == g) | (dims == 2 * g))
+        if len(pool) < 2:
             continue
-        near = tree.partners(points[i], int(sizes[i]))
-        near = near[label[near] != label[i]]
-        while len(near):
-            j = near[0]
-            if linked is None or linked(i, j):
-                label[label == label[j]] = label[i]
-            near = near[1:]
-            near = near[label[near] != label[i]]
+        points = np.stack([folded(vectors[i], g) for i in pool])
+        tree = Tree(points, sizes[pool])
+        for at in np.flatnonzero(dims[pool] == g).tolist():
+            i = int(pool[at])
+            if (label[pool] == label[i]).all():
+                continue
+            near = pool[tree.partners(points[at], int(sizes[i]))]
+            near = near[(label[near] != label[i]) & ((near > i) | (dims[near] > g))]
+            while len(near):
+                j = int(near[0])
+                if linked is None or linked(i, j):
+                    label[label == label[j]] = label[i]
+                near = near[1:]
+                near = near[label[near] != label[i]]
     return label
 
 
@@ -167,19 +193,19 @@ def read_sets(documents: DataFrame, last: np.ndarray) -> DataFrame:
                 size.append(len(own))
                 sids.append(sid)
                 prefixes.append(prefix(own, last_).tobytes() if new else None)
-                counts.append(count_vector(own).tobytes() if new else None)
+                counts.append(packed_vector(own) if new else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(sids, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n", "sid", "prefix", "counts"])
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return stored(narrow.mapInArrow(run, READ), "join-sets")
 
 
-RUN = "run long, pivot long, member long, n_members int"
+MET = "pivot long, member long"
 
 
-def runs(read: DataFrame, parts: int) -> DataFrame:
-    """Sets that share a prefix shingle: (run, pivot, member), a run named by a hash of its members, the pivot its smallest. Entries travel packed,
-    in one row per task batch and part; a shingle's entries of equal sets fall together in the task that gets it."""
+def met(read: DataFrame, parts: int) -> DataFrame:
+    """(pivot, member) of sets that share a prefix shingle, the pivot being the smallest that has it. Entries travel packed, in one row per task
+    batch and part; a shingle's entries of equal sets fall together in the task that gets it."""
 
     def deal(batches):
         for b in batches:
@@ -209,37 +235,54 @@ def runs(read: DataFrame, parts: int) -> DataFrame:
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
         keys, owners = keys[new], owners[new]
-        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        out, done = [], set()
-        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)]):
-            if z - a < 2:
-                continue
-            members = owners[a:z]
-            name = xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
-            if name not in done:
-                done.add(name)
-                out.append((np.full(z - a, name), np.full(z - a, members[0]), members, np.full(z - a, z - a)))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        return pd.DataFrame(dict(zip(("run", "pivot", "member", "n_members"), columns)))
+        start = np.ones(len(keys), bool)
+        start[1:] = keys[1:] != keys[:-1]
+        pivot = owners[np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))] if len(keys) else owners
+        return pd.DataFrame({"pivot": pivot, "member": owners})[pivot != owners].drop_duplicates()
 
     dealt = read.where("prefix is not null").select("sid", "prefix").mapInArrow(deal, "part long, keys binary, owners binary")
-    return stored(dealt.groupBy("part").applyInPandas(meet, RUN), "join-runs")
+    return stored(dealt.groupBy("part").applyInPandas(meet, MET).distinct(), "join-met")
+
+
+def _cut(*columns: pd.Series) -> list[tuple[int, int]]:
+    """Ranges of equal values in sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        v = c.to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    at = np.flatnonzero(new)
+    return list(zip(at.tolist(), np.append(at[1:], len(new)).tolist()))
 
 
 def thinned(groups: DataFrame, points: DataFrame) -> DataFrame:
-    """(pivot, chunk, member) -> those with a partner in their group under the bound, in groups that the bound connects: (team, sid)."""
+    """(pivot, chunk, member) -> those with a partner in their group under the bound, in groups that the bound connects: (team, sid, n). Many small
+    groups share a task call. With a column `root`, members of one root are connected already, and it is kept."""
+    rooted = ["root"] if "root" in groups.columns else []
+    calls = -(-groups.count() // CALL_ROWS) or 1
 
     def thin(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("sid").reset_index(drop=True)
-        points = np.stack([np.frombuffer(c, "<u4") for c in frame["counts"]]).astype(np.int64)
-        label = joined(points, frame["n"].to_numpy(np.int64), None)
-        out = pd.DataFrame({"label": label, "sid": frame["sid"]})
-        out = out[out.groupby("label")["sid"].transform("size") > 1].sort_values(["label", "sid"])
-        teams = out.groupby("label")["sid"].transform(lambda s: xxhash.xxh3_64_intdigest(b"".join(s)) - (1 << 63))
-        return pd.DataFrame({"team": teams.astype("int64"), "sid": out["sid"]})
+        frame = frame.sort_values(["pivot", "chunk", "sid"]).drop_duplicates(["pivot", "chunk", "sid"]).reset_index(drop=True)
+        roots = frame["root"].to_list() if rooted else []
+        vectors, sizes, sids = [unpacked_vector(c) for c in frame["counts"]], frame["n"].to_numpy(np.int64), frame["sid"].to_list()
+        team, member = [], []
+        for a, z in _cut(frame["pivot"], frame["chunk"]):
+            start = np.unique(frame["root"][a:z], return_inverse=True)[1] if rooted else None
+            if rooted and start.max() == 0:
+                continue
+            label = joined(vectors[a:z], sizes[a:z], None, start)
+            for one in np.unique(label).tolist():
+                at = np.flatnonzero(label == one) + a
+                if len(at) > 1 and (not rooted or len({roots[i] for i in at}) > 1):
+                    name = xxhash.xxh3_64_intdigest(b"".join(sids[i] for i in at)) - (1 << 63)
+                    team += [name] * len(at)
+                    member += at.tolist()
+        out = pd.DataFrame({"team": np.array(team, np.int64), "sid": [sids[i] for i in member], "n": sizes[member] if member else np.zeros(0, np.int64)})
+        return out.assign(root=[roots[i] for i in member]) if rooted else out
 
-    met = groups.join(points, groups["member"] == points["short"]).select("pivot", "chunk", "sid", "n", "counts")
-    return met.groupBy("pivot", "chunk").applyInPandas(thin, "team long, sid binary").distinct()
+    own = groups.join(points, groups["member"] == points["short"]).select("pivot", "chunk", "sid", "n", "counts", *rooted)
+    call = F.pmod(F.xxhash64("pivot", "chunk"), F.lit(calls)).alias("call")
+    return own.groupBy(call).applyInPandas(thin, "team long, sid binary, n long" + ", root binary" * len(rooted)).distinct()
 
 
 def fetched(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -269,59 +312,63 @@ def fetched(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirmed(teams: DataFrame, full: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect the members of each team as its pairs do. Members may carry a `root` they are already connected by."""
     rooted = "root" in teams.columns
+    size = teams.agg(F.sum("n")).first()[0] or 0
+    calls = -(-int(size) * 8 // CALL_BYTES) or 1
 
     def confirm(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("sid").reset_index(drop=True)
-        sets = [np.frombuffer(o, np.uint64) for o in frame["own"]]
-        start = np.unique(frame["root"], return_inverse=True)[1] if rooted else None
-        label = joined(np.stack([count_vector(s) for s in sets]), np.array([len(s) for s in sets]), verified(sets), start)
-        if rooted:  # one link for each root that met another
-            first = {}
-            out = [(frame["sid"][first.setdefault(k, i)], frame["sid"][i]) for i, k in enumerate(label)]
-        else:
+        frame = frame.sort_values(["team", "sid"]).reset_index(drop=True)
+        sids, sets, out = frame["sid"].to_list(), [np.frombuffer(o, np.uint64) for o in frame["own"]], []
+        for a, z in _cut(frame["team"]):
+            own = sets[a:z]
+            start = np.unique(frame["root"][a:z], return_inverse=True)[1] if rooted else None
+            label = joined([count_vector(s) for s in own], np.array([len(s) for s in own]), verified(own), start)
             first = {}
-            out = [(frame["sid"][first.setdefault(k, i)], frame["sid"][i]) for i, k in enumerate(label)]
-        out = [(a, b) for a, b in out if a != b]
-        return pd.DataFrame(out, columns=["a", "b"])
+            out += [(sids[a + first.setdefault(k, i)], sids[a + i]) for i, k in enumerate(label.tolist())]
+        return pd.DataFrame([(a, b) for a, b in out if a != b], columns=["a", "b"])
 
-    return teams.join(full, "sid").groupBy("team").applyInPandas(confirm, "a binary, b binary").distinct()
+    call = F.pmod(F.xxhash64("team"), F.lit(calls)).alias("call")
+    return teams.join(full, "sid").groupBy(call).applyInPandas(confirm, "a binary, b binary").distinct()
 
 
 def links(documents: DataFrame, read: DataFrame) -> DataFrame:
     """(a, b) of set ids: verified links whose components are those of all links."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = runs(read, parts)
+    pairs = met(read, parts)
     points = read.where("counts is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.min(F.xxhash64("doc_id")).alias("h"))
     points = stored(points.withColumn("short", _short(F.col("sid"))), "join-points")
-    pairs = run.select("pivot", "member").distinct()
     sized = pairs.groupBy("pivot").agg(F.ceil((F.count(F.lit(1)) + 1) / CHUNK).alias("chunks"))
     dealt = pairs.join(sized, "pivot")
-    member = dealt.where("member <> pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("chunks")).alias("chunk"), "member")
+    member = dealt.select("pivot", F.pmod(F.xxhash64("member"), F.col("chunks")).alias("chunk"), "member")
     pivots = sized.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("member"))
     teams = stored(thinned(member.union(pivots), points), "join-teams")
     full = fetched(documents, teams.select("sid").distinct().join(points.select("sid", "h"), "sid"))
     found = stored(confirmed(teams, full), "join-links")
-    split = stored(sized.where("chunks > 1").select("pivot"), "join-split")
+    split = stored(sized.where("chunks > 1"), "join-split")
     if split.isEmpty():
         return found
-    return found.union(across(documents, run.join(split, "pivot", "left_semi"), points, found))
+    large = dealt.drop("chunks").join(split, "pivot").select("pivot", "member", "chunks").union(split.select("pivot", F.col("pivot").alias("member"), "chunks"))
+    return found.union(across(documents, large, points, full, found))
 
 
-def across(documents: DataFrame, run: DataFrame, points: DataFrame, found: DataFrame) -> DataFrame:
-    """Links between components inside runs whose group was split. Members are dealt into blocks by component; each pair of blocks that holds more
-    than one component is one task's work."""
+def across(documents: DataFrame, large: DataFrame, points: DataFrame, full: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between components inside groups that were split: (pivot, member, chunks). Members outside the group's main component (the one of most members) meet
+    every part of the group; members of the main component are one already and need not meet each other."""
     root = components(found, "a", "b", "join-part")
-    own = run.select("run", "member").distinct().join(points.select("sid", "short"), F.col("member") == F.col("short")).select("run", "sid")
-    rooted = own.join(root.withColumnRenamed("node", "sid"), "sid", "left").select("run", "sid", F.coalesce("root", "sid").alias("root"))
-    mixed_runs = rooted.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    left = stored(rooted.join(mixed_runs.select("run", F.ceil(F.col("m") / CHUNK).alias("blocks")), "run"), "join-left")
-    block = F.pmod(F.xxhash64("sid"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    paired = left.select("run", "sid", "root", block.alias("i"), other.alias("j"))
-    teams = paired.select(F.xxhash64("run", F.least("i", "j"), F.greatest("i", "j")).alias("team"), "sid", "root")
-    several = teams.groupBy("team").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("team")
-    teams = stored(teams.join(several, "team", "left_semi"), "join-across")
-    full = fetched(documents, teams.select("sid").distinct().join(points.select("sid", "h"), "sid"))
+    own = large.join(points.select("short", "sid"), F.col("member") == F.col("short")).join(root.withColumnRenamed("node", "sid"), "sid", "left")
+    own = stored(own.select("pivot", "member", "chunks", F.coalesce("root", "sid").alias("root")), "join-large")
+    sizes = own.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("pivot").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    main = stored(main.where(F.col("all") > F.col("most")).select("pivot", "main", F.ceil((F.col("all") - F.col("most")) / CHUNK).alias("rests")), "join-main")
+    left = own.join(main, "pivot")
+    hashed = F.xxhash64("member", F.lit(5))
+    # each of the rest goes to every part, and to its own place among the rest; each part is met by every block of the rest
+    rest = left.where(F.col("root") != F.col("main")).select("pivot", "member", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("i"), F.pmod(hashed, F.col("rests")).alias("j"))
+    part = left.select("pivot", "member", "root", F.pmod(F.xxhash64("member"), F.col("chunks")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("j"))
+    groups = rest.union(part).select("pivot", F.xxhash64("i", "j").alias("chunk"), "member", "root").distinct()
+    teams = stored(thinned(stored(groups, "join-rest"), points), "join-across")
+    missing = stored(teams.select("sid").distinct().join(full.select("sid"), "sid", "left_anti").join(points.select("sid", "h"), "sid"), "join-missing")
+    if not missing.isEmpty():
+        full = full.union(fetched(documents, missing))
     return confirmed(teams, full)
 
 
