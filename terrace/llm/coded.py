@@ -257,7 +257,7 @@ def _tokenizer(name: str) -> ByteTokenizer:
 
 
 SEGMENT = "part int, seq int, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def write_ids(documents: DataFrame, tokenizer_path: str, path: str, partitions: int) -> None:

@@ -157,10 +157,11 @@ class _Either(dict):
 
 
 class WordIds:
-    """Ids of texts whose words are encoded independently. Each distinct word of a batch goes to the tokenizer once, all in one multithreaded
-    call; a memo of bounded size keeps the words seen first."""
+    """Ids of texts whose words are encoded independently. Each distinct word of a batch goes to the tokenizer once, in multithreaded
+    parts; a memo of bounded size keeps the words seen first."""
 
-    LIMIT = 600_000
+    LIMIT = 200_000
+    AT_ONCE = 8_000
 
     def __init__(self, tokenizer, split: Callable[[str], list[str]]):
         self.tokenizer, self.split = tokenizer, split
@@ -170,7 +171,10 @@ class WordIds:
         cut = [self.split(t) if t else [] for t in texts]
         known = self.memo
         new = list(set(chain.from_iterable(cut)).difference(known))
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+        found = {}
+        for i in range(0, len(new), self.AT_ONCE):  # the library's results are large beside the ids kept of them
+            some = new[i : i + self.AT_ONCE]
+            found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
         if len(known) < self.LIMIT:
             known.update(found)
             found = known

@@ -29,7 +29,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
