@@ -13,7 +13,9 @@ from terrace.session import durable
 
 
 def scd1_upsert(dim: DataFrame, src: DataFrame, key: str, overwrite: bool = True) -> DataFrame:
-    """Type 1: insert new members; with `overwrite` also replace the attributes of known ones."""
+    """Type 1: insert new members; with `overwrite` also replace the attributes of known ones. Of source rows with equal key the
+    one with the greatest values, column by column, counts, so a member has one row."""
+    src = src.groupBy(F.col(key)).agg(F.max(F.struct(*dim.columns)).alias("_row")).select("_row.*")
     if not overwrite:
         return dim.unionByName(src.join(dim.select(key), key, "left_anti"))
     kept = dim.join(src.select(key), key, "left_anti")

@@ -60,7 +60,8 @@ def rolling_features(
     """Rolling sum and count over the last `seconds` (inclusive) at each (key, ts).
 
     Ordinary keys use a RANGE window. Hot keys use prefix sums: the running total now minus the running
-    total just before the window opens, both found by slice-parallel scans.
+    total just before the window opens, both found by slice-parallel scans. A window without values sums to NULL in both ways. The
+    value must be exact (decimal or integer): differences of running doubles would lose digits.
     """
     per = df.groupBy(key, ts).agg(F.sum(value).alias("_v"), F.count(value).alias("_n"))
     cold, hot, _ = split_hot(per, [key], hot_rows)
@@ -80,7 +81,7 @@ def rolling_features(
         hit = asof_join(opened, past, key, "_open", "_pt", ["_ov", "_on"], hot_rows=hot_rows)
         probe = hit.withColumns(
             {
-                f"{n}_sum": F.col("_rv") - F.coalesce("_ov", F.lit(0)),
+                f"{n}_sum": F.when(F.col("_rn") > F.coalesce("_on", F.lit(0)), F.coalesce("_rv", F.lit(0)) - F.coalesce("_ov", F.lit(0))),
                 f"{n}_count": F.col("_rn") - F.coalesce("_on", F.lit(0)),
             }
         ).drop("_open", "matched__pt", "_ov", "_on")

@@ -40,6 +40,8 @@ def test_scd2_merge_closes_and_inserts_is_idempotent_and_takes_late_changes(make
 def test_scd1(make):
     old, new = make([(1, "a"), (2, "b")], "k int, v string"), make([(2, "B"), (3, "C")], "k int, v string")
     assert rows(dim.scd1_upsert(old, new, "k")) == [(1, "a"), (2, "B"), (3, "C")]
+    twice = new.unionByName(new)
+    assert rows(dim.scd1_upsert(old, twice, "k")) == [(1, "a"), (2, "B"), (3, "C")]
     assert rows(dim.scd1_upsert(old, new, "k", overwrite=False)) == [(1, "a"), (2, "b"), (3, "C")]
 
 

@@ -88,6 +88,16 @@ def test_rolling_features_hot_equals_window(make):
     assert rows(a, *sorted(a.columns)) == rows(b, *sorted(a.columns))
 
 
+def test_rolling_windows_without_values_are_null_in_both_ways(make):
+    data = [("hot", f"2024-01-01 {h:02d}:00:00", None if h % 3 else h) for h in range(24)] + [("hot", "2024-01-01 12:00:00", None)]
+    df = make(data, "k string, ts timestamp_ntz, v decimal(10,2)")
+    args = ("k", "ts", F.col("v"), {"half": 1800, "long": 7200})
+    a, b = features.rolling_features(df, *args), features.rolling_features(df, *args, hot_rows=5)
+    got = rows(a, *sorted(a.columns))
+    assert got == rows(b, *sorted(a.columns))
+    assert a.where("half_sum is null and half_count = 0").count() == 16
+
+
 def test_training_set_never_leaks(make):
     obs = make([(1, "c", "2024-01-10"), (2, "c", "2024-01-01")], "id int, k string, at timestamp_ntz")
     feats = make([("c", "2024-01-05", 0.45), ("c", "2024-01-12", 0.99)], "k string, ft timestamp_ntz, risk double")
