@@ -1,8 +1,9 @@
 """WARC archives with revisit resolution.
 
 Headers (page id, digest, length) are shuffled by payload digest, without payloads; each digest gets its original response; records join it,
-and archives are written with fresh headers: responses carry the payload, revisits only name it. Files are plain WARC/1.1 text written by
+and archives are written with fresh headers: responses carry the payload, revisits only name it. Files are gzipped WARC/1.1 text written by
 Spark's text writer, whose line separator is the record separator; they are read back with the binary reader and cut by Content-Length.
+Payloads are shuffled once, into the partition of their archive.
 
 Null html is an empty payload; a null url is an empty target. A null page id sorts below all others; a group of nulls only stays as responses. Rows that repeat the
 largest page id of their payload all stay responses. Payloads shorter than `least` bytes are never revisits. Extra columns take no part.
@@ -10,6 +11,7 @@ largest page id of their payload all stay responses. Payloads shorter than `leas
 
 from __future__ import annotations
 
+import gzip
 import re
 
 import pyarrow as pa
@@ -23,23 +25,26 @@ from terrace.session import scratch_path
 RECORD_END = "\r\n\r\n"
 LEAST = 1000
 FILE_BYTES = 16 << 20
+FILE_RECORDS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 PARSED = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def resolved(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to of every page."""
+def resolved(pages: DataFrame, least: int = LEAST, partitions: int | None = None) -> DataFrame:
+    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to of every page, dealt by digest and page over `partitions`."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
     # one row per digest that repeats; summed up before the shuffle, so a hot payload is one row per map task
     first = own.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and original is not null").select("payload_digest", "original")
     first = stored(first, "warc-originals")
-    headers = own.select("page_id", "payload_digest").distinct().join(first, "payload_digest").where("page_id is null or page_id < original").select("page_id", "payload_digest", "original")
-    # the join meets payload rows only with their own header
-    key = (F.col("own.payload_digest") == F.col("head.payload_digest")) & F.col("own.page_id").eqNullSafe(F.col("head.page_id"))
-    joined = own.alias("own").join(headers.alias("head"), key, "left")
-    kind = F.when(F.col("head.original").isNotNull(), "revisit").otherwise("response")
-    return joined.select("own.*", kind.alias("record_type"), F.col("head.original").alias("refers_to"))
+    headers = own.select("page_id", "payload_digest").distinct().join(first, "payload_digest").where("page_id is null or page_id < original")
+    # The join meets payload rows only with their own header. Its key has no null, so that it keeps the partitions of `dealt`.
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page_key")
+    headers = headers.select("payload_digest", page, "original")
+    dealt = own.select("*", page).repartition(*[partitions] if partitions else [], "payload_digest", "page_key")
+    joined = dealt.join(headers, ["payload_digest", "page_key"], "left")
+    kind = F.when(F.col("original").isNotNull(), "revisit").otherwise("response")
+    return joined.select(*own.columns, kind.alias("record_type"), F.col("original").alias("refers_to"))
 
 
 def _record_id(page_id: Column) -> Column:
@@ -61,10 +66,9 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(RECORD_END), body).alias("value"))
 
 
-def write_archives(rows: DataFrame, path: str, files: int) -> None:
-    """Records dealt by page and digest over `files` archives."""
-    dealt = rows.repartition(files, F.xxhash64("page_id", "payload_digest"))
-    records(dealt).write.option("lineSep", RECORD_END).text(path)
+def write_archives(rows: DataFrame, path: str) -> None:
+    """One archive for each partition of `rows`, or several of at most FILE_RECORDS records."""
+    records(rows).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", FILE_RECORDS).text(path, compression="gzip")
 
 
 HEADER = re.compile(rb"([^:\r\n]+):[ ]?([^\r\n]*)\r\n")
@@ -96,7 +100,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
         for batch in batches:
             for data in batch.column("content"):
                 rows = []
-                for head, body in parsed(data.as_py()):
+                for head, body in parsed(gzip.decompress(data.as_py())):
                     kind = head[b"WARC-Type"].decode()
                     rows.append((number(head, b"X-Page-Id"), head[b"WARC-Target-URI"].decode(), number(head, b"X-Payload-Length"), head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), kind, number(head, b"X-Refers-To-Page"), body if payload and kind == "response" else None))
                 if rows:
@@ -110,5 +114,5 @@ def archive_pages(pages: DataFrame, least: int = LEAST) -> DataFrame:
     path = scratch_path(pages.sparkSession, "warc")
     most = pages.agg(F.sum(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 600)).first()[0] or 0  # bytes, before revisits
     files = max(-(-int(most) // FILE_BYTES), pages.sparkSession.sparkContext.defaultParallelism)
-    write_archives(resolved(pages, least), path, files)
+    write_archives(resolved(pages, least, files), path)
     return read_archives(pages.sparkSession, path, payload=False).drop("payload")
