@@ -180,29 +180,32 @@ def mini_dimension(
 
 
 def closure_table(edges: DataFrame, parent: str, child: str) -> DataFrame:
-    """All (ancestor, descendant, depth_level, is_leaf) pairs of a forest, self pairs at depth 0.
+    """All (ancestor, descendant, depth_level, is_leaf) pairs of a hierarchy, self pairs at depth 0.
 
-    Pointer doubling: each round joins the exact 2^k-step links with all pairs known so far, so a tree
-    of depth d takes log2(d) rounds, and no pair is produced twice.
+    One row per pair, at the length of its shortest path: a member reached over several parents counts once, and
+    a cycle ends because its pairs are known (`cycle_members` reports it). A row without a parent only names a
+    root. Pointer doubling: each round joins the exact 2^k-step links with all pairs known so far, so
+    a tree of depth d takes log2(d) rounds.
     """
-    base = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("descendant"))
-    pairs = durable(base.withColumn("depth_level", F.lit(1)))
+    links = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("descendant"))
+    base = links.filter(F.col("ancestor").isNotNull() & F.col("descendant").isNotNull())
+    pairs = durable(base.filter(F.col("ancestor") != F.col("descendant")).distinct().withColumn("depth_level", F.lit(1)))
     step = 1
     while True:
         jump = pairs.filter(F.col("depth_level") == step).select(
             F.col("ancestor").alias("_mid"), F.col("descendant").alias("_low")
         )
-        longer = durable(
-            pairs.join(jump, F.col("descendant") == F.col("_mid")).select(
-                "ancestor", F.col("_low").alias("descendant"), (F.col("depth_level") + step).alias("depth_level")
-            )
-        )
+        reached = pairs.join(jump, F.col("descendant") == F.col("_mid")).filter(F.col("ancestor") != F.col("_low"))
+        nearest = reached.groupBy("ancestor", F.col("_low").alias("descendant")).agg(F.min(F.col("depth_level") + step).alias("depth_level"))
+        longer = durable(nearest.join(pairs.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti"))
         if longer.isEmpty():
             break
         pairs = pairs.unionByName(longer)
         step *= 2
-    nodes = base.select(F.col("ancestor").alias("n")).unionByName(base.select(F.col("descendant").alias("n")))
-    selves = nodes.distinct().select(F.col("n").alias("ancestor"), F.col("n").alias("descendant"), F.lit(0).alias("depth_level"))
+    nodes = links.select(F.col("ancestor").alias("n")).unionByName(links.select(F.col("descendant").alias("n")))
+    selves = nodes.filter("n is not null").distinct().select(
+        F.col("n").alias("ancestor"), F.col("n").alias("descendant"), F.lit(0).alias("depth_level")
+    )
     inner = base.select(F.col("ancestor").alias("_inner")).distinct()
     full = selves.unionByName(pairs)
     return full.join(inner, F.col("descendant") == F.col("_inner"), "left").select(
@@ -210,6 +213,15 @@ def closure_table(edges: DataFrame, parent: str, child: str) -> DataFrame:
     )
 
 
+def cycle_members(closure: DataFrame, edges: DataFrame, parent: str, child: str) -> DataFrame:
+    """Members (`member`) that are above themselves: by a link to themselves, or over others."""
+    proper = closure.filter("depth_level > 0").select("ancestor", "descendant")
+    back = proper.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("descendant"))
+    mutual = proper.join(back, ["ancestor", "descendant"], "left_semi").select(F.col("ancestor").alias("member"))
+    own = edges.filter(F.col(parent) == F.col(child)).select(F.col(parent).alias("member"))
+    return mutual.unionByName(own).distinct()
+
+
 def hierarchy_rollup(closure: DataFrame, facts: DataFrame, key: str, measure: str, name: str) -> DataFrame:
     """Measure of each ancestor summed over itself and all its descendants."""
     per_node = facts.groupBy(key).agg(F.sum(measure).alias("_m"))

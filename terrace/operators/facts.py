@@ -53,24 +53,27 @@ def obt_mart(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str]]) -> Dat
     return wide
 
 
-def nested_mart(
-    lines: DataFrame,
-    key: str,
-    order: Sequence[str],
-    item: Sequence[str],
-    items_per_row: int = ITEMS_PER_ROW,
-    hot_rows: int = HOT_ROWS,
-    biggest: int | None = None,
+def _items(order: Sequence[str], item: Sequence[str]) -> Column:
+    """The item structs of a group in the given order, ties by the items themselves."""
+    entry = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*item).alias("_item"))
+    return F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["_item"])
+
+
+def nested_mart(lines: DataFrame, key: str, order: Sequence[str], item: Sequence[str]) -> DataFrame:
+    """One row per header with `items array<struct>`, whatever its number of items. A header whose items do not
+    fit into one row wants `nested_mart_chunks`."""
+    return lines.groupBy(key).agg(_items(order, item).alias("items"))
+
+
+def nested_mart_chunks(
+    lines: DataFrame, key: str, order: Sequence[str], item: Sequence[str], items_per_row: int = ITEMS_PER_ROW,
+    hot_rows: int = HOT_ROWS, biggest: int | None = None,
 ) -> DataFrame:
-    """Header rows with `items array<struct>`. A header with more than `items_per_row` items continues
-    on further rows (chunk_no 1, 2, ...), so no item is lost and no array grows without bound."""
+    """Rows of (header, chunk_no) with at most `items_per_row` items each: chunk_no 0, 1, ... in the given order,
+    so that no item is lost and no array grows without bound."""
     placed = ordered_scan(lines, [key], order, index="_pos", hot_rows=hot_rows, biggest=biggest)
     chunked = placed.withColumn("chunk_no", F.floor((F.col("_pos") - 1) / items_per_row).cast("int"))
-    entry = F.struct("_pos", *item)
-    packed = chunked.groupBy(key, "chunk_no").agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    return packed.withColumn(
-        "items", F.transform("items", lambda x: F.struct(*[x.getField(c).alias(c) for c in item]))
-    )
+    return chunked.groupBy(key, "chunk_no").agg(_items(["_pos"], item).alias("items"))
 
 
 def unnest_items(mart: DataFrame, key: str) -> DataFrame:

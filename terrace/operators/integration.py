@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import dbl, md5_key, n_rows, sentinel
+from terrace.functions.columns import all_of, dbl, md5_key, n_rows, sentinel
 from terrace.operators import dimensions as dim
 from terrace.operators.ordered import largest_group, ordered_scan
 from terrace.operators.silver import message_rows, tag_rejects
@@ -60,6 +60,14 @@ def _append(state: State, name: str, rows: DataFrame) -> DataFrame:
     return state[name].unionByName(piece) if name in state else piece
 
 
+def _unseen(state: State, name: str, rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows that the table does not hold yet, so that a batch loaded again adds nothing. NULLs are equal."""
+    if name not in state:
+        return rows
+    kept = state[name].select(*[F.col(k).alias(f"_seen_{k}") for k in key])
+    return rows.join(kept, all_of([F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in key]), "left_anti")
+
+
 def _bind_customer(rows: DataFrame, ts: str, customers: DataFrame, most: int) -> DataFrame:
     bound = pit_join(rows, "customer_id", ts, customers, "customer_id", ["version_sk"], most=most)
     return bound.withColumnRenamed("version_sk", "sk_customer_id").drop("valid_from", "valid_to")
@@ -68,7 +76,8 @@ def _bind_customer(rows: DataFrame, ts: str, customers: DataFrame, most: int) ->
 def load_batch(
     state: State, feeds: Mapping[str, DataFrame], batch_id: int, rules: Mapping[str, Column] | None = None
 ) -> State:
-    """Next warehouse state. Feeds that a batch lacks leave their table as it is."""
+    """Next warehouse state. Feeds that a batch lacks leave their table as it is. Every row of a feed of facts is
+    either in its fact or in the messages, and a batch loaded again leaves all tables as they are."""
     rules = trade_rules() if rules is None else rules
     out = dict(state)
     stamped = {n: df.withColumn("batch_id", F.lit(batch_id)) for n, df in feeds.items()}
@@ -133,18 +142,34 @@ def load_batch(
             )
         )
 
-    for name, table, ts in (("holding", "fact_holding", "held_at"), ("cash", "fact_cash", "balance_at")):
-        if name in feeds:
-            known = stamped[name].join(accounts, "account_id", "left_semi")
-            rows = _bind_customer(known, ts, customers, most).filter("sk_customer_id is not null").drop("customer_id")
-            if name == "holding":
-                rows = rows.join(out["fact_trade"].select("trade_id"), "trade_id", "left_semi")
-            out[table] = _append(state, table, rows)
+    # Rows without account, customer version or trade go to the messages with the first reason that holds.
+    trades = out["fact_trade"].select("trade_id", F.lit(True).alias("_traded")) if "fact_trade" in out else None
+    for name, table, ts, key in (
+        ("holding", "fact_holding", "held_at", ["trade_id"]),
+        ("cash", "fact_cash", "balance_at", ["account_id", "balance_at", "batch_id"]),
+        ("watch", "fact_watch", "placed_at", ["sk_customer_id", "security_id", "placed_at", "batch_id"]),
+    ):
+        if name not in feeds:
+            continue
+        rows = _bind_customer(stamped[name], ts, customers, most)
+        reason = F.when(F.col("sk_customer_id").isNull(), "ORPHAN: customer version")
+        if name != "watch":
+            rows = rows.join(accounts, "account_id", "left")
+            reason = F.when(F.col("_known").isNull(), "ORPHAN: account").otherwise(reason)
+        if name == "holding":
+            rows = rows.withColumn("_traded", F.lit(None).cast("boolean")) if trades is None else rows.join(trades, "trade_id", "left")
+            reason = F.coalesce(reason, F.when(F.col("_traded").isNull(), "ORPHAN: trade"))
+        checked = written(rows.withColumn("reject_reason", reason).drop("_known", "_traded"), f"{name}_feed")
+        good = checked.filter("reject_reason is null").drop("reject_reason", "customer_id")
+        out[table] = _append(state, table, _unseen(state, table, good, key))
+        named = [c for c in ("trade_id", "account_id", "customer_id", "security_id", ts) if c in checked.columns]
+        text = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in named])
+        messages.append(
+            message_rows(checked.filter("reject_reason is not null"), batch_id, f"Transform{name.capitalize()}", F.col("reject_reason"), "REJECT", text)
+        )
     if "market" in feeds:
-        out["fact_market"] = _append(state, "fact_market", stamped["market"])
-    if "watch" in feeds:
-        rows = _bind_customer(stamped["watch"], "placed_at", customers, most).filter("sk_customer_id is not null")
-        out["fact_watch"] = _append(state, "fact_watch", rows.drop("customer_id"))
+        key = ["security_id", "date_key", "batch_id"]
+        out["fact_market"] = _append(state, "fact_market", _unseen(state, "fact_market", stamped["market"], key))
 
     control = customers.sparkSession.range(1)
     for text in ("batch started", "batch completed"):
@@ -152,7 +177,8 @@ def load_batch(
     log = messages[0]
     for m in messages[1:]:
         log = log.unionByName(m)
-    out["messages"] = _append(state, "messages", log)
+    told = ["batch_id", "message_source", "message_text", "message_type", "message_data"]
+    out["messages"] = _append(state, "messages", _unseen(state, "messages", log, told))
     return out
 
 
@@ -189,7 +215,7 @@ AUDITS: dict[int, tuple[str, str]] = {
     37: ("watches without customer", "="), 38: ("watches without security", "="),
     39: ("customer key not unique", "="), 40: ("account key not unique", "="), 41: ("security key not unique", "="),
     42: ("company key not unique", "="), 43: ("trade key not unique", "="), 44: ("batches in the message log", "="),
-    45: ("rejected records in the message log", "="), 46: ("rejected trades found in the fact", "="),
+    45: ("rejected accounts and trades in the message log", "="), 46: ("rejected trades found in the fact", "="),
 }
 
 
@@ -263,7 +289,8 @@ def audit_actuals(state: State) -> DataFrame:
     ]
     log = state["messages"]
     reject = F.col("message_type") == "REJECT"
-    parts.append(({44: "a", 45: "b"}, log.agg(F.count_distinct("batch_id").alias("a"), F.count_if(reject).alias("b"))))
+    named = reject & F.col("message_source").isin("TransformAccount", "TransformTrade")
+    parts.append(({44: "a", 45: "b"}, log.agg(F.count_distinct("batch_id").alias("a"), F.count_if(named).alias("b"))))
     rejected = log.filter(reject & (F.col("message_source") == "TransformTrade")).select(
         F.regexp_extract("message_data", "([0-9]+)", 1).cast("bigint").alias("trade_id"), "batch_id"
     )

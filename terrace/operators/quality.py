@@ -339,24 +339,26 @@ def metric_regression(
     live: DataFrame, base: DataFrame, keys: Sequence[str], metric: str, status: str,
     max_increase_pct: float = 100.0, min_delta: float = 1.0,
 ) -> DataFrame:
-    """Compare a metric table with its baseline per key: new keys, status flips, and increases beyond the
-    percentage and the minimum delta. A baseline of zero has no percentage and never alerts."""
+    """Compare a metric table with its baseline per key: new keys, keys that are gone, status flips, and increases beyond
+    the percentage and the minimum delta. A baseline of zero has no percentage and never alerts."""
     b = base.select(*keys, F.col(metric).alias("base_value"), F.col(status).alias("base_status"), F.lit(True).alias("_in_base"))
-    joined = live.select(*keys, F.col(metric).alias("live_value"), F.col(status).alias("live_status")).join(b, list(keys), "left")
+    l = live.select(*keys, F.col(metric).alias("live_value"), F.col(status).alias("live_status"), F.lit(True).alias("_in_live"))
+    joined = l.join(b, list(keys), "full")
     delta = F.col("live_value") - F.col("base_value")
     pct = F.when(F.col("base_value") > 0, delta / F.col("base_value") * 100.0).otherwise(F.lit(0.0))
-    is_new = F.col("_in_base").isNull()
+    is_new, is_gone = F.col("_in_base").isNull(), F.col("_in_live").isNull()
+    both = ~is_new & ~is_gone
     return joined.select(
-        *keys, "live_value", "base_value", is_new.alias("is_new"),
-        (~is_new & ~F.col("live_status").eqNullSafe(F.col("base_status"))).alias("status_drift"),
-        F.coalesce(~is_new & (pct > max_increase_pct) & (delta >= min_delta), F.lit(False)).alias("regression"),
+        *keys, "live_value", "base_value", is_new.alias("is_new"), is_gone.alias("is_gone"),
+        (both & ~F.col("live_status").eqNullSafe(F.col("base_status"))).alias("status_drift"),
+        F.coalesce(both & (pct > max_increase_pct) & (delta >= min_delta), F.lit(False)).alias("regression"),
     )
 
 
 def regression_verdict(compared: DataFrame) -> DataFrame:
     n = compared.agg(
-        n_rows().alias("compared"), F.count_if("is_new").alias("new_keys"), F.count_if("status_drift").alias("drifted"),
-        F.count_if("regression").alias("alerts"),
+        n_rows().alias("compared"), F.count_if("is_new").alias("new_keys"), F.count_if("is_gone").alias("gone_keys"),
+        F.count_if("status_drift").alias("drifted"), F.count_if("regression").alias("alerts"),
     )
     verdict = (
         F.when(F.col("drifted") > 0, "DRIFT_DETECTED").when(F.col("alerts") > 0, "PERF_ALERT").otherwise("IDENTICAL")
@@ -372,13 +374,18 @@ def percentile_summary(df: DataFrame, by: str, value: str, hot_rows: int = HOT_R
     fewer than 20 (p95) or 100 (p99) values the largest. The median is the mean of the two middle values.
 
     Values are counted first, then the counts are scanned in order; no group is collected or sorted whole.
+    The mean is summed exactly to 12 decimals; a group with a value outside decimal(38,12) is summed in doubles.
     """
     v = F.col(value)
-    histogram = df.filter(v.isNotNull()).groupBy(by, value).agg(n_rows().alias("_n"))
+    exact = v.try_cast("decimal(38,12)")
+    histogram = df.filter(v.isNotNull()).groupBy(by, value).agg(n_rows().alias("_n"), F.try_sum(exact).alias("_s"))
     cum = ordered_scan(histogram, [by], [value], running={"_upto": "_n"}, hot_rows=hot_rows)
     totals = histogram.groupBy(by).agg(
         F.sum("_n").alias("n"),
-        (dbl(F.sum(v.cast("decimal(18,4)") * F.col("_n"))) / dbl(F.sum("_n"))).alias("mean"),
+        (
+            F.when(F.count("_s") == F.count(F.lit(1)), dbl(F.try_sum("_s"))).otherwise(F.sum(dbl(value) * dbl("_n")))
+            / dbl(F.sum("_n"))
+        ).alias("mean"),
         F.max(value).alias("_top"),
     )
     joined = cum.join(totals, by)

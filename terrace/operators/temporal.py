@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators.ordered import HOT_ROWS, largest_group, ordered_scan
@@ -67,27 +67,32 @@ def pit_join(
 ) -> DataFrame:
     """Left join of facts to the dimension version valid at the fact time (valid_from <= ts < valid_to).
 
+    A fact takes the newest version that began by its time, provided that it had not ended: of overlapping
+    versions the one with the largest (valid_from, valid_to, values) counts, so a fact stays one row. Columns:
+    those of the fact, valid_from, valid_to, values. Versions without a key match nothing.
+
     With few versions per member the equi-join with a range residual is cheapest. With many, one hot
-    member would multiply its facts by its versions, so the as-of scan is used instead.
-    Versions of a member must not overlap. `most`, a known bound of versions per member, saves counting
-    them while it is small.
+    member would multiply its facts by its versions, so the as-of scan is used instead; both give the same rows.
+    `most`, a known bound of versions per member, saves counting them while it is small.
     """
+    known = dim.filter(F.col(key).isNotNull())
     if most is None or most > few_versions:
-        most = largest_group(dim, [key])
+        most = largest_group(known, [key])
     if most <= few_versions:
-        versions = dim.select(F.col(key).alias("_dk"), "valid_from", "valid_to", *values)
+        following = Window.partitionBy("_dk").orderBy("valid_from", "valid_to", *values)
+        versions = known.select(F.col(key).alias("_dk"), "valid_from", "valid_to", *values).withColumn(
+            "_next", F.lead("valid_from").over(following)
+        )
         cond = (
             (F.col(fact_key) == F.col("_dk"))
             & (F.col(fact_ts) >= F.col("valid_from"))
             & (F.col(fact_ts) < F.col("valid_to"))
+            & (F.col("_next").isNull() | (F.col(fact_ts) < F.col("_next")))
         )
-        return fact.join(versions, cond, "left").drop("_dk")
-    renamed = dim.select(F.col(key).alias(fact_key), "valid_from", "valid_to", *values)
-    hit = asof_join(
-        fact, renamed, fact_key, fact_ts, "valid_from", ["valid_to", *values], hot_rows=hot_rows
-    )
+        return fact.join(versions, cond, "left").drop("_dk", "_next")
+    renamed = known.select(F.col(key).alias(fact_key), "valid_from", "valid_to", *values)
+    ends = ["valid_to", *values]
+    hit = asof_join(fact, renamed, fact_key, fact_ts, "valid_from", ends, tie=ends, hot_rows=hot_rows)
     inside = F.col(fact_ts) < F.col("valid_to")
-    hit = hit.withColumnRenamed("matched_valid_from", "valid_from")
-    return hit.withColumns({c: F.when(inside, F.col(c)) for c in values} | {
-        "valid_from": F.when(inside, F.col("valid_from")), "_to": F.when(inside, F.col("valid_to"))
-    }).drop("valid_to").withColumnRenamed("_to", "valid_to")
+    found = {"valid_from": "matched_valid_from"} | {c: c for c in ends}
+    return hit.select(*fact.columns, *[F.when(inside, F.col(source)).alias(c) for c, source in found.items()])

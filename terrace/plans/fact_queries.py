@@ -122,20 +122,19 @@ ITEM = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
 
 
 def order_baskets(t: Tables) -> DataFrame:
-    biggest = largest_group(t.lineitem, ["l_orderkey"])
-    return facts.nested_mart(clean_lines(t, biggest), "l_orderkey", ["l_linenumber"], ITEM, biggest=biggest)
+    return facts.nested_mart(clean_lines(t, orders_fit=True), "l_orderkey", ["l_linenumber"], ITEM)
 
 
 @query(
     "f5_nested_mart",
-    f"""SELECT l_orderkey, CAST(0 AS INTEGER) AS chunk_no, CAST(count(*) AS INTEGER) AS item_count,
+    f"""SELECT l_orderkey, CAST(count(*) AS INTEGER) AS item_count,
                string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber) AS items
         FROM {DEDUP_SQL} GROUP BY 1""",
 )
 def _(t):
     label = F.transform("items", lambda x: F.concat(x["l_linenumber"], F.lit(":"), x["l_partkey"]))
     return order_baskets(t).select(
-        "l_orderkey", "chunk_no", F.size("items").alias("item_count"), F.array_join(label, ",").alias("items")
+        "l_orderkey", F.size("items").alias("item_count"), F.array_join(label, ",").alias("items")
     )
 
 

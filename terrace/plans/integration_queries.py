@@ -127,6 +127,7 @@ BASE_SQL = f"""WITH o AS (SELECT orders.*, c_nationkey, c_acctbal, c_acctbal < 0
   mk AS (SELECT l_partkey, year(ts) AS y, month(ts) AS m, batch, sum(qty) AS v FROM tr GROUP BY 1, 2, 3, 4),
   wt AS (SELECT DISTINCT user_id, regexp_extract(props, '([0-9]+)', 1) AS k FROM events JOIN customer ON c_custkey = user_id
     WHERE event_type = 'view' AND c_acctbal >= 0),
+  seen AS (SELECT DISTINCT user_id, regexp_extract(props, '([0-9]+)', 1) AS k FROM events WHERE event_type = 'view'),
   gold AS (SELECT DISTINCT o_custkey FROM o WHERE NOT is_new AND o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-02-01') """
 
 
@@ -143,7 +144,9 @@ def totals_sql(b: int) -> str:
         ("fact_market", f"(SELECT count(*) FROM mk WHERE batch <= {b})", f"(SELECT sum(v) FROM mk WHERE batch <= {b})"),
         ("fact_trade", f"(SELECT count(*) FROM ok WHERE batch <= {b})", f"(SELECT sum(price * qty) FROM ok WHERE batch <= {b})"),
         ("fact_watch", "(SELECT count(*) FROM wt)", "NULL"),
-        ("messages", f"(SELECT count(*) FROM chk WHERE batch <= {b} AND NOT coalesce(good, false)) + 2 * {b}", "NULL"),
+        ("messages", f"(SELECT count(*) + count(*) FILTER (WHERE l_linestatus = 'O') FROM chk WHERE batch <= {b} AND NOT coalesce(good, false))"
+         f" + (SELECT count(DISTINCT (account_id, o_orderdate, batch)) FROM o WHERE batch <= {b}) - (SELECT count(*) FROM cash WHERE batch <= {b})"
+         f" + (SELECT count(*) FROM seen) - (SELECT count(*) FROM wt) + 2 * {b}", "NULL"),
         ("prospect", "(SELECT count(*) FROM customer WHERE c_acctbal < 0)", "NULL"),
     ]
     return BASE_SQL + " UNION ALL ".join(

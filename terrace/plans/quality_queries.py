@@ -358,10 +358,11 @@ def _(t):
 
 DAY_SQL = f"""(SELECT event_type, CAST(day(ts) AS INTEGER) AS d, CAST(sum({M('value')}) AS DOUBLE) AS v,
     CASE WHEN count(*) >= 60 THEN 'BUSY' ELSE 'QUIET' END AS s FROM events GROUP BY 1, 2)"""
-REGRESSION_SQL = f"""(SELECT l.event_type, l.d AS day, l.v AS live_value, b.v AS base_value, b.d IS NULL AS is_new,
+REGRESSION_SQL = f"""(SELECT coalesce(l.event_type, b.event_type) AS event_type, CAST(coalesce(l.d, b.d + 1) AS INTEGER) AS day,
+    l.v AS live_value, b.v AS base_value, b.d IS NULL AS is_new, l.d IS NULL AS is_gone,
     coalesce(b.s <> l.s, false) AS status_drift,
     coalesce(CASE WHEN b.v > 0 THEN (l.v - b.v) / b.v * 100.0::DOUBLE ELSE 0 END > 100 AND l.v - b.v >= 1, false) AS regression
-    FROM {DAY_SQL} l LEFT JOIN {DAY_SQL} b ON b.event_type = l.event_type AND b.d + 1 = l.d)"""
+    FROM {DAY_SQL} l FULL JOIN {DAY_SQL} b ON b.event_type = l.event_type AND b.d + 1 = l.d)"""
 
 
 def daily_regression(t: Tables):
@@ -380,7 +381,7 @@ def _(t):
 
 @query(
     "k20_regression_verdict",
-    f"""SELECT count(*) AS compared, count(*) FILTER (WHERE is_new) AS new_keys, count(*) FILTER (WHERE status_drift) AS drifted,
+    f"""SELECT count(*) AS compared, count(*) FILTER (WHERE is_new) AS new_keys, count(*) FILTER (WHERE is_gone) AS gone_keys, count(*) FILTER (WHERE status_drift) AS drifted,
           count(*) FILTER (WHERE regression) AS alerts, CASE WHEN bool_or(status_drift) THEN 'DRIFT_DETECTED'
             WHEN bool_or(regression) THEN 'PERF_ALERT' ELSE 'IDENTICAL' END AS verdict FROM {REGRESSION_SQL}""",
 )

@@ -25,11 +25,11 @@ DEDUP_SQL = """(SELECT * FROM lineitem QUALIFY row_number() OVER (
     l_suppkey DESC, l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1)"""
 
 
-def clean_lines(t: Tables, biggest_order: int | None = None) -> DataFrame:
-    """One row per order line: the newest of its duplicates. Given that no order is too large for one task,
-    lines are partitioned by order at once, so that later steps per order need no second shuffle."""
+def clean_lines(t: Tables, biggest_order: int | None = None, orders_fit: bool = False) -> DataFrame:
+    """One row per order line: the newest of its duplicates. If no order is too large for one task, as its measured
+    size says or the caller (`orders_fit`), lines are partitioned by order at once: later steps per order need no second shuffle."""
     lines = t.lineitem
-    if biggest_order is not None and biggest_order <= HOT_ROWS:
+    if orders_fit or (biggest_order is not None and biggest_order <= HOT_ROWS):
         lines = lines.repartition("l_orderkey")
     return silver.dedup_latest(lines, LINE_KEYS, line_order())
 

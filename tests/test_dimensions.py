@@ -77,6 +77,19 @@ def test_closure_of_a_chain_and_rollup(make):
     assert rows(dim.hierarchy_rollup(chain, costs, "n", "cost", "total"), "ancestor", "total") == [(1, 21), (2, 16), (3, 9)]
 
 
+def test_closure_of_a_diamond_and_of_cycles(make):
+    diamond = make([(1, 2), (1, 3), (2, 4), (3, 4), (1, 4), (1, 2), (None, 1)], "p int, c int")
+    closure = dim.closure_table(diamond, "p", "c")
+    assert rows(closure.filter("descendant = 4"), "ancestor", "depth_level") == [(1, 1), (2, 1), (3, 1), (4, 0)]
+    assert closure.count() == closure.select("ancestor", "descendant").distinct().count() == 9
+    assert rows(dim.hierarchy_rollup(closure, make([(2, 5), (4, 9)], "n int, cost int"), "n", "cost", "total").filter("ancestor = 1"), "total") == [(14,)]
+    assert dim.cycle_members(closure, diamond, "p", "c").isEmpty()
+    ring = make([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 6)], "p int, c int")
+    closed = dim.closure_table(ring, "p", "c")
+    assert rows(closed.filter("ancestor = 1"), "descendant", "depth_level") == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+    assert rows(dim.cycle_members(closed, ring, "p", "c")) == [(1,), (2,), (3,), (6,)]
+
+
 def test_long_chain_closure(make):
     n = 21
     chain = dim.closure_table(make([(i, i + 1) for i in range(n)], "p int, c int"), "p", "c")

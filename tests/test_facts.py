@@ -27,7 +27,10 @@ def test_weighted_bridge_does_not_double_count(make):
 
 def test_nested_mart_splits_large_headers_and_loses_nothing(make):
     lines = make([(1, i, 2, i) for i in range(25)] + [(2, 0, 1, 7)], "o int, n int, q double, p double")
-    mart = facts.nested_mart(lines, "o", ["n"], ["n", "q", "p"], items_per_row=10, hot_rows=8)
+    whole = facts.nested_mart(lines, "o", ["n"], ["n", "q", "p"])
+    assert rows(whole.select("o", F.size("items"))) == [(1, 25), (2, 1)] and rows(facts.unnest_items(whole, "o")) == rows(lines)
+    assert [i.n for i in whole.filter("o = 1").first()["items"]] == list(range(25))
+    mart = facts.nested_mart_chunks(lines, "o", ["n"], ["n", "q", "p"], items_per_row=10, hot_rows=8)
     assert rows(mart.select("o", "chunk_no", F.size("items"))) == [(1, 0, 10), (1, 1, 10), (1, 2, 5), (2, 0, 1)]
     assert rows(facts.unnest_items(mart, "o")) == rows(lines)
     total = mart.select(facts.unnest_revenue("q", "p").cast("double").alias("r")).agg(F.sum("r")).first()[0]

@@ -54,6 +54,22 @@ def test_reloading_a_batch_adds_no_trade(spark, state):
     assert again["fact_trade"].count() == 1600
 
 
+def test_reloading_a_whole_batch_changes_nothing(spark, state):
+    again = it.load_batch(state, brokerage_batch(spark, 3), 3)
+    assert rows(it.control_totals(again)) == rows(it.control_totals(state))
+
+
+def test_each_fact_row_is_kept_or_rejected(spark, state):
+    first = brokerage_batch(spark, 1)
+    odd = {"cash": first["cash"].orderBy("account_id", "balance_at").limit(3).withColumn("customer_id", F.lit(-1).cast("bigint"))}
+    odd["cash"] = odd["cash"].unionByName(odd["cash"].withColumn("account_id", F.lit(None).cast("string")))
+    odd["watch"] = first["watch"].orderBy("customer_id", "security_id").limit(4).withColumn("customer_id", F.lit(None).cast("bigint"))
+    after = it.load_batch(state, odd, 4)
+    assert after["fact_cash"].count() == state["fact_cash"].count() and after["fact_watch"].count() == state["fact_watch"].count()
+    fresh = after["messages"].filter("batch_id = 4 and message_type = 'REJECT'").groupBy("message_source", "message_text").count()
+    assert rows(fresh) == [("TransformCash", "ORPHAN: account", 3), ("TransformCash", "ORPHAN: customer version", 3), ("TransformWatch", "ORPHAN: customer version", 4)]
+
+
 def drop(spark, data, ddl, path):
     spark.createDataFrame(data, ddl).write.mode("append").parquet(path)
 

@@ -60,6 +60,12 @@ def test_percentile_ranks(spark, make):
         assert rows(quality.percentile_summary(hundred.unionByName(few), "g", "v", hot_rows=hot)) == want
 
 
+def test_percentile_mean_of_small_and_huge_values(make):
+    df = make([("a", 1e-5), ("a", 2e-5), ("b", 1e15), ("b", 3e15), ("c", 1e200), ("c", 1e200), ("d", None)], "g string, v double")
+    got = {r.g: r.mean for r in quality.percentile_summary(df, "g", "v").collect()}
+    assert got == {"a": 1.5e-5, "b": 2e15, "c": 1e200}
+
+
 def test_scorecard_cuts_at_first_blocking_failure(make):
     ddl = "risk_id string, tier int, status string, blocking boolean"
     r = quality.scorecard(make([("B", 1, "WARNING", "false"), ("A", 1, "PASS", "true"), ("C", 2, "FAIL", "true"), ("D", 3, "FAIL", "true")], ddl)).first()
@@ -74,6 +80,7 @@ def test_regression_rule(make):
     live = make([("a", 2.5, "OK"), ("b", 0.9, "OK"), ("c", 9, "OK"), ("e", 1, "OK")], ddl)
     cmp = quality.metric_regression(live, base, ["k"], "v", "s")
     assert rows(cmp.filter("regression"), "k") == [("a",)] and rows(cmp.filter("is_new"), "k") == [("e",)]
+    assert rows(cmp.filter("is_gone"), "k", "live_value", "base_value", "status_drift") == [("d", None, 1.0, False)]
     assert quality.regression_verdict(cmp).first()["verdict"] == "PERF_ALERT"
     flipped = quality.metric_regression(live.withColumn("s", F.lit("BAD")), base, ["k"], "v", "s")
     assert quality.regression_verdict(flipped).first()["verdict"] == "DRIFT_DETECTED"

@@ -44,7 +44,21 @@ def test_point_in_time_binds_to_the_past(make):
     # The as-of path, chosen when members have many versions, gives the same binding and the same columns.
     scan = pit_join(facts, "c", "at", members, "cust", ["city"], few_versions=0, hot_rows=2)
     assert rows(scan, "id", "city") == want
-    assert set(scan.columns) == {"id", "c", "at", "city", "valid_from", "valid_to"}
+    assert scan.columns == ["id", "c", "at", "valid_from", "valid_to", "city"]
+
+
+def test_pit_join_gives_one_row_whatever_the_versions_overlap(make):
+    members = make(
+        [("c", "2024-01-01", "2024-06-01", 1), ("c", "2024-02-01", "2024-03-01", 2), ("c", "2024-02-01", "2024-04-01", None),
+         ("c", "2024-05-01", None, 4), (None, "2024-01-01", "2024-06-01", 5)],
+        "k string, valid_from timestamp_ntz, valid_to timestamp_ntz, v int",
+    )
+    facts = make([(1, "c", "2024-01-10"), (2, "c", "2024-02-10"), (3, "c", "2024-04-10"), (4, "c", "2024-05-10"), (5, None, "2024-02-01"),
+                  (6, "c", None)], "id int, fk string, at timestamp_ntz")
+    equi, scan = (pit_join(facts, "fk", "at", members, "k", ["v"], few_versions=few) for few in (64, 0))
+    assert equi.columns == scan.columns == ["id", "fk", "at", "valid_from", "valid_to", "v"]
+    assert rows(equi) == rows(scan)
+    assert rows(equi, "id", F.month("valid_to"), "v") == [(1, 6, 1), (2, 4, None), (3, None, None), (4, None, None), (5, None, None), (6, None, None)]
 
 
 def test_pit_join_respects_gaps(make):
