@@ -70,12 +70,14 @@ def count_vector(own: np.ndarray) -> np.ndarray:
 
 
 def packed_vector(own: np.ndarray) -> bytes:
+    """The counts in the fewest bytes that hold the largest, which come first."""
     v = count_vector(own)
-    return b"2" + v.astype("<u2").tobytes() if v.max(initial=0) < 1 << 16 else b"4" + v.tobytes()
+    width = next(w for w in (1, 2, 4) if v.max(initial=0) < 1 << 8 * w)
+    return b"%d" % width + v.astype(f"<u{width}").tobytes()
 
 
 def unpacked_vector(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if data[:1] == b"2" else "<u4", offset=1)
+    return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1)
 
 
 def folded(v: np.ndarray, groups: int) -> np.ndarray:
@@ -259,7 +261,7 @@ def thinned(groups: DataFrame, points: DataFrame) -> DataFrame:
     """(pivot, chunk, member) -> those with a partner in their group under the bound, in groups that the bound connects: (team, sid, n). Many small
     groups share a task call. With a column `root`, members of one root are connected already, and it is kept."""
     rooted = ["root"] if "root" in groups.columns else []
-    calls = -(-groups.count() // CALL_ROWS) or 1
+    calls = max(-(-groups.count() // CALL_ROWS), int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def thin(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["pivot", "chunk", "sid"]).drop_duplicates(["pivot", "chunk", "sid"]).reset_index(drop=True)
