@@ -165,6 +165,14 @@ def test_no_bound_of_the_tree_loses_a_pair():
             assert label[i] == label[j]
 
 
+def test_count_vectors_come_back_from_their_bytes():
+    for n in (0, 1, 200, 5000):
+        own = np.arange(1, n + 1, dtype=np.uint64)
+        assert (nearjoin.unpacked_vector(nearjoin.packed_vector(own)) == nearjoin.count_vector(own)).all()
+    one = np.full(300, 7, np.uint64)  # not a set, but one group with a count that needs two bytes
+    assert nearjoin.packed_vector(one)[:1] == b"2" and nearjoin.unpacked_vector(nearjoin.packed_vector(one)).max() == 300
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 9)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b", "t").collect()}
