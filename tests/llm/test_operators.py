@@ -89,6 +89,31 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(none, none, 5).count() == 0
 
 
+def test_top_k_keeps_large_components_and_repeated_ids_as_the_sql_does(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 4)]) for i in range(120)]
+    vectors += [(130, [5000.0, 1.0, -1.0, 0.5]), (131, [-9e3, 0.0, 2.0, 1.0]), (150, [1e5, -1e4, 3.0, 0.0]), (200, [-4097.0, 0.25, 0.0, 0.0]), (132, [float("nan")] * 4), (133, [float("inf"), 0.0, 0.0, 0.0])]
+    vectors += [(7, [0.9, 0.9, 0.9, 0.9]), (7, [-0.9, 0.1, 0.0, 2.0]), (50, [0.7, -0.7, 0.7, -0.7]), (50, [6e3, 0.0, 1.0, 0.0])]  # repeated ids, also of a query
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    clean = topk.quantised(table)
+    got = sorted(map(tuple, topk.top_k(clean, clean.where("vec_id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score").collect()))
+    duck = duckdb.connect()
+    duck.register("embeddings", pa.table({"vec_id": pa.array([i for i, _ in vectors], pa.int64()), "embedding": pa.array([v for _, v in vectors], pa.list_(pa.float32()))}))
+    assert got == sorted(duck.execute(queries.SQL["op4_bit_sliced_topk"]).fetchall())
+    assert {q for q, *_ in got} == {0, 50, 100, 150, 200} and {130, 131} <= {i for _, _, i, _ in got}
+
+
+def test_scores_beyond_64_bits_are_not_wrapped(spark):
+    values, query = np.array([[1 << 40, 3], [1 << 62, 1 << 62], [2, 1]]), np.array([1 << 30, -(1 << 40)])
+    assert topk.exact(values, query).tolist() == [(1 << 70) - 3 * (1 << 40), (1 << 92) - (1 << 102), (1 << 31) - (1 << 40)]
+    assert topk.Block(np.array([1, 2, 3]), values).top(3, query, 2)[1].tolist() == [(1 << 70) - 3 * (1 << 40), (1 << 92) - (1 << 102)]
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        topk.quantised(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_katz_sums_to_one_and_equals_a_plain_version(spark):
     rows = [*corpus(4, 40), (None, "a b", None, None, None)]
     held = {d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0 for d, *_ in rows}
