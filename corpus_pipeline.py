@@ -17,15 +17,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: the one that names the group. Of rows with equal doc_id one stays; a document without words, or without doc_id, stays."""
-    found = nearjoin.components_of(docs)
-    goes = stored(found.where("component_rows > 1 and doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
-    left = docs.join(goes, "doc_id", "left_anti")
-    twice = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "pipeline-repeats")
+    """One row of each group of linked documents stays: the least by doc_id (null last) and then by the MD5 of its text; of rows equal in both, the least by all columns. Rows that share a
+    doc_id are separate documents, and a document without words stays."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__text", F.md5(F.col("text").cast("string").cast("binary")))
+    found = nearjoin.components_of(keyed, "__text")
+    linked = stored(found.where("component_rows > 1").select(F.col("doc_id").alias("__doc"), F.col("__text").alias("__key"), "least"), "pipeline-linked")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__key"))
+    left = keyed.join(linked.where("not least").select("__doc", "__key").distinct(), same, "left_anti")
+    twice = stored(linked.where("least").groupBy("__doc", "__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__doc", "__key"), "pipeline-repeats")
     if twice.isEmpty():
-        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
-    one = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return left.select(*names)
+    one = left.join(twice, same, "left_semi").groupBy("doc_id", "__text").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return left.join(twice, same, "left_anti").select(*names).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

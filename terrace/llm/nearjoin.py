@@ -178,8 +178,9 @@ def frequent(documents: DataFrame) -> np.ndarray:
 READ = "doc_id long, n long, sid binary, prefix binary, counts binary"
 
 
-def read_sets(documents: DataFrame, last: np.ndarray) -> DataFrame:
-    """A row per document: size and id of its set; prefix and counts, unless the same task has already given those of an equal set."""
+def read_sets(documents: DataFrame, last: np.ndarray, key: str | None = None) -> DataFrame:
+    """A row per document: size and id of its set; prefix and counts, unless the same task has already given those of an equal set; and column `key`, if named."""
+    kept = ["doc_id", *[key] * (key is not None)]
     sent = documents.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
@@ -196,10 +197,10 @@ def read_sets(documents: DataFrame, last: np.ndarray) -> DataFrame:
                 sids.append(sid)
                 prefixes.append(prefix(own, last_).tobytes() if new else None)
                 counts.append(packed_vector(own) if new else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(sids, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n", "sid", "prefix", "counts"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(size, pa.int64()), pa.array(sids, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(counts, pa.binary())], names=[*kept, "n", "sid", "prefix", "counts"])
 
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return stored(narrow.mapInArrow(run, READ), "join-sets")
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in kept[1:]], F.col("text").cast("string").cast("binary").alias("text"))
+    return stored(narrow.mapInArrow(run, READ if key is None else READ.replace("doc_id long", f"doc_id long, `{key}` string")), "join-sets")
 
 
 MET = "pivot long, member long"
@@ -380,13 +381,16 @@ def _short(sid):
     return F.conv(swapped, 16, -10).cast("long")
 
 
-def components_of(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document, and component_rows (how many documents its component has)."""
-    read = read_sets(documents, frequent(documents))
+def components_of(documents: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document, and component_rows (how many documents its component has). With `key`, the name of a text column
+    that tells documents of equal doc_id apart, also that column and least: whether the row is the least (doc_id, key) of its component, null ids last."""
+    read = read_sets(documents, frequent(documents), key)
     root = components(links(documents, read), "a", "b", "join")
-    named = read.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    rooted = named.join(root.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", "rows", F.coalesce("root", "sid").alias("root"))
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("component_rows"))
-    by_set = stored(rooted.join(whole, "root").select("sid", "component_id", "component_rows"), "join-named")
-    out = read.join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component_rows", F.lit(1)).alias("component_rows"))
+    place = [] if key is None else [F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(key).alias("key"))]
+    named = read.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), *[F.min(p).alias("first") for p in place])
+    rooted = named.join(root.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", "rows", F.coalesce("root", "sid").alias("root"), *["first"] * len(place))
+    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("component_rows"), *[F.min("first").alias("component_first") for _ in place])
+    by_set = stored(rooted.join(whole, "root").select("sid", "component_id", "component_rows", *["component_first"] * len(place)), "join-named")
+    more = [c for p in place for c in (F.col(key), F.coalesce(p == F.col("component_first"), F.lit(True)).alias("least"))]
+    out = read.join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component_rows", F.lit(1)).alias("component_rows"), *more)
     return out

@@ -352,3 +352,17 @@ def test_pipeline_equals_a_plain_version(spark):
                 expect[d] = model.encode(t)
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == expect
+
+
+def test_near_duplicates_go_by_row_and_not_by_doc_id(spark):
+    import corpus_pipeline
+
+    copy, near = "exact copy of a text that stands many times in this corpus", "exact copy of a text that stands many times in this corpus here"
+    other, alone = "a wholly different text about rivers and boats and bridges", "nothing like any other of these short documents at all"
+    rows = [(1, copy, "a"), (2, copy, "a"), (2, other, "a"), (3, near, "a"), (3, alone, "a"), (None, copy, "a"), (None, "only rows without an id say this sentence twice", "b"), (None, "only rows without an id say this sentence twice", "a"), (4, "", "a"), (4, None, "a"), (None, " ", "a"), (5, "the very same row stands here two times over", "d"), (5, "the very same row stands here two times over", "c")]
+    gone = [(2, copy, "a"), (3, near, "a"), (None, copy, "a"), rows[6], rows[11]]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "doc_id long, text string, source string")
+        got = corpus_pipeline.near_duplicates(spark, table, SF)
+        assert got.columns == table.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted((r for r in rows if r not in gone), key=repr)
