@@ -77,7 +77,8 @@ def load_batch(
     state: State, feeds: Mapping[str, DataFrame], batch_id: int, rules: Mapping[str, Column] | None = None
 ) -> State:
     """Next warehouse state. Feeds that a batch lacks leave their table as it is. Every row of a feed of facts is
-    either in its fact or in the messages, and a batch loaded again leaves all tables as they are."""
+    either in its fact or in the messages, and a batch loaded again leaves all tables as they are. Holdings, cash,
+    watches and market days of a later batch are further rows; a trade that an earlier batch brought is rejected."""
     rules = trade_rules() if rules is None else rules
     out = dict(state)
     stamped = {n: df.withColumn("batch_id", F.lit(batch_id)) for n, df in feeds.items()}
@@ -117,7 +118,7 @@ def load_batch(
         messages.append(
             message_rows(
                 bound.filter(orphan), batch_id, "TransformAccount", F.lit("ORPHAN: customer"), "REJECT",
-                F.concat(F.lit("account_id="), "account_id"),
+                F.concat(F.lit("account_id="), F.coalesce("account_id", F.lit("null"))),
             )
         )
     accounts = out["dim_account"].select("account_id", F.lit(True).alias("_known"))
@@ -130,7 +131,12 @@ def load_batch(
             F.when(F.col("_known").isNull(), "ORPHAN: account"),
             F.when(F.col("sk_customer_id").isNull(), "ORPHAN: customer version"),
         )
-        checked = written(bound.withColumn("reject_reason", reason).drop("_known"), "trade_feed")
+        if "fact_trade" in state:
+            # a trade of this batch is one loaded again, that of another batch is refused
+            known = state["fact_trade"].groupBy("trade_id").agg(F.min("batch_id").alias("_first"), F.bool_or(F.col("batch_id") == batch_id).alias("_again"))
+            bound = bound.join(known, "trade_id", "left")
+            reason = F.coalesce(reason, F.when(~F.col("_again"), F.concat(F.lit("KNOWN: trade of batch "), F.col("_first").cast("string"))))
+        checked = written(bound.withColumn("reject_reason", reason).drop("_known", "_first", "_again"), "trade_feed")
         good = checked.filter("reject_reason is null").drop("reject_reason", "customer_id")
         if "fact_trade" in state:
             good = good.join(state["fact_trade"].select("trade_id"), "trade_id", "left_anti")
@@ -138,14 +144,14 @@ def load_batch(
         messages.append(
             message_rows(
                 checked.filter("reject_reason is not null"), batch_id, "TransformTrade", F.col("reject_reason"), "REJECT",
-                F.concat(F.lit("trade_id="), "trade_id"),
+                F.concat(F.lit("trade_id="), F.coalesce(F.col("trade_id").cast("string"), F.lit("null"))),
             )
         )
 
     # Rows without account, customer version or trade go to the messages with the first reason that holds.
     trades = out["fact_trade"].select("trade_id", F.lit(True).alias("_traded")) if "fact_trade" in out else None
     for name, table, ts, key in (
-        ("holding", "fact_holding", "held_at", ["trade_id"]),
+        ("holding", "fact_holding", "held_at", ["trade_id", "held_at", "batch_id"]),
         ("cash", "fact_cash", "balance_at", ["account_id", "balance_at", "batch_id"]),
         ("watch", "fact_watch", "placed_at", ["sk_customer_id", "security_id", "placed_at", "batch_id"]),
     ):

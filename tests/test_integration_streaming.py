@@ -70,6 +70,40 @@ def test_each_fact_row_is_kept_or_rejected(spark, state):
     assert rows(fresh) == [("TransformCash", "ORPHAN: account", 3), ("TransformCash", "ORPHAN: customer version", 3), ("TransformWatch", "ORPHAN: customer version", 4)]
 
 
+def test_later_holdings_are_kept_and_trades_known_from_another_batch_are_told(spark, state):
+    first = brokerage_batch(spark, 1)
+    some = first["holding"].orderBy("trade_id").limit(5).withColumn("quantity", F.lit(7).cast("decimal(18,2)"))
+    later = some.withColumn("held_at", F.col("held_at") + F.expr("interval 90 days"))
+    feeds = {"holding": written(some.unionByName(later), "later"), "trade": first["trade"].orderBy("trade_id").limit(3)}
+    after = it.load_batch(state, feeds, 4)
+    assert after["fact_holding"].filter("batch_id = 4 and quantity = 7").count() == 10
+    assert after["fact_trade"].count() == state["fact_trade"].count()
+    fresh = after["messages"].filter("batch_id = 4 and message_type = 'REJECT'")
+    assert rows(fresh.groupBy("message_source", "message_text").count()) == [("TransformTrade", "KNOWN: trade of batch 1", 3)]
+    assert rows(it.control_totals(it.load_batch(after, feeds, 4))) == rows(it.control_totals(after))
+
+
+def test_orders_without_customer_and_lines_without_order_are_rejected(spark):
+    from terrace.plans import integration_queries as iq
+    from terrace.plans.registry import Tables
+    from terrace.plans.sources_silver import clean_lines
+
+    whole, t = Tables(spark, "/root/testdata/sf0.001"), Tables(spark, "/root/testdata/sf0.001")
+    bought = whole.orders.join(whole.lineitem.select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    buyer = bought.filter("o_orderdate < '1998-01-01'").agg(F.min("o_custkey")).first()[0]
+    lost = bought.filter(F.col("o_custkey") != buyer).agg(F.min("o_orderkey")).first()[0]
+    t.customer, t.orders = whole.customer.filter(F.col("c_custkey") != buyer), whole.orders.filter(F.col("o_orderkey") != lost)
+    got, trades = iq.run_batches(t, 3)
+    rejected = got["messages"].filter("message_type = 'REJECT'")
+    told = rejected.filter("message_source = 'TransformTrade'")
+    assert got["fact_trade"].count() + told.count() == clean_lines(t).count()
+    lines = clean_lines(t).join(whole.orders.filter(F.col("o_custkey") == buyer), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    orphans = lines.unionByName(clean_lines(t).filter(F.col("l_orderkey") == lost)).count()
+    assert orphans > 0 and told.filter("message_text = 'ORPHAN: account' or message_text like 'discount%'").count() >= orphans
+    assert rejected.filter("message_source = 'TransformAccount' and message_text = 'ORPHAN: customer'").count() > 0
+    assert rows(it.audits(got, iq.expected_totals(t, trades)).filter("not passed")) == []
+
+
 def drop(spark, data, ddl, path):
     spark.createDataFrame(data, ddl).write.mode("append").parquet(path)
 
