@@ -12,6 +12,8 @@ from terrace.functions.vectors import cosine_similarity
 from terrace.operators.ordered import HOT_ROWS, ordered_scan, split_hot
 from terrace.operators.temporal import asof_join
 
+MOST_QUERIES = 10_000
+
 
 def feature_versions(features: DataFrame, key: str) -> DataFrame:
     return features.groupBy(key).agg(F.count(F.lit(1)).alias("version_count"))
@@ -48,12 +50,28 @@ def similarity_to(vectors: DataFrame, queries: DataFrame, on: str, vector: str,
 
 
 def topk_similar(vectors: DataFrame, queries: DataFrame, on: str, vector: str, query: str, tie: str, k: int) -> DataFrame:
-    """The k nearest vectors per query; each map task keeps at most k rows per group before the shuffle."""
+    """The k nearest vectors per query among those of its own group (`topk_nearest` looks at all); each map task keeps at
+    most k rows per group before the shuffle."""
     scored = similarity_to(vectors, queries, on, vector, query)
     w = Window.partitionBy(on).orderBy(F.desc("similarity"), tie)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def topk_nearest(
+    vectors: DataFrame, queries: DataFrame, name: str, vector: str, query: str, tie: str, k: int, digits: int = 6,
+    most: int = MOST_QUERIES,
+) -> DataFrame:
+    """The k nearest of all vectors per query (`name`, `query`). The query set is broadcast, so more than `most` queries
+    are an error; each map task keeps at most k rows per query before the shuffle. Vectors without a cosine are not near."""
+    asked = queries.select(F.col(name).alias("_name"), F.col(query).alias("_query"))
+    if asked.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} queries")
+    scored = vectors.select(tie, vector).crossJoin(F.broadcast(asked))
+    scored = scored.select(F.col("_name").alias(name), tie, F.round(cosine_similarity(vector, "_query"), digits).alias("similarity"))
+    w = Window.partitionBy(name).orderBy(F.desc("similarity"), tie)
+    return scored.filter("similarity is not null").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def rolling_features(
     df: DataFrame, key: str, ts: str, value: Column, windows: Mapping[str, int], hot_rows: int = HOT_ROWS
 ) -> DataFrame:

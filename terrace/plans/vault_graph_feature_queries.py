@@ -331,6 +331,18 @@ def _(t):
     return top.select("label", "vec_id", "similarity", "rank")
 
 
+@query(
+    "a3_topk_nearest",
+    f"""SELECT label, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label
+        ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT c.label, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+        centroid), 6) AS similarity FROM embeddings CROSS JOIN {CENTROID_SQL} c) WHERE similarity IS NOT NULL) WHERE rank <= 5""",
+)
+def _(t):
+    means = features.centroids(t.embeddings, "label", "embedding", 64)
+    top = features.topk_nearest(t.embeddings, means, "label", "embedding", "centroid", "vec_id", 5)
+    return top.select("label", "vec_id", "similarity", "rank")
+
+
 @query("a4_feature_versions", "SELECT user_id, count(*) AS version_count FROM events WHERE event_type = 'view' GROUP BY 1")
 def _(t):
     return features.feature_versions(view_features(t), "user_id")

@@ -79,6 +79,15 @@ def test_cosine(make):
     assert (round(df.same, 9), df.right, df.zero) == (1.0, 0.0, None)
 
 
+def test_nearest_vectors_may_have_another_label(spark, make):
+    vectors = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0]), (3, "b", [1.0, 0.1]), (4, "b", None), (5, "b", [0.0, 0.0]), (6, "b", [2.0, 0.0])], "id long, label string, v array<double>")
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "label string, q array<double>")
+    top = features.topk_nearest(vectors, asked, "label", "v", "q", "id", 3)
+    assert rows(top, "label", "rank", "id") == [("a", 1, 1), ("a", 2, 6), ("a", 3, 3), ("b", 1, 2), ("b", 2, 3), ("b", 3, 1)]
+    with pytest.raises(ValueError):
+        features.topk_nearest(vectors, asked, "label", "v", "q", "id", 3, most=1)
+
+
 def test_rolling_features_hot_equals_window(make):
     rnd = random.Random(5)
     data = [(rnd.choice(["hot", "hot", "hot", "b"]), f"2024-01-01 {rnd.randint(0, 3):02d}:{rnd.randint(0, 59):02d}:00", rnd.randint(1, 9)) for _ in range(200)]
