@@ -5,6 +5,8 @@ and archives are written with fresh headers: responses carry the payload, revisi
 Spark's text writer, whose line separator is the record separator; they are read back with the binary reader and cut by Content-Length.
 Payloads are shuffled once, into the partition of their archive.
 
+Length and digest of a response are those of the payload bytes read back; a header that says otherwise raises.
+
 Null html is an empty payload; a null url is an empty target. A null page id sorts below all others; a group of nulls only stays as responses. Rows that repeat the
 largest page id of their payload all stay responses. Payloads shorter than `least` bytes are never revisits. Extra columns take no part.
 """
@@ -12,6 +14,7 @@ largest page id of their payload all stay responses. Payloads shorter than `leas
 from __future__ import annotations
 
 import gzip
+import hashlib
 import re
 
 import pyarrow as pa
@@ -102,7 +105,12 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                 rows = []
                 for head, body in parsed(gzip.decompress(data.as_py())):
                     kind = head[b"WARC-Type"].decode()
-                    rows.append((number(head, b"X-Page-Id"), head[b"WARC-Target-URI"].decode(), number(head, b"X-Payload-Length"), head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), kind, number(head, b"X-Refers-To-Page"), body if payload and kind == "response" else None))
+                    size, digest = number(head, b"X-Payload-Length"), head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
+                    if kind == "response":
+                        told, (size, digest) = (size, digest), (len(body), hashlib.sha1(body).hexdigest())
+                        if told != (size, digest):
+                            raise ValueError(f"the payload of {head[b'WARC-Record-ID'].decode()} has {size} bytes and digest {digest}, its header says {told}")
+                    rows.append((number(head, b"X-Page-Id"), head[b"WARC-Target-URI"].decode(), size, digest, kind, number(head, b"X-Refers-To-Page"), body if payload and kind == "response" else None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 

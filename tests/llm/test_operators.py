@@ -282,6 +282,23 @@ def test_archives_come_back_with_revisits(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_a_changed_payload_is_seen_when_read_back(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a/", "a payload of some bytes"), (2, "http://b/", "")], "page_id long, url string, html string")
+    values = [r.value for r in warc.records(warc.resolved(pages)).collect()]
+    for name, old, new in (("same", "", ""), ("bytes", "of some bytes", "of SOME bytes"), ("length", "X-Payload-Length: 23", "X-Payload-Length: 24")):
+        data = "".join(v.replace(old, new) + warc.RECORD_END for v in values)
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "one.gz").write_bytes(gzip.compress(data.encode()))
+        back = warc.read_archives(spark, f"file://{tmp_path / name}")
+        if name == "same":
+            assert sorted((r.page_id, r.payload_bytes) for r in back.collect()) == [(1, 23), (2, 0)]
+        else:
+            with pytest.raises(Exception, match="its header says"):
+                back.collect()
+
+
 def test_quality_is_learned_and_held_out_rows_agree(spark):
     rng = random.Random(2)
     common, bad = [f"w{i}" for i in range(300)], ["awful", "vile"]
