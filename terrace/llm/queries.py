@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import coded, katz, nearjoin, ordinal, pieces, shards, tiling, topk, url_filter, warc
+from terrace.llm import byte_merges, coded, hard_negatives, katz, nearjoin, ordinal, pieces, shards, tiling, topk, url_filter, warc
 from terrace.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,13 +64,23 @@ def op10_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_pages(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_merges.digests(table(spark, folder, "documents"), public_tokenizers.path(BYTE_RANKS))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.taking_part(table(spark, folder, "embeddings"), moved)
+    return hard_negatives.hard_negatives(rows, rows.where("vec_id % 50 = 0"), positives=5, negatives=3, low=50, high=95)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_feistel_shards, op3_sentencepiece, op4_bit_sliced_topk, op5_katz_lm, op6_ordinal_quality, op7_ngram_jaccard, op8_coded_ids, op9_string_tiling, op10_warc_revisits, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_feistel_shards, op3_sentencepiece, op4_bit_sliced_topk, op5_katz_lm, op6_ordinal_quality, op7_ngram_jaccard, op8_coded_ids, op9_string_tiling, op10_warc_revisits, op11_byte_bpe, op13_hard_negatives, pipeline)}
 
 SQL = {
     "op4_bit_sliced_topk": """
@@ -95,4 +106,14 @@ SQL = {
         o AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM q)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM o""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                     list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, c.row, c.vec_id, a.label = c.label AS same, coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+              FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.row <> c.row AND len(a.v) = len(c.v)),
+        p AS (SELECT anchor, anchor_id, row AS positive, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5)
+        SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, vec_id, row))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
 }
