@@ -80,34 +80,26 @@ def _(t):
     return converted(t.events)
 
 
-@query(
-    "r3_window_conversion_stream",
-    f"SELECT {WINDOW_COLS} FROM {SLIDING_SQL} WHERE window_start + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
-)
+@query("r3_window_conversion_stream", f"SELECT {WINDOW_COLS} FROM {SLIDING_SQL}")
 def _(t):
-    # Append mode: a window is final once the watermark (newest event less one hour) has passed its end.
-    return st.append_to_table(converted(st.with_event_time(event_stream(t), "ts", "1 hour")), "conversion")
+    return st.drained(event_stream(t), converted, "ts", "1 hour", "conversion")
 
 
-@query(
-    "r4_tumbling_counts",
-    f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), {TS}) AS window_start, event_type, count(*) AS event_count FROM events GROUP BY 1, 2""",
-)
+TUMBLING_SQL = f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), {TS}) AS window_start, event_type, count(*) AS event_count FROM events GROUP BY 1, 2"""
+
+
+def by_type(df: DataFrame) -> DataFrame:
+    return st.tumbling_counts(df, "ts", "5 minutes", ["event_type"]).drop("window_end").withColumn("window_start", ts_text("window_start"))
+
+
+@query("r4_tumbling_counts", TUMBLING_SQL)
 def _(t):
-    counts = st.tumbling_counts(t.events, "ts", "5 minutes", ["event_type"])
-    return counts.drop("window_end").withColumn("window_start", ts_text("window_start"))
+    return by_type(t.events)
 
 
-@query(
-    "r4_tumbling_counts_stream",
-    f"""SELECT strftime(w, {TS}) AS window_start, event_type, count(*) AS event_count FROM (
-          SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w, event_type FROM events)
-        WHERE w + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""",
-)
+@query("r4_tumbling_counts_stream", TUMBLING_SQL)
 def _(t):
-    live = st.with_event_time(event_stream(t), "ts", "1 hour")
-    counts = st.append_to_table(st.tumbling_counts(live, "ts", "5 minutes", ["event_type"]), "tumbling")
-    return counts.drop("window_end").withColumn("window_start", ts_text("window_start"))
+    return st.drained(event_stream(t), by_type, "ts", "1 hour", "tumbling")
 
 
 @query(
@@ -154,9 +146,13 @@ def jittered_events(t: Tables) -> DataFrame:
 
 
 def arrivals_of(rows: DataFrame):
-    """One writer per arrival; the number of arrivals is the number of source drops, not of rows."""
-    numbers = sorted(r[0] for r in rows.select("arrival").distinct().collect())
-    return [lambda path, i=i: rows.filter(C("arrival") == i).write.mode("append").parquet(path) for i in numbers]
+    """One writer per arrival. The rows are laid out by arrival in one scan, and each writer reads its own part; the number of arrivals is
+    that of source drops, not of rows."""
+    spark, landed = rows.sparkSession, scratch_path(rows.sparkSession, "arrivals")
+    rows.withColumn("__drop", C("arrival")).write.partitionBy("__drop").parquet(landed)
+    drops = spark.read.parquet(landed).select("__drop").distinct()  # folder names only
+    numbers = sorted(r[0] for r in drops.collect())
+    return [lambda path, i=i: spark.read.schema(rows.schema).parquet(f"{landed}/__drop={i}").write.mode("append").parquet(path) for i in numbers]
 
 
 @query(
@@ -206,10 +202,11 @@ def _(t):
     return shown(st.batch_sessions(t.events, "user_id", "ts", "event_id", 6 * 3600))
 
 
-@query(
-    "r10_session_activity_stream",
-    f"SELECT {SESSION_COLS} FROM {SESSION_SQL} WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
-)
+@query("r10_session_activity_stream", f"SELECT {SESSION_COLS} FROM {SESSION_SQL}")
+def _(t):
+    return shown(st.drained_sessions(event_stream(t).select("user_id", "ts"), "user_id", "ts", 6 * 3600, "1 hour"))
+
+
+@query("r10_session_windows_stream", f"SELECT {SESSION_COLS} FROM {SESSION_SQL}")
 def _(t):
-    live = st.with_event_time(event_stream(t), "ts", "1 hour")
-    return shown(st.append_to_table(st.stream_sessions(live, "user_id", "ts", "6 hours"), "sessions"))
+    return shown(st.drained(event_stream(t), lambda live: st.stream_sessions(live, "user_id", "ts", "6 hours"), "ts", "1 hour", "session-windows"))

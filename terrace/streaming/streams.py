@@ -1,5 +1,15 @@
 """Structured Streaming jobs. Transformations are plain DataFrame functions, so the same code serves a
-stream and its batch twin; sinks are idempotent per micro-batch id."""
+stream and its batch twin.
+
+Every job takes a `root` folder of its own (sink, checkpoint and commit table lie in it). Called again with the
+same root, also by a new process, it goes on where it stopped; without one it gets a new folder. What a job must
+know of earlier micro-batches is read from storage: parquet sinks keep Spark's own log, `foreachBatch` sinks write
+one folder per micro-batch and then a row of the commit table, so a repeated micro-batch overwrites its own output
+and readers see committed ones only.
+
+Append-mode windows and sessions are final once the watermark has passed them. `closable` adds a second source to a
+stream, and `close` puts one row far in the future into it: the next run then emits what was still open.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +18,13 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from terrace.functions.columns import dbl, money, n_rows
 from terrace.operators import dimensions as dim
 from terrace.operators.ordered import HOT_ROWS, largest_group, ordered_scan
 from terrace.operators.silver import tag_rejects
-from terrace.session import scratch_path
+from terrace.session import scratch_path, small_table
 
 
 # ---- plumbing -------------------------------------------------------------------------------------
@@ -39,27 +50,75 @@ def run_once(writer, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def append_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Append-mode parquet sink in the shared folder, run to completion and read back."""
-    spark = stream.sparkSession
-    root = scratch_path(spark, name)
+def root_of(spark: SparkSession, name: str, root: str | None) -> str:
+    return root.rstrip("/") if root else scratch_path(spark, name)
+
+
+def append_to_table(stream: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Append-mode parquet sink: takes everything available now and returns the whole table."""
+    spark, root = stream.sparkSession, root_of(stream.sparkSession, name, root)
     run_once(stream.writeStream.format("parquet").option("path", f"{root}/data").outputMode("append"), f"{root}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
 
 
-def replace_table(stream: DataFrame, name: str) -> DataFrame:
-    """Complete-mode aggregate: each micro-batch writes a new version; the newest is read back."""
-    spark = stream.sparkSession
-    root = scratch_path(spark, name)
-    newest = {}
+COMMITS = "path string, batch bigint"
+
+
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """(path, batch) of each finished micro-batch of a `foreachBatch` sink; batch -1 stands for none."""
+    small_table(spark, [("",)], "path string").write.mode("ignore").parquet(f"{root}/commits/batch=-1")
+    return spark.read.schema(COMMITS).parquet(f"{root}/commits")
+
+
+def commit(spark: SparkSession, root: str, batch: int, path: str) -> None:
+    small_table(spark, [(path,)], "path string").write.mode("overwrite").parquet(f"{root}/commits/batch={batch}")
+
+
+def newest(spark: SparkSession, root: str, before: int | None = None) -> str:
+    """What the last micro-batch (before `before`) wrote; empty if there is none."""
+    done = commits(spark, root)
+    done = done if before is None else done.filter(F.col("batch") < before)
+    return done.agg(F.max_by("path", "batch")).first()[0]
+
+
+def replace_table(stream: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Complete-mode aggregate: each micro-batch writes a new version; the newest committed one is read back."""
+    spark, root = stream.sparkSession, root_of(stream.sparkSession, name, root)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         path = f"{root}/version={batch_id}"
         batch.write.mode("overwrite").parquet(path)
-        newest["path"] = path
+        commit(batch.sparkSession, root, batch_id, path)
 
     run_once(stream.writeStream.outputMode("complete").foreachBatch(save), f"{root}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(newest["path"])
+    path = newest(spark, root)
+    return spark.read.schema(stream.schema).parquet(path) if path else spark.createDataFrame([], stream.schema)
+
+
+FAR = "2200-01-01"  # later than any event, and within what pandas holds
+
+
+def closable(stream: DataFrame, root: str) -> DataFrame:
+    """The stream, with a second source that `close` uses."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{root}/close/open")
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{root}/close/*"))
+
+
+def close(stream: DataFrame, root: str, ts: str) -> None:
+    """End the stream: one row that is null but for a time far ahead, so the watermark passes all windows but that row's own.
+    Events that come later are late."""
+    row = [F.lit(FAR).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    stream.sparkSession.range(1).select(*row).write.mode("ignore").parquet(f"{root}/close/closed")
+
+
+def drained(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], ts: str, delay: str, name: str, root: str | None = None) -> DataFrame:
+    """`plan` over the stream with its watermark, into a table: all that is available, then the end of the stream."""
+    root = root_of(stream.sparkSession, name, root)
+    result = plan(with_event_time(closable(stream, root), ts, delay))
+    append_to_table(result, name, root)
+    close(stream, root, ts)
+    return append_to_table(result, name, root)
 
 
 # ---- metrics: the same for batch and stream -------------------------------------------------------
@@ -109,6 +168,83 @@ def stream_sessions(df: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     return s.select(key, F.col("_s.start").alias("session_start"), F.col("_s.end").alias("session_end"), "event_count")
 
 
+class Sessions(StatefulProcessor):
+    """Open sessions of one key: a list of (start, last event, events), in microseconds. Input is folded into it batch by batch, so a very
+    active key costs the sessions that are still open and not its events. A timer at the end of each session emits it."""
+
+    def __init__(self, key: str, ts: str, gap_micros: int):
+        self.key, self.ts, self.gap = key, ts, gap_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "start bigint, last bigint, events bigint")
+
+    def merged(self, sessions: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        for start, last, events in sorted(sessions):
+            if out and start <= out[-1][1] + self.gap:
+                out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + events)
+            else:
+                out.append((start, last, events))
+        return out
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = [tuple(r) for r in self.open.get()]
+        for frame in rows:
+            if key[0] is None:  # the row that ends the stream
+                continue
+            at = frame[self.ts].astype("datetime64[us, UTC]" if frame[self.ts].dt.tz is not None else "datetime64[us]").astype("int64")
+            counts = at.groupby(at).size()
+            found = self.merged(found + [(int(t), int(t), int(n)) for t, n in counts.items()])
+        for start, last, _ in found:
+            self.handle.registerTimer(-(-(last + self.gap) // 1000))
+        self.keep(found)
+        return iter(())
+
+    def keep(self, sessions: list[tuple[int, int, int]]) -> None:
+        if sessions:
+            self.open.put(sessions)
+        else:
+            self.open.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        every = [tuple(r) for r in self.open.get()]
+        done = [s for s in every if s[1] + self.gap <= now]
+        self.keep([s for s in every if s[1] + self.gap > now])
+        if done:
+            micros = lambda values: pd.to_datetime(list(values), unit="us", utc=True)
+            yield pd.DataFrame({self.key: [key[0]] * len(done), "session_start": micros(s[0] for s in done), "session_end": micros(s[1] + self.gap for s in done), "event_count": [s[2] for s in done]})
+
+    def close(self) -> None:
+        pass
+
+
+def state_sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
+    """The same sessions by an arbitrary-state operator with event-time timers (needs the RocksDB state store). `df` has a watermark on `ts`."""
+    kind = df.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, session_start timestamp, session_end timestamp, event_count bigint"
+    processor = Sessions(key, ts, gap_seconds * 1_000_000)
+    return df.select(key, ts).groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=T.StructType.fromDDL(out), outputMode="append", timeMode="eventTime")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained_sessions(stream: DataFrame, key: str, ts: str, gap_seconds: int, delay: str, root: str | None = None) -> DataFrame:
+    """All sessions of a stream that ends, by `state_sessions`."""
+    spark = stream.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        return drained(stream, lambda live: state_sessions(live, key, ts, gap_seconds), ts, delay, "sessions", root)
+    finally:
+        spark.conf.set(name, before)
+
+
 def batch_sessions(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same sessions over a table, scanned in slices so that one very active key does not fill a task."""
     rows = df.select(key, ts, tie)
@@ -130,62 +266,66 @@ def stream_dedup(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     return with_event_time(df, ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_quarantine(df: DataFrame, rules: Mapping[str, Column], name: str) -> tuple[DataFrame, DataFrame]:
+def stream_quarantine(df: DataFrame, rules: Mapping[str, Column], name: str, root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Split each micro-batch once into accepted and rejected tables partitioned by micro-batch, so that a
     repeated micro-batch overwrites its own output."""
-    spark = df.sparkSession
-    root = scratch_path(spark, name)
+    spark, root = df.sparkSession, root_of(df.sparkSession, name, root)
     tagged_schema = tag_rejects(df, rules).schema
 
     def split(batch: DataFrame, batch_id: int) -> None:
         tagged = tag_rejects(batch, rules).withColumn("outcome", F.when(F.col("reject_reason").isNull(), "good").otherwise("bad"))
-        tagged.write.mode("overwrite").partitionBy("outcome").parquet(f"{root}/data/batch={batch_id}")
+        path = f"{root}/data/batch={batch_id}"
+        tagged.write.mode("overwrite").partitionBy("outcome").parquet(path)
+        commit(batch.sparkSession, root, batch_id, path)
 
     run_once(df.writeStream.foreachBatch(split), f"{root}/checkpoint")
+    spark.createDataFrame([], tagged_schema).write.mode("ignore").parquet(f"{root}/data/batch=-1/outcome=none")
     schema = T.StructType([*tagged_schema.fields, T.StructField("batch", T.LongType()), T.StructField("outcome", T.StringType())])
-    both = spark.read.schema(schema).parquet(f"{root}/data")
+    both = spark.read.schema(schema).parquet(f"{root}/data").join(commits(spark, root).select("batch"), "batch", "left_semi")
     good = both.filter("outcome = 'good'").drop("outcome", "batch", "reject_reason")
     return good, both.filter("outcome = 'bad'").drop("outcome", "batch")
 
 
-def stream_scd2(
-    arrivals: Sequence[Callable[[str], None]], schema: T.StructType, spark: SparkSession, key: str, ts: str, attrs: Sequence[str]
-) -> DataFrame:
-    """Change batches into a Type 2 dimension. Every micro-batch reads the newest snapshot written before it
-    and writes its own, named by the micro-batch id; a repeated micro-batch gives the same snapshot.
+def scd2_snapshot(stream: DataFrame, key: str, ts: str, attrs: Sequence[str], root: str | None = None) -> DataFrame:
+    """Changes into a Type 2 dimension. Every micro-batch merges into the newest snapshot committed before it and writes its own, named
+    by the micro-batch id; a repeated micro-batch gives the same snapshot."""
+    spark, root = stream.sparkSession, root_of(stream.sparkSession, "stream-scd2", root)
+    none = dim.scd2_build(spark.createDataFrame([], stream.select(key, ts, *attrs).schema), key, ts, attrs, biggest=0)
 
-    `arrivals` are callables that each add files to the source folder; the stream runs after each."""
-    root = scratch_path(spark, "stream-scd2")
-    known: dict[int, str] = {}
+    def snapshot(session: SparkSession, path: str) -> DataFrame:
+        return session.read.schema(none.schema).parquet(path) if path else session.createDataFrame([], none.schema)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        before = [known[i] for i in sorted(known) if i < batch_id]
-        if before:
-            old = spark.read.parquet(before[-1])
-            new = dim.scd2_merge(old, batch, key, ts, attrs)
-        else:
-            new = dim.scd2_build(batch.select(key, ts, *attrs), key, ts, attrs)
+        old = snapshot(batch.sparkSession, newest(batch.sparkSession, root, batch_id))
         path = f"{root}/snapshot-{batch_id}"
-        new.write.mode("overwrite").parquet(path)
-        known[batch_id] = path
+        dim.scd2_merge(old, batch, key, ts, attrs).write.mode("overwrite").parquet(path)
+        commit(batch.sparkSession, root, batch_id, path)
+
+    run_once(stream.writeStream.foreachBatch(merge), f"{root}/checkpoint")
+    return snapshot(spark, newest(spark, root))
+
 
+def stream_scd2(
+    arrivals: Sequence[Callable[[str], None]], schema: T.StructType, spark: SparkSession, key: str, ts: str, attrs: Sequence[str], root: str | None = None
+) -> DataFrame:
+    """`scd2_snapshot` after each of `arrivals`, callables that each add files to the source folder."""
+    root = root_of(spark, "stream-scd2", root)
     for arrive in arrivals:
         arrive(f"{root}/source")
-        run_once(read_stream(spark, f"{root}/source", schema).writeStream.foreachBatch(merge), f"{root}/checkpoint")
-    return spark.read.parquet(known[max(known)])
+        done = scd2_snapshot(read_stream(spark, f"{root}/source", schema), key, ts, attrs, root)
+    return done
 
 
 def stream_late_counts(
-    arrivals: Sequence[Callable[[str], None]], schema: T.StructType, spark: SparkSession, ts: str, delay: str, size: str, by: Sequence[str]
+    arrivals: Sequence[Callable[[str], None]], schema: T.StructType, spark: SparkSession, ts: str, delay: str, size: str, by: Sequence[str], root: str | None = None
 ) -> DataFrame:
     """Windowed counts under a watermark: a row whose window has already been passed by the watermark is
     dropped, anything newer is counted even when it arrives out of order."""
-    root = scratch_path(spark, "stream-late")
+    root = root_of(spark, "stream-late", root)
     for arrive in arrivals:
         arrive(f"{root}/source")
-        counted = tumbling_counts(with_event_time(read_stream(spark, f"{root}/source", schema), ts, delay), ts, size, by)
-        run_once(counted.writeStream.format("parquet").option("path", f"{root}/data").outputMode("append"), f"{root}/checkpoint")
-    return spark.read.schema(counted.schema).parquet(f"{root}/data")
+        done = append_to_table(tumbling_counts(with_event_time(read_stream(spark, f"{root}/source", schema), ts, delay), ts, size, by), "stream-late", root)
+    return done
 
 
 def late_twin(df: DataFrame, arrival: str, ts: str, delay_seconds: int, window_seconds: int, by: Sequence[str]) -> DataFrame:
