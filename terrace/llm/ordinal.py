@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Words, mixed, stored
+from terrace.llm.common import Words, mixed, slices, stored
 
 BUCKETS = 1 << 18
 SAMPLE = 24_000
 RARE = 3
+AT_ONCE = 1 << 20  # features whose doubles are held at a time
 MARKS = b".,;:!?*%$#&|()[]\"'"
 SEED = 11
 LEAST = 0.35  # of the top grade's probability; grades weigh alike in the fit, so a third means no evidence either way
@@ -97,29 +98,38 @@ def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, to
     bound of the curvature), so rare words move as fast as common ones, and a lasso penalty leaves only words that tell grades apart.
     Thresholds stay ordered: they are a first one and the logs of positive steps."""
     n = len(rows)
-    sizes = np.array([len(c) for c, _ in rows])
-    cells, values = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
-    keep = np.bincount(cells, minlength=BUCKETS)[cells] >= RARE
-    owner, values = np.repeat(np.arange(n), sizes)[keep], values[keep].astype(np.float64)
-    used, cells = np.unique(cells[keep], return_inverse=True)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c, _ in rows])
+    cells, values = np.concatenate([c for c, _ in rows]).astype(np.int32, copy=False), np.concatenate([v for _, v in rows])
+    often = np.bincount(cells, minlength=BUCKETS) >= RARE
+    used, keep = np.flatnonzero(often), often[cells]
+    owner, values, cells = owner[keep], values[keep], (np.cumsum(often, dtype=np.int32) - 1)[cells[keep]]
+    parts = [slice(at, at + AT_ONCE) for at in range(0, len(cells), AT_ONCE)]
+
+    def sums(of: np.ndarray, size: int, weight) -> np.ndarray:
+        """Sum of value * weight(part) by `of`, with doubles of one part at a time."""
+        out = np.zeros(size)
+        for p in parts:
+            out += np.bincount(of[p], weights=values[p] * weight(p), minlength=size)
+        return out
+
     share = np.bincount(grades, minlength=top + 1)
     each = (1 / np.maximum(share, 1))[grades]
     each /= each.sum()
-    total = np.bincount(owner, weights=values, minlength=n)
-    step = 1 / (0.5 * np.bincount(cells, weights=values * (each * total)[owner], minlength=len(used)) + 1e-12)
+    total = sums(owner, n, lambda p: 1.0)
+    step = 1 / (0.5 * sums(cells, len(used), lambda p: (each * total)[owner[p]]) + 1e-12)
     i, one, zero = np.arange(n), np.ones((n, 1)), np.zeros((n, 1))
     w, t = np.zeros(len(used)), np.array([-3.0 * top, *[np.log(3.0)] * (top - 1)])
     ahead_w, ahead_t, pace = w, t, 1.0
     for _ in range(rounds):
         gaps = np.concatenate([ahead_t[:1], np.exp(ahead_t[1:])])
-        x = np.bincount(owner, weights=values * ahead_w[cells], minlength=n)
+        x = sums(owner, n, lambda p: ahead_w[cells[p]])
         up = 1 / (1 + np.exp(np.clip(np.cumsum(gaps)[None, :] - x[:, None], -50, 50)))  # P(grade >= j), j = 1..top
         tail, slope = np.hstack([one, up, zero]), np.hstack([zero, up * (1 - up), zero])
         scale = each / np.maximum(tail[i, grades] - tail[i, grades + 1], 1e-9)
         low, high = scale * slope[i, grades], scale * slope[i, grades + 1]
         by_threshold = np.bincount(grades, weights=low, minlength=top + 2) - np.bincount(grades + 1, weights=high, minlength=top + 2)
         by_gap = np.cumsum(by_threshold[1 : top + 1][::-1])[::-1] * np.concatenate([[1.0], gaps[1:]])
-        new_w = ahead_w - step * np.bincount(cells, weights=values * (high - low)[owner], minlength=len(used))
+        new_w = ahead_w - step * sums(cells, len(used), lambda p: (high - low)[owner[p]])
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * lasso, 0)
         new_t = ahead_t - 0.5 * by_gap
         next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
@@ -146,7 +156,7 @@ def fit(documents: DataFrame, graded: DataFrame, top: int = 2, sample: int = SAM
 
     def hashed(batches):
         make = Features()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, whole.column("text"))):
             got = [make(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([c.astype("<i4").tobytes() for c, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["doc_id", "grade", "cells", "values"])
 
@@ -160,7 +170,7 @@ def fit(documents: DataFrame, graded: DataFrame, top: int = 2, sample: int = SAM
         if len(np.unique(grades)) < 2:
             edge = np.where(np.arange(1, top + 1) <= grades[0], -50.0, 50.0)
             return pd.DataFrame({"weights": [np.zeros(0).tobytes()], "thresholds": [edge.tobytes()]})
-        model = fit_arrays([(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, np.float32)) for c, v in zip(frame["cells"], frame["values"])], grades, top)
+        model = fit_arrays([(np.frombuffer(c, "<i4"), np.frombuffer(v, np.float32)) for c, v in zip(frame["cells"], frame["values"])], grades, top)
         return pd.DataFrame({"weights": [model.weights.astype(np.float32).tobytes()], "thresholds": [model.thresholds.tobytes()]})
 
     got = features.groupBy(F.lit(True).alias("whole")).applyInPandas(one, "weights binary, thresholds binary").collect()  # bounded: at most 2 * sample documents of hashed features in, one row of BUCKETS floats out

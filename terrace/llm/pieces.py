@@ -23,13 +23,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WordIds
+from terrace.llm.common import WordIds, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
-BATCH_BYTES = 1 << 20
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -176,6 +175,11 @@ def encoded(documents: DataFrame, model_path: str, keep: list[str], check: bool
 
     def run(batches):
         pieces = _pieces(name)
+        yield from of(pieces, batches)
+        if pieces.words is not None:  # workers are used again, by other stages too
+            pieces.words.memo.clear()
+
+    def of(pieces, batches):
         for whole in batches:
             for batch in slices(whole, whole.column("__text")):
                 texts = [t.as_py() or "" for t in batch.column("__text")]
@@ -195,15 +199,3 @@ def encoded(documents: DataFrame, model_path: str, keep: list[str], check: bool
 
 
 ENCODED_NAMES = [part.split()[0] for part in ENCODED.split(", ")]
-
-
-def slices(batch: pa.RecordBatch, texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about `most` bytes of text each, so that ids of a part fit in a worker."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t.as_buffer() or b"") if t.is_valid else 0
-        if size >= most:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
