@@ -102,8 +102,14 @@ def reachability(edges: DataFrame, src: str, dst: str, seeds: DataFrame, seed: s
 
 def cyclic_core(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Nodes that remain when nodes without an incoming or without an outgoing edge are removed until
-    none is left: empty exactly when the graph has no cycle. For dependency graphs of bounded depth."""
-    links = durable(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
+    none is left: empty exactly when the graph has no cycle. Nodes between two cycles stay; `components` leaves
+    them out. One round per level of depth."""
+    return _core(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()).select(F.explode(F.array("s", "d")).alias("node")).distinct()
+
+
+def _core(links: DataFrame) -> DataFrame:
+    """Edges whose ends both have incoming and outgoing edges among them."""
+    links = durable(links)
     size = links.count()
     while size:
         has_in = links.select(F.col("d").alias("s")).distinct()
@@ -113,4 +119,54 @@ def cyclic_core(edges: DataFrame, src: str, dst: str) -> DataFrame:
         if left == size:
             break
         size = left
-    return links.select(F.explode(F.array("s", "d")).alias("node")).distinct()
+    return links
+
+
+def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(node, component_id) of every node that lies on a cycle: strongly connected components of several nodes, and nodes with an edge
+    to themselves; the id is the smallest node. Edges with a null end are no edges.
+
+    Each phase trims nodes that cannot be on a cycle, colours every node with the largest node that reaches it, and goes back along
+    edges within one colour from the node that gave it: what it meets is that node's component, one for each colour at a time. Edges
+    between components or touching found ones are dropped. Only nodes that changed send messages, aggregated by receiver before the
+    shuffle. Rounds: the longest trimmed path, and per phase the longest shortest path within a component; phases: components that hang
+    behind one another below a larger node."""
+    links = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).dropna().distinct()
+    loops = links.filter("s = d").select("s", F.col("s").alias("component"))
+    rest, found = _core(links.filter("s <> d")), None
+    while not rest.isEmpty():
+        colours = _coloured(rest)
+        own = rest.join(colours.select(F.col("node").alias("s"), F.col("colour").alias("cs")), "s").join(colours.select(F.col("node").alias("d"), F.col("colour").alias("cd")), "d")
+        inside = durable(own.filter("cs = cd").select("s", "d", F.col("cs").alias("colour")))
+        met = _met(inside, durable(colours.filter("node = colour")))
+        several = met.join(met.groupBy("colour").count().filter("count > 1").select("colour"), "colour", "left_semi")
+        named = durable(several.join(several.groupBy("colour").agg(F.min("node").alias("component")), "colour").select(F.col("node").alias("s"), "component"))
+        found = named if found is None else found.unionByName(named)
+        gone = met.select(F.col("node").alias("s"))
+        left = inside.select("s", "d").join(gone, "s", "left_anti").join(gone.withColumnRenamed("s", "d"), "d", "left_anti")
+        rest = _core(left.select("s", "d"))
+    whole = loops if found is None else found.unionByName(loops.join(found.select("s"), "s", "left_anti"))
+    return whole.select(F.col("s").alias("node"), F.col("component").alias("component_id"))
+
+
+def _coloured(links: DataFrame) -> DataFrame:
+    """(node, colour): the largest node that reaches it, itself included."""
+    colours = durable(links.select(F.explode(F.array("s", "d")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    changed = colours
+    while not changed.isEmpty():
+        sent = changed.select(F.col("node").alias("s"), "colour").join(links, "s").groupBy(F.col("d").alias("node")).agg(F.max("colour").alias("heard"))
+        both = durable(colours.join(sent, "node", "left").withColumn("new", F.coalesce(F.col("heard") > F.col("colour"), F.lit(False))))
+        colours = both.select("node", F.greatest("colour", "heard").alias("colour"))
+        changed = both.filter("new").select("node", F.col("heard").alias("colour"))
+    return colours
+
+
+def _met(inside: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, colour) reached backward from each root along edges of its colour."""
+    found, frontier = roots.select("node", "colour"), roots.select("node", "colour")
+    while True:
+        step = frontier.select(F.col("node").alias("d"), "colour").join(inside, ["d", "colour"]).select(F.col("s").alias("node"), "colour").distinct()
+        frontier = durable(step.join(found, ["node", "colour"], "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = durable(found.unionByName(frontier))

@@ -268,13 +268,37 @@ DEPENDENCY_SQL = """(SELECT CAST((p_partkey - 1) // 8 AS BIGINT) AS parent_id, p
         SELECT a.d FROM r a JOIN r b ON a.d = b.s WHERE a.s IN (SELECT n FROM cyc) AND b.d IN (SELECT n FROM cyc)""",
 )
 def _(t):
-    # The part tree with a back reference from each part of size 50 to an ancestor region.
+    return graph.cyclic_core(dependencies(t), "parent_id", "child_id")
+
+
+def dependencies(t: Tables) -> DataFrame:
+    """The part tree with a back reference from each part of size 50 to an ancestor region."""
     p = F.col("p_partkey")
     tree = t.part.filter(p > 0).select(F.floor((p - 1) / 8).cast("bigint").alias("parent_id"), p.alias("child_id"))
     back = t.part.filter((p > 0) & (F.col("p_size") == 50)).select(
         p.alias("parent_id"), F.floor((p - 1) / 64).cast("bigint").alias("child_id")
     )
-    return graph.cyclic_core(tree.unionByName(back), "parent_id", "child_id")
+    return tree.unionByName(back)
+
+
+@query(
+    "x5_components",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT parent_id AS s, child_id AS d FROM {DEPENDENCY_SQL}),
+          r AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM r JOIN e ON r.d = e.s)
+        SELECT a.s AS node, min(a.d) AS component_id FROM r a JOIN r b ON a.s = b.d AND a.d = b.s GROUP BY 1""",
+)
+def _(t):
+    return graph.components(dependencies(t), "parent_id", "child_id")
+
+
+@query(
+    "x5_transfer_components",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src AS s, dst AS d FROM {TRANSFERS_SQL} WHERE src IS NOT NULL AND dst IS NOT NULL),
+          r AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM r JOIN e ON r.d = e.s)
+        SELECT a.s AS node, min(a.d) AS component_id FROM r a JOIN r b ON a.s = b.d AND a.d = b.s GROUP BY 1""",
+)
+def _(t):
+    return graph.components(transfers(t), "src", "dst")
 
 
 # ---- feature store -------------------------------------------------------------------------------

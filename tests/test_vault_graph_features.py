@@ -113,3 +113,32 @@ def test_training_set_never_leaks(make):
     out = features.training_set(obs, feats, "k", "at", "ft", ["risk"])
     assert rows(out, "id", "risk", "leaks") == [(1, 0.45, False), (2, None, False)]
     assert tuple(features.feature_completeness(out, "matched_ft", ["risk"]).first()) == (2, 1, 1)
+
+
+def strong_components(pairs):
+    """Plain reachability in both directions."""
+    nodes = {x for p in pairs for x in p}
+    reach = {n: set() for n in nodes}
+    for n in nodes:
+        todo = [n]
+        while todo:
+            at = todo.pop()
+            new = {d for s, d in pairs if s == at} - reach[n]
+            reach[n] |= new
+            todo += new
+    return sorted((n, min(m for m in nodes if m in reach[n] and n in reach[m])) for n in nodes if n in reach[n])
+
+
+@pytest.mark.parametrize("seed, nodes, edges", [(1, 12, 14), (2, 30, 36), (3, 25, 70), (4, 40, 44)])
+def test_components_equal_plain_reachability(spark, seed, nodes, edges):
+    rng = random.Random(seed)
+    pairs = sorted({(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(edges)})
+    frame = spark.createDataFrame([*pairs, *pairs[:5], (1, None), (None, 1)], "a long, b long")
+    assert rows(graph.components(frame, "a", "b")) == sorted(strong_components(pairs), key=str)
+
+
+def test_components_leave_out_what_lies_between_cycles(spark):
+    pairs = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 9), (9, 8), (8, 9), (9, 20), (20, 21), (30, 1), (7, 7), (40, 39), (39, 38), (38, 40), (40, 9)]
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    assert rows(graph.components(frame, "a", "b")) == sorted([(1, 1), (2, 1), (8, 8), (9, 8), (7, 7), (38, 38), (39, 38), (40, 38)], key=str)
+    assert rows(graph.components(frame.limit(0), "a", "b")) == []
