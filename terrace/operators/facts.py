@@ -278,6 +278,19 @@ def entity_average(readings: DataFrame, entity: str, value: Column, from_ts: Col
     return per.filter(F.col("avg_value") > above)
 
 
+def named_entity_average(
+    readings: DataFrame, entity: str, value: Column, from_ts: Column, above: float, members: DataFrame, key: str, name: str
+) -> DataFrame:
+    """The same per name of the entity in its dimension. Readings are summed per entity first, so the join moves one row per entity and a
+    busy entity is no hot key; entities that share a name are averaged over all their readings, readings without member are left out."""
+    sums = readings.filter(from_ts).groupBy(F.col(entity).alias("_entity")).agg(
+        F.sum(value).alias("_total"), F.count(value).alias("_values"), F.count(F.lit(1)).alias("_rows")
+    )
+    named = sums.join(members.select(F.col(key).alias("_entity"), name), "_entity")
+    per = named.groupBy(name).agg((dbl(F.sum("_total")) / F.sum("_values")).alias("avg_value"), F.sum("_rows").alias("reading_count"))
+    return per.filter(F.col("avg_value") > above)
+
+
 def time_series_rollup(readings: DataFrame, ts: str, bucket: str, by: Sequence[str], value: Column) -> DataFrame:
     """Append-only readings into fixed time buckets."""
     w = F.window(ts, bucket)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import all_of, dbl, n_rows
+from terrace.functions.columns import all_of, any_of, dbl, n_rows
 from terrace.functions.frames import side_by_side, stack
 from terrace.operators.ordered import HOT_ROWS, ordered_scan
 from terrace.session import small_table
@@ -282,6 +282,29 @@ def scd6_consistency(dim: DataFrame, key: str, historical: str, current: str) ->
     ).withColumn("passed", (F.col("mixed_current") == 0) & (F.col("stale_current") == 0))
 
 
+def ghost_rows(dim: DataFrame, fact: DataFrame, fact_key: str, key: str, defaults: Mapping[str, object]) -> DataFrame:
+    """Ghost rows (is_inferred) of a dimension against the facts that came before their member: every fact key finds a row, a ghost
+    is referred to, holds the defaults only, stands alone for its key and goes when the real member comes. Both sides are counted per
+    key before they meet. A dimension without is_inferred has no ghosts; facts with a null key are not late."""
+    marked = dim if "is_inferred" in dim.columns else dim.withColumn("is_inferred", F.lit(False))
+    ghost = F.col("is_inferred")
+    filled = any_of([~F.col(c).eqNullSafe(F.lit(v)) for c, v in defaults.items()]) if defaults else F.lit(False)
+    members = marked.groupBy(key).agg(F.count_if(ghost).alias("ghosts"), F.count_if(~ghost).alias("real"), F.count_if(ghost & filled).alias("filled"))
+    referred = fact.filter(F.col(fact_key).isNotNull()).groupBy(F.col(fact_key).alias(key)).agg(n_rows().alias("facts"))
+    both = members.join(referred, key, "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = both.agg(
+        F.sum(zero("ghosts")).alias("ghost_rows"),
+        F.sum(F.when(zero("ghosts") > 0, zero("facts")).otherwise(0)).alias("facts_on_ghosts"),
+        F.sum(F.when(F.col("ghosts").isNull(), F.col("facts")).otherwise(0)).alias("unbound_facts"),
+        F.count_if((zero("ghosts") > 0) & F.col("facts").isNull()).alias("idle_ghosts"),
+        F.sum(zero("filled")).alias("filled_ghosts"),
+        F.count_if((zero("ghosts") > 1) | ((zero("ghosts") > 0) & (zero("real") > 0))).alias("doubled_keys"),
+    ).select(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("ghost_rows", "facts_on_ghosts", "unbound_facts", "idle_ghosts", "filled_ghosts", "doubled_keys")])
+    faults = F.col("unbound_facts") + F.col("idle_ghosts") + F.col("filled_ghosts") + F.col("doubled_keys")
+    return out.withColumn("passed", faults == 0)
+
+
 def partition_profile(df: DataFrame, partition: Column, kept: Column) -> DataFrame:
     """Partitions, rows, largest-to-mean skew and the share of rows a filter keeps."""
     per = df.groupBy(partition.alias("p")).agg(n_rows().alias("n"), F.count_if(kept).alias("k"))

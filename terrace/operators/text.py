@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import lexicons as lx
 from terrace.functions.columns import any_of, col
+from terrace.session import BROADCAST_ROWS, written
 
 # White space beyond ASCII that text splitting knows; it is mapped to a blank first, which keeps the
 # patterns to plain classes (several times faster).
@@ -99,8 +100,11 @@ def frequent_terms(df: DataFrame, keys: Sequence[str], text: str, by: str, k: in
 
 
 def lexicon_tags(df: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame) -> DataFrame:
-    """(keys, tag, hits) for a lexicon table (tag, term) of single terms: an equi-join on the term."""
-    joined = distinct_terms(df, keys, text).join(lexicon.select("tag", "term"), "term")
+    """(keys, tag, hits) for a lexicon table (tag, term) of single terms: an equi-join on the term. A lexicon of at most BROADCAST_ROWS rows,
+    counted first, is sent to the texts, which then stay where they are; a larger one is shuffled with their terms."""
+    known = written(lexicon.select("tag", "term"), "lexicon")
+    known = F.broadcast(known) if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else known.hint("merge")
+    joined = distinct_terms(df, keys, text).join(known, "term")
     return joined.groupBy(*keys, "tag").agg(F.count(F.lit(1)).alias("hits"))
 
 

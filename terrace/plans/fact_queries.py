@@ -534,6 +534,16 @@ def _(t):
     return facts.entity_average(t.events, "user_id", money("value"), F.col("ts") >= ntz("2024-01-15"), 50.0)
 
 
+@query(
+    "f25_named_average",
+    f"""SELECT c_name, CAST(sum({M('value')}) AS DOUBLE) / count(value) AS avg_value, count(*) AS reading_count FROM events JOIN customer ON c_custkey = user_id
+        WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1 HAVING CAST(sum({M('value')}) AS DOUBLE) / count(value) > 50""",
+)
+def _(t):
+    cut = F.col("ts") >= ntz("2024-01-15")
+    return facts.named_entity_average(t.events, "user_id", money("value"), cut, 50.0, t.customer, "c_custkey", "c_name")
+
+
 @query(
     "f26_time_series_rollup",
     f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f') AS bucket_start, event_type, count(*) AS reading_count,

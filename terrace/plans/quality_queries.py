@@ -284,6 +284,26 @@ def _(t):
     return quality.scd6_consistency(hybrid, "cust_id", "historical_priority", "current_priority")
 
 
+LATE_SQL = "(SELECT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0))"
+
+
+@query(
+    "k15_ghost_rows",
+    f"""SELECT 'with ghosts' AS dimension, count(DISTINCT o_custkey) AS ghost_rows, count(*) AS facts_on_ghosts, CAST(0 AS BIGINT) AS unbound_facts,
+               CAST(0 AS BIGINT) AS idle_ghosts, CAST(0 AS BIGINT) AS filled_ghosts, CAST(0 AS BIGINT) AS doubled_keys, true AS passed FROM {LATE_SQL}
+        UNION ALL SELECT 'without ghosts', 0, 0, count(*), 0, 0, 0, count(*) = 0 FROM {LATE_SQL}
+        UNION ALL SELECT 'members came', n, f, 0, 0, 0, n, n = 0 FROM (SELECT count(DISTINCT o_custkey) AS n, count(*) AS f FROM {LATE_SQL})""",
+)
+def _(t):
+    member = [F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"), F.lit(1).alias("version_number")]
+    known, defaults = t.customer.filter("c_acctbal >= 0").select(*member), {"segment": "UNKNOWN", "version_number": 0}
+    ghosts = dim.inferred_members(known, t.orders, "o_custkey", "customer_id", defaults)
+    late = t.customer.filter("not coalesce(c_acctbal >= 0, false)").select(*member, F.lit(False).alias("is_inferred"))
+    cases = {"with ghosts": ghosts, "without ghosts": known, "members came": ghosts.unionByName(late)}
+    checked = [quality.ghost_rows(d, t.orders, "o_custkey", "customer_id", defaults).withColumn("dimension", F.lit(name)) for name, d in cases.items()]
+    return checked[0].unionByName(checked[1]).unionByName(checked[2])
+
+
 @query(
     "k16_partition_profile",
     """SELECT count(*) AS partitions, CAST(sum(n) AS BIGINT) AS row_count, max(n) AS largest,

@@ -87,3 +87,10 @@ def test_incremental_and_navigation(make):
         assert rows(a) == rows(b)
     gaps = facts.coverage_gap(src.select("c"), src.filter("id < 3"), ["c"])
     assert rows(gaps) == [("zz",)]
+
+
+def test_named_average_weighs_readings_of_entities_that_share_a_name(make):
+    readings = make([(1, 10, "2024-02-01"), (1, 20, "2024-02-01"), (2, 90, "2024-02-01"), (3, 99, "2024-02-01"), (4, 1, "2024-02-01"), (1, 999, "2023-01-01"), (2, None, "2024-02-01")], "e int, v decimal(10,2), ts timestamp_ntz")
+    members = make([(1, "pump"), (2, "pump"), (4, "fan")], "k int, name string")
+    got = facts.named_entity_average(readings, "e", F.col("v"), F.col("ts") >= "2024-01-01", 5.0, members, "k", "name")
+    assert rows(got) == [("pump", 40.0, 4)]

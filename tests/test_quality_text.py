@@ -101,6 +101,30 @@ def test_erasure(make):
     assert not lost.passed and lost.orphan_rows == 2 and lost.metric_drift == 15.0
 
 
+def test_every_fault_of_ghost_rows_is_found(make):
+    ddl = "id int, name string, is_inferred boolean"
+    fact = make([(1,), (2,), (2,), (9,), (None,)], "id int")
+    check = lambda rows_: quality.ghost_rows(make(rows_, ddl), fact, "id", "id", {"name": "?"}).first()
+    good = check([(1, "a", "false"), (2, "?", "true"), (9, "?", "true"), (4, "d", "false")])
+    assert (good.ghost_rows, good.facts_on_ghosts, good.passed) == (2, 3, True)
+    bad = check([(1, "a", "false"), (1, "?", "true"), (2, "known", "true"), (7, "?", "true"), (7, "?", "true")])
+    assert (bad.unbound_facts, bad.idle_ghosts, bad.filled_ghosts, bad.doubled_keys, bad.passed) == (1, 1, 1, 2, False)
+    none = quality.ghost_rows(make([(1, "a")], "id int, name string"), fact, "id", "id", {}).first()
+    assert (none.ghost_rows, none.unbound_facts, none.passed) == (0, 3, False)
+    assert quality.ghost_rows(make([], ddl), fact.limit(0), "id", "id", {}).first()["passed"]
+
+
+def test_a_large_lexicon_is_not_broadcast(make, monkeypatch):
+    texts = make([(1, "red blue red"), (2, "blue"), (3, None)], "id int, text string")
+    lexicon = make([("warm", "red"), ("cold", "blue"), ("any", "blue")], "tag string, term string")
+    small = tx.lexicon_tags(texts, ["id"], "text", lexicon)
+    monkeypatch.setattr(tx, "BROADCAST_ROWS", 2)
+    large = tx.lexicon_tags(texts, ["id"], "text", lexicon)
+    assert rows(small) == rows(large) == [(1, "any", 1), (1, "cold", 1), (1, "warm", 1), (2, "any", 1), (2, "cold", 1)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(small) and "SortMergeJoin" in plan(large)
+
+
 def test_scd6_and_grain_differences(make):
     bad = make([("a", "LOW", "HIGH", "2024-01-01"), ("a", "HIGH", "LOW", "2024-02-01")], "k string, h string, c string, valid_from timestamp_ntz")
     row = quality.scd6_consistency(bad, "k", "h", "c").first()
