@@ -11,9 +11,17 @@ from terrace.llm.common import stored, table
 from terrace.llm.queries import PIECES, graded
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, list]:
+    """`docs` with all columns but doc_id and text under names no operator uses, and the selection that brings the names back: a user's column may be
+    called as one that an operator adds."""
+    kept = {c: c if c in ("doc_id", "text") else f"__user_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(name) for c, name in kept.items()]), [F.col(name).alias(c) for c, name in kept.items()]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose top grade is likely enough; the others (toxic, poor) go."""
-    return ordinal.selected(docs, graded(spark, sf_dir)).where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    safe, back = aside(docs)
+    return ordinal.selected(safe, graded(spark, sf_dir)).where("keep").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +42,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
-    return tiling.marked(docs, table(spark, sf_dir, "benchmark"), docs.columns).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    safe, back = aside(docs)
+    return tiling.marked(safe, table(spark, sf_dir, "benchmark"), safe.columns).where("not contaminated").select(*back)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the SentencePiece ids of each text, with the parity and round-trip checks."""
-    return pieces.encoded(docs, public_tokenizers.path(PIECES), ["doc_id", "lang", "source"])
+    """doc_id, lang and source (where there are such columns) and the SentencePiece ids of each text, with the parity and round-trip checks."""
+    return pieces.encoded(docs, public_tokenizers.path(PIECES), [c for c in ("doc_id", "lang", "source") if c in docs.columns])
 
 
 STAGES = [("ordinal quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("SentencePiece encoding", token_ids)]
