@@ -240,3 +240,21 @@ def test_negatives_against_all_pairs(spark, scale):
 def test_no_vectors(spark):
     rows = hard_negatives.taking_part(spark.createDataFrame([], "vec_id long, label int, embedding array<float>"), F.col("label"))
     assert hard_negatives.hard_negatives(rows, rows, 5, 3, 50, 95).collect() == []
+
+
+# ---- pipeline stages ------------------------------------------------------------------------------
+
+
+def test_stages_keep_columns_that_are_called_as_those_of_operators(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    own = {"keep": F.lit("mine"), "tail": F.lit(-5), "expected_grade": F.lit("x"), "item_id": F.col("doc_id") * 2, "coverage": F.lit("c"), "n_items": F.lit("n"), "contaminated": F.lit("no"), "least": F.lit("l"), "component_rows": F.lit("r")}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    clashing = docs.withColumns(own)
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination):
+        plain, got = stage(spark, docs, sf), stage(spark, clashing, sf)
+        assert got.columns == clashing.columns
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in plain.collect())
+        assert {(r["keep"], r["tail"], r["expected_grade"], r["contaminated"], r["least"], r["item_id"] - 2 * r["doc_id"]) for r in got.collect()} <= {("mine", -5, "x", "no", "l", 0)}
+    assert corpus_pipeline.token_ids(spark, docs.select("doc_id", "text"), sf).columns[0] == "doc_id"
