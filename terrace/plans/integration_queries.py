@@ -170,6 +170,21 @@ def _(t):
     return it.control_totals(run_batches(t, 3)[0])
 
 
+@query(
+    "d3_late_binding",
+    BASE_SQL + f"""SELECT trade_id, CAST(split_part(account_id, '-', 1) AS BIGINT) AS customer_id, batch AS batch_id,
+         CAST(CASE WHEN second THEN 2 ELSE 1 END AS INTEGER) AS version_number, CASE WHEN second OR is_new THEN '{CHANGED}' ELSE '{OPENED}' END AS valid_from,
+         second OR is_new OR CAST(split_part(account_id, '-', 1) AS BIGINT) NOT IN (SELECT o_custkey FROM gold) AS is_current
+       FROM (SELECT *, batch >= 2 AND ts >= TIMESTAMP '{CHANGED}' AND CAST(split_part(account_id, '-', 1) AS BIGINT) IN (SELECT o_custkey FROM gold) AS second FROM ok)""",
+)
+def _(t):
+    # Each accepted trade with the customer version it was bound to: a trade that comes late keeps the version of its day.
+    state, _ = run_batches(t, 3)
+    versions = state["dim_customer"].select(C("version_sk").alias("sk_customer_id"), "customer_id", "version_number", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), "is_current")
+    bound = state["fact_trade"].select("trade_id", "sk_customer_id", "batch_id").join(versions, "sk_customer_id", "left")
+    return bound.select("trade_id", "customer_id", "batch_id", "version_number", "valid_from", "is_current")
+
+
 def expected_totals(t: Tables, trades: DataFrame) -> DataFrame:
     """Control totals of the audits straight from the sources, without the loader."""
     orders = order_rows(t)
