@@ -45,6 +45,24 @@ def _(t):
     return raw.select("o_orderkey", "_raw_payload_id", "_source_file", "_batch_id")
 
 
+@query(
+    "s1_bronze_append",
+    """SELECT o_orderkey, sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus)) AS _raw_payload_id,
+         CAST(CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 1 ELSE 2 END AS INTEGER) AS _batch_id,
+         CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'drop=1' ELSE 'drop=2' END AS drop_folder FROM orders""",
+)
+def _(t):
+    # Two drops of files, as csv; the second is loaded twice, as after a retry.
+    names = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    root = scratch_path(t.spark, "drops")
+    drop = F.when(F.col("o_orderdate") < ntz("1996-01-01"), 1).otherwise(2)
+    t.orders.select(*names, drop.alias("drop")).write.partitionBy("drop").option("header", True).csv(f"{root}/in")
+    schema = t.orders.select(*names).schema
+    for batch in (1, 2, 2):
+        bronze = landing.append_files(t.spark, "csv", f"{root}/in/drop={batch}", schema, f"{root}/bronze", batch)
+    return bronze.select("o_orderkey", "_raw_payload_id", "_batch_id", F.regexp_extract("_source_file", "(drop=[0-9]+)/", 1).alias("drop_folder"))
+
+
 @query(
     "s2_declared_source_schema",
     " UNION ALL ".join(

@@ -28,6 +28,18 @@ def append_bronze(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_files(
+    spark: SparkSession, fmt: str, files: str, schema: T.StructType, bronze: str, batch_id: int, payload: Sequence[str] | None = None
+) -> DataFrame:
+    """Append a drop of files to a bronze table, each row with the file it comes from, and return the whole table. A batch has a partition
+    of its own, which a repeated load of the same batch replaces."""
+    reader = spark.read.schema(schema)
+    drop = (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(files)
+    raw = bronze_ingest(drop, "", batch_id, payload or schema.names).withColumn("_source_file", F.col("_metadata.file_path"))
+    raw.drop("_batch_id").write.mode("overwrite").parquet(f"{bronze}/_batch_id={batch_id}")
+    return spark.read.schema(raw.schema).parquet(bronze)
+
+
 def read_records(spark: SparkSession, fmt: str, path: str, schema: T.StructType) -> DataFrame:
     """Seed records from csv, json or parquet under a declared schema."""
     reader = spark.read.schema(schema)

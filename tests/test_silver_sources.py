@@ -88,3 +88,15 @@ def test_zipf_is_repeatable_and_skewed(spark):
 
 def test_time_dimension(spark):
     assert gen.time_dimension(spark).filter("hour = 10 and minute = 0 and second = 0").first()["time_sk"] == 36000
+
+
+def test_drops_of_files_are_appended_once_with_their_path(spark, tmp_path):
+    for drop, first in (("a", 0), ("b", 10)):
+        spark.range(first, first + 10).selectExpr("id", "cast(id % 3 as string) as kind").repartition(2).write.json(str(tmp_path / drop))
+    schema = spark.range(1).selectExpr("id", "cast(id as string) as kind").schema
+    for drop, batch in (("a", 1), ("b", 2), ("b", 2)):
+        bronze = landing.append_files(spark, "json", str(tmp_path / drop), schema, str(tmp_path / "bronze"), batch)
+    assert (bronze.count(), bronze.select("id").distinct().count(), bronze.select("_raw_payload_id").distinct().count()) == (20, 20, 20)
+    origin = bronze.selectExpr("_batch_id", "regexp_extract(_source_file, '/([ab])/part-', 1) as folder").distinct()
+    assert rows(origin) == [(1, "a"), (2, "b")]
+    assert bronze.select("_source_file").distinct().count() == 4
