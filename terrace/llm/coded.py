@@ -1,10 +1,10 @@
 """Token ids in a compressed binary format: adaptive context mixing in front of an arithmetic coder.
 
-Each id is predicted by order 2 (the two ids before it), else by order 1, else by order 0 (the last id seen with the same low byte), as soon as
-the entry has been right once. Whether a prediction holds is one binary decision, coded by an arithmetic coder whose probability mixes two adaptive estimates (by the predictions'
-confidence, and by the recent outcomes) with adaptive weights; what no prediction covers is a literal byte stream. Blocks of `BLOCK` ids start
-from a reset model and carry a CRC-32 of their ids, so any block can be read alone. All blocks of a segment run in step, one lane each, so the
-model costs a few array operations per id and not a loop.
+Each id is one step of an arithmetic coder. Its probability mixes three predictions: order 0 (the segment's frequencies of ids), order 1 and order 2
+(the id last seen after the same one or two ids, with an adaptive probability of being right); the weights of the mixture adapt too. Nothing goes
+past the coder but the frequencies and a directory. Blocks of `BLOCK` ids start from a reset model and carry a CRC-32 of their ids, so any block
+can be read alone (with its segment's frequencies). All blocks of a segment run in step, one lane each, so the model costs some array operations
+per id and not a loop.
 
 A segment row holds whole documents and its own directory (doc ids and lengths); it is written as one binary column of a columnar file, in
 ascending doc_id order over files and rows. A null text is empty: only its end id. A null doc_id comes first. Rows of equal doc_id are ordered by length and CRC of
@@ -31,198 +31,180 @@ from terrace.session import scratch_path
 
 BLOCK = 4096
 SEGMENT_IDS = 4_000_000
-MAGIC = b"TCM1"
-CELLS = 1024
+MAGIC = b"TCM2"
+CELLS = 4096
 END = 2
-HALF = 1 << 15
+ORDERS = (0, 1)  # places of order 1 and order 2 in lists
+WHOLE_BITS, SPLIT_BITS, DIGIT = np.uint64(22), np.uint64(16), np.uint64(16)
+WHOLE, SPLIT = 1 << 22, 1 << 16
+TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
+RIGHT = np.array([0.0, 0.1, 0.4, 0.6, 0.8, 0.0, 0.3, 0.7, 0.85, 0.92, 0.0, 0.6, 0.8, 0.9, 0.95])  # by run of right order-2 predictions, then by state
+WEIGHTS = (0.3, 0.5, 0.2)
+PACE, SHARED, SUREST = 1 / 32, 1 / 512, 0.995
+
+
+def _cumulated(rounded: np.ndarray) -> np.ndarray:
+    """Order 0 of a segment: cumulated frequencies of its ids with the sum WHOLE, each at least 1, from the counts' three leading bits."""
+    weights = ((4 + (rounded & 3).astype(np.int64)) << (rounded >> 2).astype(np.int64)) >> 2
+    n, total = len(weights), max(int(weights.sum()), 1)
+    ends = np.cumsum(weights) * (WHOLE - n) // total + np.arange(1, n + 1)
+    return np.append(np.zeros(1, np.int64), ends).astype(np.uint64)
+
+
+def _rounded(counts: np.ndarray) -> np.ndarray:
+    exponent = np.frexp(counts.astype(np.float64))[1].astype(np.int64) - 1
+    return (exponent << 2 | ((counts.astype(np.int64) << 2) >> exponent) & 3).astype(np.uint8)
 
 
 class _Lanes:
-    """Model and coder state of `lanes` blocks that run in step. `coded` gives or takes one decision for each lane of `at`."""
-
-    def __init__(self, lanes: int, streams: list[bytes] | None = None):
-        self.low, self.high = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
-        self.mix = [(np.full(lanes * 16, HALF, np.int64), np.full(lanes * 64, HALF, np.int64), np.full(lanes, 32, np.int64), np.zeros(lanes, np.int64)) for _ in range(2)]
-        self.second, self.first, self.zero = np.zeros(lanes * CELLS, np.int32), np.zeros(lanes * CELLS, np.int32), np.zeros(lanes * 256, np.int32)
-        self.lane, self.lane0 = np.arange(lanes) * CELLS, np.arange(lanes) * 256
-        self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.at = np.zeros(lanes, np.int64)
+    """Model and coder of blocks that run in step, one lane and one id at a time; only the last of the ids' blocks may be shorter.
+
+    Three experts give each id a probability: order 0 by the segment's frequencies, order 1 and order 2 by the id last seen after the same one or
+    two ids, with an adaptive probability of being right (by how often the entry was, and by how often order 2 just was) and order 0 for the rest. Their mixture, with weights that follow each expert's share in
+    what came, is cut into the masses of the two expected ids and the rest, and the coder takes the whole id in one step. Floats see only the
+    four basic operations, so both directions agree on any machine."""
+
+    def __init__(self, cumulated: np.ndarray, sizes: np.ndarray, streams: list[bytes] | None = None):
+        n = len(sizes)
+        self.cumulated, self.sizes = cumulated, sizes
+        self.share = np.diff(cumulated).astype(np.float64) / WHOLE
+        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+        self.at = np.zeros(n, np.int64)
+        self.cells = [np.zeros(n * CELLS, np.int32) for _ in ORDERS]
+        self.right = [np.tile(RIGHT, n) for _ in ORDERS]
+        self.weight = [np.full(n * 75, w) for w in WEIGHTS]
+        self.run_of = np.zeros(n, np.int64)
+        self.before, self.last = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.reading = streams is not None
-        if streams is None:
-            self.bytes = np.zeros((lanes, BLOCK * 2), np.uint8)
-        else:
-            self.bytes = np.zeros((lanes, max(map(len, streams), default=0) + 8), np.uint8)
+        self.digits = np.zeros((n, 4 + (max(map(len, streams), default=0) // 2 if self.reading else BLOCK)), np.uint64)
+        if self.reading:
             for i, s in enumerate(streams):
-                self.bytes[i, : len(s)] = np.frombuffer(s, np.uint8)
-            self.code = np.zeros(lanes, np.int64)
+                self.digits[i, : len(s) // 2] = np.frombuffer(s, ">u2")
+            self.value = np.zeros(n, np.uint64)
             for i in range(4):
-                self.code = (self.code << 8) | self.bytes[:, i]
+                self.value = (self.value << DIGIT) | self.digits[:, i]
             self.at += 4
 
-    def coded(self, kind: int, at: np.ndarray, context: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        by_context, by_history, weight, history = self.mix[kind]
-        i, h = at * 16 + context, history[at]
-        j = at * 64 + h
-        a, b, w = by_context[i], by_history[j], weight[at]
-        p = np.minimum(np.maximum((a * w + b * (64 - w)) >> 6, 512), 65024)
-        low, high = self.low[at], self.high[at]
-        span = high - low
-        middle = low + (span >> 16) * p + (((span & 0xFFFF) * p) >> 16)
-        if bits is None:
-            bits = self.code[at] <= middle
-        high = np.where(bits, middle, high)
-        low = np.where(bits, low, middle + 1)
-        want = np.where(bits, 65535, 0)
-        weight[at] = np.minimum(np.maximum(w + np.sign(np.abs(want - b) - np.abs(want - a)), 8), 56)
-        by_context[i] = a + ((want - a) >> 4)
-        by_history[j] = b + ((want - b) >> 5)
-        history[at] = ((h << 1) | bits) & 63
-        self.low[at], self.high[at] = low, high
-        ready = at[((low ^ high) >> 24) == 0]
+    def run(self, grid: np.ndarray) -> None:
+        """Code the symbol numbers of `grid` (place, lane), or fill it when reading."""
+        for t in range(int(self.sizes.max(initial=0))):
+            m = len(self.sizes) - int(self.sizes[-1] <= t)
+            self.step(m, grid[t, :m])
+
+    def step(self, m: int, ids: np.ndarray) -> None:
+        lane, last = np.arange(m), self.last[:m]
+        at = [lane * CELLS + (((last * 0x9E3779B1) >> 13) & (CELLS - 1)), lane * CELLS + (((last * 0x2F0B4C47 + self.before[:m] * 0x5851F42D) >> 11) & (CELLS - 1))]
+        cell = [self.cells[o][at[o]] for o in ORDERS]
+        expected = [(c >> 3) - 1 for c in cell]
+        state = [c & 7 for c in cell]  # 0: nothing expected, 1: not yet proven, to 4: right three times in a row
+        runs = lane * 3 + self.run_of[:m]
+        row = [runs * 5 + s for s in state]
+        right = [self.right[o][row[o]] for o in ORDERS]
+        pair = runs * 25 + state[0] * 5 + state[1]
+        w = [x[pair] for x in self.weight]
+        mass = [np.where(state[o] > 0, w[o] * right[o] * SPLIT, 0.0).astype(np.uint64) for o in ORDERS]
+        agree = expected[0] == expected[1]
+        mass = [np.where(agree, np.uint64(0), mass[0]), np.where(agree, mass[0] + mass[1], mass[1])]
+        unit = self.range[:m] >> SPLIT_BITS
+        cut = mass[1] + mass[0]
+        rest = (unit * (np.uint64(SPLIT) - cut)) >> WHOLE_BITS
+        if self.reading:
+            value = self.value[:m] - self.low[:m]
+            v = value // unit
+            far, near = v < mass[1], v < cut
+            zero = np.flatnonzero(~near)
+            found = np.where(far, expected[1], expected[0])
+            place = np.minimum((value[zero] - unit[zero] * cut[zero]) // np.maximum(rest[zero], np.uint64(1)), np.uint64(WHOLE - 1))
+            found[zero] = np.searchsorted(self.cumulated, place, "right") - 1
+            ids[:] = found
+        hit = [expected[o] == ids for o in ORDERS]
+        far = hit[1] & (mass[1] > 0)
+        near = ~far & hit[0] & (mass[0] > 0)
+        start, size = unit * np.where(near, mass[1], 0).astype(np.uint64), unit * np.where(far, mass[1], mass[0])
+        zero = np.flatnonzero(~(far | near))
+        own, r = ids[zero], rest[zero]
+        first = self.cumulated[own]
+        start[zero], size[zero] = unit[zero] * cut[zero] + r * first, r * (self.cumulated[own + 1] - first)
+        self.low[:m] += start
+        self.range[:m] = size
+        self.renewed(m)
+        share = self.share[ids]
+        by = [np.where(state[o] > 0, right[o] * hit[o] + (1.0 - right[o]) * share, share) for o in ORDERS] + [share]
+        mixed = w[0] * by[0] + w[1] * by[1] + w[2] * by[2]
+        for o in (0, 1, 2):
+            self.weight[o][pair] = w[o] + (w[o] * by[o] / mixed - w[o]) * PACE + (1 / 3 - w[o]) * SHARED
+        for o in ORDERS:
+            self.right[o][row[o]] = right[o] + (hit[o] * SUREST - right[o]) * PACE
+            value = (ids + 1) << 3
+            self.cells[o][at[o]] = np.where(hit[o], value | np.minimum(state[o] + 1, 4), value | 1)
+        self.run_of[:m] = np.where(hit[1], np.minimum(self.run_of[:m] + 1, 2), 0)
+        self.before[:m] = last
+        self.last[:m] = ids + 1
+
+    def renewed(self, m: int) -> None:
+        """Give out (take in) the leading digits that are settled; a range that straddles a border for long is cut at it."""
+        low, width = self.low[:m], self.range[:m]
+        settled = (low ^ (low + width)) < TOP
+        ready = np.flatnonzero(settled | (width < BOTTOM))
         while len(ready):
-            low, high, place = self.low[ready], self.high[ready], self.at[ready]
+            low, width, place = self.low[ready], self.range[ready], self.at[ready]
+            straddles = (low ^ (low + width)) >= TOP
+            width = np.where(straddles, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), width)
+            if place.max() >= self.digits.shape[1] - 4:
+                self.digits = np.concatenate([self.digits, np.zeros_like(self.digits)], axis=1)
             if self.reading:
-                self.code[ready] = ((self.code[ready] << 8) & 0xFFFFFFFF) | self.bytes[ready, np.minimum(place, self.bytes.shape[1] - 1)]
+                self.value[ready] = (self.value[ready] << DIGIT) | self.digits[ready, place]
             else:
-                if place.max() >= self.bytes.shape[1] - 8:
-                    self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)], axis=1)
-                self.bytes[ready, place] = high >> 24
+                self.digits[ready, place] = low >> np.uint64(48)
             self.at[ready] = place + 1
-            low, high = (low << 8) & 0xFFFFFFFF, ((high << 8) & 0xFFFFFFFF) | 255
-            self.low[ready], self.high[ready] = low, high
-            ready = ready[((low ^ high) >> 24) == 0]
-        return bits
-
-    def predictions(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Cells of order 2 and 1 and their entries for the first n lanes."""
-        lane, last = self.lane[:n], self.last[:n]
-        i2 = lane + (((last * 0x2F0B4C47 + self.before[:n] * 0x5851F42D) >> 11) & (CELLS - 1))
-        i1 = lane + ((last * 0x9E3779B1 >> 13) & (CELLS - 1))
-        return i2, i1, self.second[i2], self.first[i1]
-
-    def guesses(self, i2, i1, p2, p1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lanes with a prediction, the predicted id + 1, and the context of its probability: the highest order whose entry has been right before."""
-        sure2, sure1 = p2 & 3, p1 & 3
-        guess = np.where(sure2 > 0, p2, np.where(sure1 > 0, p1, 0)) >> 2
-        at = np.flatnonzero(guess)
-        return at, guess[at], sure2[at] * 4 + sure1[at]
-
-    def slots(self, at: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order 0 for lanes `at` whose low byte is known: predicted upper part + 1, confidence, and which of them have a prediction."""
-        z = self.zero[at * 256 + low]
-        some = np.flatnonzero(z & 3)
-        return z[some] >> 2, z[some] & 3, some
-
-    def learn(self, n: int, i2, i1, p2, p1, ids) -> None:
-        """An entry is (value + 1) * 4 + times it has been right in a row, 3 at most."""
-        own = (ids + 1) << 2
-        self.second[i2] = np.where(p2 >> 2 == ids + 1, own | np.minimum((p2 & 3) + 1, 3), own)
-        self.first[i1] = np.where(p1 >> 2 == ids + 1, own | np.minimum((p1 & 3) + 1, 3), own)
-        i0 = self.lane0[:n] + (ids & 255)
-        z, high = self.zero[i0], (ids >> 8) + 1
-        self.zero[i0] = np.where(z >> 2 == high, high << 2 | np.minimum((z & 3) + 1, 3), high << 2)
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+            low, width = low << DIGIT, width << DIGIT
+            self.low[ready], self.range[ready] = low, width
+            ready = ready[((low ^ (low + width)) < TOP) | (width < BOTTOM)]
 
     def closed(self) -> list[bytes]:
-        tail = np.stack([(self.low >> s) & 255 for s in (24, 16, 8, 0)], axis=1).astype(np.uint8)
-        return [self.bytes[i, : self.at[i]].tobytes() + tail[i].tobytes() for i in range(len(self.at))]
-
-
-def _lengths(n: int) -> list[int]:
-    return [min(BLOCK, n - i) for i in range(0, n, BLOCK)]
+        for shift in (48, 32, 16, 0):
+            self.digits[np.arange(len(self.at)), self.at] = (self.low >> np.uint64(shift)) & np.uint64(0xFFFF)
+            self.at += 1
+        return [self.digits[i, : self.at[i]].astype(">u2").tobytes() for i in range(len(self.at))]
 
 
 def packed(ids: np.ndarray) -> bytes:
-    """The blocks of `ids` (uint32, below 2**24)."""
-    n, sizes = len(ids), _lengths(len(ids))
-    lanes = len(sizes)
-    grid = np.zeros(lanes * BLOCK, np.int64)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
-    high_bytes = 1 if n == 0 or int(ids.max()) < 1 << 16 else 2
-    state = _Lanes(lanes)
-    literal, spent = np.zeros((lanes, BLOCK * (1 + high_bytes)), np.uint8), np.zeros(lanes, np.int64)
-    for t in range(max(sizes, default=0)):
-        m = lanes if t < sizes[-1] else lanes - 1
-        s = grid[t, :m]
-        i2, i1, p2, p1 = state.predictions(m)
-        at, guess, context = state.guesses(i2, i1, p2, p1)
-        left = np.ones(m, bool)
-        if len(at):
-            left[at[state.coded(0, at, context, guess == s[at] + 1)]] = False
-        at = np.flatnonzero(left)
-        if len(at):
-            v = s[at]
-            literal[at, spent[at]] = v & 255
-            spent[at] += 1
-            z, sure, some = state.slots(at, v & 255)
-            if len(some):
-                miss = np.ones(len(at), bool)
-                miss[some[state.coded(1, at[some], sure, z == (v[some] >> 8) + 1)]] = False
-                at, v = at[miss], v[miss]
-            for shift in range(8, 8 + 8 * high_bytes, 8):
-                literal[at, spent[at]] = (v >> shift) & 255
-                spent[at] += 1
-        state.learn(m, i2, i1, p2, p1, s)
+    """The blocks of `ids` (uint32), behind their rounded counts and a directory of sizes, checksums and stream lengths."""
+    n, starts = len(ids), np.arange(0, len(ids), BLOCK)
+    lanes = len(starts)
+    symbols, numbers, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    rounded = _rounded(counts)
+    sizes = np.diff(np.append(starts, n))
+    grid = np.zeros(lanes * BLOCK, np.int32)
+    grid[:n] = numbers
+    state = _Lanes(_cumulated(rounded), sizes)
+    state.run(np.ascontiguousarray(grid.reshape(lanes, BLOCK).T))
     streams = state.closed()
-    heads, bodies = [], []
-    for i, size in enumerate(sizes):
-        own = ids[i * BLOCK : i * BLOCK + size].astype("<u4").tobytes()
-        raw = literal[i, : spent[i]].tobytes()
-        heads.append(struct.pack("<IIII", size, zlib.crc32(own), len(streams[i]), len(raw)))
-        bodies += [streams[i], raw]
-    return MAGIC + struct.pack("<BIQ", high_bytes, lanes, n) + b"".join(heads) + b"".join(bodies)
+    heads = [struct.pack("<III", int(z), zlib.crc32(ids[a : a + z].astype("<u4").tobytes()), len(s)) for a, z, s in zip(starts.tolist(), sizes, streams)]
+    head = zlib.compress(np.diff(symbols.astype("<u4"), prepend=np.uint32(0)).tobytes() + rounded.tobytes(), 6)
+    return MAGIC + struct.pack("<IIIQ", len(symbols), len(head), lanes, n) + head + b"".join(heads) + b"".join(streams)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    """The ids of `packed`; a block whose checksum differs raises."""
+def unpacked(data: bytes, blocks: list[int] | None = None) -> np.ndarray:
+    """The ids of `packed`, of all blocks or of the given ones in ascending order; a block whose checksum differs raises."""
     if data[:4] != MAGIC:
         raise ValueError("not a segment")
-    high_bytes, lanes, n = struct.unpack_from("<BIQ", data, 4)
-    heads = [struct.unpack_from("<IIII", data, 17 + 16 * i) for i in range(lanes)]
-    at, streams, raws = 17 + 16 * lanes, [], []
-    for _, _, a, b in heads:
-        streams.append(data[at : at + a])
-        raws.append(data[at + a : at + a + b])
-        at += a + b
-    sizes = [h[0] for h in heads]
-    state = _Lanes(lanes, streams)
-    literal, spent = np.zeros((lanes, max(map(len, raws), default=0) + 4), np.uint8), np.zeros(lanes, np.int64)
-    for i, r in enumerate(raws):
-        literal[i, : len(r)] = np.frombuffer(r, np.uint8)
-    grid = np.zeros((BLOCK, lanes), np.int64)
-    for t in range(max(sizes, default=0)):
-        m = lanes if t < sizes[-1] else lanes - 1
-        i2, i1, p2, p1 = state.predictions(m)
-        at, guess, context = state.guesses(i2, i1, p2, p1)
-        s, left = np.zeros(m, np.int64), np.ones(m, bool)
-        if len(at):
-            hit = state.coded(0, at, context, None)
-            s[at[hit]], left[at[hit]] = guess[hit] - 1, False
-        at = np.flatnonzero(left)
-        if len(at):
-            v = literal[at, spent[at]].astype(np.int64)
-            spent[at] += 1
-            z, sure, some = state.slots(at, v)
-            miss = np.ones(len(at), bool)
-            if len(some):
-                hit = state.coded(1, at[some], sure, None)
-                miss[some[hit]] = False
-                v[some[hit]] += (z[hit] - 1) << 8
-            away, more = at[miss], v[miss]
-            for shift in range(8, 8 + 8 * high_bytes, 8):
-                more = more + (literal[away, spent[away]].astype(np.int64) << shift)
-                spent[away] += 1
-            v[miss] = more
-            s[at] = v
-        state.learn(m, i2, i1, p2, p1, s)
-        grid[t, :m] = s
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
-    for i, (size, crc, _, _) in enumerate(heads):
-        if zlib.crc32(ids[i * BLOCK : i * BLOCK + size].tobytes()) != crc:
+    distinct, head, lanes, _ = struct.unpack_from("<IIIQ", data, 4)
+    table = zlib.decompress(data[24 : 24 + head])
+    symbols = np.cumsum(np.frombuffer(table, "<u4", distinct), dtype=np.int64).astype("<u4")
+    heads = np.frombuffer(data, "<u4", 3 * lanes, 24 + head).reshape(lanes, 3).astype(np.int64)
+    stops = 24 + head + 12 * lanes + np.cumsum(heads[:, 2])
+    chosen = list(range(lanes)) if blocks is None else sorted(set(blocks))
+    state = _Lanes(_cumulated(np.frombuffer(table, np.uint8, distinct, 4 * distinct)), heads[chosen, 0], [data[stops[i] - heads[i, 2] : stops[i]] for i in chosen])
+    grid = np.zeros((BLOCK, len(chosen)), np.int32)
+    state.run(grid)
+    out = []
+    for lane, i in enumerate(chosen):
+        own = symbols[np.minimum(grid[: heads[i, 0], lane], distinct - 1)]
+        if zlib.crc32(own.tobytes()) != heads[i, 1]:
             raise ValueError(f"block {i} is damaged")
-    return ids
+        out.append(own)
+    return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
 # The library's byte-level pattern, with its letter and number classes written out for U+0000 to U+017F.

@@ -215,6 +215,23 @@ def test_ids_come_back_from_blocks_and_damage_is_seen():
         coded.unpacked(bytes(data))
 
 
+def test_coder_reads_single_blocks_and_beats_order_zero():
+    rng = np.random.default_rng(4)
+    p = 1.0 / np.arange(1, 2001)
+    words = rng.choice(50_000, 2000, replace=False)
+    ids = words[rng.choice(2000, 40_000, p=p / p.sum())].astype(np.uint32)
+    for at in range(0, 40_000, 2000):  # passages that come again
+        ids[at : at + 1500] = np.tile(ids[at : at + 250], 6)
+    data = coded.packed(ids)
+    assert coded.unpacked(data, [7, 2]).tolist() == ids[2 * coded.BLOCK : 3 * coded.BLOCK].tolist() + ids[7 * coded.BLOCK : 8 * coded.BLOCK].tolist()
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    order_zero = -(share * np.log2(share)).sum() / 8 * len(ids)
+    assert len(data) < order_zero * 2 / 3
+    for extreme in ([0], [2**32 - 1, 0, 2**32 - 1], rng.integers(0, 2**32, 5000), np.zeros(20_000), rng.choice([3, 9], 10_000)):
+        extreme = np.array(extreme, np.uint32)
+        assert coded.unpacked(coded.packed(extreme)).tolist() == extreme.tolist()
+
+
 def test_coded_documents_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
