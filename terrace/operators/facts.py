@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.functions.columns import dbl, money
+from terrace.functions.columns import date_key, dbl, money
 from terrace.functions.frames import side_by_side
 from terrace.operators.ordered import HOT_ROWS, largest_group, ordered_scan, with_group_totals
 from terrace.operators.temporal import pit_join
@@ -218,6 +218,37 @@ def allocate(
     return parts.withColumn(name, fixed).drop("_share", "_total", "_sum", "_top", "_parts")
 
 
+def apportion(
+    df: DataFrame, group: str, member: Sequence[str], share: Column, total: Column, name: str, scale: int,
+    share_scale: int = 2, hot_rows: int = HOT_ROWS, biggest: int | None = None,
+) -> DataFrame:
+    """Split `total` over the members of a group by largest remainders, in whole units of `scale` digits and without floating point.
+    Each member gets its quota rounded down; the units left go one each to the largest remainders, ties to the larger share, then to
+    the smaller `member` (which identifies a row inside its group). Shares (at least 0; null counts as 0) and totals take up to 18 digits
+    in their own units. A negative total is split like its absolute value; a group without any share is split equally; a null
+    total gives null parts."""
+    units, whole = "decimal(18,0)", "decimal(20,0)"
+    if biggest is None:
+        biggest = largest_group(df, [group])
+    rows = df.withColumns({
+        "_w": F.coalesce((share * F.lit(10**share_scale)).cast(units), F.lit(0).cast(units)), "_t": (total * F.lit(10**scale)).cast(units),
+    })
+    sums = with_group_totals(rows, [group], {"_sum": F.sum("_w"), "_n": F.count(F.lit(1))}, hot_rows, biggest)
+    sums = sums.withColumns({
+        "_w": F.when(F.col("_sum") > 0, F.col("_w")).otherwise(F.lit(1)).cast(units),
+        "_sum": F.when(F.col("_sum") > 0, F.col("_sum")).otherwise(F.col("_n")).cast(whole), "_u": F.abs("_t").cast(units),
+    })
+    quota = sums.withColumns({
+        "_q": F.expr("(_u * _w) div _sum").cast(units), "_behind": F.expr("-((_u * _w) % _sum)").cast(whole), "_less": F.expr("-_w"),
+    })
+    left = with_group_totals(quota, [group], {"_given": F.sum("_q")}, hot_rows, biggest)
+    placed = ordered_scan(left, [group], ["_behind", "_less", *member], index="_place", hot_rows=hot_rows, biggest=biggest)
+    part = F.col("_q") + F.when(F.col("_place") <= F.col("_u") - F.col("_given"), 1).otherwise(0)
+    signed = F.when(F.col("_t") < 0, -part).when(F.col("_t").isNotNull(), part).cast(whole)
+    out = placed.withColumn(name, (signed * F.lit(f"1e-{scale}").cast(f"decimal({scale + 1},{scale})")).cast(f"decimal(20,{scale})"))
+    return out.drop("_w", "_t", "_sum", "_n", "_u", "_q", "_behind", "_less", "_given", "_place")
+
+
 def weighted_bridge(
     df: DataFrame, group: str, member: str, share: Column, hot_rows: int = HOT_ROWS, biggest: int | None = None
 ) -> DataFrame:
@@ -248,6 +279,20 @@ def fx_triad(orders: DataFrame, rates: DataFrame, date: str, currency: str, loca
     return joined.withColumn(f"{prefix}_usd", amount).drop("_d", "_c")
 
 
+def conformed_facts(
+    processes: Mapping[str, DataFrame], members: DataFrame, member: str, member_sk: str, unknown: str = "-1"
+) -> DataFrame:
+    """One bus of facts (process, `member_sk`, date_key, amount, and the member's other columns) over a member and a date dimension that
+    all processes share. Each process gives (`member`, day, amount); they are stacked before the dimension is joined, so it is joined once.
+    Rows without a known member keep the surrogate key `unknown` and null attributes."""
+    bus = None
+    for name, df in processes.items():
+        rows = df.select(F.lit(name).alias("process"), F.col(member), date_key("day").alias("date_key"), "amount")
+        bus = rows if bus is None else bus.unionByName(rows)
+    joined = bus.join(members, member, "left").withColumn(member_sk, F.coalesce(member_sk, F.lit(unknown)))
+    return joined.drop(member)
+
+
 def drill_across(parts: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """Full outer join of facts that are already aggregated to `keys`; absent measures become 0.
     Stacking and one more sum replaces a chain of full joins: every side is shuffled once."""

@@ -552,3 +552,71 @@ def _(t):
 def _(t):
     out = facts.time_series_rollup(t.events, "ts", "1 hour", ["event_type"], money("value"))
     return out.withColumn("bucket_start", ts_text("bucket_start")).withColumns({c: dbl(c) for c in ("total", "lowest", "highest")})
+
+
+APPORTION_SQL = """SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY u * w % s DESC, w DESC, m) <= u - sum(u * w // s) OVER (PARTITION BY g) AS HUGEINT)
+      + u * w // s AS part FROM (SELECT *, sum(w) OVER (PARTITION BY g) AS s FROM ({}))""".format
+
+
+@query(
+    "f17_apportioned_bridge",
+    f"""SELECT g AS l_orderkey, m AS l_suppkey, CAST(part AS DOUBLE) / 1000000 AS allocation_weight FROM ({APPORTION_SQL(
+        f"SELECT l_orderkey AS g, l_suppkey AS m, CAST(sum({M('l_extendedprice')}) * 100 AS HUGEINT) AS w, 1000000::HUGEINT AS u FROM lineitem GROUP BY 1, 2")})""",
+)
+def _(t):
+    pre = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum(money("l_extendedprice")).alias("w"))
+    out = facts.apportion(pre, "l_orderkey", ["l_suppkey"], F.col("w"), F.lit(1), "allocation_weight", 6, biggest=largest_group(t.lineitem, ["l_orderkey"]))
+    return out.select("l_orderkey", "l_suppkey", dbl("allocation_weight").alias("allocation_weight"))
+
+
+@query(
+    "f23_header_apportionment",
+    f"""SELECT g AS l_orderkey, m AS l_linenumber, CAST(part AS DOUBLE) / 100 AS allocated FROM ({APPORTION_SQL(
+        f"SELECT l_orderkey AS g, l_linenumber AS m, CAST({M('l_extendedprice')} * 100 AS HUGEINT) AS w, CAST({M('o_totalprice')} * 100 AS HUGEINT) AS u "
+        f"FROM {DEDUP_SQL} JOIN orders ON o_orderkey = l_orderkey")})""",
+)
+def _(t):
+    biggest = largest_group(t.lineitem, ["l_orderkey"])
+    heads = t.orders.select("o_orderkey", money("o_totalprice").alias("total"))
+    lines = clean_lines(t, biggest).join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
+    out = facts.apportion(lines, "l_orderkey", ["l_linenumber"], money("l_extendedprice"), F.col("total"), "allocated", 2, biggest=biggest)
+    return out.select("l_orderkey", "l_linenumber", dbl("allocated").alias("allocated"))
+
+
+def conformed_bus(t: Tables) -> DataFrame:
+    people = t.customer.select(F.col("c_custkey").alias("cust_id"), md5_key("c_custkey").alias("customer_sk"), "c_mktsegment")
+
+    def day(df, member, when, amount):
+        return df.select(F.col(member).alias("cust_id"), F.col(when).alias("day"), amount.alias("amount"))
+
+    shipped = day(shipments(t), "o_custkey", "l_shipdate", F.col("amount"))
+    paid = day(t.events.filter("event_type = 'purchase'"), "user_id", "ts", money("value"))
+    ordered = day(t.orders, "o_custkey", "o_orderdate", money("o_totalprice"))
+    return facts.conformed_facts({"orders": ordered, "shipments": shipped, "payments": paid}, people, "cust_id", "customer_sk")
+
+
+BUS_SQL = f"""(SELECT process, coalesce(md5(CAST(c_custkey AS VARCHAR)), '-1') AS customer_sk, c_mktsegment, amount,
+      CAST(year(day) * 10000 + month(day) * 100 + day(day) AS INTEGER) AS date_key FROM (
+    SELECT 'orders' AS process, o_custkey AS cust_id, CAST(o_orderdate AS DATE) AS day, {M('o_totalprice')} AS amount FROM orders UNION ALL
+    SELECT 'shipments', o_custkey, CAST(l_shipdate AS DATE), {M('l_extendedprice')} FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL
+    SELECT 'payments', user_id, CAST(ts AS DATE), {M('value')} FROM events WHERE event_type = 'purchase') LEFT JOIN customer ON c_custkey = cust_id)"""
+
+
+@query(
+    "f22_conformed_facts",
+    f"SELECT process, customer_sk, date_key, count(*) AS row_count, CAST(sum(amount) AS DOUBLE) AS amount FROM {BUS_SQL} GROUP BY 1, 2, 3",
+)
+def _(t):
+    return conformed_bus(t).groupBy("process", "customer_sk", "date_key").agg(n_rows().alias("row_count"), dbl(F.sum("amount")).alias("amount"))
+
+
+@query(
+    "f22_conformed_totals",
+    f"""SELECT process, coalesce(c_mktsegment, 'Unknown') AS segment, CAST(date_key // 10000 AS INTEGER) AS yr, count(*) AS row_count,
+               count(DISTINCT customer_sk) AS customers, CAST(sum(amount) AS DOUBLE) AS amount FROM {BUS_SQL} GROUP BY 1, 2, 3""",
+)
+def _(t):
+    keys = ["process", F.coalesce("c_mktsegment", F.lit("Unknown")).alias("segment"), (F.col("date_key") / 10000).cast("int").alias("yr")]
+    return conformed_bus(t).groupBy(*keys).agg(
+        n_rows().alias("row_count"), F.count_distinct("customer_sk").alias("customers"), dbl(F.sum("amount")).alias("amount")
+    )

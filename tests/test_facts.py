@@ -15,6 +15,43 @@ def test_allocation_is_exact_for_any_split(make):
         assert [r[1] for r in rows(out.filter("o = 1"), "n", "part")] == [Decimal(x) for x in ("32.26", "32.26", "32.25", "3.23")]
 
 
+def test_apportionment_by_largest_remainders(make):
+    big = 10**15
+    lines = make(
+        [(1, i, Decimal(v), Decimal(100)) for i, v in enumerate([10, 10, 10, 1])] + [(2, 0, Decimal(0), Decimal("-0.05")), (2, 1, None, Decimal("-0.05"))]
+        + [(3, i, Decimal(v), Decimal(big) / 100) for i, v in enumerate([big // 100, 1, 7, 3 * 10**12])] + [(4, 0, Decimal(1), None), (None, 0, Decimal(5), Decimal(9))],
+        "o int, n int, v decimal(18,2), t decimal(18,2)",
+    )
+    for hot in (1000, 2):
+        out = facts.apportion(lines, "o", ["n"], F.col("v"), F.col("t"), "part", 2, hot_rows=hot)
+        got = {(r["o"], r["n"]): r["part"] for r in out.collect()}
+        assert len(got) == lines.count() and out.columns == [*lines.columns, "part"]
+        assert [got[1, i] for i in range(4)] == [Decimal(x) for x in ("32.26", "32.26", "32.26", "3.22")]
+        assert [got[2, i] for i in range(2)] == [Decimal("-0.03"), Decimal("-0.02")]
+        assert got[4, 0] is None and got[None, 0] == Decimal("9.00")
+        shares = [100 * v for v in (big // 100, 1, 7, 3 * 10**12)]
+        quotas = [divmod(big * w, sum(shares)) for w in shares]
+        first = sorted(range(4), key=lambda i: (-quotas[i][1], -shares[i], i))[: big - sum(q for q, _ in quotas)]
+        assert [int(got[3, i] * 100) for i in range(4)] == [q + (i in first) for i, (q, _) in enumerate(quotas)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "double" not in plan
+
+
+def test_facts_share_members_and_days(make):
+    import datetime as dt
+
+    people = make([(1, "a", "x"), (2, "b", "y")], "c int, sk string, seg string")
+    day = dt.date(2024, 2, 3)
+    orders = make([(1, day, Decimal(5)), (9, day, Decimal(7)), (None, None, None)], "c int, day date, amount decimal(18,2)")
+    paid = make([(2, day, Decimal(1))], "c int, day date, amount decimal(18,2)")
+    bus = facts.conformed_facts({"orders": orders, "payments": paid}, people, "c", "sk")
+    got = sorted(map(tuple, bus.select("process", "sk", "date_key", "amount", "seg").collect()), key=repr)
+    assert got == sorted(
+        [("orders", "a", 20240203, Decimal("5.00"), "x"), ("orders", "-1", 20240203, Decimal("7.00"), None), ("orders", "-1", None, None, None), ("payments", "b", 20240203, Decimal("1.00"), "y")],
+        key=repr,
+    )
+
+
 def test_weighted_bridge_does_not_double_count(make):
     members = make([(1, "d1", 60), (1, "d2", 30), (1, "d3", 10), (2, "d1", 1)], "e int, doc string, w int")
     bridge = facts.weighted_bridge(members, "e", "doc", F.col("w"))
