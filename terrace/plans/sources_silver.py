@@ -226,6 +226,21 @@ def _(t):
     return keyed.groupBy("skew_key").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def power_law_sql(table: str, id_col: str, n_keys: int, s: float, seed: int) -> str:
+    c = {k: f"CAST('{v!r}' AS DOUBLE)" for k, v in {**gen.power_law_constants(n_keys, s), "e": 1 - s, "r": 1 / (1 - s), "s": -s}.items()}
+    return f"""SELECT {id_col}, arg_min(k, i) AS key_rank FROM (
+        SELECT *, CAST(least(greatest(floor(x + 0.5), 1), {n_keys}) AS BIGINT) AS k FROM (
+          SELECT *, pow({c['e']} * u, {c['r']}) AS x FROM (
+            SELECT {id_col}, i, {c['right']} + CAST(('0x' || substr(md5({id_col} || '|{seed}|' || i), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE
+              * {c['width']} AS u FROM {table}, range(16) r(i))))
+      WHERE k - x <= {c['safe']} OR u >= pow(k + 0.5::DOUBLE, {c['e']}) / {c['e']} - pow(k, {c['s']}) GROUP BY 1"""
+
+
+@query("s10_power_law_keys", power_law_sql("events", "event_id", 10_000_000, 1.2, 42))
+def _(t):
+    return gen.gen_power_law_keys(t.events.select("event_id"), "event_id", n_keys=10_000_000, s=1.2, seed=42)
+
+
 @query(
     "s11_gen_time_jitter",
     """SELECT event_id, off AS offset_hours,

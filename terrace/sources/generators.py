@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,42 @@ def gen_zipf_keys(
     )
 
 
+def power_law_constants(n_keys: int, s: float) -> dict[str, float]:
+    """Constants of rejection-inversion: the integral of x^-s at both ends and the width of the zone that is always accepted."""
+    area = math.log if s == 1 else lambda x: x ** (1 - s) / (1 - s)
+    back = math.exp if s == 1 else lambda y: ((1 - s) * y) ** (1 / (1 - s))
+    return {"right": area(n_keys + 0.5), "width": area(1.5) - 1.0 - area(n_keys + 0.5), "safe": 2.0 - back(area(2.5) - 2.0**-s)}
+
+
+def gen_power_law_keys(df: DataFrame, id_col: str, n_keys: int, s: float, seed: int, name: str = "key_rank", tries: int = 16) -> DataFrame:
+    """Give each row a key 1..n_keys with weight 1/k^s (s > 0) by rejection-inversion of draws hashed from the row id, the seed and the try:
+    columns only, no table of weights, so n_keys costs nothing. The first accepted draw counts; a draw is rejected in fewer than one
+    case in five, and after `tries` rejections (below 1e-11) the last key stands. Equal ids, also null ones, get equal keys."""
+    if n_keys < 1 or s <= 0:
+        raise ValueError("at least one key and a positive exponent")
+    c = power_law_constants(n_keys, s)
+    area = F.log if s == 1 else lambda x: F.pow(x, F.lit(1 - s)) / F.lit(1 - s)
+    back = F.exp if s == 1 else lambda y: F.pow(F.lit(1 - s) * y, F.lit(1 / (1 - s)))
+
+    def let(value: Column, use) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    def key(x: Column) -> Column:
+        return F.least(F.greatest(F.floor(x + 0.5), F.lit(1)), F.lit(n_keys)).cast("bigint")
+
+    def draw(i: int) -> Column:
+        return F.lit(c["right"]) + unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed), F.lit(i)) * F.lit(c["width"])
+
+    def tried(u: Column) -> Column:
+        def judged(x: Column) -> Column:
+            return let(key(x), lambda k: F.when((k - x <= F.lit(c["safe"])) | (u >= area(k + 0.5) - F.pow(k.cast("double"), F.lit(-s))), k))
+
+        return let(back(u), judged)
+
+    chain = [let(draw(i), tried) for i in range(tries)] + [key(back(draw(tries - 1)))]
+    return df.withColumn(name, F.coalesce(*chain))
+
+
 def gen_time_jitter(df: DataFrame, ts: str, id_col: str, hours: int, seed: int) -> DataFrame:
     """Clock drift of -hours..+hours whole hours, fixed by the row id and the seed."""
     digest = F.conv(F.substring(md5_key(id_col, F.lit(seed), sep="|"), 1, 8), 16, 10).cast("bigint")

@@ -13,7 +13,7 @@ import __spark_entry__ as contract
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = [
-    "flagship_sales_mart", "s3_load_records", "s10_gen_zipf_keys", "p8_quarantine_split", "g5_scd6_hybrid", "g13_closure_table",
+    "flagship_sales_mart", "s3_load_records", "s10_gen_zipf_keys", "s10_power_law_keys", "p8_quarantine_split", "g5_scd6_hybrid", "g13_closure_table",
     "f5_nested_mart", "f20_fx_variance", "f23_header_allocation", "f17_apportioned_bridge", "f23_header_apportionment", "f22_conformed_facts", "f22_conformed_totals", "v5_vault_pit", "x1_cycle_rings_by_size", "x5_dependency_cycles",
     "a3_topk_similar", "a7_rolling_features", "ssb_q3_1", "ssb_q4_2", "tpch_q1", "tpch_q21", "k6_interval_overlap", "k21_percentile_summary",
     "k22_scorecard", "n1_text_sanity", "n5_term_role_counts", "r3_window_conversion_stream", "r10_session_activity",

@@ -86,6 +86,45 @@ def test_zipf_is_repeatable_and_skewed(spark):
     assert top >= 0.7 * 4000
 
 
+def test_power_law_keys_without_a_table(spark):
+    ids = spark.range(40_000)
+    for n, s in ((5, 1.0), (200, 0.7), (1000, 1.5), (1, 2.0)):
+        drawn = gen.gen_power_law_keys(ids, "id", n, s, 7)
+        counts = dict(rows(drawn.groupBy("key_rank").count(), "key_rank", "count"))
+        total = sum(k**-s for k in range(1, n + 1))
+        assert sum(counts.values()) == 40_000 and min(counts) >= 1 and max(counts) <= n
+        for k in range(1, min(n, 5) + 1):
+            share = k**-s / total
+            assert abs(counts[k] - 40_000 * share) <= 5 * (40_000 * share) ** 0.5 + 1
+        head = sum(c for k, c in counts.items() if k <= 20)
+        share = sum(k**-s for k in range(1, min(n, 20) + 1)) / total
+        assert abs(head - 40_000 * share) <= 500
+    wide = gen.gen_power_law_keys(ids, "id", 10**7, 1.2, 7)
+    assert rows(wide, "id", "key_rank") == rows(gen.gen_power_law_keys(ids, "id", 10**7, 1.2, 7), "id", "key_rank")
+    assert wide.agg(F.max("key_rank")).first()[0] > 10**5
+
+
+def test_partition_filters_reach_the_scan_and_buckets_save_the_exchange(spark):
+    path = scratch_path(spark, "pruned")
+    landing.write_partitioned(spark.range(300).selectExpr("id", "id % 3 as part"), path, ["part"], ["id"])
+    pruned = spark.read.parquet(path).filter("part = 1")
+    assert pruned.count() == 100
+    assert "PartitionFilters: [isnotnull(part" in pruned._jdf.queryExecution().executedPlan().toString()
+    names = ["terrace_bucket_a", "terrace_bucket_b"]
+    for name in names:
+        landing.write_bucketed(spark.range(1000).selectExpr("id as k", "id * 2 as v"), name, ["k"], 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = spark.table(names[0]).join(spark.table(names[1]).withColumnRenamed("v", "w"), "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000 and "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_time_dimension(spark):
     assert gen.time_dimension(spark).filter("hour = 10 and minute = 0 and second = 0").first()["time_sk"] == 36000
 
