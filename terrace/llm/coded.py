@@ -2,7 +2,7 @@
 
 Each id is one step of an arithmetic coder. Its probability mixes three predictions: order 0 (the segment's frequencies of ids), order 1 and order 2
 (the id last seen after the same one or two ids, with an adaptive probability of being right); the weights of the mixture adapt too. Nothing goes
-past the coder but the frequencies and a directory. Blocks of `BLOCK` ids start from a reset model and carry a CRC-32 of their ids, so any block
+past the coder but the frequencies and a directory. Blocks of `BLOCK` ids start from a reset model and carry a CRC-32 of their ids and bytes, so any block
 can be read alone (with its segment's frequencies). All blocks of a segment run in step, one lane each, so the model costs some array operations
 per id and not a loop.
 
@@ -180,7 +180,7 @@ def packed(ids: np.ndarray) -> bytes:
     state = _Lanes(_cumulated(rounded), sizes)
     state.run(np.ascontiguousarray(grid.reshape(lanes, BLOCK).T))
     streams = state.closed()
-    heads = [struct.pack("<III", int(z), zlib.crc32(ids[a : a + z].astype("<u4").tobytes()), len(s)) for a, z, s in zip(starts.tolist(), sizes, streams)]
+    heads = [struct.pack("<III", int(z), zlib.crc32(s, zlib.crc32(ids[a : a + z].astype("<u4").tobytes())), len(s)) for a, z, s in zip(starts.tolist(), sizes, streams)]
     head = zlib.compress(np.diff(symbols.astype("<u4"), prepend=np.uint32(0)).tobytes() + rounded.tobytes(), 6)
     return MAGIC + struct.pack("<IIIQ", len(symbols), len(head), lanes, n) + head + b"".join(heads) + b"".join(streams)
 
@@ -195,13 +195,14 @@ def unpacked(data: bytes, blocks: list[int] | None = None) -> np.ndarray:
     heads = np.frombuffer(data, "<u4", 3 * lanes, 24 + head).reshape(lanes, 3).astype(np.int64)
     stops = 24 + head + 12 * lanes + np.cumsum(heads[:, 2])
     chosen = list(range(lanes)) if blocks is None else sorted(set(blocks))
-    state = _Lanes(_cumulated(np.frombuffer(table, np.uint8, distinct, 4 * distinct)), heads[chosen, 0], [data[stops[i] - heads[i, 2] : stops[i]] for i in chosen])
+    streams = [data[stops[i] - heads[i, 2] : stops[i]] for i in chosen]
+    state = _Lanes(_cumulated(np.frombuffer(table, np.uint8, distinct, 4 * distinct)), heads[chosen, 0], streams)
     grid = np.zeros((BLOCK, len(chosen)), np.int32)
     state.run(grid)
     out = []
     for lane, i in enumerate(chosen):
         own = symbols[np.minimum(grid[: heads[i, 0], lane], distinct - 1)]
-        if zlib.crc32(own.tobytes()) != heads[i, 1]:
+        if zlib.crc32(streams[lane], zlib.crc32(own.tobytes())) != heads[i, 1]:
             raise ValueError(f"block {i} is damaged")
         out.append(own)
     return np.concatenate(out) if out else np.zeros(0, "<u4")
