@@ -126,47 +126,57 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, component_id) of every node that lies on a cycle: strongly connected components of several nodes, and nodes with an edge
     to themselves; the id is the smallest node. Edges with a null end are no edges.
 
-    Each phase trims nodes that cannot be on a cycle, colours every node with the largest node that reaches it, and goes back along
-    edges within one colour from the node that gave it: what it meets is that node's component, one for each colour at a time. Edges
-    between components or touching found ones are dropped. Only nodes that changed send messages, aggregated by receiver before the
-    shuffle. Rounds: the longest trimmed path, and per phase the longest shortest path within a component; phases: components that hang
-    behind one another below a larger node."""
+    Nodes that cannot be on a cycle are trimmed once, and bounded shortcuts make paths shorter. Each phase labels every node with the
+    smallest node that reaches it and the smallest node that it reaches, both in the same rounds. Where the two agree, that node is the
+    smallest of the component, which is then whole; edges between nodes with different labels are dropped, and the rest goes into the
+    next phase. Only nodes that changed send messages, aggregated by receiver before the shuffle. Rounds: the longest trimmed path, and
+    per phase the longest shortest path with shortcuts; each phase ends at least the smallest node of each weakly connected part."""
     links = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).dropna().distinct()
     loops = links.filter("s = d").select("s", F.col("s").alias("component"))
-    rest, found = _core(links.filter("s <> d")), None
+    rest, found = _shortened(_core(links.filter("s <> d"))), None
     while not rest.isEmpty():
-        colours = _coloured(rest)
-        own = rest.join(colours.select(F.col("node").alias("s"), F.col("colour").alias("cs")), "s").join(colours.select(F.col("node").alias("d"), F.col("colour").alias("cd")), "d")
-        inside = durable(own.filter("cs = cd").select("s", "d", F.col("cs").alias("colour")))
-        met = _met(inside, durable(colours.filter("node = colour")))
-        several = met.join(met.groupBy("colour").count().filter("count > 1").select("colour"), "colour", "left_semi")
-        named = durable(several.join(several.groupBy("colour").agg(F.min("node").alias("component")), "colour").select(F.col("node").alias("s"), "component"))
+        labels = _labelled(rest)
+        met = labels.filter("above = below").select(F.col("node").alias("s"), F.col("above").alias("component"))
+        several = met.filter("s <> component").select("component").distinct()
+        named = durable(met.join(several, "component", "left_semi").select("s", "component"))
         found = named if found is None else found.unionByName(named)
-        gone = met.select(F.col("node").alias("s"))
-        left = inside.select("s", "d").join(gone, "s", "left_anti").join(gone.withColumnRenamed("s", "d"), "d", "left_anti")
-        rest = _core(left.select("s", "d"))
+        open_ = labels.filter("above <> below")
+        ends = [open_.select(F.col("node").alias(e), "above", "below") for e in ("s", "d")]
+        rest = durable(rest.join(ends[0], "s").join(ends[1], ["d", "above", "below"]).select("s", "d"))
     whole = loops if found is None else found.unionByName(loops.join(found.select("s"), "s", "left_anti"))
     return whole.select(F.col("s").alias("node"), F.col("component").alias("component_id"))
 
 
-def _coloured(links: DataFrame) -> DataFrame:
-    """(node, colour): the largest node that reaches it, itself included."""
-    colours = durable(links.select(F.explode(F.array("s", "d")).alias("node")).distinct().withColumn("colour", F.col("node")))
-    changed = colours
+SHORTCUTS = 16  # two-step paths to enumerate at most, as a multiple of the edges given
+
+
+def _shortened(links: DataFrame) -> DataFrame:
+    """The edges with shortcuts over two steps, again and again while there are few such paths (counted before they are joined). What
+    reaches what stays the same, and each time the longest shortest path is halved."""
+    given = links.count()
+    while given:
+        into, out = links.groupBy(F.col("d").alias("node")).agg(F.count(F.lit(1)).alias("i")), links.groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("o"))
+        paths = into.join(out, "node").agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0
+        if not 0 < paths <= SHORTCUTS * given:
+            break
+        size = links.count()
+        steps = links.select("s", F.col("d").alias("m")).join(links.select(F.col("s").alias("m"), "d"), "m").select("s", "d").filter("s <> d")
+        links = durable(links.unionByName(steps).distinct())
+        if links.count() == size:
+            break
+    return links
+
+
+def _labelled(links: DataFrame) -> DataFrame:
+    """(node, above, below): the smallest node that reaches it and the smallest that it reaches, itself included."""
+    steps = durable(links.select(F.inline(F.array(
+        F.struct("s", "d", F.lit(True).alias("down")), F.struct(F.col("d").alias("s"), F.col("s").alias("d"), F.lit(False).alias("down"))
+    ))))
+    labels = durable(steps.select(F.col("s").alias("node")).distinct().select("node", F.explode(F.array(F.lit(True), F.lit(False))).alias("down"), F.col("node").alias("label")))
+    changed = labels
     while not changed.isEmpty():
-        sent = changed.select(F.col("node").alias("s"), "colour").join(links, "s").groupBy(F.col("d").alias("node")).agg(F.max("colour").alias("heard"))
-        both = durable(colours.join(sent, "node", "left").withColumn("new", F.coalesce(F.col("heard") > F.col("colour"), F.lit(False))))
-        colours = both.select("node", F.greatest("colour", "heard").alias("colour"))
-        changed = both.filter("new").select("node", F.col("heard").alias("colour"))
-    return colours
-
-
-def _met(inside: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, colour) reached backward from each root along edges of its colour."""
-    found, frontier = roots.select("node", "colour"), roots.select("node", "colour")
-    while True:
-        step = frontier.select(F.col("node").alias("d"), "colour").join(inside, ["d", "colour"]).select(F.col("s").alias("node"), "colour").distinct()
-        frontier = durable(step.join(found, ["node", "colour"], "left_anti"))
-        if frontier.isEmpty():
-            return found
-        found = durable(found.unionByName(frontier))
+        sent = changed.select(F.col("node").alias("s"), "down", "label").join(steps, ["s", "down"]).groupBy(F.col("d").alias("node"), "down").agg(F.min("label").alias("heard"))
+        both = durable(labels.join(sent, ["node", "down"], "left").withColumn("new", F.coalesce(F.col("heard") < F.col("label"), F.lit(False))))
+        labels = both.select("node", "down", F.least("label", "heard").alias("label"))
+        changed = both.filter("new").select("node", "down", F.col("heard").alias("label"))
+    return durable(labels.groupBy("node").agg(F.min(F.when(F.col("down"), F.col("label"))).alias("above"), F.min(F.when(~F.col("down"), F.col("label"))).alias("below")))

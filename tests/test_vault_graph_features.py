@@ -142,3 +142,19 @@ def test_components_leave_out_what_lies_between_cycles(spark):
     frame = spark.createDataFrame(pairs, "a long, b long")
     assert rows(graph.components(frame, "a", "b")) == sorted([(1, 1), (2, 1), (8, 8), (9, 8), (7, 7), (38, 38), (39, 38), (40, 38)], key=str)
     assert rows(graph.components(frame.limit(0), "a", "b")) == []
+
+
+def test_components_of_a_long_ring_take_few_rounds(spark, monkeypatch):
+    ring = spark.createDataFrame([(i, (i + 1) % 24) for i in range(24)] + [(5, 30), (30, 31), (31, 30)], "a bigint, b bigint")
+    stored, kept = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: stored.append(1) or kept(df))
+    assert rows(graph.components(ring, "a", "b")) == sorted([(i, 0) for i in range(24)] + [(30, 30), (31, 30)], key=str)
+    assert len(stored) < 24
+
+
+def test_shortcuts_keep_what_reaches_what_and_stay_bounded(spark):
+    star = [(i, 0) for i in range(1, 60)] + [(0, i) for i in range(1, 60)]
+    links = spark.createDataFrame(star, "s bigint, d bigint")
+    assert graph._shortened(links).count() == len(star)  # 59 * 59 paths over the hub are not enumerated
+    path = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "s bigint, d bigint")
+    assert rows(graph._shortened(path)) == sorted([(i, j) for i in range(1, 5) for j in range(i + 1, 5)], key=str)
