@@ -60,17 +60,33 @@ def _append(state: State, name: str, rows: DataFrame) -> DataFrame:
     return state[name].unionByName(piece) if name in state else piece
 
 
-def _unseen(state: State, name: str, rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows that the table does not hold yet, so that a batch loaded again adds nothing. NULLs are equal."""
+def _unseen(state: State, name: str, rows: DataFrame, key: list[str], batch_id: int) -> DataFrame:
+    """The rows that the table does not hold yet, so that a batch loaded again adds nothing. NULLs are equal. `key` has the batch,
+    so only a batch that the table has rows of is joined at all."""
     if name not in state:
         return rows
-    kept = state[name].select(*[F.col(k).alias(f"_seen_{k}") for k in key])
+    same = state[name].filter(F.col("batch_id") == batch_id)
+    if same.isEmpty():
+        return rows
+    kept = same.select(*[F.col(k).alias(f"_seen_{k}") for k in key])
     return rows.join(kept, all_of([F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in key]), "left_anti")
 
 
+def _add(state: State, name: str, rows: DataFrame) -> DataFrame:
+    """`rows` come from a stored feed by filters and expressions alone, so they are not stored a second time."""
+    return state[name].unionByName(rows) if name in state else rows
+
+
 def _bind_customer(rows: DataFrame, ts: str, customers: DataFrame, most: int) -> DataFrame:
-    bound = pit_join(rows, "customer_id", ts, customers, "customer_id", ["version_sk"], most=most)
-    return bound.withColumnRenamed("version_sk", "sk_customer_id").drop("valid_from", "valid_to")
+    """The start of the version (NULL without one) stands for its long hash key in shuffles and stored feeds."""
+    bound = pit_join(rows, "customer_id", ts, customers, "customer_id", [], most=most)
+    return bound.withColumnRenamed("valid_from", "_version_from").drop("valid_to")
+
+
+def _keyed(bound: DataFrame) -> DataFrame:
+    """The customer version's key as `scd2_build` makes it, in place of customer and start."""
+    stamp = F.date_format("_version_from", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return bound.withColumn("sk_customer_id", md5_key("customer_id", stamp)).drop("customer_id", "_version_from")
 
 
 def load_batch(
@@ -113,8 +129,8 @@ def load_batch(
         if "dim_account" in state:
             fresh = fresh.join(state["dim_account"].select("account_id"), "account_id", "left_anti")
         bound = written(_bind_customer(fresh, "effective_at", customers, most), "account_feed")
-        orphan = F.col("sk_customer_id").isNull()
-        out["dim_account"] = _append(state, "dim_account", open_versions(bound.filter(~orphan).drop("customer_id"), "account_id"))
+        orphan = F.col("_version_from").isNull()
+        out["dim_account"] = _add(state, "dim_account", open_versions(_keyed(bound.filter(~orphan)), "account_id"))
         messages.append(
             message_rows(
                 bound.filter(orphan), batch_id, "TransformAccount", F.lit("ORPHAN: customer"), "REJECT",
@@ -129,18 +145,18 @@ def load_batch(
         reason = F.coalesce(
             F.col("reject_reason"),
             F.when(F.col("_known").isNull(), "ORPHAN: account"),
-            F.when(F.col("sk_customer_id").isNull(), "ORPHAN: customer version"),
+            F.when(F.col("_version_from").isNull(), "ORPHAN: customer version"),
         )
+        seen = F.lit(False)
         if "fact_trade" in state:
-            # a trade of this batch is one loaded again, that of another batch is refused
-            known = state["fact_trade"].groupBy("trade_id").agg(F.min("batch_id").alias("_first"), F.bool_or(F.col("batch_id") == batch_id).alias("_again"))
-            bound = bound.join(known, "trade_id", "left")
+            # a trade of this batch is one loaded again, that of another batch is refused; found by keys alone, as there are few
+            both = state["fact_trade"].select("trade_id", "batch_id").join(stamped["trade"].select("trade_id"), "trade_id", "left_semi")
+            known = both.groupBy("trade_id").agg(F.min("batch_id").alias("_first"), F.bool_or(F.col("batch_id") == batch_id).alias("_again"))
+            bound = bound.join(written(known, "known_trades"), "trade_id", "left")
+            seen = F.col("_first").isNotNull()
             reason = F.coalesce(reason, F.when(~F.col("_again"), F.concat(F.lit("KNOWN: trade of batch "), F.col("_first").cast("string"))))
-        checked = written(bound.withColumn("reject_reason", reason).drop("_known", "_first", "_again"), "trade_feed")
-        good = checked.filter("reject_reason is null").drop("reject_reason", "customer_id")
-        if "fact_trade" in state:
-            good = good.join(state["fact_trade"].select("trade_id"), "trade_id", "left_anti")
-        out["fact_trade"] = _append(state, "fact_trade", good)
+        checked = written(bound.withColumns({"reject_reason": reason, "_seen": seen}).drop("_known", "_first", "_again"), "trade_feed")
+        out["fact_trade"] = _add(state, "fact_trade", _keyed(checked.filter("reject_reason is null and not _seen").drop("reject_reason", "_seen")))
         messages.append(
             message_rows(
                 checked.filter("reject_reason is not null"), batch_id, "TransformTrade", F.col("reject_reason"), "REJECT",
@@ -158,7 +174,7 @@ def load_batch(
         if name not in feeds:
             continue
         rows = _bind_customer(stamped[name], ts, customers, most)
-        reason = F.when(F.col("sk_customer_id").isNull(), "ORPHAN: customer version")
+        reason = F.when(F.col("_version_from").isNull(), "ORPHAN: customer version")
         if name != "watch":
             rows = rows.join(accounts, "account_id", "left")
             reason = F.when(F.col("_known").isNull(), "ORPHAN: account").otherwise(reason)
@@ -166,8 +182,9 @@ def load_batch(
             rows = rows.withColumn("_traded", F.lit(None).cast("boolean")) if trades is None else rows.join(trades, "trade_id", "left")
             reason = F.coalesce(reason, F.when(F.col("_traded").isNull(), "ORPHAN: trade"))
         checked = written(rows.withColumn("reject_reason", reason).drop("_known", "_traded"), f"{name}_feed")
-        good = checked.filter("reject_reason is null").drop("reject_reason", "customer_id")
-        out[table] = _append(state, table, _unseen(state, table, good, key))
+        good = _keyed(checked.filter("reject_reason is null").drop("reject_reason"))
+        fresh = _unseen(state, table, good, key, batch_id)
+        out[table] = _add(state, table, fresh if fresh is good else written(fresh, table))
         named = [c for c in ("trade_id", "account_id", "customer_id", "security_id", ts) if c in checked.columns]
         text = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in named])
         messages.append(
@@ -175,7 +192,7 @@ def load_batch(
         )
     if "market" in feeds:
         key = ["security_id", "date_key", "batch_id"]
-        out["fact_market"] = _append(state, "fact_market", _unseen(state, "fact_market", stamped["market"], key))
+        out["fact_market"] = _append(state, "fact_market", _unseen(state, "fact_market", stamped["market"], key, batch_id))
 
     control = customers.sparkSession.range(1)
     for text in ("batch started", "batch completed"):
@@ -184,7 +201,7 @@ def load_batch(
     for m in messages[1:]:
         log = log.unionByName(m)
     told = ["batch_id", "message_source", "message_text", "message_type", "message_data"]
-    out["messages"] = _append(state, "messages", _unseen(state, "messages", log, told))
+    out["messages"] = _append(state, "messages", _unseen(state, "messages", log, told, batch_id))
     return out
 
 

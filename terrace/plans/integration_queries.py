@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from terrace.functions.columns import dbl, money, month_key, n_rows, ntz, rate
 from terrace.functions.frames import side_by_side
 from terrace.operators import integration as it
+from terrace.operators.ordered import largest_group
 from terrace.plans.registry import Tables, query
 from terrace.plans.sources_silver import DEDUP_SQL, clean_lines
 from terrace.session import small_table, written
@@ -42,9 +43,16 @@ def order_rows(t: Tables) -> DataFrame:
     return heads.withColumns({"batch": batch_of("o_orderdate"), "account_id": account, "is_new": F.coalesce(C("c_acctbal") < 0, F.lit(False))})
 
 
-def trade_rows(t: Tables) -> DataFrame:
+def stored_orders(t: Tables) -> DataFrame:
+    """Orders with what is known of their customers: stored once because trades, feeds and control totals read them."""
+    used = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "c_custkey", "c_nationkey", "batch", "account_id", "is_new")
+    return written(order_rows(t).select(*used), "orders")
+
+
+def trade_rows(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """All trades of all batches: stored once because every batch reads a part of them."""
-    rows = clean_lines(t).join(order_rows(t), C("l_orderkey") == C("o_orderkey"), "left")
+    heads = order_rows(t) if orders is None else orders
+    rows = clean_lines(t, largest_group(t.lineitem, ["l_orderkey"])).join(heads, C("l_orderkey") == C("o_orderkey"), "left")
     price = money("l_extendedprice")
     return rows.select(
         (C("l_orderkey") * 10 + C("l_linenumber")).alias("trade_id"), C("c_nationkey").alias("broker_id"),
@@ -55,8 +63,8 @@ def trade_rows(t: Tables) -> DataFrame:
     )
 
 
-def feeds(t: Tables, trades: DataFrame, batch: int) -> dict[str, DataFrame]:
-    orders = order_rows(t).filter(C("batch") == batch)
+def feeds(t: Tables, trades: DataFrame, batch: int, orders: DataFrame | None = None) -> dict[str, DataFrame]:
+    orders = (order_rows(t) if orders is None else orders).filter(C("batch") == batch)
     mine = trades.filter(C("batch") == batch)
     opened = ntz(OPENED) if batch == 1 else ntz(CHANGED)
     accounts = orders if batch > 1 else orders.filter(~C("is_new"))
@@ -106,11 +114,12 @@ def feeds(t: Tables, trades: DataFrame, batch: int) -> dict[str, DataFrame]:
     return {name: shaped(df, name) for name, df in out.items()}
 
 
-def run_batches(t: Tables, upto: int) -> tuple[it.State, DataFrame]:
-    trades = written(trade_rows(t), "trades")
+def run_batches(t: Tables, upto: int, orders: DataFrame | None = None) -> tuple[it.State, DataFrame]:
+    orders = stored_orders(t) if orders is None else orders
+    trades = written(trade_rows(t, orders), "trades")
     state: it.State = {}
     for batch in range(1, upto + 1):
-        state = it.load_batch(state, feeds(t, trades, batch), batch, rules())
+        state = it.load_batch(state, feeds(t, trades, batch, orders), batch, rules())
     return state, trades
 
 
@@ -185,9 +194,9 @@ def _(t):
     return bound.select("trade_id", "customer_id", "batch_id", "version_number", "valid_from", "is_current")
 
 
-def expected_totals(t: Tables, trades: DataFrame) -> DataFrame:
+def expected_totals(t: Tables, trades: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """Control totals of the audits straight from the sources, without the loader."""
-    orders = order_rows(t)
+    orders = order_rows(t) if orders is None else orders
     opening = ((C("batch") == 1) & ~C("is_new")) | (C("batch") == 2)
     known = C("c_custkey").isNotNull()
     acc = orders.filter(opening & known).groupBy("account_id").agg(F.min("batch").alias("b"))
@@ -246,5 +255,6 @@ def audit_sql() -> str:
 
 @query("d4_audit", audit_sql())
 def _(t):
-    state, trades = run_batches(t, 3)
-    return it.audits(state, expected_totals(t, trades))
+    orders = stored_orders(t)
+    state, trades = run_batches(t, 3, orders)
+    return it.audits(state, expected_totals(t, trades, orders))

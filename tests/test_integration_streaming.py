@@ -59,6 +59,17 @@ def test_reloading_a_whole_batch_changes_nothing(spark, state):
     assert rows(it.control_totals(again)) == rows(it.control_totals(state))
 
 
+def test_each_feed_is_stored_once_without_long_keys(spark, state, monkeypatch):
+    stored, kept = {}, it.written
+    monkeypatch.setattr(it, "written", lambda df, name: stored.setdefault(name, kept(df, name)))
+    after = it.load_batch(state, brokerage_batch(spark, 3), 4)
+    # all trades are known from batch 3, which the keys alone tell
+    assert after["fact_trade"].count() == state["fact_trade"].count()
+    assert not {"fact_trade", "fact_holding", "fact_cash", "fact_watch", "dim_account"} & set(stored)
+    assert all("sk_customer_id" not in stored[name].columns for name in stored if name.endswith("_feed"))
+    assert stored["known_trades"].columns == ["trade_id", "_first", "_again"] and stored["known_trades"].count() == 100
+
+
 def test_each_fact_row_is_kept_or_rejected(spark, state):
     first = brokerage_batch(spark, 1)
     odd = {"cash": first["cash"].orderBy("account_id", "balance_at").limit(3).withColumn("customer_id", F.lit(-1).cast("bigint"))}
