@@ -60,3 +60,22 @@ def test_every_query_has_a_twin_and_loads_without_a_session():
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_waiting_suppliers_count_only_known_ones(spark, tmp_path):
+    day = dt.datetime(1995, 1, 1)
+    far, near = day + dt.timedelta(days=90), day + dt.timedelta(days=9)
+    tables = {
+        "nation": ([(6, "NATION_6", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(1, "one", 6, 0.0), (2, "two", 6, 0.0)], "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"),
+        "orders": ([(k, "F", day) for k in range(1, 6)], "o_orderkey bigint, o_orderstatus string, o_orderdate timestamp_ntz"),
+        # order 1: a late line without supplier is nobody else's; 2: only one supplier; 3: two are late; 4: late twice; 5: none is late
+        "lineitem": ([(1, 1, far), (1, 2, near), (1, None, far), (2, 1, far), (2, 1, near), (3, 1, far), (3, 2, far), (4, 2, far), (4, 2, far), (4, 1, near),
+                      (5, 1, near), (5, 2, near)], "l_orderkey bigint, l_suppkey bigint, l_shipdate timestamp_ntz"),
+    }
+    con = duckdb.connect()
+    for name, (data, ddl) in tables.items():
+        spark.createDataFrame(data, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in contract.queries()["tpch_q21"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(contract.oracle_sql()["tpch_q21"]).fetchall()) == [("one", 1), ("two", 1)]
