@@ -170,7 +170,8 @@ def stream_sessions(df: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 
 class Sessions(StatefulProcessor):
     """Open sessions of one key: a list of (start, last event, events), in microseconds. Input is folded into it batch by batch, so a very
-    active key costs the sessions that are still open and not its events. A timer at the end of each session emits it."""
+    active key costs the sessions that are still open and not its events. One timer a key, at the end of its earliest session, emits all that
+    are over and sets the next; one that a later event made too early emits nothing."""
 
     def __init__(self, key: str, ts: str, gap_micros: int):
         self.key, self.ts, self.gap = key, ts, gap_micros
@@ -196,14 +197,13 @@ class Sessions(StatefulProcessor):
             at = frame[self.ts].astype("datetime64[us, UTC]" if frame[self.ts].dt.tz is not None else "datetime64[us]").astype("int64")
             counts = at.groupby(at).size()
             found = self.merged(found + [(int(t), int(t), int(n)) for t, n in counts.items()])
-        for start, last, _ in found:
-            self.handle.registerTimer(-(-(last + self.gap) // 1000))
         self.keep(found)
         return iter(())
 
     def keep(self, sessions: list[tuple[int, int, int]]) -> None:
         if sessions:
             self.open.put(sessions)
+            self.handle.registerTimer(-(-(min(last for _, last, _ in sessions) + self.gap) // 1000))
         else:
             self.open.clear()
 

@@ -171,3 +171,44 @@ def test_campaign_metrics(spark, make):
     slide = st.window_conversion(clicks, "ts", "10 minutes", "5 minutes", F.col("converted"))
     assert rows(slide, F.date_format("window_start", "HH:mm"), "event_count", "conversions") == [("09:55", 2, 1), ("10:00", 4, 2), ("10:05", 2, 1)]
     assert rows(st.tumbling_counts(clicks, "ts", "1 hour"), "event_count") == [(4,)]
+
+
+def test_sessions_of_a_key_need_one_timer_at_a_time():
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.rows, self.timers = [], []
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Mark:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    handle, job = Handle(), st.Sessions("k", "ts", 10_000_000)
+    job.init(handle)
+    stamps = lambda *seconds: iter([pd.DataFrame({"ts": pd.to_datetime([s * 10**6 for s in seconds], unit="us", utc=True)})])
+    fire = lambda at: [tuple(r) for out in job.handleExpiredTimer((1,), Mark(at), None) for r in out[["k", "event_count"]].itertuples(index=False)]
+    list(job.handleInputRows((1,), stamps(100, 130, 160), None))
+    assert handle.timers == [110_000]
+    list(job.handleInputRows((1,), stamps(109), None))  # the first session now ends at 119
+    assert handle.timers == [110_000, 119_000]
+    assert fire(110_000) == [] and fire(119_000) == [(1, 2)] and handle.timers[-1] == 140_000
+    assert fire(10**9) == [(1, 1), (1, 1)] and handle.rows == []
