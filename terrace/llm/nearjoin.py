@@ -2,9 +2,10 @@
 
 A document's set is its distinct `WIDTH`-word shingles. Documents with equal sets are one point. Two sets A, B with Jaccard >= 75/100 share a shingle among
 the first |A| - ceil(0.75 |A|) + 1 of A and as many of B, in any order common to all; so only these prefixes are shuffled, packed, by shingle. Sets that meet
-there form groups around the smallest member. In a group, shingles are hashed into `GROUPS` groups; the counts are a point, an R-tree holds the points, and the
+there (by bytes of a hash: a chance meeting is one more candidate and no link) form groups around the smallest member. In a group, shingles are hashed into `GROUPS` groups; the counts are a point, an R-tree holds the points, and the
 summed minima of coordinates bound the overlap of a set with a node's box and with a point. First the bound alone thins the groups out, then full sets are
-fetched for those left, and surviving pairs are verified exactly, except pairs that are already connected.
+fetched for those left, and surviving pairs are verified exactly, except pairs that are already connected. Full sets are shuffled twice, by set and then by
+call; teams with the same least set share a call, and a call gets each of its sets once.
 
 Every shingle order gives the same links. The order used is by hash, with shingles last that a sample of documents shows to be frequent: a matter of speed only.
 Groups larger than a task's share are split; members that are then outside the group's main component meet every part of it.
@@ -23,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import Words, components, mixed, shingle_hashes, stored, word_list
@@ -36,6 +37,8 @@ SAMPLED = 64
 FREQUENT = 8
 FREQUENT_KEPT = 100_000
 BITS = 1 << 24
+BIT_ROW = 32768  # bits in a row of a bitmap
+KEY_BYTES, SENT_BYTES = 6, 5  # of a prefix shingle's hash: stored; sent to the task that its stored bytes name
 CALL_ROWS = 10_000
 CALL_BYTES = 16 << 20
 
@@ -62,6 +65,17 @@ def prefix(own: np.ndarray, last: np.ndarray) -> np.ndarray:
     return own[: n - -(-NUM * n // DEN) + 1]
 
 
+def short_keys(keys: np.ndarray, size: int = KEY_BYTES) -> bytes:
+    """The low `size` bytes of each hash."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def long_keys(data: bytes, size: int = KEY_BYTES) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
 def count_vector(own: np.ndarray) -> np.ndarray:
     """Shingles per group. The number of groups is a power of two that grows with the set (GROUPS up to twice GROUPS * 8 shingles), since a box over few groups
     says nothing of long texts; a vector folds to fewer groups by adding its parts."""
@@ -70,13 +84,18 @@ def count_vector(own: np.ndarray) -> np.ndarray:
 
 
 def packed_vector(own: np.ndarray) -> bytes:
-    """The counts in the fewest bytes that hold the largest, which come first."""
+    """The counts in the fewest bytes that hold the largest, which come first; 0 stands for half a byte."""
     v = count_vector(own)
+    if v.max(initial=0) < 16:
+        return b"0" + (v[::2] | v[1::2] << 4).astype(np.uint8).tobytes()
     width = next(w for w in (1, 2, 4) if v.max(initial=0) < 1 << 8 * w)
     return b"%d" % width + v.astype(f"<u{width}").tobytes()
 
 
 def unpacked_vector(data: bytes) -> np.ndarray:
+    if data[:1] == b"0":
+        halves = np.frombuffer(data, np.uint8, offset=1)
+        return np.stack([halves & 15, halves >> 4], axis=1).ravel()
     return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1)
 
 
@@ -195,7 +214,7 @@ def read_sets(documents: DataFrame, last: np.ndarray, key: str | None = None) ->
                     seen.add(sid)
                 size.append(len(own))
                 sids.append(sid)
-                prefixes.append(prefix(own, last_).tobytes() if new else None)
+                prefixes.append(short_keys(prefix(own, last_)) if new else None)
                 counts.append(packed_vector(own) if new else None)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(size, pa.int64()), pa.array(sids, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(counts, pa.binary())], names=[*kept, "n", "sid", "prefix", "counts"])
 
@@ -208,24 +227,31 @@ MET = "pivot long, member long"
 
 def met(read: DataFrame, parts: int) -> DataFrame:
     """(pivot, member) of sets that share a prefix shingle, the pivot being the smallest that has it. Entries travel packed, in one row per task
-    batch and part; a shingle's entries of equal sets fall together in the task that gets it."""
+    batch and part: keys, each set once, and a bit for each key that is the first of the next set. A shingle's entries of equal sets fall together in the
+    task that gets it."""
 
     def deal(batches):
         for b in batches:
-            keys = [np.frombuffer(p, np.uint64) for p in b.column("prefix").to_pylist()]
-            owner = np.repeat(np.array([short_id(s) for s in b.column("sid").to_pylist()], np.int64), [len(k) for k in keys])
-            keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            prefixes = b.column("prefix").to_pylist()
+            shorts = np.array([short_id(s) for s in b.column("sid").to_pylist()], np.int64)
+            keys = long_keys(b"".join(prefixes))
+            owner = np.repeat(np.arange(len(shorts)), [len(p) // KEY_BYTES for p in prefixes])
             part = (mixed(keys) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part, keys, owner = part[order], keys[order], owner[order]
             cut = np.flatnonzero(np.diff(part, prepend=-1))
-            stop = np.append(cut[1:], len(part))
-            if len(cut):
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), pa.array([keys[a:z].tobytes() for a, z in zip(cut, stop)], pa.binary()), pa.array([owner[a:z].tobytes() for a, z in zip(cut, stop)], pa.binary())], names=["part", "keys", "owners"])
+            rows = []
+            for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
+                first = np.diff(owner[a:z], prepend=-1) != 0
+                rows.append((int(part[a]), short_keys(keys[a:z], SENT_BYTES), shorts[owner[a:z][first]].tobytes(), np.packbits(first).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "keys", "owners", "firsts"])
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]])
-        owners = np.concatenate([np.frombuffer(x, np.int64) for x in frame["owners"]])
+        keys = [long_keys(x, SENT_BYTES) for x in frame["keys"]]
+        firsts = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for k, x in zip(keys, frame["firsts"])]
+        owners = np.concatenate([np.frombuffer(x, np.int64)[np.cumsum(f, dtype=np.int64) - 1] for x, f in zip(frame["owners"], firsts)])
+        keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
         keys, owners = keys[order], owners[order]
         several = np.zeros(len(keys), bool)
@@ -243,7 +269,7 @@ def met(read: DataFrame, parts: int) -> DataFrame:
         pivot = owners[np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))] if len(keys) else owners
         return pd.DataFrame({"pivot": pivot, "member": owners})[pivot != owners].drop_duplicates()
 
-    dealt = read.where("prefix is not null").select("sid", "prefix").mapInArrow(deal, "part long, keys binary, owners binary")
+    dealt = read.where("prefix is not null").select("sid", "prefix").mapInArrow(deal, "part long, keys binary, owners binary, firsts binary")
     return stored(dealt.groupBy("part").applyInPandas(meet, MET).distinct(), "join-met")
 
 
@@ -259,8 +285,8 @@ def _cut(*columns: pd.Series) -> list[tuple[int, int]]:
 
 
 def thinned(groups: DataFrame, points: DataFrame) -> DataFrame:
-    """(pivot, chunk, member) -> those with a partner in their group under the bound, in groups that the bound connects: (team, sid, n). Many small
-    groups share a task call. With a column `root`, members of one root are connected already, and it is kept."""
+    """(pivot, chunk, member) -> those with a partner in their group under the bound, in groups that the bound connects: (team, lead, sid, n), lead being the
+    short id of the team's least sid. Many small groups share a task call. With a column `root`, members of one root are connected already, and it is kept."""
     rooted = ["root"] if "root" in groups.columns else []
     calls = max(-(-groups.count() // CALL_ROWS), int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -268,7 +294,7 @@ def thinned(groups: DataFrame, points: DataFrame) -> DataFrame:
         frame = frame.sort_values(["pivot", "chunk", "sid"]).drop_duplicates(["pivot", "chunk", "sid"]).reset_index(drop=True)
         roots = frame["root"].to_list() if rooted else []
         vectors, sizes, sids = [unpacked_vector(c) for c in frame["counts"]], frame["n"].to_numpy(np.int64), frame["sid"].to_list()
-        team, member = [], []
+        team, lead, member = [], [], []
         for a, z in _cut(frame["pivot"], frame["chunk"]):
             start = np.unique(frame["root"][a:z], return_inverse=True)[1] if rooted else None
             if rooted and start.max() == 0:
@@ -279,20 +305,37 @@ def thinned(groups: DataFrame, points: DataFrame) -> DataFrame:
                 if len(at) > 1 and (not rooted or len({roots[i] for i in at}) > 1):
                     name = xxhash.xxh3_64_intdigest(b"".join(sids[i] for i in at)) - (1 << 63)
                     team += [name] * len(at)
+                    lead += [short_id(sids[at[0]])] * len(at)
                     member += at.tolist()
-        out = pd.DataFrame({"team": np.array(team, np.int64), "sid": [sids[i] for i in member], "n": sizes[member] if member else np.zeros(0, np.int64)})
+        out = pd.DataFrame({"team": np.array(team, np.int64), "lead": np.array(lead, np.int64), "sid": [sids[i] for i in member], "n": sizes[member] if member else np.zeros(0, np.int64)})
         return out.assign(root=[roots[i] for i in member]) if rooted else out
 
     own = groups.join(points, groups["member"] == points["short"]).select("pivot", "chunk", "sid", "n", "counts", *rooted)
     call = F.pmod(F.xxhash64("pivot", "chunk"), F.lit(calls)).alias("call")
-    return own.groupBy(call).applyInPandas(thin, "team long, sid binary, n long" + ", root binary" * len(rooted)).distinct()
+    return own.groupBy(call).applyInPandas(thin, "team long, lead long, sid binary, n long" + ", root binary" * len(rooted)).distinct()
+
+
+def bitmap_of(hashes: DataFrame) -> DataFrame:
+    """(b, bits): the bits of column `h`, modulo BITS, in rows of BIT_ROW bits. At most BITS bits in all."""
+    bit = F.pmod(F.col("h"), F.lit(BITS))
+    return hashes.select(F.floor(bit / BIT_ROW).cast("int").alias("b"), (bit % BIT_ROW).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+
+
+def parted(rows: DataFrame, h: Column, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` whose hash `h` may be among `hashes` (column `h`), and the others, told apart by a bitmap of fixed size before any shuffle."""
+    bit = F.pmod(h, F.lit(BITS))
+    place = bit % BIT_ROW
+    byte = F.conv(F.hex(F.substring("__hit_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.col("__hit_bits").isNotNull() & (F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1)
+    bits = stored(bitmap_of(hashes).select(F.col("b").alias("__hit_row"), F.col("bits").alias("__hit_bits")), "join-bits")
+    told = rows.join(F.broadcast(bits), F.floor(bit / BIT_ROW) == F.col("__hit_row"), "left")
+    return told.where(hit).select(*rows.columns), told.where(~hit).select(*rows.columns)
 
 
 def fetched(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, own) for the sids of `wanted` (sid, h: hash of a doc_id that has it). Texts are filtered by a bitmap of fixed size before any shuffle."""
+    """(sid, own) of all sids of `wanted` (sid, h: hash of a doc_id that has it) and some others, once each. Texts are filtered by a bitmap before any shuffle."""
     spark = documents.sparkSession
-    bit = F.pmod(F.col("h"), F.lit(BITS))
-    packed = wanted.select(F.floor(bit / 32768).cast("int").alias("b"), (bit % 32768).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()  # BITS bits at most
+    packed = bitmap_of(wanted).collect()
     bitmap = np.zeros(BITS // 8, np.uint8)
     for b, bits in packed:
         bitmap[b * 4096 : (b + 1) * 4096] = np.frombuffer(bits, np.uint8)
@@ -308,29 +351,36 @@ def fetched(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "own"])
 
     texts = documents.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)).alias("bit"), F.col("text").cast("string").cast("binary").alias("text"))
-    all_sets = texts.mapInArrow(run, "sid binary, own binary")
-    return stored(all_sets.join(wanted.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "join-full")
+    return texts.mapInArrow(run, "sid binary, own binary").dropDuplicates(["sid"])
 
 
-def confirmed(teams: DataFrame, full: DataFrame) -> DataFrame:
+def confirmed(documents: DataFrame, teams: DataFrame, points: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect the members of each team as its pairs do. Members may carry a `root` they are already connected by."""
     rooted = "root" in teams.columns
+    full = fetched(documents, teams.select("sid").distinct().join(points.select("sid", "h"), "sid"))
     size = teams.agg(F.sum("n")).first()[0] or 0
     calls = -(-int(size) * 8 // CALL_BYTES) or 1
 
     def confirm(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["team", "sid"]).reset_index(drop=True)
+        frame = frame.sort_values("sid").reset_index(drop=True)
         sids, sets, out = frame["sid"].to_list(), [np.frombuffer(o, np.uint64) for o in frame["own"]], []
-        for a, z in _cut(frame["team"]):
-            own = sets[a:z]
-            start = np.unique(frame["root"][a:z], return_inverse=True)[1] if rooted else None
-            label = joined([count_vector(s) for s in own], np.array([len(s) for s in own]), verified(own), start)
+        vectors, sizes = [count_vector(s) for s in sets], np.array([len(s) for s in sets])
+        member = np.repeat(np.arange(len(sets)), [len(t) for t in frame["teams"]])
+        rows = pd.DataFrame({"team": np.concatenate(frame["teams"].to_list()), "member": member})
+        if rooted:
+            rows["root"] = [r for own in frame["roots"] for r in own]
+        rows = rows.sort_values(["team", "member"]).reset_index(drop=True)
+        for a, z in _cut(rows["team"]):
+            at = rows["member"][a:z].to_numpy()
+            start = np.unique(rows["root"][a:z], return_inverse=True)[1] if rooted else None
+            label = joined([vectors[i] for i in at], sizes[at], verified([sets[i] for i in at]), start)
             first = {}
-            out += [(sids[a + first.setdefault(k, i)], sids[a + i]) for i, k in enumerate(label.tolist())]
+            out += [(sids[at[first.setdefault(k, i)]], sids[at[i]]) for i, k in enumerate(label.tolist())]
         return pd.DataFrame([(a, b) for a, b in out if a != b], columns=["a", "b"])
 
-    call = F.pmod(F.xxhash64("team"), F.lit(calls)).alias("call")
-    return teams.join(full, "sid").groupBy(call).applyInPandas(confirm, "a binary, b binary").distinct()
+    call = F.pmod(F.xxhash64("lead"), F.lit(calls)).alias("call")
+    dealt = teams.groupBy("sid", call).agg(F.collect_list("team").alias("teams"), *[F.collect_list("root").alias("roots")] * rooted)
+    return full.join(dealt, "sid").groupBy("call").applyInPandas(confirm, "a binary, b binary").distinct()
 
 
 def links(documents: DataFrame, read: DataFrame) -> DataFrame:
@@ -344,16 +394,15 @@ def links(documents: DataFrame, read: DataFrame) -> DataFrame:
     member = dealt.select("pivot", F.pmod(F.xxhash64("member"), F.col("chunks")).alias("chunk"), "member")
     pivots = sized.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("member"))
     teams = stored(thinned(member.union(pivots), points), "join-teams")
-    full = fetched(documents, teams.select("sid").distinct().join(points.select("sid", "h"), "sid"))
-    found = stored(confirmed(teams, full), "join-links")
+    found = stored(confirmed(documents, teams, points), "join-links")
     split = stored(sized.where("chunks > 1"), "join-split")
     if split.isEmpty():
         return found
     large = dealt.drop("chunks").join(split, "pivot").select("pivot", "member", "chunks").union(split.select("pivot", F.col("pivot").alias("member"), "chunks"))
-    return found.union(across(documents, large, points, full, found))
+    return found.union(across(documents, large, points, found))
 
 
-def across(documents: DataFrame, large: DataFrame, points: DataFrame, full: DataFrame, found: DataFrame) -> DataFrame:
+def across(documents: DataFrame, large: DataFrame, points: DataFrame, found: DataFrame) -> DataFrame:
     """Links between components inside groups that were split: (pivot, member, chunks). Members outside the group's main component (the one of most members) meet
     every part of the group; members of the main component are one already and need not meet each other."""
     root = components(found, "a", "b", "join-part")
@@ -369,10 +418,7 @@ def across(documents: DataFrame, large: DataFrame, points: DataFrame, full: Data
     part = left.select("pivot", "member", "root", F.pmod(F.xxhash64("member"), F.col("chunks")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("j"))
     groups = rest.union(part).select("pivot", F.xxhash64("i", "j").alias("chunk"), "member", "root").distinct()
     teams = stored(thinned(stored(groups, "join-rest"), points), "join-across")
-    missing = stored(teams.select("sid").distinct().join(full.select("sid"), "sid", "left_anti").join(points.select("sid", "h"), "sid"), "join-missing")
-    if not missing.isEmpty():
-        full = full.union(fetched(documents, missing))
-    return confirmed(teams, full)
+    return confirmed(documents, teams, points)
 
 
 def _short(sid):

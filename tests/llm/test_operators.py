@@ -400,3 +400,30 @@ def test_near_duplicates_go_by_row_and_not_by_doc_id(spark):
         got = corpus_pipeline.near_duplicates(spark, table, SF)
         assert got.columns == table.columns
         assert sorted(map(tuple, got.collect()), key=repr) == sorted((r for r in rows if r not in gone), key=repr)
+
+
+def test_the_join_ships_few_bytes(spark):
+    """Half a byte for a small count, KEY_BYTES for a prefix shingle, and one copy of a full set for all teams of a call."""
+    own = np.arange(1, 201, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert len(nearjoin.packed_vector(own)) == 1 + len(nearjoin.count_vector(own)) // 2
+    assert (nearjoin.long_keys(nearjoin.short_keys(own)) == own & np.uint64((1 << 48) - 1)).all()
+    texts = [" ".join(f"w{k}" for k in range(i, i + 60)) for i in range(4)] + ["other words that link with no text of these"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    read = nearjoin.read_sets(table, np.zeros(0, np.uint64))
+    assert {r.n: len(r.prefix) for r in read.where("prefix is not null").collect()} == {56: 15 * nearjoin.KEY_BYTES, 5: 2 * nearjoin.KEY_BYTES}
+    sid = {r.doc_id: r.sid for r in read.collect()}
+    points = read.select("sid", "n", F.xxhash64("doc_id").alias("h"))
+    teams = [(team, 9, bytes(sid[d]), 56) for team, docs_ in ((1, (0, 1, 2)), (2, (1, 2, 3)), (3, (0, 3))) for d in docs_]
+    found = nearjoin.confirmed(table, spark.createDataFrame(teams, "team long, lead long, sid binary, n long"), points)
+    assert {frozenset((bytes(a), bytes(b))) for a, b in found.collect()} <= {frozenset((bytes(sid[a]), bytes(sid[b]))) for a in range(4) for b in range(a)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(team" in plan  # (call, set) is one row
+
+
+def test_only_rows_a_bitmap_hits_are_told_apart(spark):
+    rows = spark.range(3000).withColumn("text", F.concat(F.lit("t"), F.col("id")))
+    wanted = rows.where("id % 100 = 0").select(F.xxhash64("id").alias("h"))
+    some, rest = nearjoin.parted(rows, F.xxhash64("id"), wanted)
+    hit, other = {r.id for r in some.collect()}, {r.id for r in rest.collect()}
+    assert {i for i in range(0, 3000, 100)} <= hit and len(hit) < 35 and hit | other == set(range(3000)) and not hit & other
+    assert "Exchange hashpartitioning" not in rest._jdf.queryExecution().executedPlan().toString()
