@@ -32,12 +32,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = nearjoin.components_of(keyed, "__text")
     linked = stored(found.where("component_rows > 1").select(F.col("doc_id").alias("__doc"), F.col("__text").alias("__key"), "least"), "pipeline-linked")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__key"))
-    left = keyed.join(linked.where("not least").select("__doc", "__key").distinct(), same, "left_anti")
+    gone = linked.where("not least").select("__doc", "__key").distinct()
     twice = stored(linked.where("least").groupBy("__doc", "__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__doc", "__key"), "pipeline-repeats")
+    # only rows that may be concerned are shuffled
+    some, rest = nearjoin.parted(keyed, F.xxhash64(F.col("doc_id").cast("long"), "__text"), gone.union(twice).select(F.xxhash64("__doc", "__key").alias("h")))
+    left = some.join(gone, same, "left_anti")
     if twice.isEmpty():
-        return left.select(*names)
+        return rest.unionByName(left).select(*names)
     one = left.join(twice, same, "left_semi").groupBy("doc_id", "__text").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
-    return left.join(twice, same, "left_anti").select(*names).unionByName(one)
+    return rest.unionByName(left.join(twice, same, "left_anti")).select(*names).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
