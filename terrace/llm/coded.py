@@ -218,12 +218,14 @@ class ByteTokenizer:
     distinct word is encoded once; all other texts, and those with a special token's string, go to the library whole."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u017f]*").fullmatch
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = WordIds(self.tokenizer, re.compile(LATIN_WORDS).findall)
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = {c: spell(chr(c))[0][0] for c in range(0x180)}  # the library's letters for the bytes of a character
+        self.words = WordIds(self.tokenizer.model, re.compile(LATIN_WORDS).findall, lambda word: word.translate(letters))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         easy = [self.plain(t) is not None and not any(s in t for s in self.special) for t in texts]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shutil
+import struct
 import tempfile
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -146,42 +147,32 @@ def components(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(roots.select("node", F.col("node").alias("root")))
 
 
-class _Either(dict):
-    """Words of a batch, then those of the memo."""
-
-    def __init__(self, known: dict, own: dict):
-        super().__init__(own)
-        self.known = known
-
-    def __missing__(self, word):
-        return self.known[word]
+_ID = struct.Struct("<I").pack
 
 
 class WordIds:
-    """Ids of texts whose words are encoded independently. Each distinct word of a batch goes to the tokenizer once, in multithreaded
-    parts; a memo of bounded size keeps the words seen first."""
+    """Ids of texts whose words are encoded independently. Each distinct word of a batch goes once to the tokenizer's model (the whole tokenizer costs
+    three times as much a word); a memo of bounded size keeps the words seen first. `spelt` gives the model's spelling of a word."""
 
     LIMIT = 200_000
-    AT_ONCE = 8_000
 
-    def __init__(self, tokenizer, split: Callable[[str], list[str]]):
-        self.tokenizer, self.split = tokenizer, split
+    def __init__(self, model, split: Callable[[str], list[str]], spelt: Callable[[str], str] = str):
+        self.model, self.split, self.spelt = model, split, spelt
         self.memo: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.split(t) if t else [] for t in texts]
         known = self.memo
         new = list(set(chain.from_iterable(cut)).difference(known))
-        found = {}
-        for i in range(0, len(new), self.AT_ONCE):  # the library's results are large beside the ids kept of them
-            some = new[i : i + self.AT_ONCE]
-            found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-        if len(known) < self.LIMIT:
-            known.update(found)
-            found = known
-        else:
-            found = _Either(known, found)
-        return [np.frombuffer(b"".join(map(found.__getitem__, words)), "<u4") for words in cut]
+        tokenize, spelt = self.model.tokenize, self.spelt
+        found = {w: b"".join([_ID(t.id) for t in tokenize(spelt(w))]) for w in new}
+        full = len(known) >= self.LIMIT
+        known.update(found)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in cut]
+        if full:
+            for w in new:
+                del known[w]
+        return out
 
 
 def slices(batch: pa.RecordBatch, texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,8 @@
 """SentencePiece models run by the tokenizers library.
 
 The model protobuf is read field by field (no protobuf package), and its parts are rebuilt: normaliser (character map, extra white space, dummy
-prefix), the metaspace marker, unigram scores or merges in order of piece score, and byte fallback. `Pieces.encode` hands whole batches to the
-library, which spreads them over its threads; `Pieces.parity` compares with the sentencepiece library, and rows that differ take its ids, flagged.
+prefix), the metaspace marker, unigram scores or merges in order of piece score, and byte fallback. `Pieces.encode` hands the distinct words
+of a batch to the library's model; `Pieces.parity` compares with the sentencepiece library, and rows that differ take its ids, flagged.
 
 A null text is encoded as empty: no ids, decoded "". Control pieces in a text are ordinary text. Extra columns are kept by `encoded`.
 """
@@ -118,25 +118,32 @@ class Pieces:
         self.tokenizer.normalizer = normaliser(m)
         if not any(MARK in p.lstrip(MARK) for p, _, _ in m.pieces):  # no piece crosses the start of a word: words are independent, and the library's memo helps
             self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
-            self.words = WordIds(Tokenizer(core), re.compile(WORD).findall)
+            self.words = WordIds(core, re.compile(WORD).findall)
         self.reference = SentencePieceProcessor(model_proto=data)
         self.is_byte = np.array([kind == BYTE for _, _, kind in m.pieces])
         self.bytes_of = {i: int(p[3:5], 16) for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
         self.shown = [b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
         for i, b in self.bytes_of.items():
             self.shown[i] = bytes([b])
+        self.letters = np.frombuffer(b"".join(self.shown), np.uint8)
+        self.width = np.array([len(s) for s in self.shown], np.int64)
+        self.place = np.cumsum(self.width) - self.width
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids (uint32) of each text. Where words are independent, each distinct word of the batch goes to the library once, all in one
-        multithreaded call; a memo of bounded size keeps the words seen first."""
+        """Ids (uint32) of each text. Where words are independent, each distinct word of the batch goes to the library's model once; a memo of bounded size keeps the words seen first."""
         if self.words is None:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return self.words([self.marked(t) if t else "" for t in texts])
 
-    def decode(self, ids: np.ndarray) -> str:
-        shown = self.shown
-        text = b"".join(map(shown.__getitem__, ids.tolist()))
-        return (text[1:] if self.model.dummy_prefix and text[:1] == b" " else text).decode(errors="replace")
+    def decode(self, encoded: list[np.ndarray]) -> list[bytes]:
+        """UTF-8 of the texts of a batch of ids: the letters of all pieces are gathered at once, then cut."""
+        ids = np.concatenate([*encoded, np.zeros(0, np.uint32)]).astype(np.int64)
+        width = self.width[ids]
+        ends = np.cumsum(width)
+        letters = self.letters[np.arange(int(width.sum())) + np.repeat(self.place[ids] - (ends - width), width)].tobytes()
+        stops = np.append(np.zeros(1, np.int64), ends)[np.cumsum([len(a) for a in encoded], dtype=np.int64)].tolist()
+        out = [letters[a:z] for a, z in zip([0, *stops], stops)]
+        return [t[1:] if self.model.dummy_prefix and t[:1] == b" " else t for t in out]
 
     def parity(self, texts: list[str], encoded: list[np.ndarray]) -> list[bool]:
         return [a.tolist() == b for a, b in zip(encoded, self.reference.encode(texts, num_threads=1))]
@@ -188,7 +195,7 @@ def encoded(documents: DataFrame, model_path: str, keep: list[str], check: bool
                 if check:
                     same = pieces.parity(texts, ids)
                     ids = [a if ok else np.array(pieces.reference.encode(t), np.uint32) for a, ok, t in zip(ids, same, texts)]
-                back = [pieces.decode(a) == pieces.normalised(t) for a, t in zip(ids, texts)]
+                back = [a == pieces.normalised(t).encode() for a, t in zip(pieces.decode(ids), texts)]
                 columns = [batch.column(c) for c in keep]
                 columns += [pa.array([a.astype(np.int32) for a in ids] if with_ids else [None] * len(ids), pa.list_(pa.int32())), pa.array([len(a) for a in ids], pa.int32()), pa.array([int(pieces.is_byte[a].sum()) for a in ids], pa.int32())]
                 columns += [pa.array([zlib.crc32(a.astype("<u4").tobytes()) for a in ids], pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())]

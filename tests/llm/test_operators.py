@@ -427,3 +427,37 @@ def test_only_rows_a_bitmap_hits_are_told_apart(spark):
     hit, other = {r.id for r in some.collect()}, {r.id for r in rest.collect()}
     assert {i for i in range(0, 3000, 100)} <= hit and len(hit) < 35 and hit | other == set(range(3000)) and not hit & other
     assert "Exchange hashpartitioning" not in rest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_distinct_word_goes_to_the_model_once(monkeypatch):
+    """The memo and the words of a batch beside it give the whole tokenizer's ids, and no word of a batch is encoded twice."""
+    from terrace.llm import common
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.seen = model, []
+
+        def tokenize(self, word):
+            self.seen.append(word)
+            return self.model.tokenize(word)
+
+    monkeypatch.setattr(common.WordIds, "LIMIT", 3)
+    encode = coded.ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    encode.words.model = counted = Counted(encode.words.model)
+    batches = [["a cat, a cat and été's 12½", "", "a cat's  end\n\n x"], ["more words here, more words", "a cat łódź"], ["more words"], ["中文 a cat <|endoftext|>"]]
+    for texts in batches:
+        counted.seen = []
+        whole = encode.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert [x.tolist() for x in encode(texts)] == [e.ids for e in whole]
+        assert len(counted.seen) == len(set(counted.seen))
+    assert counted.seen == [] and len(encode.words.memo) < 20
+
+
+def test_a_batch_of_ids_is_decoded_at_once():
+    with open(public_tokenizers.path(queries.PIECES), "rb") as f:
+        own = pieces.Pieces(f.read())
+    texts = ["", "a cat", "  two  spaces ", "Füße 中文 \U0001f600 ▁ mark", "\n\t\x00", "", "end"]
+    ids = own.encode(texts)
+    assert [t.decode() for t in own.decode(ids)] == [own.normalised(t) for t in texts]
+    assert own.decode([]) == [] and own.decode(ids[:1]) == [b""]
+    assert own.decode([np.array([own.model.unknown], np.uint32)]) == ["⁇ ".encode()]  # " ⁇ " without the prefix
