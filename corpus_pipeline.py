@@ -31,16 +31,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("__text", F.md5(F.col("text").cast("string").cast("binary")))
     found = nearjoin.components_of(keyed, "__text")
     linked = stored(found.where("component_rows > 1").select(F.col("doc_id").alias("__doc"), F.col("__text").alias("__key"), "least"), "pipeline-linked")
+    # False: goes; True: stays once. Rows equal in both have the same part in their group, so each pair comes once.
+    marked = linked.groupBy("__doc", "__key").agg(F.first("least").alias("__stays"), F.count(F.lit(1)).alias("n")).where("not __stays or n > 1")
+    marks = stored(marked.select("__doc", "__key", "__stays"), "pipeline-marks")
+    # Only rows that may be concerned are shuffled. An outer join, since Spark moves semi and anti joins below the bitmap's and so would shuffle all texts.
+    some, rest = nearjoin.parted(keyed, F.xxhash64(F.col("doc_id").cast("long"), "__text"), marks.select(F.xxhash64("__doc", "__key").alias("h")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__key"))
-    gone = linked.where("not least").select("__doc", "__key").distinct()
-    twice = stored(linked.where("least").groupBy("__doc", "__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__doc", "__key"), "pipeline-repeats")
-    # only rows that may be concerned are shuffled
-    some, rest = nearjoin.parted(keyed, F.xxhash64(F.col("doc_id").cast("long"), "__text"), gone.union(twice).select(F.xxhash64("__doc", "__key").alias("h")))
-    left = some.join(gone, same, "left_anti")
-    if twice.isEmpty():
-        return rest.unionByName(left).select(*names)
-    one = left.join(twice, same, "left_semi").groupBy("doc_id", "__text").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
-    return rest.unionByName(left.join(twice, same, "left_anti")).select(*names).unionByName(one)
+    told = some.join(marks, same, "left")
+    left = rest.unionByName(told.where("__stays is null").select(*rest.columns)).select(*names)
+    if marks.where("__stays").isEmpty():
+        return left
+    once = told.where("__stays").groupBy("__doc", "__key").agg(F.min(F.struct(*names)).alias("row"))
+    return left.unionByName(once.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

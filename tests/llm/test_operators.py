@@ -461,3 +461,19 @@ def test_a_batch_of_ids_is_decoded_at_once():
     assert [t.decode() for t in own.decode(ids)] == [own.normalised(t) for t in texts]
     assert own.decode([]) == [] and own.decode(ids[:1]) == [b""]
     assert own.decode([np.array([own.model.unknown], np.uint32)]) == ["⁇ ".encode()]  # " ⁇ " without the prefix
+
+
+def test_only_rows_that_the_bitmap_hits_are_joined_with_the_removed(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(30))
+    table = spark.createDataFrame([(1, text), (2, text), (2, text), (1, text), (3, "another one"), (4, None)], "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, table, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [(i, min(line.find(c) for c in "JU" if c in line)) for i, line in enumerate(plan) if "Join " in line]
+    bitmap = [(i, depth) for i, depth in joins if "__hit_row" in plan[i]]
+    assert bitmap
+    for i, depth in bitmap:  # no join with the marks below one with the bitmap: it would shuffle every text
+        below = next((k for k in range(i + 1, len(plan)) if len(plan[k]) - len(plan[k].lstrip(" :+-")) <= depth), len(plan))
+        assert not any("__doc" in line and "Join " in line for line in plan[i + 1 : below])
