@@ -1,14 +1,11 @@
-"""Byte-level BPE by ranks, in Spark's own functions.
+"""Byte-level BPE by ranks, merged in arrays of many words at once.
 
-A text is cut into words (matches of the split pattern). The bytes of a word become a string of one letter per token (`Letters`), and `aggregate` folds the
-ranked merges over it: each step looks up every pair of neighbours in a literal rank map, takes the lowest rank and replaces that pair, from the left
-wherever it stands, by the letter of the new token, whose id is the rank. Decoding looks up the bytes of each id in a literal array and joins them.
+A text is cut into words (matches of the split pattern). The distinct new words of a batch lie behind one another in one array of tokens, first one per byte
+(`Merges`): each round looks up every pair of neighbours in the sorted pairs, takes the lowest rank of each word and replaces that pair, from the left
+wherever it stands, by the new token, whose id is the rank. A word without pairs leaves the array. Decoding joins the bytes of the ids.
 
-Literal maps (`packed`) are arrays of some thousand strings, one per hash of the key, that hold the entries: Spark reads a literal map from its start
-on each lookup, and a literal of many small objects is slow to send to tasks.
-
-A word that occurs often is encoded once: the distinct words of all documents are counted, the `known_words` most frequent of at most KNOWN_BYTES bytes
-are encoded as rows of their own and become one more literal (so its size has a bound whatever the corpus). Other words are encoded where they stand.
+A task keeps the ids of the words that it meets first (at most `known_words`), so a word that occurs often is encoded once a task; others are encoded
+once a batch. Texts are not moved, and nothing is counted or collected.
 
 Which pairs matter: a token can only arise from the two parts that its own bytes, encoded alone, have just before the last merge; so there is one pair
 per token, and `Ranks` finds it. A token must have a higher rank than parts of it that are tokens of several bytes (files where that fails are refused):
@@ -16,35 +13,35 @@ then replacing all equal pairs at once gives what joining the leftmost one by on
 word equals them, as the tiktoken library does.
 
 A null text is empty: no ids. Special tokens in a text are ordinary text. Rows are neither merged nor dropped; extra columns are kept where named.
-White space in the pattern is that of Unicode; letters and digits are those of the Java version's Unicode.
+White space in the pattern is that of Unicode; letters and digits are those of the regex module's Unicode.
 """
 
 from __future__ import annotations
 
 import base64
-import json
+import hashlib
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
-import xxhash
+import numpy as np
+import pyarrow as pa
+import regex
 from public_tokenizers import PATTERN
 
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import stored
+from terrace.llm.common import slices
 
 NONE = 2**31 - 1  # no such token
-MISSING = chr(0x10FFFF)  # sorts behind every letter
-HEAD, TAIL = "\x01", "\x02"  # around the key of an entry
-BUCKETS = 1 << 14
 KNOWN_WORDS = 1 << 17
-KNOWN_BYTES = 64
-PARTS = 16  # tasks that encode the frequent words
-SPACE = "".join(f"\\x{{{c:X}}}" for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))  # White_Space
+SPACE = "".join(f"\\u{c:04x}" for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))  # White_Space
 
 
-def java_pattern(pattern: str) -> str:
-    """The split pattern with Unicode white space spelt out, which `\\s` does not mean in Java."""
+def spelt_out(pattern: str) -> str:
+    """The split pattern with Unicode white space spelt out, for which `\\s` may stand or not."""
     return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
 
 
@@ -80,123 +77,138 @@ class Ranks:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+
 @lru_cache(maxsize=4)
 def read(path: str) -> Ranks:
     with open(path, "rb") as f:
         return Ranks({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
 
 
-def let(value: Column, kind: str, body) -> Column:
-    """`body(value)`, of type `kind`, with the value computed once. (An element of `transform(array(value), body)` would ask for its type, down the whole
-    body, each time it is evaluated.)"""
-    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
-
-
-class Letters:
-    """One letter per token, in the order of their ids and all of the same number of bytes: three where they suffice, else four."""
-
-    def __init__(self, size: int):
-        self.first = 0x800 if size <= 0xF000 else 0x10000
-
-    def __getitem__(self, token: int) -> str:
-        point = token + self.first
-        return chr(point if point < 0xD800 or self.first > 0xD800 else point + 0x800)  # without the surrogates
-
-    def ids(self, letters: Column) -> Column:
-        point = lambda c: F.ascii(c) - self.first
-        token = point if self.first > 0xD800 else lambda c: F.when(F.ascii(c) < 0xD800, point(c)).otherwise(point(c) - 0x800)
-        return F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), token)
-
-
-def packed(entries: dict[str, str]) -> str:
-    """JSON of an array of BUCKETS strings: MISSING and the entries (HEAD, key, TAIL, value) whose key has that hash (Spark's xxhash64). Keys hold neither
-    HEAD nor TAIL, values no HEAD."""
-    out = [MISSING] * BUCKETS
-    for key, value in entries.items():
-        out[xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS] += f"{HEAD}{key}{TAIL}{value}"
-    return json.dumps(out)
-
-
-def looked_up(table: Column, key: Column) -> Column:
-    """Value of a key without HEAD, or MISSING."""
-    bucket = F.get(table, F.xxhash64(key).bitwiseAND(BUCKETS - 1).cast("int"))
-    behind = F.call_function("substring_index", bucket, F.concat(F.lit(HEAD), key, F.lit(TAIL)), F.lit(-1))
-    return F.substring_index(behind, HEAD, 1)
-
-
 class Merges:
-    """Column expressions over a `Ranks`. `pairs`, the literal rank map, is bound once per row by `let`. Words are strings of letters here."""
+    """The ids of distinct words by a `Ranks`, for many words at once."""
 
     def __init__(self, ranks: Ranks):
-        self.ranks, self.letter = ranks, Letters(ranks.size)
-        entries = {self.letter[a] + self.letter[b]: self.letter[rank] for (a, b), rank in ranks.pairs.items()}
-        self.literal = F.from_json(F.lit(packed(entries)), "array<string>")
-        self.bytes = "".join(map(chr, range(256)))
-        self.letters = "".join(self.letter[token] for token in ranks.bytes)
-
-    def encode(self, pairs: Column, word: Column) -> Column:
-        """The letters of one word."""
-
-        def step(s: Column, _) -> Column:
-            lowest = F.array_min(F.transform(F.regexp_extract_all(s, F.lit("(?s)(?=(..))"), F.lit(1)), lambda pair: F.concat(looked_up(pairs, pair), pair)))
-            new = lambda m: F.substring(m, 1, 1)  # noqa: E731 - then the pair
-            join = lambda m: F.when(m.isNull() | (new(m) == MISSING), F.concat(s, F.lit(HEAD))).otherwise(F.replace(s, F.substring(m, 2, 2), new(m)))
-            return F.when(F.endswith(s, F.lit(HEAD)), s).otherwise(let(lowest, "string", join))  # HEAD: no pair left
-
-        start = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), self.bytes, self.letters)  # one letter per byte
-        return F.rtrim(F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step), F.lit(HEAD))
-
-
-def words_of(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-
-
-def known(documents: DataFrame, merges: Merges, pattern: str, most: int) -> Column:
-    """The `most` most frequent words with their letters as a literal. Words are counted over all documents with map-side sums; the driver gets at most
-    `most` words of KNOWN_BYTES bytes."""
-    words = documents.select(F.explode(words_of(F.col("text"), pattern)).alias("word"))
-    counted = words.groupBy("word").count().where((F.octet_length("word") <= KNOWN_BYTES) & ~F.col("word").contains(HEAD) & ~F.col("word").contains(TAIL))
-    top = stored(counted.orderBy(F.desc("count"), "word").limit(most).select("word"), "bpe-known").repartition(PARTS)
-    letters = top.withColumn("letters", let(merges.literal, "string", lambda pairs: merges.encode(pairs, F.col("word"))))
-    found = {r["word"]: r["letters"] for r in letters.collect()}
-    for piece in merges.ranks.alone:
-        word = piece.decode(errors="ignore")
-        if word.encode() == piece:
-            found[word] = merges.letter[merges.ranks.ranks[piece]]
-    return F.from_json(F.lit(packed(found)), "array<string>")
+        self.size = ranks.size
+        self.bytes = np.array(ranks.bytes, np.int64)
+        self.alone = {piece: ranks.ranks[piece] for piece in ranks.alone}
+        keys = np.array([a * ranks.size + b for a, b in ranks.pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], -1)  # the last one, which no pair has, is for keys behind all others
+        self.news = np.append(np.array(list(ranks.pairs.values()), np.int64)[order], NONE)
+
+    def pair_ranks(self, tokens: np.ndarray) -> np.ndarray:
+        """Rank of each token with its right neighbour, NONE for the last."""
+        keys = tokens[:-1] * self.size + tokens[1:]
+        at = np.searchsorted(self.keys[:-1], keys)
+        return np.append(np.where(self.keys[at] == keys, self.news[at], NONE), NONE)
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids (uint32) of each word."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        tokens = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        ends, ended = [], []
+        while len(tokens):
+            first = np.diff(word, prepend=-1) != 0
+            start = np.flatnonzero(first)
+            rank = self.pair_ranks(tokens)
+            rank[start[1:] - 1] = NONE
+            lengths = np.diff(np.append(start, len(tokens)))
+            lowest = np.repeat(np.minimum.reduceat(rank, start), lengths)
+            live = lowest != NONE
+            ends.append(tokens[~live])
+            ended.append(word[~live])
+            if not live.any():
+                break
+            tokens, word, hit, rank = tokens[live], word[live], (rank == lowest)[live], rank[live]
+            place = np.arange(len(tokens))
+            run = np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), place, 0))
+            joined = hit & ((place - run) % 2 == 0)  # of equal pairs that overlap, every other one from the left
+            tokens = np.where(joined, rank, tokens)
+            stays = ~np.append(False, joined[:-1])
+            tokens, word = tokens[stays], word[stays]
+        if not ends:
+            return [b""] * len(words)
+        word = np.concatenate(ended)
+        order = np.argsort(word, kind="stable")
+        raw = np.concatenate(ends)[order].astype("<u4").tobytes()
+        stops = np.cumsum(4 * np.bincount(word, minlength=len(words))).tolist()
+        found = [raw[a:z] for a, z in zip([0, *stops], stops)]
+        if self.alone:
+            found = [self.alone[w].to_bytes(4, "little") if w in self.alone else ids for w, ids in zip(words, found)]
+        return found
+
+
+class Encoder:
+    """Ids of texts, with the ids of the first `known_words` distinct words kept."""
+
+    def __init__(self, path: str, pattern: str, known_words: int):
+        self.merges, self.most, compiled = Merges(read(path)), known_words, regex.compile(spelt_out(pattern))
+        self.words = (lambda text: [m.group() for m in compiled.finditer(text)]) if compiled.groups else compiled.findall
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.words(t) if t else [] for t in texts]
+        known = self.known
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        known.update(zip(new, self.merges([w.encode() for w in new])))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in cut]
+        for w in new[max(0, self.most - (len(known) - len(new))) :]:
+            del known[w]
+        return out
+
+
+@lru_cache(maxsize=2)
+def _encoder(name: str, pattern: str, known_words: int) -> Encoder:
+    return Encoder(SparkFiles.get(name), pattern, known_words)
+
+
+def over_ids(documents: DataFrame, path: str, keep: list[str], kinds: str, columns: Callable[[list[np.ndarray]], list[pa.Array]], pattern: str, known_words: int) -> DataFrame:
+    """`keep` columns of `documents`, and the columns (types in `kinds`) that `columns` makes of the ids of some texts."""
+    read(path)  # refuses a wrong file
+    sc = documents.sparkSession.sparkContext
+    sc.addFile(path)
+    name = path.rsplit("/", 1)[-1]
+    narrow = documents.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").cast("binary").alias("__text"))
+    schema = narrow.select(*[F.col(f"`{c}`") for c in keep]).schema
+    for field in documents.sparkSession.createDataFrame([], kinds).schema:
+        schema = schema.add(field)
+    names = schema.names
+
+    def run(batches):
+        encode = _encoder(name, pattern, known_words)
+        for batch in batches:
+            for part in slices(batch, batch.column(len(keep))):
+                ids = encode([(t or b"").decode("utf-8", "replace") for t in part.column(len(keep)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns(ids)], names=names)
+
+    return narrow.mapInArrow(run, schema)
 
 
 def encoded(documents: DataFrame, path: str, keep: list[str], into: str = "ids", pattern: str = PATTERN, known_words: int = KNOWN_WORDS) -> DataFrame:
-    """`keep` columns of `documents` and the ids of `text` (array of int) as column `into`, which must not be one of `keep`. One narrow shuffle counts words;
-    the texts themselves are not moved."""
+    """`keep` columns of `documents` and the ids of `text` (array of int) as column `into`, which must not be one of `keep`."""
     if into in keep:
         raise ValueError(f"column {into} is kept and cannot take the ids")
-    merges = Merges(read(path))
-    table = known(documents, merges, pattern, known_words)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    def all_letters(pairs: Column) -> Column:
-        words = words_of(text, pattern)
-        # a text that holds HEAD itself does without the table
-        often = let(F.when(text.contains(HEAD), F.array().cast("array<string>")).otherwise(table), "array<string>", lambda t: F.transform(words, lambda w: F.coalesce(looked_up(t, w), F.lit(MISSING))))
-        return F.array_join(F.zip_with(words, often, lambda w, f: F.when(f == MISSING, merges.encode(pairs, w)).otherwise(f)), "")
+    def columns(ids: list[np.ndarray]) -> list[pa.Array]:
+        offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))]
 
-    ids = merges.letter.ids(let(merges.literal, "string", all_letters))
-    return documents.select(*[F.col(f"`{c}`") for c in keep], ids.alias(into))
+    return over_ids(documents, path, keep, f"`{into}` array<int>", columns, pattern, known_words)
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """The bytes of a column of ids; of an unknown id none."""
-    pieces = F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in read(path).pieces])), "array<binary>")
-    joined = lambda every: F.array_join(F.transform(ids, lambda i: F.get(every, i).cast("string")), "")  # noqa: E731 - a cast keeps bytes as they are
-    return let(pieces, "string", joined).cast("binary")
+def decoded(ids: list[int], pieces: list[bytes]) -> bytes:
+    """The bytes of ids."""
+    return b"".join(map(pieces.__getitem__, ids))
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids with single spaces) and decoded_sha256 per document."""
-    ids = encoded(documents, path, ["doc_id"])
-    return ids.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
-    )
+    name = path.rsplit("/", 1)[-1]
+
+    def columns(ids: list[np.ndarray]) -> list[pa.Array]:
+        pieces, lists = read(SparkFiles.get(name)).pieces, [x.tolist() for x in ids]
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        return [pa.array(map(len, lists), pa.int64()), pa.array([sha(" ".join(map(str, x)).encode()) for x in lists], pa.string()), pa.array([sha(decoded(x, pieces)) for x in lists], pa.string())]
+
+    return over_ids(documents, path, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", columns, PATTERN, KNOWN_WORDS)

@@ -258,3 +258,18 @@ def test_stages_keep_columns_that_are_called_as_those_of_operators(spark):
         assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in plain.collect())
         assert {(r["keep"], r["tail"], r["expected_grade"], r["contaminated"], r["least"], r["item_id"] - 2 * r["doc_id"]) for r in got.collect()} <= {("mine", -5, "x", "no", "l", 0)}
     assert corpus_pipeline.token_ids(spark, docs.select("doc_id", "text"), sf).columns[0] == "doc_id"
+
+
+def test_merges_of_many_words_at_once_are_those_of_the_library():
+    """Overlapping equal pairs, an empty word and words that end in different rounds, and each distinct word merged once whatever is kept."""
+    merges = byte_merges.Merges(byte_merges.read(RANKS))
+    words = [b"", b"a", b"a" * 7, b" the", b"abababab", "naïveté".encode(), bytes(range(256)), b" internationalisation", b"=" * 1001]
+    bpe = library()._core_bpe
+    assert [np.frombuffer(x, "<u4").tolist() for x in merges(words)] == [bpe.encode_single_piece(w) if w else [] for w in words]
+    for kept in (0, 3, 100):  # of "one", " one", "two", " two"
+        encode = byte_merges.Encoder(RANKS, byte_merges.PATTERN, kept)
+        seen, inner = [], encode.merges
+        encode.merges = lambda new: seen.append(sorted(new)) or inner(new)
+        for _ in range(2):
+            assert [x.tolist() for x in encode(["one two one", "two", ""])] == [library().encode_ordinary(t) for t in ("one two one", "two", "")]
+        assert len(encode.known) == min(kept, 4) and len(seen[0]) == 4 and len(seen[1]) == 4 - min(kept, 4)
