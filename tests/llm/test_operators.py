@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -453,6 +454,65 @@ def test_a_distinct_word_goes_to_the_model_once(monkeypatch):
     assert counted.seen == [] and len(encode.words.memo) < 20
 
 
+def test_new_words_of_a_batch_go_to_the_library_in_one_call(monkeypatch):
+    from terrace.llm import common
+
+    class Counted:
+        def __init__(self, joined):
+            self.joined, self.seen = joined, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.seen.append(texts)
+            return self.joined.encode_batch_fast(texts, **options)
+
+    encode = coded.ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    encode.words.joined = counted = Counted(encode.words.joined)
+    rng = random.Random(8)
+    letters = "aab sStTrReEvVmMlLdD''' \n\t\r  12².,!-½éñÇſ¡µªß×÷ÿ"
+    for part in (letters, "' strevmld\n", letters + "\x00\x0b\x85\xa0ƀ日🙂"):
+        texts = ["".join(rng.choice(part) for _ in range(rng.randrange(14))) for _ in range(2000)] + ["", None, " <|endoftext|>"]
+        whole = encode.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        counted.seen = []
+        for own in (texts, pa.array(["cut off", *texts])[1:]):
+            assert [x.tolist() for x in encode(own)] == [e.ids for e in whole]
+        assert len(counted.seen) == 1 and len(counted.seen[0]) == 1  # the second time all words are known
+        words = counted.seen[0][0].split("\0")
+        assert len(words) == len(set(words))
+    assert encode([]) == []
+    monkeypatch.setattr(common.WordIds, "LIMIT", 2)
+    small = coded.ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for texts in (["a b c d e f g h i j k l m n o p"], ["q r a b s t u v"], ["p q r"]):
+        assert [x.tolist() for x in small(texts)] == [e.ids for e in small.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert len(small.words.memo) == 10 == len(small.words.ends) - 1
+
+
+def test_words_with_bytes_that_a_vocabulary_lacks():
+    from tokenizers import Tokenizer, models
+
+    words = coded.JoinedWords(Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, "Ġ": 3}, [("a", "b")])))
+    ids, begins, stops = words(pa.array(["ab", "xa", "x", " b"], pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(begins, stops)] == [[2], [0], [], [3, 1]]
+
+
+def test_rows_and_hits_of_all_ids_are_found_at_once():
+    """Sorts find what a reader finds in its cells id by id."""
+    rng = np.random.default_rng(2)
+    ids = np.tile(rng.integers(0, 40, 500), 3)[:1400].reshape(2, 700).astype(np.int32)
+    rows, right = coded._foreseen(ids)
+    for lane in range(2):
+        cells, run, last, before = ({}, {}), 0, 0, 0
+        for t, own in enumerate(ids[lane].tolist()):
+            hashed = [(x + 1) * int(coded.AGAIN) % 2**32 if x >= 0 else 0 for x in (last - 1, before - 1)]
+            places = hashed[0] >> int(coded.SHIFT), (hashed[0] ^ hashed[1] * int(coded.BEFORE) % 2**32) >> int(coded.SHIFT)
+            (one, s1), (two, s2) = (c.get(at, (-1, 0)) for c, at in zip(cells, places))
+            assert rows[lane, t] == run * 50 + s1 * 10 + s2 * 2 + (one == two)
+            assert right[lane, t] == (2 if two == own else 1 if one == own else 0)
+            for c, at, expected, state in ((cells[0], places[0], one, s1), (cells[1], places[1], two, s2)):
+                c[at] = own, min(state + 1, 4) if expected == own else 1
+            run = min(run + 1, 2) if two == own else 0
+            before, last = last, own + 1
+
+
 def test_a_batch_of_ids_is_decoded_at_once():
     with open(public_tokenizers.path(queries.PIECES), "rb") as f:
         own = pieces.Pieces(f.read())
