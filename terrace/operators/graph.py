@@ -7,8 +7,15 @@ account takes part in a third of all transfers; plain path expansion would pair
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrace.session import durable
 
@@ -104,47 +111,127 @@ def cyclic_core(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Nodes that remain when nodes without an incoming or without an outgoing edge are removed until
     none is left: empty exactly when the graph has no cycle. Nodes between two cycles stay; `components` leaves
     them out. One round per level of depth."""
-    return _core(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()).select(F.explode(F.array("s", "d")).alias("node")).distinct()
+    links = durable(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
+    return _core(links, 0)[0].select(F.explode(F.array("s", "d")).alias("node")).distinct()
 
 
-def _core(links: DataFrame) -> DataFrame:
-    """Edges whose ends both have incoming and outgoing edges among them."""
-    links = durable(links)
-    size = links.count()
-    while size:
+def _core(links: DataFrame, enough: int) -> tuple[DataFrame, int]:
+    """Edges whose ends both have incoming and outgoing edges among them, with their bytes; trimmed no further once those are at most
+    `enough`."""
+    size, volume = _size(links)
+    while volume > enough:
         has_in = links.select(F.col("d").alias("s")).distinct()
         has_out = links.select(F.col("s").alias("d")).distinct()
         links = durable(links.join(has_in, "s", "left_semi").join(has_out, "d", "left_semi"))
-        left = links.count()
+        left, volume = _size(links)
         if left == size:
             break
         size = left
-    return links
+    return links, volume
+
+
+def _size(links: DataFrame) -> tuple[int, int]:
+    """Edges, and about the bytes they take: both ends as text and 16 more."""
+    text = [F.octet_length(F.col(c).cast("string")) for c in ("s", "d")]
+    edges, volume = links.agg(F.count(F.lit(1)), F.sum(F.lit(16) + F.coalesce(text[0], F.lit(0)) + F.coalesce(text[1], F.lit(0)))).first()
+    return edges, volume or 0
 
 
 def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, component_id) of every node that lies on a cycle: strongly connected components of several nodes, and nodes with an edge
     to themselves; the id is the smallest node. Edges with a null end are no edges.
 
-    Nodes that cannot be on a cycle are trimmed once, and bounded shortcuts make paths shorter. Each phase labels every node with the
-    smallest node that reaches it and the smallest node that it reaches, both in the same rounds. Where the two agree, that node is the
-    smallest of the component, which is then whole; edges between nodes with different labels are dropped, and the rest goes into the
-    next phase. Only nodes that changed send messages, aggregated by receiver before the shuffle. Rounds: the longest trimmed path, and
-    per phase the longest shortest path with shortcuts; each phase ends at least the smallest node of each weakly connected part."""
-    links = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).dropna().distinct()
-    loops = links.filter("s = d").select("s", F.col("s").alias("component"))
-    rest, found = _shortened(_core(links.filter("s <> d"))), None
-    while not rest.isEmpty():
+    Nodes that cannot be on a cycle are trimmed until the rest fits one task, which then ends the search in linear time. What stays
+    larger gets bounded shortcuts that make paths shorter. Each phase labels every node with the smallest node that reaches it and the
+    smallest node that it reaches, both in the same rounds. Where the two agree, that node is the smallest of the component, which is then
+    whole; edges between nodes with different labels are dropped, and the rest goes into one task if it fits now, else into the next
+    phase. Only nodes that changed send messages, aggregated by receiver before the shuffle. Rounds: the longest trimmed path, and per
+    phase the longest shortest path with shortcuts; each phase ends at least the smallest node of each weakly connected part."""
+    links = durable(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).dropna().distinct())
+    kind = links.select(F.array("s", "d")).schema[0].dataType.elementType
+    enough = ONE_TASK if isinstance(kind, ORDERED) or kind == T.StringType() else 0
+    found = links.filter("s = d").select("s", F.col("s").alias("component"))
+    rest, volume = _core(links.filter("s <> d"), enough)
+    if volume > enough:
+        rest = _shortened(rest)
+    while volume > enough:
         labels = _labelled(rest)
         met = labels.filter("above = below").select(F.col("node").alias("s"), F.col("above").alias("component"))
         several = met.filter("s <> component").select("component").distinct()
-        named = durable(met.join(several, "component", "left_semi").select("s", "component"))
-        found = named if found is None else found.unionByName(named)
+        found = found.unionByName(durable(met.join(several, "component", "left_semi").select("s", "component")))
         open_ = labels.filter("above <> below")
         ends = [open_.select(F.col("node").alias(e), "above", "below") for e in ("s", "d")]
         rest = durable(rest.join(ends[0], "s").join(ends[1], ["d", "above", "below"]).select("s", "d"))
-    whole = loops if found is None else found.unionByName(loops.join(found.select("s"), "s", "left_anti"))
-    return whole.select(F.col("s").alias("node"), F.col("component").alias("component_id"))
+        volume = _size(rest)[1]
+    if volume:
+        found = found.unionByName(durable(_in_one_task(rest, kind)))
+    return found.groupBy(F.col("s").alias("node")).agg(F.min("component").alias("component_id"))
+
+
+ONE_TASK = 32 * 1024 * 1024  # bytes of edges, about a million, that one task may take
+ORDERED = (T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)  # Arrow sorts these as Spark does; also plain text
+
+
+def _in_one_task(links: DataFrame, kind: T.DataType) -> DataFrame:
+    """(s, component) of the components of several nodes, for edges that fit one task: trimmed while that drops a tenth of them, then
+    searched depth first."""
+
+    def strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # nested, so that executors get it by value
+        read = [b for b in batches if b.num_rows]
+        if not read:
+            return
+        ends = pa.concat_arrays([b.column(i) for i in (0, 1) for b in read]).dictionary_encode()
+        order = pc.sort_indices(ends.dictionary)
+        names, nodes = ends.dictionary.take(order), len(order)
+        place = np.empty(nodes, np.int64)
+        place[order.to_numpy()] = np.arange(nodes)
+        s, d = place[ends.indices.to_numpy()].reshape(2, -1)
+        while len(s):
+            has_in, has_out = np.zeros(nodes, bool), np.zeros(nodes, bool)
+            has_in[d], has_out[s] = True, True
+            kept = has_in[s] & has_out[d]
+            s, d = s[kept], d[kept]
+            if kept.mean() > 0.9:
+                break
+        to, first = d[np.argsort(s, kind="stable")].tolist(), np.append(0, np.cumsum(np.bincount(s, minlength=nodes)))
+        following, end = first[:-1].tolist(), first[1:].tolist()
+        number, low, done = [0] * nodes, [0] * nodes, [False] * nodes  # number: place in the order of first visits, from 1
+        visits, opened, path, members, smallest = 0, [], [], [], []
+        for root in np.unique(s).tolist():
+            if number[root]:
+                continue
+            path.append(root)
+            while path:
+                v = path[-1]
+                if not number[v]:
+                    visits += 1
+                    number[v] = low[v] = visits
+                    opened.append(v)
+                at = following[v]
+                if at < end[v]:
+                    following[v] = at + 1
+                    w = to[at]
+                    if not number[w]:
+                        path.append(w)
+                    elif not done[w] and number[w] < low[v]:
+                        low[v] = number[w]
+                    continue
+                path.pop()
+                if path and low[v] < low[path[-1]]:
+                    low[path[-1]] = low[v]
+                if low[v] == number[v]:
+                    one = [opened.pop()]
+                    while one[-1] != v:
+                        one.append(opened.pop())
+                    for w in one:
+                        done[w] = True
+                    if len(one) > 1:
+                        members += one
+                        smallest += [min(one)] * len(one)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(x, pa.int64())) for x in (members, smallest)], ["s", "component"])
+
+    ends = links.select(*[F.col(c).cast(kind).alias(c) for c in ("s", "d")])
+    return ends.coalesce(1).mapInArrow(strong, T.StructType([T.StructField("s", kind), T.StructField("component", kind)]))
 
 
 SHORTCUTS = 16  # two-step paths to enumerate at most, as a multiple of the edges given

@@ -152,6 +152,25 @@ def test_components_of_a_long_ring_take_few_rounds(spark, monkeypatch):
     assert len(stored) < 24
 
 
+def test_components_of_a_graph_that_fits_one_task_take_no_rounds(spark, monkeypatch):
+    pairs = [(i, (i + 1) % 500) for i in range(500)] + [(i, i + 1) for i in range(499, 1500)] + [(2000, 1999), (1999, 2000), (1500, 2000), (3000, 3000)]
+    frame = spark.createDataFrame(pairs, "a bigint, b bigint")
+    stored, kept = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: stored.append(1) or kept(df) if len(stored) < 9 else pytest.fail("a step for each node of a path"))
+    assert rows(graph.components(frame, "a", "b")) == sorted([(i, 0) for i in range(500)] + [(1999, 1999), (2000, 1999), (3000, 3000)], key=str)
+    assert len(stored) <= 2
+
+
+@pytest.mark.parametrize("limit", [0, 1_200, 1 << 20])
+def test_components_are_the_same_by_rounds_and_in_one_task(spark, monkeypatch, limit):
+    rng = random.Random(6)
+    pairs = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(85)} | {(70, 71), (71, 72), (72, 70), (72, 73), (73, 74), (74, 73), (3, 70)})
+    monkeypatch.setattr(graph, "ONE_TASK", limit)
+    expected = strong_components([(f"n{a}", f"n{b}") for a, b in pairs])
+    frame = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in [*pairs, *pairs[:9]]] + [("n1", None)], "a string, b string")
+    assert rows(graph.components(frame, "a", "b")) == sorted(expected, key=str)
+
+
 def test_shortcuts_keep_what_reaches_what_and_stay_bounded(spark):
     star = [(i, 0) for i in range(1, 60)] + [(0, i) for i in range(1, 60)]
     links = spark.createDataFrame(star, "s bigint, d bigint")
